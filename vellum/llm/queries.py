@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm import compression_classifier, packing
-from vellum.llm.common import load
+from vellum.llm import compression_classifier, line_dedup, mixing, oracles, packing, warc
+from vellum.llm.common import load, sha256_utf8
 
 
 def tokenizer_path() -> str:
@@ -23,13 +23,35 @@ def op2_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", compression_classifier.held_out().alias("held_out"), "score", "predicted")
 
 
+def op5_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = warc.round_trip(load(spark, sf_dir, "pages"))
+    return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op6_pareto_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(load(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents")
+    out = line_dedup.LineIndex.build(docs).report(docs)
+    return out.select("doc_id", "n_lines", "n_dropped", sha256_utf8(F.col("kept_text")).alias("kept_sha256"))
+
+
 def op9_binary_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(load(spark, sf_dir, "documents"), tokenizer_path())
 
 
 QUERIES = {
     "op2_compression_quality": op2_compression_quality,
+    "op5_warc_round_trip": op5_warc_round_trip,
+    "op6_pareto_mixing": op6_pareto_mixing,
+    "op8_line_dedup": op8_line_dedup,
     "op9_binary_packing": op9_binary_packing,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op5_warc_round_trip": oracles.OP5,
+    "op6_pareto_mixing": oracles.OP6,
+    "op8_line_dedup": oracles.OP8,
+}
