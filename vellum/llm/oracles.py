@@ -50,3 +50,17 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
   sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
 FROM m GROUP BY r, doc_id
 """
+
+
+def op7(rules, listed) -> str:
+    cut = lambda k: (k.partition("/")[0], "/" + k.partition("/")[2] if "/" in k else "")
+    rows = [(v, k, *cut(k), 1) for v, k in rules] + [("block", k, *cut(k), 2) for k in listed]
+    values = ", ".join(f"('{v}', '{k}', '{h}', '{p}', {t})" for v, k, h, p, t in rows)
+    return rf"""
+WITH rules(verdict, key, h, p, tier) AS (VALUES {values}),
+u AS (SELECT page_id, translate(coalesce(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'), ''), {AZ}) AS host,
+  coalesce(regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's'), '') AS path, row_number() OVER () AS n FROM pages),
+m AS (SELECT u.*, r.verdict, r.key, r.tier, row_number() OVER (PARTITION BY u.n ORDER BY r.tier, length(r.key) DESC, length(r.h) DESC) AS i
+  FROM u LEFT JOIN rules r ON u.host <> '' AND (u.host = r.h OR ends_with(u.host, '.' || r.h)) AND starts_with(u.path, r.p))
+SELECT page_id, host, path, CASE WHEN tier = 1 THEN key END AS rule, coalesce(verdict, 'allow') AS verdict FROM m WHERE i = 1
+"""

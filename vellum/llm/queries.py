@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm import compression_classifier, line_dedup, mixing, oracles, packing, warc
+from vellum.llm import compression_classifier, line_dedup, mixing, oracles, packing, url_filter, warc
 from vellum.llm.common import load, sha256_utf8
 
 
@@ -32,6 +32,11 @@ def op6_pareto_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(load(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_url_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = url_filter.judge(load(spark, sf_dir, "pages").select("page_id", "url"))
+    return out.select("page_id", "host", "path", "rule", "verdict")
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents")
     out = line_dedup.LineIndex.build(docs).report(docs)
@@ -46,6 +51,7 @@ QUERIES = {
     "op2_compression_quality": op2_compression_quality,
     "op5_warc_round_trip": op5_warc_round_trip,
     "op6_pareto_mixing": op6_pareto_mixing,
+    "op7_url_cascade": op7_url_cascade,
     "op8_line_dedup": op8_line_dedup,
     "op9_binary_packing": op9_binary_packing,
 }
@@ -53,5 +59,6 @@ QUERIES = {
 ORACLES: dict[str, str] = {
     "op5_warc_round_trip": oracles.OP5,
     "op6_pareto_mixing": oracles.OP6,
+    "op7_url_cascade": oracles.op7(url_filter.RULES, url_filter.LISTED),
     "op8_line_dedup": oracles.OP8,
 }
