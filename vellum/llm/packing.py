@@ -13,6 +13,7 @@ empty and yields the single end token; repeated rows are packed once each; an em
 
 from __future__ import annotations
 
+import gc
 import os
 import zlib
 from collections.abc import Iterator
@@ -25,7 +26,9 @@ from pyspark.sql import functions as F
 
 LONGEST = 2048
 END_ID = 1
-CACHED_WORDS = 400_000
+CACHED_WORDS = 500_000
+#: ASCII punctuation that may follow a word and never joins it: no apostrophe, which starts contractions.
+TAIL = "!\"#$%&()*+,-./:;=?@[]^_`{}~"
 SCHEMA = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, bucket int"
 )
@@ -46,34 +49,103 @@ def pieces(n: int, longest: int = LONGEST) -> list[tuple[int, int]]:
     return out
 
 
+class Generations:
+    """A bounded cache: what is used moves to the younger half, and the older half goes when the younger is full."""
+
+    def __init__(self):
+        self.young, self.old, self.long = {}, {}, []  # long: words not worth keeping
+
+    def missing(self, used: set[str]) -> list[str]:
+        """The keys that are not known; all others are in the younger half afterwards."""
+        young, old, new = self.young, self.old, []
+        for w in used.difference(young):
+            if (ids := old.get(w)) is None:
+                new.append(w)
+            else:
+                young[w] = ids
+        return new
+
+    def age(self) -> None:
+        if len(self.young) > CACHED_WORDS:
+            for w in self.long:
+                self.young.pop(w, None)
+            self.young, self.old, self.long = {}, self.young, []
+
+
 class WordTokens:
-    """Token ids of whole texts as little-endian unsigned 32-bit bytes, with one tokeniser call per new word."""
+    """Token ids of whole texts as little-endian unsigned 32-bit bytes.
+
+    The vocabulary splits a text into runs of letters, digits and other characters before it merges anything, so a word
+    of letters followed by punctuation has the ids of its letters, then those of its punctuation. Runs of letters that
+    are new are tokenised together, as one text: each ends with the one token that closes a run."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.words = Tokenizer.from_file(path), {}
-
-    def encode(self, text: str) -> bytes:
-        # only blanks that every definition of white space agrees on separate words here
-        parts = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-        known = self.words
-        try:
-            return b"".join([known[w] for w in parts])
-        except KeyError:
-            pass
-        new = [w for w in dict.fromkeys(parts) if w not in known]
-        if len(known) + len(new) > CACHED_WORDS:
-            known.clear()
-            new = list(dict.fromkeys(parts))
-        for w, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-            known[w] = np.asarray(e.ids, dtype="<u4").tobytes()
-        out = b"".join([known[w] for w in parts])
+        self.tokenizer, self.words, self.runs = Tokenizer.from_file(path), Generations(), Generations()
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.closes = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.closes[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
+
+    def _learn_runs(self, runs: set[str]) -> dict[str, bytes]:
+        new = self.runs.missing(runs)
+        known = self.runs.young
+        for at in range(0, len(new), 5_000):
+            some = new[at : at + 5_000]
+            ids = np.asarray(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, dtype="<u4")
+            ends = np.flatnonzero(self.closes[ids]) + 1
+            if len(ends) == len(some):
+                data, at_byte = ids.tobytes(), 0
+                for w, end in zip(some, (4 * ends).tolist(), strict=True):
+                    known[w] = data[at_byte:end]
+                    at_byte = end
+            else:
+                self._one_by_one(some, known)
+        return known
+
+    def _one_by_one(self, words: list[str], into: dict[str, bytes]) -> None:
+        for at in range(0, len(words), 20_000):
+            some = words[at : at + 20_000]
+            for w, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
+                into[w] = np.asarray(e.ids, dtype="<u4").tobytes()
+
+    def _learn(self, new: list[str]) -> None:
+        words, tails = self.words.young, self.runs.young
+        cut, runs, rest = [], [], []
         for w in new:
-            if len(w) > 64:
-                del known[w]
-        return out
+            run = w.rstrip(TAIL)
+            if run.isalpha():
+                cut.append(w)
+                runs.append(run.lower() if run.isascii() else run)
+            else:
+                rest.append(w)
+        self._one_by_one(rest, words)
+        known = self._learn_runs(set(runs))
+        for w, run in zip(cut, runs, strict=True):
+            n = len(run)
+            if len(w) == n:
+                words[w] = known[run]
+                continue
+            tail = w[n:]
+            if tail not in tails:
+                self._one_by_one([tail], tails)
+            words[w] = known[run] + tails[tail]
+        self.words.long += [w for w in new if len(w) > 64]
+        self.runs.long += [w for w in runs if len(w) > 64]
+
+    def encode_all(self, texts: list[str]) -> Iterator[bytes]:
+        # only blanks that every definition of white space agrees on separate words here
+        split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
+        used: set[str] = set()
+        for words in split:
+            used.update(words)
+        self._learn(self.words.missing(used))
+        get = self.words.young.__getitem__
+        for words in split:
+            yield b"".join(map(get, words))
+        self.words.age()
+        self.runs.age()
 
 
 def pack(docs: DataFrame, tokenizer_path: str, longest: int = LONGEST, with_ids: bool = False) -> DataFrame:
@@ -85,10 +157,12 @@ def pack(docs: DataFrame, tokenizer_path: str, longest: int = LONGEST, with_ids:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
         task, count, encoder = (context.partitionId() if context else 0), 0, WordTokens(tokenizer_path)
+        gc.disable()  # nothing here is cyclic, and the collector would walk the caches time and again
         for b in batches:
             out: list[list] = [[] for _ in range(8 + with_ids)]
-            for doc, text in zip(b["doc_id"].to_pylist(), b["text"].to_pylist(), strict=True):
-                data = encoder.encode(text or "") + end
+            texts = [t or "" for t in b["text"].to_pylist()]
+            for doc, ids_of in zip(b["doc_id"].to_pylist(), encoder.encode_all(texts), strict=True):
+                data = ids_of + end
                 n = len(data) // 4
                 for start, length in pieces(n, longest):
                     ids, bucket = data[4 * start : 4 * (start + length)], length.bit_length() - 1
