@@ -36,12 +36,18 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def join_with_hot_keys(left: DataFrame, right: DataFrame, key: str, weight: str, total: int, hot_share: int = 1000) -> DataFrame:
+def join_with_hot_keys(left: DataFrame, right: DataFrame, key: str, weight: str, total: int, hot_share: int = 1000, broadcast_rows: int = 100_000) -> DataFrame:
     """Left join to a table with unique keys, where a few keys may hold most rows of left.
 
     right carries in `weight` how many rows of left have its key. At most hot_share keys can hold total/hot_share rows
     or more each, so that many rows at most are broadcast; all other keys are shuffled. Rows of hot keys, and rows whose
-    key is null, get a key of their own in the shuffle and so spread evenly. Null keys match nothing."""
+    key is null, get a key of their own in the shuffle and so spread evenly. Null keys match nothing. Where right is
+    counted to have no more than broadcast_rows rows, all of it is broadcast and left isn't shuffled at all."""
+    right = stash(right, "keyed")
+    if right.count() <= broadcast_rows:
+        all_of_it = right.withColumnRenamed(key, "__bk")
+        out = left.join(F.broadcast(all_of_it), left[key] == F.col("__bk"), "left")
+        return out.select(*[left[c] for c in left.columns], *[F.col(c) for c in right.columns if c != key])
     hot = right.filter(F.col(weight) * hot_share >= F.lit(total))
     cold = right.filter(F.col(weight) * hot_share < F.lit(total))
     names = [c for c in right.columns if c != key]
