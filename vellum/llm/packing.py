@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -134,20 +135,31 @@ class WordTokens:
         self.words.long += [w for w in new if len(w) > 64]
         self.runs.long += [w for w in runs if len(w) > 64]
 
-    def encode_all(self, texts: list[str]) -> Iterator[bytes]:
-        # only blanks that every definition of white space agrees on separate words here
-        split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        used: set[str] = set()
-        for words in split:
-            used.update(words)
-        self._learn(self.words.missing(used))
-        get = self.words.young.__getitem__
-        for words in split:
-            yield b"".join(map(get, words))
+    def encode_all(self, texts: pa.Array) -> Iterator[bytes]:
+        """Ids of every text; only blanks that every definition of white space agrees on separate words."""
+        lists = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+        coded = lists.flatten().dictionary_encode()
+        used = coded.dictionary.to_pylist()
+        self._learn(self.words.missing(set(used)))
+        known = list(map(self.words.young.__getitem__, used))
+        word, first = coded.indices.to_numpy().tolist(), lists.offsets.to_numpy()
+        edges = (first - first[0]).tolist()
+        for a, b in zip(edges, edges[1:], strict=False):
+            yield b"".join([known[i] for i in word[a:b]])
         self.words.age()
         self.runs.age()
 
 
+_ENCODERS: dict[str, WordTokens] = {}
+
+
+def word_tokens(path: str) -> WordTokens:
+    """One encoder for all tasks of a Python worker, so that later tasks start with a warm cache."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = WordTokens(path)
+    return _ENCODERS[path]
+
+
 def pack(docs: DataFrame, tokenizer_path: str, longest: int = LONGEST, with_ids: bool = False) -> DataFrame:
     """One row per piece of docs(doc_id, text); with_ids adds the piece's token ids."""
     if longest < 1 or longest & (longest - 1):
@@ -156,12 +168,11 @@ def pack(docs: DataFrame, tokenizer_path: str, longest: int = LONGEST, with_ids:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
-        task, count, encoder = (context.partitionId() if context else 0), 0, WordTokens(tokenizer_path)
+        task, count, encoder = (context.partitionId() if context else 0), 0, word_tokens(tokenizer_path)
         gc.disable()  # nothing here is cyclic, and the collector would walk the caches time and again
         for b in batches:
             out: list[list] = [[] for _ in range(8 + with_ids)]
-            texts = [t or "" for t in b["text"].to_pylist()]
-            for doc, ids_of in zip(b["doc_id"].to_pylist(), encoder.encode_all(texts), strict=True):
+            for doc, ids_of in zip(b["doc_id"].to_pylist(), encoder.encode_all(b["text"]), strict=True):
                 data = ids_of + end
                 n = len(data) // 4
                 for start, length in pieces(n, longest):

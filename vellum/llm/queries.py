@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm import compression_classifier, line_dedup, mixing, oracles, packing, url_filter, warc
+from vellum.llm import compression_classifier, fingerprint, line_dedup, mixing, oracles, packing, url_filter, warc
 from vellum.llm.common import load, sha256_utf8
 
 
@@ -15,6 +15,10 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_weighted_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.fingerprints(load(spark, sf_dir, "documents"))
+
+
 def op2_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents")
     labels = load(spark, sf_dir, "labels").filter(~compression_classifier.held_out())
@@ -48,6 +52,7 @@ def op9_binary_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_weighted_fingerprints": op1_weighted_fingerprints,
     "op2_compression_quality": op2_compression_quality,
     "op5_warc_round_trip": op5_warc_round_trip,
     "op6_pareto_mixing": op6_pareto_mixing,
