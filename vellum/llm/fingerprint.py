@@ -25,6 +25,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 SAMPLES = 64
+GROUP = 8
 RATES, COSTS = 256, 1024
 BLANK = r"[\x20\x09-\x0D]+"
 DOCS_PER_BUCKET, LEAST_BUCKETS, MOST_BUCKETS = 500, 16, 20_000
@@ -47,20 +48,40 @@ def _tables() -> tuple[Column, Column]:
     return F.lit(rates), F.lit(np.log(gamma2_quantile(u)))  # array literals
 
 
-def sample_values(term_hash: Column, log_weights: list[Column], samples: int) -> list[list[Column]]:
-    """For every sample, the value with which the term competes at each of the weights (null weight: not at all)."""
+def draw(terms: DataFrame, samples: int) -> DataFrame:
+    """(bucket, rn, f, g): fingerprints of both texts of every document from terms(bucket, rn, h, w1, w2).
+
+    h hashes a word, w1 and w2 are the logarithms of its counts in the two texts, null where it isn't in one. Samples
+    are drawn in groups of GROUP, so that the generated code of one aggregation stays small enough to be compiled, and
+    in steps, so that no shared part is computed twice."""
     rates, costs = _tables()
-    out = []
-    for k in range(samples):
-        z = F.xxhash64(term_hash, F.lit(k))
-        r = F.get(rates, z.bitwiseAND(RATES - 1).cast("int"))
-        b = F.shiftrightunsigned(z, 8).bitwiseAND((1 << 20) - 1) / float(1 << 20)
-        i = F.shiftrightunsigned(z, 28).bitwiseAND(COSTS - 1).cast("int")
-        f = (F.shiftrightunsigned(z, 38).bitwiseAND((1 << 26) - 1) + 0.5) / float(1 << 26)
+    n = range(GROUP)
+    rows = terms.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(samples // GROUP - 1))))
+    keys = ["bucket", "rn", "part", "w1", "w2"]
+    rows = rows.select(*keys, *[F.xxhash64("h", F.col("part") * GROUP + k).alias(f"z{k}") for k in n])
+
+    def parts(k: int) -> list[Column]:
+        z = F.col(f"z{k}")
+        return [
+            F.get(rates, z.bitwiseAND(RATES - 1).cast("int")).alias(f"r{k}"),
+            (F.shiftrightunsigned(z, 8).bitwiseAND((1 << 20) - 1) / float(1 << 20)).alias(f"b{k}"),
+            F.shiftrightunsigned(z, 28).bitwiseAND(COSTS - 1).cast("int").alias(f"i{k}"),
+            ((F.shiftrightunsigned(z, 38).bitwiseAND((1 << 26) - 1) + 0.5) / float(1 << 26)).alias(f"f{k}"),
+        ]
+
+    rows = rows.select(*keys, *[c for k in n for c in parts(k)])
+
+    def cost(k: int) -> Column:
+        i, f = F.col(f"i{k}"), F.col(f"f{k}")
         left = F.get(costs, i)
-        log_c = F.when(i == 0, F.log(f * (2.0 / COSTS)) * 0.5).otherwise(left + f * (F.get(costs, i + 1) - left))
-        out.append([log_c - r * (F.floor(w / r + b) - b + 1.0) for w in log_weights])
-    return out
+        return F.when(i == 0, F.log(f * (2.0 / COSTS)) * 0.5).otherwise(left + f * (F.get(costs, i + 1) - left)).alias(f"c{k}")
+
+    rows = rows.select(*keys, *[F.col(f"{x}{k}") for k in n for x in "rb"], *[cost(k) for k in n])
+    value = lambda k, w: F.col(f"c{k}") - F.col(f"r{k}") * (F.floor(F.col(w) / F.col(f"r{k}") + F.col(f"b{k}")) - F.col(f"b{k}") + 1.0)
+    least = rows.groupBy("bucket", "rn", "part").agg(*[F.min(value(k, w)).alias(f"{w}_{k}") for w in ("w1", "w2") for k in n])
+    code = lambda w: F.concat(*[_code(F.col(f"{w}_{k}")) for k in n])
+    whole = least.groupBy("bucket", "rn").agg(F.array_sort(F.collect_list(F.struct("part", code("w1").alias("f"), code("w2").alias("g")))).alias("p"))
+    return whole.select("bucket", "rn", F.array_join(F.col("p.f"), "").alias("f"), F.array_join(F.col("p.g"), "").alias("g"))
 
 
 def _code(value: Column) -> Column:
@@ -132,8 +153,8 @@ def edited(text: Column, after: Column) -> Column:
 
 def fingerprints(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
     """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) per row of docs(doc_id, text)."""
-    spark = docs.sparkSession
-    spark.conf.set("spark.sql.codegen.maxFields", str(4 * samples + 100))
+    if samples % GROUP:
+        raise ValueError(f"samples must be a multiple of {GROUP}")
     rows = with_next(docs).withColumn("new", F.when(F.col("tail") == 0, edited(F.col("text"), F.coalesce("after", "text"))))
     about = rows.select(
         "bucket", "rn", "tail", "id", F.char_length("text").cast("long").alias("n_chars"), F.sha2(F.encode("new", "UTF-8"), 256).alias("edited_sha256")
@@ -144,11 +165,7 @@ def fingerprints(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
     terms = terms.groupBy("bucket", "rn", "h").agg(F.sum("first").alias("n1"), F.sum(1 - F.col("first")).alias("n2"))
     log_of = lambda c: F.when(F.col(c) > 0, F.log(F.col(c).cast("double")))
     terms = terms.select("bucket", "rn", "h", log_of("n1").alias("w1"), log_of("n2").alias("w2"))
-    values = sample_values(F.col("h"), [F.col("w1"), F.col("w2")], samples)
-    mins = [F.min(v).alias(f"s{j}_{k}") for k, pair in enumerate(values) for j, v in enumerate(pair)]
-    drawn = terms.groupBy("bucket", "rn").agg(*mins)
-    code = lambda j: F.concat(*[_code(F.col(f"s{j}_{k}")) for k in range(samples)])
-    drawn = drawn.select("bucket", "rn", code(0).alias("f"), code(1).alias("g"))
+    drawn = draw(terms, samples)
     none = F.lit("ffff" * samples)
     both = about.join(drawn.hint("shuffle_hash"), ["bucket", "rn"], "left")
     both = both.select(*about.columns, F.coalesce("f", none).alias("fingerprint"), F.coalesce("g", none).alias("edited_fingerprint"))
