@@ -64,3 +64,27 @@ m AS (SELECT u.*, r.verdict, r.key, r.tier, row_number() OVER (PARTITION BY u.n
   FROM u LEFT JOIN rules r ON u.host <> '' AND (u.host = r.h OR ends_with(u.host, '.' || r.h)) AND starts_with(u.path, r.p))
 SELECT page_id, host, path, CASE WHEN tier = 1 THEN key END AS rule, coalesce(verdict, 'allow') AS verdict FROM m WHERE i = 1
 """
+
+
+def op4(rules, n_base: int) -> str:
+    """Cut every text at each rule's matches; running sums of the pieces' lengths are the offsets."""
+    parts = []
+    for j, r in enumerate(rules):
+        pattern = r.regex.replace("'", "''")
+        group = f"length(regexp_extract(m, '{pattern}', {r.group})) >= {r.least}"
+        parts.append(f"""
+SELECT r, {j} AS rule, '{r.kind}' AS kind, CAST(b AS BIGINT) AS s, CAST(b + length(m) AS BIGINT) AS e FROM (
+  SELECT r, pos, m, sum(length(seg) - CASE WHEN pos > 0 THEN 1 ELSE 0 END) OVER (PARTITION BY r ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b
+  FROM (SELECT r, pos, seg, CASE WHEN pos > 0 THEN split_part(seg, chr(2), 1) END AS m FROM (
+    SELECT r, unnest(segs) AS seg, unnest(range(len(segs))) AS pos FROM (
+      SELECT r, string_split(regexp_replace(t, '{pattern}', chr(1) || '\\0' || chr(2), 'g'), chr(1)) AS segs FROM d)))) WHERE pos > 0 AND {group}""")
+    union = "\nUNION ALL".join(parts)
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, translate(coalesce(text, ''), chr(1) || chr(2), chr(3) || chr(3)) AS t FROM documents),
+m AS ({union}),
+x AS (SELECT d.r, d.doc_id, m.* EXCLUDE (r), kind || ':' || s || ':' || e AS span FROM d LEFT JOIN m ON d.r = m.r)
+SELECT doc_id, count(*) FILTER (rule = 0) AS n_assign, count(*) FILTER (rule = 1) AS n_access, count(*) FILTER (rule = 2) AS n_hex,
+  sha256(coalesce(string_agg(span, ',' ORDER BY s, rule) FILTER (rule < {n_base}), '')) AS base_sha256,
+  coalesce(string_agg(span, ',' ORDER BY s, rule), '') AS spans
+FROM x GROUP BY r, doc_id
+"""

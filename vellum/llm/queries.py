@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm import compression_classifier, fingerprint, line_dedup, mixing, oracles, packing, url_filter, warc
+from vellum.llm import compression_classifier, fingerprint, line_dedup, mixing, oracles, packing, secret_scan, url_filter, warc
 from vellum.llm.common import load, sha256_utf8
 
 
@@ -27,6 +27,10 @@ def op2_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", compression_classifier.held_out().alias("held_out"), "score", "predicted")
 
 
+def op4_trigram_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.report(load(spark, sf_dir, "documents"))
+
+
 def op5_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = warc.round_trip(load(spark, sf_dir, "pages"))
     return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -54,6 +58,7 @@ def op9_binary_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_weighted_fingerprints": op1_weighted_fingerprints,
     "op2_compression_quality": op2_compression_quality,
+    "op4_trigram_secrets": op4_trigram_secrets,
     "op5_warc_round_trip": op5_warc_round_trip,
     "op6_pareto_mixing": op6_pareto_mixing,
     "op7_url_cascade": op7_url_cascade,
@@ -62,6 +67,7 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
+    "op4_trigram_secrets": oracles.op4(secret_scan.BASE + secret_scan.ADDED, len(secret_scan.BASE)),
     "op5_warc_round_trip": oracles.OP5,
     "op6_pareto_mixing": oracles.OP6,
     "op7_url_cascade": oracles.op7(url_filter.RULES, url_filter.LISTED),
