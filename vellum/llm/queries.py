@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm import compression_classifier, fingerprint, line_dedup, mixing, oracles, packing, secret_scan, url_filter, warc
+from vellum.llm import compression_classifier, fingerprint, jaccard_join, line_dedup, mixing, oracles, packing, secret_scan, url_filter, warc
 from vellum.llm.common import load, sha256_utf8
 
 
@@ -55,6 +55,10 @@ def op9_binary_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(load(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op10_partenum_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.groups(load(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_weighted_fingerprints": op1_weighted_fingerprints,
     "op2_compression_quality": op2_compression_quality,
@@ -64,6 +68,7 @@ QUERIES = {
     "op7_url_cascade": op7_url_cascade,
     "op8_line_dedup": op8_line_dedup,
     "op9_binary_packing": op9_binary_packing,
+    "op10_partenum_jaccard": op10_partenum_jaccard,
 }
 
 ORACLES: dict[str, str] = {
