@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm import compression_classifier, fingerprint, jaccard_join, line_dedup, mixing, oracles, packing, secret_scan, url_filter, warc
+from vellum.llm import compression_classifier, cover_tree, fingerprint, jaccard_join, line_dedup, mixing, oracles, packing, secret_scan, url_filter, warc
 from vellum.llm.common import load, sha256_utf8
 
 
@@ -27,6 +27,10 @@ def op2_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", compression_classifier.held_out().alias("held_out"), "score", "predicted")
 
 
+def op3_cover_tree_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cover_tree.near_duplicates(load(spark, sf_dir, "embeddings"))
+
+
 def op4_trigram_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.report(load(spark, sf_dir, "documents"))
 
@@ -62,6 +66,7 @@ def op10_partenum_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_weighted_fingerprints": op1_weighted_fingerprints,
     "op2_compression_quality": op2_compression_quality,
+    "op3_cover_tree_dedup": op3_cover_tree_dedup,
     "op4_trigram_secrets": op4_trigram_secrets,
     "op5_warc_round_trip": op5_warc_round_trip,
     "op6_pareto_mixing": op6_pareto_mixing,
