@@ -17,8 +17,6 @@ else 0); null ids sort after all others; rows that repeat a doc_id follow one an
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -111,17 +109,22 @@ def id_bounds(docs: DataFrame, key: str) -> list[int]:
     return sorted({got["least"], *got["q"]}) if got["q"] else []
 
 
-def bucket_of(key: str, bounds: list[int]) -> Column:
-    """Number of bounds that are at most the id, in two short searches; null ids go to the last bucket."""
+def with_bucket(rows: DataFrame, key: str, bounds: list[int], name: str) -> DataFrame:
+    """Adds the number of bounds that are at most the id, by binary search; null ids go to the last bucket.
+
+    Plain expressions only: a lambda's variables would keep Spark from seeing that two branches ask for one shuffle."""
     if not bounds:
-        return F.lit(0)
-    step = math.isqrt(len(bounds)) + 1
-    fine = F.expr("cast(split('" + ",".join(map(str, bounds)) + "', ',') as array<bigint>)")
-    coarse = F.expr("cast(split('" + ",".join(map(str, bounds[::step])) + "', ',') as array<bigint>)")
-    at = F.size(F.filter(coarse, lambda b: b <= F.col(key))) - 1
-    near = F.slice(fine, at * step + 1, F.lit(step))
-    found = at * step + F.size(F.filter(near, lambda b: b <= F.col(key)))
-    return F.when(F.col(key).isNull(), len(bounds)).when(at < 0, 0).otherwise(found)
+        return rows.withColumn(name, F.lit(0))
+    table, step = _ids(bounds), 1 << (len(bounds).bit_length() - 1)
+    rows = rows.withColumn(name, F.lit(0))
+    while step:
+        rows = rows.withColumn(name, F.when(F.get(table, F.col(name) + (step - 1)) <= F.col(key), F.col(name) + step).otherwise(F.col(name)))
+        step //= 2
+    return rows.withColumn(name, F.when(F.col(key).isNull(), len(bounds)).otherwise(F.col(name)))
+
+
+def _ids(bounds: list[int]) -> Column:
+    return F.lit(np.array(bounds, dtype=np.int64))  # an array literal
 
 
 def with_next(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -132,15 +135,14 @@ def with_next(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
     rows = docs.select(F.col(key).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     bounds = id_bounds(rows, "id")
     last, least = len(bounds), bounds[0] if bounds else None
-    rows = rows.withColumn("own", bucket_of("id", bounds))
+    rows = with_bucket(rows, "id", bounds, "own")
     place = lambda b, t: F.struct(b.cast("int").alias("bucket"), F.lit(t).alias("tail"))
     if bounds:
-        table = F.expr("cast(split('" + ",".join(map(str, bounds)) + "', ',') as array<bigint>)")
-        opens = (F.col("own") > 1) & (F.get(table, F.col("own") - 1) == F.col("id"))
+        opens = (F.col("own") > 1) & (F.get(_ids(bounds), F.col("own") - 1) == F.col("id"))
         places = F.array(place(F.col("own"), 0), F.when(opens, place(F.col("own") - 1, 1)), F.when(F.col("id") == least, place(F.lit(last), 2)))
     else:
         places = F.array(place(F.col("own"), 0), place(F.lit(0), 2))
-    rows = rows.withColumn("place", F.explode(F.filter(places, lambda p: p.isNotNull()))).select("place.*", "id", "text")
+    rows = rows.withColumn("place", F.explode(places)).filter("place is not null").select("place.*", "id", "text")
     order = W.partitionBy("bucket").orderBy("tail", F.col("id").asc_nulls_last(), "text")
     return rows.withColumns({"rn": F.row_number().over(order), "after": F.lead("text").over(order)})
 
