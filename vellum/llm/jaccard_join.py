@@ -50,9 +50,9 @@ BLOCK = 1000
 class Settings:
     n: int = 5
     above: int = 75  # links need 100 * intersection >= above * union
-    n2: int = 3
-    k2: int = 1
-    spare: float = 0.18
+    n2: int = 1
+    k2: int = 0
+    spare: float = 0.16
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -191,21 +191,26 @@ def unpack_planes(blob: bytes) -> np.ndarray:
 
 
 def describe(docs: DataFrame, s: Settings) -> DataFrame:
-    """(doc_id, words, n_shingles): the digest of each row's words and its set's size."""
+    """(doc_id, words, n_shingles, bits): the digest of each row's words, its set's size and bit map."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keys, sizes = [], []
+            keys, sizes, maps = [], [], []
             for key, x in shingle_sets(b["text"], s.n):
                 keys.append(key)
                 sizes.append(len(x))
-            yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(keys, pa.binary()), pa.array(sizes, pa.int64())], ["doc_id", "words", "n_shingles"])
+                maps.append(bit_map(x))
+            yield pa.RecordBatch.from_arrays(
+                [b["doc_id"], pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(maps, pa.binary())], ["doc_id", "words", "n_shingles", "bits"]
+            )
 
-    return docs.mapInArrow(run, "doc_id long, words binary, n_shingles long")
+    return docs.mapInArrow(run, "doc_id long, words binary, n_shingles long, bits binary")
 
 
 def packed_signatures(docs: DataFrame, ranges: int, s: Settings) -> DataFrame:
-    """(part, sigs, ids): the signatures of each range that a task found, sorted, with their documents."""
+    """(part, sigs, ids): the signatures of each range that a task found, sorted, with their documents.
+
+    48 bits of a signature travel; two that agree there by chance cost a comparison."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands, seen, held_sig, held_id, held = Bands(s), set(), [], [], 0
@@ -216,7 +221,7 @@ def packed_signatures(docs: DataFrame, ranges: int, s: Settings) -> DataFrame:
             sig, ids = sig[order], ids[order]
             part = ((sig >> U(32)) * U(ranges)) >> U(32)
             cuts = np.searchsorted(part, np.arange(ranges + 1, dtype=U))
-            rows = [(p, pack_planes(sig[a:b]), pack_planes(ids[a:b])) for p, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a]
+            rows = [(p, pack_planes(sig[a:b] >> U(16)), pack_planes(ids[a:b])) for p, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a]
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary()), strict=True)], ["part", "sigs", "ids"])
 
         for b in batches:
@@ -260,29 +265,26 @@ def buckets(packed: DataFrame) -> DataFrame:
 
 
 def full_sets(docs: DataFrame, ids: DataFrame, s: Settings) -> DataFrame:
-    """(id, shingles, bits): packed sets and bit maps of the documents in ids(id)."""
+    """(id, shingles): the packed sets of the documents in ids(id)."""
     few = ids.count() <= 1_000_000
     wanted = docs.join(F.broadcast(ids) if few else ids, docs["doc_id"] == ids["id"], "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [x for _, x in shingle_sets(b["text"], s.n)]
-            yield pa.RecordBatch.from_arrays(
-                [b["doc_id"], pa.array([x.tobytes() for x in rows], pa.binary()), pa.array([bit_map(x) for x in rows], pa.binary())], ["id", "shingles", "bits"]
-            )
+            yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array([x.tobytes() for _, x in shingle_sets(b["text"], s.n)], pa.binary())], ["id", "shingles"])
 
-    return wanted.select("doc_id", "text").mapInArrow(run, "id long, shingles binary, bits binary")
+    return wanted.select("doc_id", "text").mapInArrow(run, "id long, shingles binary")
 
 
 def bit_map(x: np.ndarray) -> bytes:
-    """One bit per feature in a map of at least four bits a feature, a power of two."""
-    size = 1 << max(9, int(np.ceil(np.log2(4 * max(1, len(x))))))
+    """One bit per feature in a map of at least two bits a feature, a power of two."""
+    size = max(64, 1 << (2 * len(x) - 1).bit_length())
     out = np.zeros(size, dtype=np.uint8)
     out[(mix(x ^ U(0x2545F4914F6CDD1D)) & U(size - 1)).astype(np.int64)] = 1
     return np.packbits(out, bitorder="little").tobytes()
 
 
-def folded(bits: bytes, size: int) -> np.ndarray:
+def folded(bits, size: int) -> np.ndarray:
     raw = np.frombuffer(bits, dtype=np.uint8)
     while len(raw) > size:
         raw = raw[: len(raw) // 2] | raw[len(raw) // 2 :]
@@ -295,8 +297,29 @@ def may_link(a: int, b: int, differing: np.ndarray | int, above: int):
     return 100 * most >= above * (a + b - most)
 
 
-def verified(pairs: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
-    """The pairs (a, b) that link."""
+def plausible(pairs: DataFrame, info: DataFrame, s: Settings) -> DataFrame:
+    """The pairs (a, b) that sizes and bit maps don't rule out: sets differ in at least as many features as maps in bits."""
+    side = lambda c: info.select(F.col("doc_id").alias(c), F.col("n_shingles").alias(f"n{c}"), F.col("bits").alias(f"m{c}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for r in batches:
+            keep = []
+            for na, nb, x, y in zip(r["na"].to_pylist(), r["nb"].to_pylist(), r["ma"], r["mb"], strict=True):
+                ok = bool(may_link(na, nb, abs(na - nb), s.above))
+                if ok:
+                    width = min(len(x.as_buffer()), len(y.as_buffer()))
+                    u, v = folded(x.as_buffer(), width).view(U), folded(y.as_buffer(), width).view(U)
+                    ok = bool(may_link(na, nb, int(np.bitwise_count(u ^ v).sum()), s.above))
+                keep.append(ok)
+            yield pa.RecordBatch.from_arrays([r["a"], r["b"]], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return both.select("a", "b", "na", "nb", "ma", "mb").mapInArrow(run, "a long, b long").distinct()
+
+
+def verified(pairs: DataFrame, docs: DataFrame, s: Settings) -> DataFrame:
+    """The pairs (a, b) that link, by their whole sets."""
+    sets = stash(full_sets(docs, stash(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids"), s), "sets")
     left = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a")
     both = left.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b")
 
@@ -305,9 +328,6 @@ def verified(pairs: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
             keep = []
             for x, y in zip(r["sa"], r["sb"], strict=True):
                 u, v = np.frombuffer(x.as_buffer(), dtype=U), np.frombuffer(y.as_buffer(), dtype=U)
-                if 100 * min(len(u), len(v)) < s.above * max(len(u), len(v)):
-                    keep.append(False)
-                    continue
                 both_sets = np.concatenate([u, v])
                 both_sets.sort(kind="stable")
                 same = int(np.count_nonzero(both_sets[1:] == both_sets[:-1]))
@@ -317,7 +337,14 @@ def verified(pairs: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
     return both.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
-def across(lists: DataFrame, comps: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
+def apart(pairs: DataFrame, comps: DataFrame) -> DataFrame:
+    """The pairs whose ends are in different components."""
+    of = lambda c: comps.select(F.col("node").alias(c), F.col("component").alias(f"c{c}"))
+    both = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left")
+    return both.filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
+
+
+def across(lists: DataFrame, comps: DataFrame, info: DataFrame, s: Settings) -> DataFrame:
     """Pairs within a bucket, but in different components, that the bit maps don't rule out.
 
     Pairs with a bucket's smallest member were compared before."""
@@ -329,7 +356,7 @@ def across(lists: DataFrame, comps: DataFrame, sets: DataFrame, s: Settings) ->
     own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
     rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.select("bucket", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "id", "c")
-    rows = rows.join(sets.select("id", "bits", F.expr("octet_length(shingles) div 8").alias("n")), "id")
+    rows = rows.join(info.select(F.col("doc_id").alias("id"), "bits", F.col("n_shingles").alias("n")), "id")
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         one = pdf["x"].iloc[0] == pdf["y"].iloc[0]
@@ -363,17 +390,21 @@ def groups(docs: DataFrame, settings: Settings | None = None) -> DataFrame:
     copies = join_with_hot_keys(real.select("doc_id", F.hex("words").alias("w")), first.select(F.hex("words").alias("w"), "first", "n"), "w", "n", info.count())
     copies = copies.filter("first is not null and first <> doc_id").select(F.col("doc_id").alias("a"), F.col("first").alias("b"))
     ranges = int(max(8, -(-total // RANGE_SIGNATURES)))
-    lists = stash(buckets(packed_signatures(docs, ranges, s)), "buckets").distinct()
+    lists = stash(buckets(packed_signatures(docs, ranges, s)).distinct(), "buckets")
     least = F.col("members")[0]
     stars = lists.select(least.alias("a"), F.explode(F.slice("members", 2, F.size("members") - 1)).alias("b")).distinct()
-    stars = stash(stars, "stars")
-    ids = stash(stars.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
-    sets = stash(full_sets(docs, ids, s), "sets")
-    links = stash(verified(stars, sets, s).unionByName(copies), "links")
+    stars = stash(plausible(stars, real, s), "stars")
+    # one comparison for each document first; then only for pairs that are still apart
+    nearest = stars.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+    links = stash(verified(nearest, docs, s).unionByName(copies), "links")
     comps = components(links)
-    more = stash(verified(stash(across(lists, comps, sets, s), "pairs"), sets, s), "more_links")
-    if more.limit(1).count():
-        comps = components(links.unionByName(more))
+    for pairs in (lambda c: apart(stars.join(nearest, ["a", "b"], "left_anti"), c), lambda c: across(lists, c, real, s)):
+        more = stash(pairs(comps), "pairs")
+        if more.limit(1).count():
+            more = stash(verified(more, docs, s), "more_links")
+            if more.limit(1).count():
+                links = links.unionByName(more)
+                comps = components(links)
     out = info.join(comps, info["doc_id"] == comps["node"], "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
