@@ -31,6 +31,8 @@ from vellum.llm.common import components, join_with_hot_keys, stash
 THRESHOLD = 0.93
 CELL, MOST_PIVOTS, LEAF, SPLIT = 10_000, 256, 24, 1024
 EPS = 1e-9
+#: More than matrix products lose in a distance; and centres picked at a time.
+SLACK, BLOCK = 1e-6, 256
 
 
 @dataclass
@@ -44,6 +46,11 @@ class Node:
     radii: np.ndarray | None = None
 
 
+def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    square = (a * a).sum(1)[:, None] + (b * b).sum(1)[None] - 2 * a @ b.T
+    return np.sqrt(np.maximum(square, 0.0))
+
+
 class CoverTree:
     """Nested levels of halving radii over the rows of x, built from the root as far as a traversal asks."""
 
@@ -51,26 +58,40 @@ class CoverTree:
         self.x = x
         points = np.arange(len(x)) if points is None else points
         centre = x[points[0]]
-        self.root = Node(centre, points, float(self._far(centre, points).max()), 2.0)
-
-    def _far(self, centre: np.ndarray, points: np.ndarray) -> np.ndarray:
-        return np.sqrt(np.maximum(((self.x[points] - centre) ** 2).sum(1), 0.0))
+        self.root = Node(centre, points, float(_distances(centre[None], x[points]).max()) + SLACK, 2.0)
 
     def split(self, node: Node) -> list[Node]:
-        """The node's children: centres picked greedily, each covering what lies within half the level's radius."""
+        """The node's children: centres picked greedily, each covering what lies within half the level's radius.
+
+        Centres are picked a block at a time, so that distances are matrix products; their rounding is in SLACK, which
+        every radius includes."""
         if node.children is None:
             level = node.level
-            while level >= 2 * node.radius and level > EPS:
+            while level >= 2 * node.radius and level > SLACK:
                 level /= 2
             level /= 2
             left, made = node.points, []
             while len(left):
-                centre = self.x[left[0]]
-                far = self._far(centre, left)
-                near = far <= level
-                near[0] = True
-                made.append(Node(centre, left[near], float(far[near].max()), level))
-                left = left[~near]
+                block = self.x[left[:BLOCK]]
+                near, picked = _distances(block, block) <= level, []
+                covered = np.zeros(len(block), dtype=bool)
+                for i in range(len(block)):
+                    if not covered[i]:
+                        picked.append(i)
+                        covered |= near[i]
+                        covered[i] = True
+                far = _distances(block[picked], self.x[left])
+                close = far <= level
+                close[np.arange(len(picked)), picked] = True
+                owner, owned = close.argmax(0), close.any(0)
+                mine, of = left[owned], owner[owned]
+                reach = far[of, np.flatnonzero(owned)]
+                order = np.argsort(of, kind="stable")
+                cuts = np.searchsorted(of[order], np.arange(len(picked) + 1))
+                for i, c in enumerate(picked):
+                    own = order[cuts[i] : cuts[i + 1]]
+                    made.append(Node(block[c], mine[own], float(reach[own].max()) + SLACK, level))
+                left = left[~owned]
             node.children = made
             node.centres = np.stack([c.centre for c in made])
             node.radii = np.array([c.radius for c in made])
@@ -78,7 +99,7 @@ class CoverTree:
 
     @staticmethod
     def is_leaf(node: Node) -> bool:
-        return len(node.points) <= LEAF or node.radius <= EPS
+        return len(node.points) <= LEAF or node.radius <= 2 * SLACK
 
 
 class Links:
@@ -133,11 +154,8 @@ def dual(queries: CoverTree, refs: CoverTree, links: Links, threshold: float) ->
         rs = [r] if r_leaf else refs.split(r)
         qc, qr = (q.centre[None], np.array([q.radius])) if q_leaf else (q.centres, q.radii)
         rc, rr = (r.centre[None], np.array([r.radius])) if r_leaf else (r.centres, r.radii)
-        rn = (rc * rc).sum(1)
         for a in range(0, len(qs), SPLIT):
-            part = qc[a : a + SPLIT]
-            square = (part * part).sum(1)[:, None] + rn[None] - 2 * part @ rc.T
-            near = np.sqrt(np.maximum(square, 0)) <= reach + qr[a : a + SPLIT, None] + rr[None] + 1e-6
+            near = _distances(qc[a : a + SPLIT], rc) <= reach + qr[a : a + SPLIT, None] + rr[None] + SLACK
             todo += [(qs[a + i], rs[j]) for i, j in zip(*(z.tolist() for z in np.nonzero(near)), strict=True)]
 
 
