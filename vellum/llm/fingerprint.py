@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 
 SAMPLES = 64
 GROUP = 8
+#: Numbers that travel with a document's words: tail, id, length and the digest in five parts of 13 hex digits.
+FACTS = 8
 RATES, COSTS = 256, 1024
 BLANK = r"[\x20\x09-\x0D]+"
 DOCS_PER_BUCKET, LEAST_BUCKETS, MOST_BUCKETS = 500, 16, 20_000
@@ -47,15 +49,17 @@ def _tables() -> tuple[Column, Column]:
 
 
 def draw(terms: DataFrame, samples: int) -> DataFrame:
-    """(bucket, rn, f, g): fingerprints of both texts of every document from terms(bucket, rn, h, w1, w2).
+    """(bucket, rn, a0.., f, g): facts and fingerprints of both texts of every document from terms(bucket, rn, h, w1, w2, v).
 
-    h hashes a word, w1 and w2 are the logarithms of its counts in the two texts, null where it isn't in one. Samples
+    h hashes a word, w1 and w2 are the logarithms of its counts in the two texts, null where it isn't in one; rows without
+    both hold fact number h of the document in v. Samples
     are drawn in groups of GROUP, so that the generated code of one aggregation stays small enough to be compiled, and
     in steps, so that no shared part is computed twice."""
     rates, costs = _tables()
     n = range(GROUP)
     rows = terms.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(samples // GROUP - 1))))
-    keys = ["bucket", "rn", "part", "w1", "w2"]
+    keys = ["bucket", "rn", "part", "w1", "w2", "slot", "v"]
+    rows = rows.withColumn("slot", F.when(F.col("w1").isNull() & F.col("w2").isNull(), F.col("h")))
     rows = rows.select(*keys, *[F.xxhash64("h", F.col("part") * GROUP + k).alias(f"z{k}") for k in n])
 
     def parts(k: int) -> list[Column]:
@@ -76,10 +80,12 @@ def draw(terms: DataFrame, samples: int) -> DataFrame:
 
     rows = rows.select(*keys, *[F.col(f"{x}{k}") for k in n for x in "rb"], *[cost(k) for k in n])
     value = lambda k, w: F.col(f"c{k}") - F.col(f"r{k}") * (F.floor(F.col(w) / F.col(f"r{k}") + F.col(f"b{k}")) - F.col(f"b{k}") + 1.0)
-    least = rows.groupBy("bucket", "rn", "part").agg(*[F.min(value(k, w)).alias(f"{w}_{k}") for w in ("w1", "w2") for k in n])
+    facts = [F.max(F.when(F.col("slot") == i, F.col("v"))).alias(f"a{i}") for i in range(FACTS)]
+    least = rows.groupBy("bucket", "rn", "part").agg(*[F.min(value(k, w)).alias(f"{w}_{k}") for w in ("w1", "w2") for k in n], *facts)
     code = lambda w: F.concat(*[_code(F.col(f"{w}_{k}")) for k in n])
-    whole = least.groupBy("bucket", "rn").agg(F.array_sort(F.collect_list(F.struct("part", code("w1").alias("f"), code("w2").alias("g")))).alias("p"))
-    return whole.select("bucket", "rn", F.array_join(F.col("p.f"), "").alias("f"), F.array_join(F.col("p.g"), "").alias("g"))
+    facts = [F.max(f"a{i}").alias(f"a{i}") for i in range(FACTS)]
+    whole = least.groupBy("bucket", "rn").agg(*facts, F.array_sort(F.collect_list(F.struct("part", code("w1").alias("f"), code("w2").alias("g")))).alias("p"))
+    return whole.select("bucket", "rn", *[f"a{i}" for i in range(FACTS)], F.array_join(F.col("p.f"), "").alias("f"), F.array_join(F.col("p.g"), "").alias("g"))
 
 
 def _code(value: Column) -> Column:
@@ -158,23 +164,23 @@ def fingerprints(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
     if samples % GROUP:
         raise ValueError(f"samples must be a multiple of {GROUP}")
     rows = with_next(docs).withColumn("new", F.when(F.col("tail") == 0, edited(F.col("text"), F.coalesce("after", "text"))))
-    about = rows.select(
-        "bucket", "rn", "tail", "id", F.char_length("text").cast("long").alias("n_chars"), F.sha2(F.encode("new", "UTF-8"), 256).alias("edited_sha256")
-    )
-    split = rows.select("bucket", "rn", words_of(F.col("text")).alias("a"), F.coalesce(words_of(F.col("new")), F.array().cast("array<string>")).alias("b"))
-    words = split.select("bucket", "rn", F.size("a").alias("n"), F.posexplode(F.concat("a", "b")).alias("at", "word")).filter("word <> ''")
-    terms = words.select("bucket", "rn", F.xxhash64("word").alias("h"), (F.col("at") < F.col("n")).cast("int").alias("first"))
-    terms = terms.groupBy("bucket", "rn", "h").agg(F.sum("first").alias("n1"), F.sum(1 - F.col("first")).alias("n2"))
+    digest = F.sha2(F.encode("new", "UTF-8"), 256)
+    numbers = [F.col("tail"), F.col("id"), F.char_length("text"), *[F.conv(F.substring(digest, 13 * i + 1, 13), 16, 10) for i in range(5)]]
+    facts = F.array(*[F.coalesce(n.cast("string"), F.lit("")) for n in numbers])
+    split = rows.select("bucket", "rn", words_of(F.col("text")).alias("a"), F.coalesce(words_of(F.col("new")), F.array().cast("array<string>")).alias("b"), facts.alias("facts"))
+    words = split.select("bucket", "rn", (F.size("a") + FACTS).alias("n"), F.posexplode(F.concat("facts", "a", "b")).alias("at", "word")).filter("word <> ''")
+    fact = F.col("at") < FACTS
+    terms = words.select(
+        "bucket", "rn", F.when(fact, F.col("at").cast("long")).otherwise(F.xxhash64("word")).alias("h"), F.when(fact, F.col("word").cast("long")).alias("v"),
+        (~fact & (F.col("at") < F.col("n"))).cast("int").alias("first"), (F.col("at") >= F.col("n")).cast("int").alias("second"),
+    )
+    terms = terms.groupBy("bucket", "rn", "h").agg(F.sum("first").alias("n1"), F.sum("second").alias("n2"), F.max("v").alias("v"))
     log_of = lambda c: F.when(F.col(c) > 0, F.log(F.col(c).cast("double")))
-    terms = terms.select("bucket", "rn", "h", log_of("n1").alias("w1"), log_of("n2").alias("w2"))
-    drawn = draw(terms, samples)
-    none = F.lit("ffff" * samples)
-    both = about.join(drawn.hint("shuffle_hash"), ["bucket", "rn"], "left")
-    both = both.select(*about.columns, F.coalesce("f", none).alias("fingerprint"), F.coalesce("g", none).alias("edited_fingerprint"))
-    after = F.lead("fingerprint").over(W.partitionBy("bucket").orderBy("rn"))
-    both = both.withColumn("next_fingerprint", F.coalesce(after, F.col("fingerprint"))).filter("tail = 0")
-    return both.select(
-        F.col("id").alias("doc_id"), "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
-        likeness(F.col("fingerprint"), F.col("edited_fingerprint"), samples).alias("near_edited"),
-        likeness(F.col("fingerprint"), F.col("next_fingerprint"), samples).alias("near_next"),
+    drawn = draw(terms.select("bucket", "rn", "h", "v", log_of("n1").alias("w1"), log_of("n2").alias("w2")), samples)
+    after = F.lead("f").over(W.partitionBy("bucket").orderBy("rn"))
+    drawn = drawn.withColumn("next", F.coalesce(after, F.col("f"))).filter("a0 = 0")
+    hex_ = F.concat(*[F.lower(F.lpad(F.hex(f"a{3 + i}"), 13 if i < 4 else 12, "0")) for i in range(5)])
+    return drawn.select(
+        F.col("a1").alias("doc_id"), F.col("a2").alias("n_chars"), hex_.alias("edited_sha256"), F.col("f").alias("fingerprint"), F.col("g").alias("edited_fingerprint"),
+        likeness(F.col("f"), F.col("g"), samples).alias("near_edited"), likeness(F.col("f"), F.col("next"), samples).alias("near_next"),
     )
