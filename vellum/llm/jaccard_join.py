@@ -43,7 +43,8 @@ U = np.uint64
 TINY = 2
 #: Signatures of one packed array at a receiver, and those that a task gathers before it sends.
 RANGE_SIGNATURES, HELD_SIGNATURES = 400_000, 2_000_000
-BLOCK = 1000
+#: Rows of one comparison, and members that a task takes together.
+BLOCK, TOGETHER = 4000, 2000
 
 
 @dataclass(frozen=True)
@@ -344,39 +345,66 @@ def apart(pairs: DataFrame, comps: DataFrame) -> DataFrame:
     return both.filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
 
 
-def across(lists: DataFrame, comps: DataFrame, info: DataFrame, s: Settings) -> DataFrame:
+def across(lists: DataFrame, stars: DataFrame, comps: DataFrame, info: DataFrame, s: Settings) -> DataFrame:
     """Pairs within a bucket, but in different components, that the bit maps don't rule out.
 
-    Pairs with a bucket's smallest member were compared before."""
-    rows = lists.withColumn("bucket", F.xxhash64("members")).select("bucket", F.explode(F.slice("members", 2, F.size("members") - 1)).alias("id"))
-    rows = rows.join(comps.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("c", F.coalesce("component", "id"))
-    # buckets whose other members are all in one component have nothing left to find
-    mixed = rows.groupBy("bucket").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count("*").alias("m")).filter("c0 <> c1")
-    rows = rows.join(mixed.select("bucket", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks")), "bucket")
-    own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("bucket", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "id", "c")
-    rows = rows.join(info.select(F.col("doc_id").alias("id"), "bits", F.col("n_shingles").alias("n")), "id")
-
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        one = pdf["x"].iloc[0] == pdf["y"].iloc[0]
-        a = pdf if one else pdf[pdf["own"] == pdf["x"]]
-        b = pdf if one else pdf[pdf["own"] == pdf["y"]]
-        if not len(a) or not len(b):
-            return pd.DataFrame({"a": pd.Series(dtype="int64"), "b": pd.Series(dtype="int64")})
-        width = min(len(x) for x in pdf["bits"])
-        ma, mb = (np.stack([folded(x, width) for x in z["bits"]]).view(U) for z in (a, b))
-        na, nb, ca, cb, ia, ib = (z[c].to_numpy() for c in ("n", "c", "id") for z in (a, b))
+    Buckets are gathered by their smallest member, so a document's bit map is sent once for all buckets that share it,
+    not once a bucket. Pairs with the smallest member itself were compared before. Documents around one smallest member
+    are compared in parts of BLOCK rows against all."""
+    rows = stars.select(F.col("a").alias("rep"), F.col("b").alias("id"))
+    rows = rows.join(comps.select(F.col("node").alias("id"), "component"), "id", "left").select("rep", "id", F.coalesce("component", "id").alias("c"))
+    mixed = rows.groupBy("rep").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count("*").alias("m")).filter("c0 <> c1")
+    mixed = stash(mixed.select("rep", F.ceil(F.col("m") / BLOCK).cast("int").alias("parts"), "m"), "mixed")
+    total = mixed.agg(F.coalesce(F.sum("m"), F.lit(0)).alias("m")).first()["m"]
+    together = int(max(8, -(-total // TOGETHER)))
+    part = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")
+    place = F.pmod(F.xxhash64("rep", "part"), F.lit(together)).cast("int").alias("g")
+    members = rows.join(mixed, "rep").join(info.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "bits"), "id")
+    members = members.select("rep", "id", "c", "n", "bits", "parts", part).select("*", place)
+    some = lists.filter(F.size("members") > 2).select(F.col("members")[0].alias("rep"), "members").join(mixed, "rep")
+    some = some.select("rep", "members", part).select("*", place)
+
+    def compare(_: tuple, around: pd.DataFrame, here: pd.DataFrame) -> pd.DataFrame:
         found: list[np.ndarray] = []
-        for i in range(len(a)):
-            differing = np.bitwise_count(mb ^ ma[i]).sum(1).astype(np.int64)
-            ok = may_link(int(na[i]), nb.astype(np.int64), differing, s.above) & (cb != ca[i])
-            ok &= (ib > ia[i]) if one else True
-            found.append(np.stack([np.full(int(ok.sum()), ia[i]), ib[ok]]))
-        got = np.concatenate(found, axis=1)
+        buckets_of = {k: v["members"].tolist() for k, v in here.groupby(["rep", "part"], sort=False)}
+        for key, own in around.groupby(["rep", "part"], sort=False):
+            if key in buckets_of:
+                found += _crossing(own, buckets_of[key], int(key[1]), s.above)
+        got = np.concatenate(found, axis=1) if found else np.zeros((2, 0), dtype=np.int64)
         return pd.DataFrame({"a": got.min(0), "b": got.max(0)})
 
-    return rows.groupBy("bucket", "x", "y").applyInPandas(compare, "a long, b long").distinct()
+    return members.groupBy("g").cogroup(some.groupBy("g")).applyInPandas(compare, "a long, b long").distinct()
+
+
+def _crossing(own: pd.DataFrame, lists: list, part: int, above: int) -> list[np.ndarray]:
+    """Plausible pairs across components, the first of this part, among documents that share a bucket of one smallest member."""
+    own = own.sort_values("id", kind="stable")
+    ids, comp, sizes = own["id"].to_numpy(), own["c"].to_numpy(), own["n"].to_numpy().astype(np.int64)
+    mine = np.flatnonzero(np.arange(len(ids)) // BLOCK == part)
+    if not len(mine):
+        return []
+    together = np.zeros((len(mine), len(ids)), dtype=bool)
+    for members in lists:
+        at = np.searchsorted(ids, members[1:])
+        inside = at[(at >= mine[0]) & (at <= mine[-1])] - mine[0]
+        if len(inside) and (comp[at] != comp[at[0]]).any():
+            together[np.ix_(inside, at)] = True
+    i, j = np.nonzero(together)
+    i = mine[i]
+    keep = (i < j) & (comp[i] != comp[j]) & (100 * np.minimum(sizes[i], sizes[j]) >= above * np.maximum(sizes[i], sizes[j]))
+    i, j = i[keep], j[keep]
+    if not len(i):
+        return []
+    width = min(len(b) for b in own["bits"])
+    maps = np.stack([folded(b, width) for b in own["bits"]])
+    maps = maps.view(U) if width % 8 == 0 else maps
+    out = []
+    for a in range(0, len(i), 4096):
+        x, y = i[a : a + 4096], j[a : a + 4096]
+        differing = np.bitwise_count(maps[x] ^ maps[y]).sum(1).astype(np.int64)
+        ok = may_link(sizes[x], sizes[y], differing, above)
+        out.append(np.stack([ids[x[ok]], ids[y[ok]]]))
+    return out
 
 
 def groups(docs: DataFrame, settings: Settings | None = None) -> DataFrame:
@@ -393,12 +421,13 @@ def groups(docs: DataFrame, settings: Settings | None = None) -> DataFrame:
     lists = stash(buckets(packed_signatures(docs, ranges, s)).distinct(), "buckets")
     least = F.col("members")[0]
     stars = lists.select(least.alias("a"), F.explode(F.slice("members", 2, F.size("members") - 1)).alias("b")).distinct()
-    stars = stash(plausible(stars, real, s), "stars")
+    every_star = stash(stars, "all_stars")
+    stars = stash(plausible(every_star, real, s), "stars")
     # one comparison for each document first; then only for pairs that are still apart
     nearest = stars.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
     links = stash(verified(nearest, docs, s).unionByName(copies), "links")
     comps = components(links)
-    for pairs in (lambda c: apart(stars.join(nearest, ["a", "b"], "left_anti"), c), lambda c: across(lists, c, real, s)):
+    for pairs in (lambda c: apart(stars.join(nearest, ["a", "b"], "left_anti"), c), lambda c: across(lists, every_star, c, real, s)):
         more = stash(pairs(comps), "pairs")
         if more.limit(1).count():
             more = stash(verified(more, docs, s), "more_links")
