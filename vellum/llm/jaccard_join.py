@@ -45,6 +45,8 @@ TINY = 2
 RANGE_SIGNATURES, HELD_SIGNATURES = 400_000, 2_000_000
 #: Rows of one comparison, and members that a task takes together.
 BLOCK, TOGETHER = 4000, 2000
+#: Cells of the table of pairs that one comparison fills at a time.
+CELLS = 500_000
 
 
 @dataclass(frozen=True)
@@ -252,14 +254,15 @@ def buckets(packed: DataFrame) -> DataFrame:
     def gather(pdf: pd.DataFrame) -> pd.DataFrame:
         sig = np.concatenate([unpack_planes(b) for b in pdf["sigs"]])
         ids = np.concatenate([unpack_planes(b) for b in pdf["ids"]]).view(np.int64)
-        order = np.argsort(sig, kind="stable")
+        order = np.lexsort((ids, sig))
         sig, ids = sig[order], ids[order]
+        fresh = np.concatenate([[True], (sig[1:] != sig[:-1]) | (ids[1:] != ids[:-1])])
+        sig, ids = sig[fresh], ids[fresh]
         edge = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1], [True]]))
         found: dict[bytes, np.ndarray] = {}
         for i in np.flatnonzero(np.diff(edge) > 1):
-            group = np.unique(ids[edge[i] : edge[i + 1]])
-            if len(group) > 1:
-                found[group.tobytes() if len(group) < 64 else hashlib.blake2b(group.tobytes()).digest()] = group
+            group = ids[edge[i] : edge[i + 1]]
+            found[group.tobytes() if len(group) < 64 else hashlib.blake2b(group.tobytes()).digest()] = group
         return pd.DataFrame({"members": list(found.values())})
 
     return packed.groupBy("part").applyInPandas(gather, "members array<long>")
@@ -383,27 +386,30 @@ def _crossing(own: pd.DataFrame, lists: list, part: int, above: int) -> list[np.
     mine = np.flatnonzero(np.arange(len(ids)) // BLOCK == part)
     if not len(mine):
         return []
-    together = np.zeros((len(mine), len(ids)), dtype=bool)
-    for members in lists:
-        at = np.searchsorted(ids, members[1:])
-        inside = at[(at >= mine[0]) & (at <= mine[-1])] - mine[0]
-        if len(inside) and (comp[at] != comp[at[0]]).any():
-            together[np.ix_(inside, at)] = True
-    i, j = np.nonzero(together)
-    i = mine[i]
-    keep = (i < j) & (comp[i] != comp[j]) & (100 * np.minimum(sizes[i], sizes[j]) >= above * np.maximum(sizes[i], sizes[j]))
-    i, j = i[keep], j[keep]
-    if not len(i):
+    places = [np.searchsorted(ids, m[1:]) for m in lists]
+    places = [at for at in places if (comp[at] != comp[at[0]]).any()]
+    if not places:
         return []
     width = min(len(b) for b in own["bits"])
-    maps = np.stack([folded(b, width) for b in own["bits"]])
-    maps = maps.view(U) if width % 8 == 0 else maps
+    maps = np.stack([folded(b, width) for b in own["bits"]]).view(U)
     out = []
-    for a in range(0, len(i), 4096):
-        x, y = i[a : a + 4096], j[a : a + 4096]
-        differing = np.bitwise_count(maps[x] ^ maps[y]).sum(1).astype(np.int64)
-        ok = may_link(sizes[x], sizes[y], differing, above)
-        out.append(np.stack([ids[x[ok]], ids[y[ok]]]))
+    step = max(1, CELLS // len(ids))
+    for first in range(int(mine[0]), int(mine[-1]) + 1, step):
+        end = min(first + step, int(mine[-1]) + 1)
+        together = np.zeros((end - first, len(ids)), dtype=bool)
+        for at in places:
+            a, b = np.searchsorted(at, (first, end))
+            if b > a:
+                together[np.ix_(at[a:b] - first, at)] = True
+        i, j = np.nonzero(together)
+        i = i + first
+        keep = (i < j) & (comp[i] != comp[j]) & (100 * np.minimum(sizes[i], sizes[j]) >= above * np.maximum(sizes[i], sizes[j]))
+        i, j = i[keep], j[keep]
+        for a in range(0, len(i), 4096):
+            x, y = i[a : a + 4096], j[a : a + 4096]
+            differing = np.bitwise_count(maps[x] ^ maps[y]).sum(1).astype(np.int64)
+            ok = may_link(sizes[x], sizes[y], differing, above)
+            out.append(np.stack([ids[x[ok]], ids[y[ok]]]))
     return out
 
 
