@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vellum.functions import lexicons as L
-from vellum.operators import classify, names, pii
+from vellum.operators import classify, dates, names, pii, redact, search
 from vellum.plans import analytics, detect
 from vellum.plans import views as V
 from vellum.plans.dialect import Duck
@@ -101,6 +101,71 @@ def address_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "entity", classify.address_match(F.lower("entity"), SUBJECT.address).alias("home"))
 
 
+def fn12_document_date(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return planted(spark, sf_dir).select("doc_id", dates.document_date(F.col("text")).alias("dated"))
+
+
+def cls04_page_staff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = planted(spark, sf_dir).withColumn("page", F.concat(F.lit("Practitioner: Dr "), "forename", F.lit(" "), "surname", F.lit("\nFiled by: "), "surname"))
+    return rows.select("doc_id", F.array_join(classify.page_staff(F.col("page")), "|").alias("staff"))
+
+
+def cls05_label_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = planted(spark, sf_dir).withColumn("page", F.concat(F.lit("Record author: "), F.repeat(F.lit("x"), (F.col("doc_id") % 120).cast("int")), F.lit(" "), "surname"))
+    return rows.select("doc_id", classify.in_staff_label(F.col("page"), F.char_length("page") - F.char_length("surname")).alias("labelled"))
+
+
+def red01_redacted_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages with everything that detection found blanked out."""
+    return planted(spark, sf_dir).select("doc_id", redact.blank_out(F.col("text"), F.concat(
+        F.transform(names.detect_names(F.col("text")), lambda m: F.struct(m["s"].alias("s"), m["e"].alias("e"))),
+        F.transform(pii.detect_patterns(F.col("text")), lambda m: F.struct(m["s"].alias("s"), m["e"].alias("e"))),
+    )).alias("redacted"))
+
+
+QUESTIONS = (
+    search.Question("q1", "Any secrets?", ("secret", "token"), ("password",)),
+    search.Question("q2", "Common words", ("the", "and", "that", "with"), ("http",)),
+)
+
+
+def _doc_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return docs.select(F.col("doc_id").alias("file_seq"), F.concat(F.lit("doc"), F.col("doc_id").cast("string")).alias("source_file"), F.lit(0).alias("page_num"), "text")
+
+
+def txt01_keyword_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = search.keyword_scan(_doc_pages(spark, sf_dir), QUESTIONS)
+    shown = F.array_join(F.transform("matches", lambda m: F.concat_ws("@", m["keyword"], m["source_file"])), ",")
+    return out.select("question_id", F.array_join("matched_keywords", ",").alias("keywords"), "match_count", shown.alias("matches"))
+
+
+def txt02_best_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.evidence(_doc_pages(spark, sf_dir), QUESTIONS, blank=r"\n")
+
+
+def snk04_bundle_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    register(spark, sf_dir)
+    files = spark.table("orders").groupBy("o_custkey").agg(
+        F.array_sort(F.collect_list(F.struct(F.col("o_orderkey").alias("file"), F.col("o_totalprice").cast("long").alias("size")))).alias("files")
+    )
+    return files.select("o_custkey", F.array_join(redact.split_parts(F.col("files"), 200_000), ",").alias("parts"))
+
+
+def fn23_wrap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", F.array_join(redact.wrap(F.col("text"), 60), "\n").alias("wrapped"))
+
+
+def src03_text_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts as pages, with their page texts rebuilt from one span per line."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line_no", "text"))
+    spans = docs.filter(F.trim("text") != "").select(
+        F.col("doc_id").cast("string").alias("doc_id"), F.lit("documents").alias("source_file"), "text", F.lit(0).alias("page_num"), F.lit(72.0).alias("x0"),
+        (F.col("line_no") * 100.0 + 10).alias("y0"), F.lit(400.0).alias("x1"), (F.col("line_no") * 100.0 + 22).alias("y1"), F.lit(0).alias("block_no"), "line_no", F.lit(0).alias("span_no"),
+    )
+    return detect.page_texts(spans).select("doc_id", F.size("spans").alias("lines"), F.char_length("page_text").alias("chars"))
+
+
 def _number_text(d) -> str:
     return "regexp_replace(m, '[^0-9]', '', 'g')"
 
@@ -161,7 +226,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "cls01_subject": subject_rows,
     "cls02_address": address_rows,
     "cls03_staff": staff_rows,
+    "cls04_page_staff": cls04_page_staff,
+    "cls05_label_context": cls05_label_context,
     "cls12_detection": cls12_detection,
+    "fn12_document_date": fn12_document_date,
+    "fn23_wrap": fn23_wrap,
+    "red01_redacted_text": red01_redacted_text,
+    "snk04_bundle_parts": snk04_bundle_parts,
+    "src03_text_pages": src03_text_pages,
+    "txt01_keyword_scan": txt01_keyword_scan,
+    "txt02_best_evidence": txt02_best_evidence,
     **{n: over_planted(lambda t, k=n.split("_")[1]: names.layouts(t, L.DEFAULT_LEXICON)[k]) for n in _name_checks()},
     **{n: by_sql(n) for n in analytics.Q},
 }
@@ -169,7 +243,23 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 _DIGITS = " + ".join(f"CAST(substr({_number_text(None)}, {i + 1}, 1) AS INT) * {10 - i}" for i in range(9))
 _CHECK = f"CASE 11 - ({_DIGITS}) % 11 WHEN 11 THEN 0 ELSE 11 - ({_DIGITS}) % 11 END = CAST(substr({_number_text(None)}, 10, 1) AS INT)"
 
+def _date_check() -> str:
+    """Check SQL: the first valid date of each layout, layouts in order."""
+    d, firsts = Duck(), []
+    months = "['jan', 'feb', 'mar', 'apr', 'may', 'jun', 'jul', 'aug', 'sep', 'oct', 'nov', 'dec']"
+    for i, p in enumerate(L.DATES):
+        g = lambda n, p=p: f"regexp_extract(m, {d.re(p)}, {n})"
+        day, month = (g(2), g(1)) if i == 2 else (g(1), g(2))
+        number = month if i == 3 else f"CAST(list_position({months}, substr(lower({month}), 1, 3)) AS VARCHAR)"
+        iso = f"try_cast({g(3)} || '-' || lpad({number}, 2, '0') || '-' || lpad({day}, 2, '0') AS DATE)"
+        firsts.append(f"list_filter(list_transform(regexp_extract_all(substr(text, 1, 2000), {d.re(p)}), lambda m: {iso}), lambda x: x IS NOT NULL AND year(x) BETWEEN 1990 AND 2040)[1]")
+    return f"WITH {V.planted(d)} SELECT doc_id, COALESCE({', '.join(firsts)}) AS dated FROM v_planted"
+
+
 ORACLES: dict[str, str] = {
+    "fn12_document_date": _date_check(),
+    "cls04_page_staff": f"WITH {V.planted(Duck())} SELECT doc_id, lower('dr ' || forename || ' ' || surname || '|' || surname || '|' || forename || ' ' || surname) AS staff FROM v_planted",
+    "cls05_label_context": "SELECT doc_id, doc_id % 120 + 1 + 15 <= 90 AS labelled FROM documents",
     "emails_by_address": rf"""WITH f AS (SELECT doc_id, unnest(regexp_extract_all(text, '{L.EMAIL}')) AS m FROM documents),
 k AS (SELECT DISTINCT doc_id, lower(m) AS email FROM f WHERE NOT regexp_matches(lower(m), '[@.]nhs\.(net|uk)$'))
 SELECT email, 'auto_redact' AS status, count(*) AS n_docs, min(doc_id) AS first_doc FROM k GROUP BY email""",
