@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -20,6 +20,12 @@ class Question:
     hints: Sequence[str] = ()
 
 
+def _hits(text: Column, ask: int, keyword: str, most: int) -> Column:
+    """The first hits of a keyword in a text, marked with its number."""
+    found = F.slice(find_all(text, "(?i)\\Q" + keyword.replace("\\E", "\\E\\\\E\\Q") + "\\E"), 1, most)
+    return F.transform(found, lambda m: F.struct(F.lit(ask).alias("ask"), m["s"].alias("s"), m["e"].alias("e")))
+
+
 def keyword_scan(pages: DataFrame, questions: Sequence[Question], per_keyword: int = 3, enough: int = 10, around: int = 120) -> DataFrame:
     """(question_id, question_text, matched_keywords, match_count, matches) of pages(file_seq, source_file, page_num, text).
 
@@ -28,13 +34,7 @@ def keyword_scan(pages: DataFrame, questions: Sequence[Question], per_keyword: i
     asks = [(q.id, q.text, i, k) for q in questions for i, k in enumerate(q.keywords) if k]
     text = F.coalesce(F.col("text"), F.lit(""))
     # a page can't give more hits of a keyword than count
-    hits = [
-        F.transform(
-            F.slice(find_all(text, "(?i)\\Q" + k.replace("\\E", "\\E\\\\E\\Q") + "\\E"), 1, per_keyword),
-            lambda m, n=n: F.struct(F.lit(n).alias("ask"), m["s"].alias("s"), m["e"].alias("e")),
-        )
-        for n, (*_, k) in enumerate(asks)
-    ]
+    hits = [_hits(text, n, k, per_keyword) for n, (*_, k) in enumerate(asks)]
     if not hits:
         hits = [F.array().cast("array<struct<ask:int,s:int,e:int>>")]
     rows = pages.select("file_seq", "source_file", "page_num", text.alias("text"), F.explode(F.flatten(F.array(*hits))).alias("h")).select("*", "h.*")
