@@ -30,6 +30,8 @@ from vellum.llm.common import components, join_with_hot_keys, stash
 
 THRESHOLD = 0.93
 CELL, MOST_PIVOTS, LEAF, SPLIT = 10_000, 256, 24, 1024
+#: Pairs of points compared at a time.
+PAIRS = 100_000
 EPS = 1e-9
 #: More than matrix products lose in a distance; and centres picked at a time.
 SLACK, BLOCK = 1e-6, 256
@@ -120,6 +122,15 @@ class Links:
         if a != b:
             self.parent[max(a, b)] = min(a, b)
 
+    def pairs(self, q: np.ndarray, r: np.ndarray) -> None:
+        np.add.at(self.count, q, self.weight[r])
+        root = np.array(self.parent)
+        while (root != root[root]).any():
+            root = root[root]
+        apart = np.unique(np.stack([root[q], root[r]]), axis=1)
+        for i, j in apart[:, apart[0] != apart[1]].T.tolist():
+            self.union(i, j)
+
     def all_of(self, q: np.ndarray, r: np.ndarray) -> None:
         self.count[q] += int(self.weight[r].sum())
         for i in r[1:].tolist():
@@ -143,22 +154,48 @@ def dual(queries: CoverTree, refs: CoverTree, links: Links, threshold: float) ->
         q_leaf, r_leaf = queries.is_leaf(q), refs.is_leaf(r)
         if q_leaf and r_leaf:
             hit = x[q.points] @ x[r.points].T >= threshold
-            for i, row in zip(q.points.tolist(), hit, strict=True):
-                if row.any():
-                    found = r.points[row]
-                    links.count[i] += int(links.weight[found].sum())
-                    for j in found.tolist():
-                        links.union(i, j)
+            links.count[q.points] += hit @ links.weight[r.points]
+            for i in np.flatnonzero(hit.any(1)).tolist():
+                for j in r.points[hit[i]].tolist():
+                    links.union(int(q.points[i]), j)
             continue
         qs = [q] if q_leaf else queries.split(q)
         rs = [r] if r_leaf else refs.split(r)
         qc, qr = (q.centre[None], np.array([q.radius])) if q_leaf else (q.centres, q.radii)
         rc, rr = (r.centre[None], np.array([r.radius])) if r_leaf else (r.centres, r.radii)
+        q_leaves, r_leaves = np.array([queries.is_leaf(c) for c in qs]), np.array([refs.is_leaf(c) for c in rs])
         for a in range(0, len(qs), SPLIT):
-            near = _distances(qc[a : a + SPLIT], rc) <= reach + qr[a : a + SPLIT, None] + rr[None] + SLACK
+            part = qc[a : a + SPLIT]
+            near = _distances(part, rc) <= reach + qr[a : a + SPLIT, None] + rr[None] + SLACK
+            # pairs of leaves, by far the most where data has few clusters, are decided together
+            leaves = near & q_leaves[a : a + SPLIT, None] & r_leaves[None]
+            i, j = np.nonzero(leaves)
+            _leaf_pairs(qs, rs, a + i, j, x, links, threshold)
+            near &= ~leaves
             todo += [(qs[a + i], rs[j]) for i, j in zip(*(z.tolist() for z in np.nonzero(near)), strict=True)]
 
 
+def _leaf_pairs(qs: list[Node], rs: list[Node], i: np.ndarray, j: np.ndarray, x: np.ndarray, links: Links, threshold: float) -> None:
+    """Compare the points of leaf qs[i] with those of leaf rs[j], for all given pairs."""
+    if not len(i):
+        return
+    (q_points, q_n, q_at), (r_points, r_n, r_at) = (
+        (np.concatenate([c.points for c in cs]), n, np.cumsum(n) - n) for cs, n in ((qs, np.array([len(c.points) for c in qs])), (rs, np.array([len(c.points) for c in rs])))
+    )
+    total = np.cumsum(q_n[i] * r_n[j])
+    a = 0
+    while a < len(i):
+        b = max(a + 1, int(np.searchsorted(total, (total[a - 1] if a else 0) + PAIRS)))
+        qi, rj = i[a:b], j[a:b]
+        n = q_n[qi] * r_n[rj]
+        pair = np.repeat(np.arange(len(qi)), n)
+        off = np.arange(len(pair)) - np.repeat(np.cumsum(n) - n, n)
+        p, q = q_points[q_at[qi][pair] + off // r_n[rj][pair]], r_points[r_at[rj][pair] + off % r_n[rj][pair]]
+        hit = np.einsum("ij,ij->i", x[p], x[q]) >= threshold
+        links.pairs(p[hit], q[hit])
+        a = b
+
+
 def joined(pdf: pd.DataFrame, threshold: float) -> pd.DataFrame:
     """(rep, n_links, other): of each home vector the weight of its links and an id of its local component."""
     x = np.stack(pdf["unit"].to_numpy()).astype(np.float64)
