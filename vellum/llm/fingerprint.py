@@ -57,9 +57,11 @@ def draw(terms: DataFrame, samples: int) -> DataFrame:
     in steps, so that no shared part is computed twice."""
     rates, costs = _tables()
     n = range(GROUP)
-    rows = terms.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(samples // GROUP - 1))))
-    keys = ["bucket", "rn", "part", "w1", "w2", "slot", "v"]
-    rows = rows.withColumn("slot", F.when(F.col("w1").isNull() & F.col("w2").isNull(), F.col("h")))
+    parts_of = max(samples // GROUP, FACTS)
+    rows = terms.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts_of - 1))))
+    keys = ["bucket", "rn", "part", "w1", "w2", "v"]
+    # fact i travels with part i: one plain maximum beside the minima
+    rows = rows.withColumn("v", F.when(F.col("w1").isNull() & F.col("w2").isNull() & (F.col("h") == F.col("part")), F.col("v")))
     rows = rows.select(*keys, *[F.xxhash64("h", F.col("part") * GROUP + k).alias(f"z{k}") for k in n])
 
     def parts(k: int) -> list[Column]:
@@ -80,11 +82,10 @@ def draw(terms: DataFrame, samples: int) -> DataFrame:
 
     rows = rows.select(*keys, *[F.col(f"{x}{k}") for k in n for x in "rb"], *[cost(k) for k in n])
     value = lambda k, w: F.col(f"c{k}") - F.col(f"r{k}") * (F.floor(F.col(w) / F.col(f"r{k}") + F.col(f"b{k}")) - F.col(f"b{k}") + 1.0)
-    facts = [F.max(F.when(F.col("slot") == i, F.col("v"))).alias(f"a{i}") for i in range(FACTS)]
-    least = rows.groupBy("bucket", "rn", "part").agg(*[F.min(value(k, w)).alias(f"{w}_{k}") for w in ("w1", "w2") for k in n], *facts)
+    least = rows.groupBy("bucket", "rn", "part").agg(*[F.min(value(k, w)).alias(f"{w}_{k}") for w in ("w1", "w2") for k in n], F.max("v").alias("v"))
     code = lambda w: F.concat(*[_code(F.col(f"{w}_{k}")) for k in n])
-    facts = [F.max(f"a{i}").alias(f"a{i}") for i in range(FACTS)]
-    whole = least.groupBy("bucket", "rn").agg(*facts, F.array_sort(F.collect_list(F.struct("part", code("w1").alias("f"), code("w2").alias("g")))).alias("p"))
+    facts = [F.max(F.when(F.col("part") == i, F.col("v"))).alias(f"a{i}") for i in range(FACTS)]
+    whole = least.groupBy("bucket", "rn").agg(*facts, F.array_sort(F.collect_list(F.when(F.col("part") < samples // GROUP, F.struct("part", code("w1").alias("f"), code("w2").alias("g"))))).alias("p"))
     return whole.select("bucket", "rn", *[f"a{i}" for i in range(FACTS)], F.array_join(F.col("p.f"), "").alias("f"), F.array_join(F.col("p.g"), "").alias("g"))
 
 
