@@ -281,17 +281,19 @@ def full_sets(docs: DataFrame, ids: DataFrame, s: Settings) -> DataFrame:
 
 
 def bit_map(x: np.ndarray) -> bytes:
-    """One bit per feature in a map of at least two bits a feature, a power of two."""
+    """Parities of the features per cell, at least two cells a feature, a power of two.
+
+    Two maps differ only in cells with an odd number of differing features: what sets share never hides a difference."""
     size = max(64, 1 << (2 * len(x) - 1).bit_length())
-    out = np.zeros(size, dtype=np.uint8)
-    out[(mix(x ^ U(0x2545F4914F6CDD1D)) & U(size - 1)).astype(np.int64)] = 1
-    return np.packbits(out, bitorder="little").tobytes()
+    cell = (mix(x ^ U(0x2545F4914F6CDD1D)) & U(size - 1)).astype(np.int64)
+    return np.packbits((np.bincount(cell, minlength=size) & 1).astype(np.uint8), bitorder="little").tobytes()
 
 
 def folded(bits, size: int) -> np.ndarray:
+    """The map of half, a quarter ... as many cells."""
     raw = np.frombuffer(bits, dtype=np.uint8)
     while len(raw) > size:
-        raw = raw[: len(raw) // 2] | raw[len(raw) // 2 :]
+        raw = raw[: len(raw) // 2] ^ raw[len(raw) // 2 :]
     return raw
 
 
@@ -390,8 +392,9 @@ def _crossing(own: pd.DataFrame, lists: list, part: int, above: int) -> list[np.
     places = [at for at in places if (comp[at] != comp[at[0]]).any()]
     if not places:
         return []
-    width = min(len(b) for b in own["bits"])
-    maps = np.stack([folded(b, width) for b in own["bits"]]).view(U)
+    widths = np.array([len(b) for b in own["bits"]])
+    # a pair is compared at the width of its smaller map
+    maps = {int(w): np.stack([folded(b, int(w)) if len(b) >= w else np.zeros(int(w), np.uint8) for b in own["bits"]]).view(U) for w in np.unique(widths)}
     out = []
     step = max(1, CELLS // len(ids))
     for first in range(int(mine[0]), int(mine[-1]) + 1, step):
@@ -407,9 +410,12 @@ def _crossing(own: pd.DataFrame, lists: list, part: int, above: int) -> list[np.
         i, j = i[keep], j[keep]
         for a in range(0, len(i), 4096):
             x, y = i[a : a + 4096], j[a : a + 4096]
-            differing = np.bitwise_count(maps[x] ^ maps[y]).sum(1).astype(np.int64)
-            ok = may_link(sizes[x], sizes[y], differing, above)
-            out.append(np.stack([ids[x[ok]], ids[y[ok]]]))
+            level = np.minimum(widths[x], widths[y])
+            for w in np.unique(level).tolist():
+                p, q = x[level == w], y[level == w]
+                differing = np.bitwise_count(maps[w][p] ^ maps[w][q]).sum(1).astype(np.int64)
+                ok = may_link(sizes[p], sizes[q], differing, above)
+                out.append(np.stack([ids[p[ok]], ids[q[ok]]]))
     return out
 
 
