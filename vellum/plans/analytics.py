@@ -629,3 +629,196 @@ SELECT target, {d.array_sorted_text("username")} AS viewers FROM h CROSS JOIN m
 def _(d):
     return f"""WITH {V.audit(d)}, r AS (SELECT {d.seconds("ts")} AS t, {d.seconds("ts")} - LAG({d.seconds("ts")}) OVER (ORDER BY ts, event_id) AS gap FROM v_audit WHERE action = 'error' AND user_id = 5)
 SELECT t, (gap IS NULL OR gap >= 86400) AS due FROM r"""
+
+
+# ---- more of the same families ---------------------------------------------------------------------------------------
+
+
+@query("fn08_without_title")
+def _(d):
+    t = d.pick(["Dr. ", "Mrs ", "", "Nurse "], "doc_id % 4")
+    titles = "|".join(L.TITLES)
+    return f"""WITH {V.planted(d)}, n AS (SELECT doc_id, lower(CONCAT({t}, forename, ' ', surname)) AS name FROM v_planted)
+SELECT doc_id, {d.rx_replace("name", f"^({titles})[.]* ", "")} AS bare FROM n"""
+
+
+@query("fn13_best_date")
+def _(d):
+    f = d.pick(["2024-02-30_a.pdf", "2023-11-05_b.pdf", "c.pdf"], "doc_id % 3")
+    by_text = d.try_date(d.rx("text", "([0-9]{4}-[0-9]{2}-[0-9]{2})", 1))
+    return f"""WITH p AS (SELECT doc_id, {f} AS name, CASE WHEN doc_id % 2 = 0 THEN CONCAT('on 2020-01-', CAST(10 + doc_id % 19 AS VARCHAR(20))) ELSE 'no date' END AS text FROM documents)
+SELECT doc_id, COALESCE({d.try_date(d.rx("name", "^([0-9]{4}-[0-9]{2}-[0-9]{2})[_ ]", 1))}, {by_text}) AS dated FROM p"""
+
+
+@query("fn20_newer_version")
+def _(d):
+    v = d.pick(["v2.6.1", "2.10.0", "V2.6", "3.0-beta", "2.6.1"], "p_partkey % 5")
+    n = lambda i: f"COALESCE(TRY_CAST({d.rx('v', f'^[vV]?(?:[0-9]+[.-]){{{i}}}([0-9]+)', 1)} AS INT), 0)"
+    return f"""WITH p AS (SELECT p_partkey, {v} AS v FROM part) SELECT p_partkey, v, ({n(0)} * 1000000 + {n(1)} * 1000 + {n(2)} > 2006001) AS newer FROM p"""
+
+
+@query("fn27_config_merge")
+def _(d):
+    return """WITH saved AS (SELECT DISTINCT CASE c_custkey % 4 WHEN 0 THEN 'retention_days' WHEN 1 THEN 'practice_name' WHEN 2 THEN 'unknown' ELSE 'backup_dir' END AS k FROM customer),
+defaults AS (SELECT 'retention_days' AS k, '180' AS v UNION ALL SELECT 'practice_name', 'My Surgery' UNION ALL SELECT 'idle_timeout_minutes', '30')
+SELECT d.k, COALESCE(trim(CASE WHEN s.k = 'practice_name' THEN '  Oak House ' WHEN s.k IS NOT NULL THEN '7' END), d.v) AS v FROM defaults d LEFT JOIN saved s ON s.k = d.k"""
+
+
+@query("det_k1_risk_flags")
+def _(d):
+    words = [("abuse", "safeguarding"), ("neglect", "safeguarding"), ("HIV", "health")]
+    hit = lambda w: d.rx_like("text", rf"(?i)\b{w}\b")
+    parts = ", ".join(f"CASE WHEN {hit(w)} THEN '{w}:{c},' ELSE '' END" for w, c in words)
+    return f"WITH {V.planted(d)} SELECT doc_id, CONCAT({parts}) AS flags FROM v_planted"
+
+
+@query("cls06_status_decision")
+def _(d):
+    return f"""WITH {V.candidate(d)} SELECT case_id, seq, CASE WHEN supplier % 11 = 0 THEN 'excluded_subject' WHEN supplier % 7 = 0 THEN 'excluded_staff' WHEN confidence >= 0.8 THEN 'auto_redact' ELSE 'flagged' END AS status FROM v_candidate"""
+
+
+@query("cls08_scanned_cap")
+def _(d):
+    return f"WITH {V.candidate(d)} SELECT case_id, seq, CASE WHEN supplier % 2 = 0 THEN least(confidence, 0.85) ELSE confidence END AS confidence FROM v_candidate"
+
+
+@query("cls09_unscreened_pages")
+def _(d):
+    return f"WITH {V.candidate(d)} SELECT DISTINCT source_file, page_num FROM v_candidate WHERE page_num NOT IN (SELECT page_num FROM v_candidate WHERE supplier % 9 = 0)"
+
+
+@query("cls10_enabled_categories")
+def _(d):
+    return f"WITH {V.candidate(d)} SELECT case_id, seq FROM v_candidate WHERE category IN ('person_name', 'email') OR status IN ('excluded_subject', 'excluded_staff')"
+
+
+@query("jn01_offsets_to_spans")
+def _(d):
+    return f"""WITH {V.planted(d)}, w AS (SELECT doc_id, surname, text, instr(text, surname) AS s FROM v_planted), m AS (SELECT doc_id, s, s + length(surname) AS e FROM w WHERE s > 0),
+sp AS (SELECT doc_id, 1 AS n, 1 AS a, 21 AS b FROM v_planted UNION ALL SELECT doc_id, 2, 21, 41 FROM v_planted UNION ALL SELECT doc_id, 3, 41, 400 FROM v_planted)
+SELECT m.doc_id, sp.n FROM m JOIN sp ON sp.doc_id = m.doc_id AND sp.a < m.e AND sp.b > m.s"""
+
+
+@query("jn12_months_received_completed")
+def _(d):
+    return f"""WITH {V.case(d)}, r AS (SELECT DISTINCT {d.month("received")} AS m FROM v_case WHERE id % 3 = 0), c AS (SELECT DISTINCT {d.month("completed")} AS m FROM v_case WHERE status = 'complete' AND id % 5 = 0)
+SELECT COALESCE(r.m, c.m) AS month, r.m IS NOT NULL AS received, c.m IS NOT NULL AS completed FROM r FULL OUTER JOIN c ON r.m = c.m"""
+
+
+@query("win02_three_hits")
+def _(d):
+    return f"""WITH {V.candidate(d)}, r AS (SELECT category, text, source_file, page_num, case_id, seq, ROW_NUMBER() OVER (PARTITION BY category, text ORDER BY source_file, page_num, case_id, seq) AS n FROM v_candidate)
+SELECT category, text, n, source_file, page_num, case_id, seq FROM r WHERE n <= 3"""
+
+
+@query("win03_enough_keywords")
+def _(d):
+    return f"""WITH {V.candidate(d)}, k AS (SELECT category AS q, text AS kw, least(COUNT(*), 3) AS hits FROM v_candidate GROUP BY 1, 2),
+r AS (SELECT *, COALESCE(SUM(hits) OVER (PARTITION BY q ORDER BY kw ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS earlier FROM k)
+SELECT q, {BIG("SUM(hits)")} AS match_count, {BIG("least(SUM(hits), 10)")} AS listed, {d.array_sorted_text("kw")} AS keywords FROM r WHERE earlier < 10 GROUP BY q"""
+
+
+@query("win04_top_evidence")
+def _(d):
+    return f"""WITH {V.candidate(d)}, r AS (SELECT category, case_id, seq, ROW_NUMBER() OVER (PARTITION BY category ORDER BY confidence DESC, source_file, page_num, case_id, seq) AS n FROM v_candidate)
+SELECT category, n, case_id, seq FROM r WHERE n <= 5"""
+
+
+@query("srt01_cases_by_created")
+def _(d):
+    return f"WITH {V.case(d)} SELECT id, received FROM v_case ORDER BY received DESC, id LIMIT 200"
+
+
+@query("srt05_question_order")
+def _(d):
+    return "SELECT conv_id, turn, ROW_NUMBER() OVER (PARTITION BY conv_id ORDER BY COALESCE(turn % 3, 0), turn) AS place FROM conversations WHERE role = 'user'"
+
+
+@query("srt06_turnaround_order")
+def _(d):
+    return f"WITH {V.case(d)} SELECT id, completed FROM v_case WHERE status = 'complete' ORDER BY completed DESC, id LIMIT 200"
+
+
+@query("srt09_main_record")
+def _(d):
+    return f"WITH {V.candidate(d)} SELECT case_id, {d.first_by('source_file', 'seq')} AS main_file FROM v_candidate GROUP BY case_id"
+
+
+@query("set02_manual_rows_stay")
+def _(d):
+    return f"WITH {V.candidate(d)} SELECT case_id, seq FROM v_candidate WHERE category <> 'address' UNION ALL SELECT case_id, seq FROM v_candidate WHERE category = 'address' AND status = 'approved'"
+
+
+@query("set06_templates_union")
+def _(d):
+    return "SELECT p_name AS name, TRUE AS builtin FROM part WHERE p_partkey < 14 UNION ALL SELECT s_name, FALSE FROM supplier"
+
+
+@query("red02_page_stamp")
+def _(d):
+    return f"WITH {V.candidate(d)} SELECT DISTINCT source_file, page_num, CONCAT({d.rx('source_file', '^(.*)[.]pdf$', 1)}, ' - page ', CAST(page_num + 1 AS VARCHAR(20))) AS stamp FROM v_candidate"
+
+
+@query("red05_manual_box")
+def _(d):
+    return f"""WITH {V.candidate(d)} SELECT case_id, seq, category, status, confidence FROM v_candidate UNION ALL SELECT id, 0, 'manual', 'approved', CAST(1.0 AS DOUBLE) FROM (SELECT DISTINCT case_id AS id FROM v_candidate) x""".replace(
+        "seq, category", "CAST(seq AS BIGINT) AS seq, category"
+    ).replace("id, 0, 'manual'", "id, CAST(0 AS BIGINT), 'manual'").replace("status, confidence FROM v_candidate U", "status, CAST(confidence AS DOUBLE) AS confidence FROM v_candidate U")
+
+
+@query("snk02_certificate_lines")
+def _(d):
+    return f"""WITH {V.candidate(d)}, g AS (SELECT case_id, category, COUNT(*) AS n FROM v_candidate WHERE status IN ('auto_redact', 'approved') GROUP BY 1, 2)
+SELECT case_id, CONCAT('  ', category, ': ', CAST(n AS VARCHAR(20)), CASE WHEN n = 1 THEN ' redaction' ELSE ' redactions' END) AS line FROM g"""
+
+
+@query("snk03_report_lines")
+def _(d):
+    return """WITH a AS (SELECT conv_id, turn, text, ROW_NUMBER() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations WHERE role = 'assistant')
+SELECT conv_id, n, CONCAT('A', CAST(n AS VARCHAR(20)), ': ', text, ' (doc', CAST(conv_id AS VARCHAR(20)), ' p.', CAST(turn + 1 AS VARCHAR(20)), ')') AS line FROM a WHERE n <= 3"""
+
+
+@query("wf01_update_candidate")
+def _(d):
+    return f"WITH {V.candidate(d)} SELECT case_id, seq, CASE WHEN seq = 2 THEN 'rejected' ELSE status END AS status, CASE WHEN seq = 2 THEN 'serious_harm' ELSE exemption END AS exemption FROM v_candidate"
+
+
+@query("wf05_allocate")
+def _(d):
+    return f"WITH {V.case(d)} SELECT id, CASE WHEN id % 4 = 0 THEN NULL ELSE reviewer END AS allocated_to, CASE WHEN id % 4 = 0 THEN 'new' ELSE 'in_review' END AS workflow FROM v_case"
+
+
+@query("wf13_accept_dismiss")
+def _(d):
+    return "SELECT lower(p_name) AS name FROM part WHERE p_size > 25 UNION SELECT lower(s_name) FROM supplier EXCEPT SELECT lower(p_name) FROM part WHERE p_partkey % 5 = 0"
+
+
+@query("wf15_custom_templates")
+def _(d):
+    return "SELECT p_partkey AS id, CASE WHEN p_partkey = 7 THEN 'renamed' ELSE p_name END AS name FROM part WHERE p_partkey <> 9"
+
+
+@query("wf17_save_answers")
+def _(d):
+    return "SELECT conv_id, turn, CASE WHEN role = 'assistant' AND turn = 1 THEN 'edited' ELSE text END AS text FROM conversations"
+
+
+@query("src19_case_store")
+def _(d):
+    get = (lambda k: d.rx("doc", f'"{k}":"?([^",}}]*)', 1))
+    return f"""WITH s AS (SELECT o_orderkey, CONCAT('{{"id":"', CAST(o_orderkey AS VARCHAR(20)), '","status":"', o_orderstatus, '"}}') AS doc FROM orders) SELECT {get("id")} AS id, {get("status")} AS status FROM s"""
+
+
+@query("src20_audit_scan")
+def _(d):
+    return f"WITH {V.audit(d)} SELECT event_id, action, username, target FROM v_audit WHERE {d.rx_like('target', '^[0-9]+$')}"
+
+
+@query("src25_planted_corpus")
+def _(d):
+    return f"WITH {V.planted(d)} SELECT doc_id, text, forename, surname FROM v_planted"
+
+
+@query("str04_audit_tail")
+def _(d):
+    return f"WITH {V.audit(d)} SELECT event_id, ts, username FROM v_audit WHERE action = 'error' AND username = 'user5'"

@@ -166,6 +166,23 @@ def src03_text_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detect.page_texts(spans).select("doc_id", F.size("spans").alias("lines"), F.char_length("page_text").alias("chars"))
 
 
+def str01_login_throttle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Attempts with the seconds that each has to wait, the keyed fold of the stream run over a table."""
+    from vellum.streaming.audit import throttle_step
+
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").filter("event_type in ('error', 'click')")
+    events = events.select("event_id", F.col("ts").cast("timestamp").alias("ts"), (F.col("user_id") % 20).alias("who"), (F.col("event_type") == "click").alias("ok"))
+
+    def run(pdf):
+        pdf, failures, waits = pdf.sort_values(["ts", "event_id"]), [], []
+        for ts, ok in zip(pdf["ts"], pdf["ok"], strict=True):
+            failures, wait = throttle_step(failures, ts.timestamp() / 50, bool(ok))
+            waits.append(wait)
+        return pdf.assign(wait=waits)[["event_id", "who", "wait"]]
+
+    return events.groupBy("who").applyInPandas(run, "event_id long, who long, wait long")
+
+
 def _number_text(d) -> str:
     return "regexp_replace(m, '[^0-9]', '', 'g')"
 
@@ -234,6 +251,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "red01_redacted_text": red01_redacted_text,
     "snk04_bundle_parts": snk04_bundle_parts,
     "src03_text_pages": src03_text_pages,
+    "str01_login_throttle": str01_login_throttle,
     "txt01_keyword_scan": txt01_keyword_scan,
     "txt02_best_evidence": txt02_best_evidence,
     **{n: over_planted(lambda t, k=n.split("_")[1]: names.layouts(t, L.DEFAULT_LEXICON)[k]) for n in _name_checks()},
