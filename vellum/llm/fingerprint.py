@@ -23,7 +23,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 SAMPLES = 64
-GROUP = 8
+GROUP = 4
 #: Numbers that travel with a document's words: tail, id, length and the digest in five parts of 13 hex digits.
 FACTS = 8
 RATES, COSTS = 256, 1024
