@@ -263,7 +263,7 @@ def buckets(packed: DataFrame) -> DataFrame:
         for i in np.flatnonzero(np.diff(edge) > 1):
             group = ids[edge[i] : edge[i + 1]]
             found[group.tobytes() if len(group) < 64 else hashlib.blake2b(group.tobytes()).digest()] = group
-        return pd.DataFrame({"members": list(found.values())})
+        return pd.DataFrame({"members": pd.Series(list(found.values()), dtype=object)})
 
     return packed.groupBy("part").applyInPandas(gather, "members array<long>")
 
