@@ -1,4 +1,5 @@
 import numpy as np
+import pandas as pd
 import pytest
 
 from vellum.llm import cover_tree
@@ -49,6 +50,35 @@ def test_exact(spark, monkeypatch, cell):
     assert got == brute(rows)
 
 
+def chains(n, length=9, dim=12, seed=3):
+    """Arcs of vectors 15 degrees apart in random planes, with ids in random order: each links only with its neighbours."""
+    rng = np.random.default_rng(seed)
+    ids, rows = rng.permutation(n * length).tolist(), []
+    for _ in range(n):
+        plane = np.linalg.qr(rng.normal(size=(dim, 2)))[0]
+        for k in range(length):
+            v = plane @ [np.cos(np.radians(15 * k)), np.sin(np.radians(15 * k))]
+            rows.append((ids.pop(), [float(np.float32(x)) for x in v], 1))
+    return rows
+
+
+def test_link_to_a_vector_of_another_task():
+    a, b, c = ([float(np.cos(np.radians(k))), float(np.sin(np.radians(k)))] for k in (0, 15, 30))
+    task = lambda *rows: pd.DataFrame(rows, columns=["rep", "unit", "home"]).assign(copies=1)
+    found = pd.concat([cover_tree.joined(task((2, a, True), (5, b, True), (3, c, False)), 0.93), cover_tree.joined(task((3, c, True), (5, b, False)), 0.93)])
+    assert {(2, 5), (2, 3), (3, 5)} & set(map(tuple, np.sort(found[["rep", "other"]], axis=1))) >= {(2, 5), (3, 5)}
+    assert sorted(map(tuple, found[found["home"]][["rep", "n_links"]].to_numpy().tolist())) == [(2, 1), (3, 1), (5, 2)]
+
+
+@pytest.mark.parametrize(("cell", "pivots"), [(12, 256), (20, 2)])
+def test_chains_over_cells_and_parts(spark, monkeypatch, cell, pivots):
+    monkeypatch.setattr(cover_tree, "CELL", cell)
+    monkeypatch.setattr(cover_tree, "MOST_PIVOTS", pivots)
+    rows = chains(30)
+    got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in cover_tree.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {i: (n, c, i == c) for i, (n, c) in brute(rows).items()}
+
+
 def test_empty(spark):
     assert cover_tree.near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
 

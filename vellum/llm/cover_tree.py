@@ -10,7 +10,8 @@ Equal vectors are collapsed first. Vectors are compared within a label. Labels o
 cut into cells around pivots, a hash sample of the label's vectors: a vector belongs to its nearest pivot's cell, and is
 also shown to every cell whose boundary with its own lies within the threshold, so a cell sees all partners of its own
 vectors. Cells of dense regions are split again, by queries. A task returns, per vector of its own, the number of links
-and one edge to the smallest id of its local component, never the pairs; components are then joined over all tasks.
+and one edge to the smallest id of its local component, and that edge alone for each linked vector of another task,
+never the pairs; components are then joined over all tasks.
 
 Defined cases: null, empty or zero vectors, and those with null or non-finite components, link with nothing; so do
 those whose label is null; vectors of different length are never compared; an empty table gives no rows; rows that
@@ -197,7 +198,10 @@ def _leaf_pairs(qs: list[Node], rs: list[Node], i: np.ndarray, j: np.ndarray, x:
 
 
 def joined(pdf: pd.DataFrame, threshold: float) -> pd.DataFrame:
-    """(rep, n_links, other): of each home vector the weight of its links and an id of its local component."""
+    """(rep, n_links, other, home): of each home vector the weight of its links and an id of its local component.
+
+    A vector shown from elsewhere that a home vector links has a row too, for its edge only: its own task need not see
+    the rest of this component, so without that edge the link could be in no component."""
     x = np.stack(pdf["unit"].to_numpy()).astype(np.float64)
     home, rep = np.flatnonzero(pdf["home"].to_numpy()), pdf["rep"].to_numpy()
     order = np.argsort(rep, kind="stable")  # the smallest id of a component is then the one with the smallest index
@@ -210,7 +214,11 @@ def joined(pdf: pd.DataFrame, threshold: float) -> pd.DataFrame:
     if len(home):
         refs = CoverTree(x)
         dual(refs if len(home) == len(x) else CoverTree(x, home), refs, links, threshold)
-    return pd.DataFrame({"rep": rep[home], "n_links": links.count[home] - weight[home], "other": [rep[links.find(i)] for i in home.tolist()]})
+    root, own = np.array([links.find(i) for i in range(len(x))], dtype=np.int64), np.zeros(len(x), dtype=bool)
+    own[home] = True
+    told = np.flatnonzero(own | (root != np.arange(len(x))))
+    n_links = np.where(own, links.count - weight, 0)
+    return pd.DataFrame({"rep": rep[told], "n_links": n_links[told], "other": rep[root[told]], "home": own[told]})
 
 
 def distinct_vectors(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -278,10 +286,10 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
     """(vec_id, n_links, component_id, kept) for every row of vectors(vec_id, embedding, label)."""
     rows, reps = distinct_vectors(vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding", "label"))
     placed = cells_of(reps, threshold).select("label", "dim", "cell", "part", "home", "rep", "copies", "unit")
-    found = placed.groupBy("label", "dim", "cell", "part").applyInPandas(lambda pdf: joined(pdf, threshold), "rep long, n_links long, other long")
+    found = placed.groupBy("label", "dim", "cell", "part").applyInPandas(lambda pdf: joined(pdf, threshold), "rep long, n_links long, other long, home boolean")
     found = stash(found, "links")
     comps = components(found.select(F.col("rep").alias("a"), F.col("other").alias("b")).filter("a <> b"))
-    info = reps.select("k", "rep", "copies").join(found.select("rep", "n_links"), "rep").join(comps.withColumnRenamed("node", "rep"), "rep", "left")
+    info = reps.select("k", "rep", "copies").join(found.filter("home").select("rep", "n_links"), "rep").join(comps.withColumnRenamed("node", "rep"), "rep", "left")
     info = info.select("k", "copies", (F.col("n_links") + F.col("copies") - 1).alias("links"), F.coalesce("component", "rep").alias("c"))
     out = join_with_hot_keys(rows, info, "k", "copies", rows.count())
     out = out.select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("c", "vec_id").alias("component_id"))
