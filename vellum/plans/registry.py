@@ -39,29 +39,25 @@ def planted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(f"WITH {V.planted(SparkSql())} SELECT * FROM v_planted")
 
 
-def _texts(found: Column) -> list[Column]:
-    return [F.size(found).cast("long").alias("n"), F.array_join(F.transform(found, lambda m: m["text"]), "|").alias("found")]
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with their whole texts; a null text is empty."""
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
 
 
-def over_planted(found: Callable[[Column], Column]) -> Callable[[SparkSession, str], DataFrame]:
-    return lambda spark, sf_dir: planted(spark, sf_dir).select("doc_id", *_texts(found(F.col("text"))))
+def _texts(found: Column) -> list[Column]:
+    return [F.size(found).cast("long").alias("n"), F.array_join(F.transform(found, lambda m: m["text"]), "|").alias("found")]
 
 
-def pages_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = planted(spark, sf_dir)
-    return rows.select("doc_id", F.lit("planted.txt").alias("source_file"), F.lit(0).alias("page_num"), F.col("text").alias("page_text"))
+def pages_of(rows: DataFrame, source_file: str) -> DataFrame:
+    return rows.select("doc_id", F.lit(source_file).alias("source_file"), F.lit(0).alias("page_num"), F.col("text").alias("page_text"))
 
 
-def cls12_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = detect.detect(pages_of(spark, sf_dir), SUBJECT, detect.Settings(staff=STAFF, custom=CUSTOM, risk=RISK))
+def cls12_detection(rows: DataFrame, source_file: str) -> DataFrame:
+    found = detect.detect(pages_of(rows, source_file), SUBJECT, detect.Settings(staff=STAFF, custom=CUSTOM, risk=RISK))
     flags = F.array_join(F.transform("risk_flags", lambda f: f["phrase"]), ",")
     return found.withColumn("risk_flags", flags)
 
 
-def names_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return planted(spark, sf_dir).select("doc_id", *_texts(names.detect_names(F.col("text"))))
-
-
 def name_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Recall of the planted names and precision of what is found; a name counts when all its planted parts are in a finding."""
     rows = planted(spark, sf_dir).withColumn("found", names.detect_names(F.col("text")))
@@ -101,10 +97,6 @@ def address_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "entity", classify.address_match(F.lower("entity"), SUBJECT.address).alias("home"))
 
 
-def fn12_document_date(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return planted(spark, sf_dir).select("doc_id", dates.document_date(F.col("text")).alias("dated"))
-
-
 def cls04_page_staff(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = planted(spark, sf_dir).withColumn("page", F.concat(F.lit("Practitioner: Dr "), "forename", F.lit(" "), "surname", F.lit("\nFiled by: "), "surname"))
     return rows.select("doc_id", F.array_join(classify.page_staff(F.col("page")), "|").alias("staff"))
@@ -115,9 +107,9 @@ def cls05_label_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", classify.in_staff_label(F.col("page"), F.char_length("page") - F.char_length("surname")).alias("labelled"))
 
 
-def red01_redacted_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+def red01_redacted_text(rows: DataFrame) -> DataFrame:
     """Pages with everything that detection found blanked out."""
-    return planted(spark, sf_dir).select("doc_id", redact.blank_out(F.col("text"), F.concat(
+    return rows.select("doc_id", redact.blank_out(F.col("text"), F.concat(
         F.transform(names.detect_names(F.col("text")), lambda m: F.struct(m["s"].alias("s"), m["e"].alias("e"))),
         F.transform(pii.detect_patterns(F.col("text")), lambda m: F.struct(m["s"].alias("s"), m["e"].alias("e"))),
     )).alias("redacted"))
@@ -229,32 +221,48 @@ def _name_checks() -> dict[str, str]:
     }
 
 
+def detections(rows: Callable[[SparkSession, str], DataFrame], source_file: str) -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    """The detection, dating and redaction queries over (doc_id, text) rows."""
+    over = lambda found: lambda spark, sf_dir: rows(spark, sf_dir).select("doc_id", *_texts(found(F.col("text"))))
+    return {
+        "det_r1_numbers": over(lambda t: pii.plain(t)["nhs_number"]),
+        "det_r2_phones": over(lambda t: pii.plain(t)["phone_number"]),
+        "det_r3_postcodes": over(lambda t: pii.plain(t)["postcode"]),
+        "det_r4_emails": over(lambda t: pii.plain(t)["email"]),
+        "det_r5_safeguarding": over(lambda t: pii.labelled(t, L.SAFEGUARDING, "safeguarding", 10)),
+        "det_r6_sexual_health": over(lambda t: pii.labelled(t, L.SEXUAL_HEALTH, "sexual_health", 30)),
+        "det_c1_custom_words": over(lambda t: pii.custom_words(t, CUSTOM)),
+        "det_n9_suppressed_names": over(names.detect_names),
+        "cls12_detection": lambda spark, sf_dir: cls12_detection(rows(spark, sf_dir), source_file),
+        "fn12_document_date": lambda spark, sf_dir: rows(spark, sf_dir).select("doc_id", dates.document_date(F.col("text")).alias("dated")),
+        "red01_redacted_text": lambda spark, sf_dir: red01_redacted_text(rows(spark, sf_dir)),
+        **{n: over(lambda t, k=n.split("_")[1]: names.layouts(t, L.DEFAULT_LEXICON)[k]) for n in _name_checks()},
+    }
+
+
+def doc_det_k1_risk_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    flags = F.transform(pii.risk_flags(F.col("text"), RISK), lambda f: F.concat_ws(":", f["phrase"], f["category"]))
+    return documents(spark, sf_dir).select("doc_id", F.array_join(flags, ",").alias("flags"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "emails_by_address": emails,
-    "det_r1_numbers": over_planted(lambda t: pii.plain(t)["nhs_number"]),
-    "det_r2_phones": over_planted(lambda t: pii.plain(t)["phone_number"]),
-    "det_r3_postcodes": over_planted(lambda t: pii.plain(t)["postcode"]),
-    "det_r4_emails": over_planted(lambda t: pii.plain(t)["email"]),
-    "det_r5_safeguarding": over_planted(lambda t: pii.labelled(t, L.SAFEGUARDING, "safeguarding", 10)),
-    "det_r6_sexual_health": over_planted(lambda t: pii.labelled(t, L.SEXUAL_HEALTH, "sexual_health", 30)),
-    "det_c1_custom_words": over_planted(lambda t: pii.custom_words(t, CUSTOM)),
-    "det_n9_suppressed_names": names_found,
     "agg15_name_quality": name_quality,
     "cls01_subject": subject_rows,
     "cls02_address": address_rows,
     "cls03_staff": staff_rows,
     "cls04_page_staff": cls04_page_staff,
     "cls05_label_context": cls05_label_context,
-    "cls12_detection": cls12_detection,
-    "fn12_document_date": fn12_document_date,
     "fn23_wrap": fn23_wrap,
-    "red01_redacted_text": red01_redacted_text,
     "snk04_bundle_parts": snk04_bundle_parts,
     "src03_text_pages": src03_text_pages,
     "str01_login_throttle": str01_login_throttle,
     "txt01_keyword_scan": txt01_keyword_scan,
     "txt02_best_evidence": txt02_best_evidence,
-    **{n: over_planted(lambda t, k=n.split("_")[1]: names.layouts(t, L.DEFAULT_LEXICON)[k]) for n in _name_checks()},
+    # over planted notes, which check SQL covers, and over the real texts, where the engines' regular expressions differ
+    **detections(planted, "planted.txt"),
+    **{f"doc_{n}": q for n, q in detections(documents, "documents").items()},
+    "doc_det_k1_risk_flags": doc_det_k1_risk_flags,
     **{n: by_sql(n) for n in analytics.Q},
 }
 
