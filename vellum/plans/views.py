@@ -77,6 +77,6 @@ def planted(d) -> str:
 
 
 def page(d) -> str:
-    """Documents as pages whose lines are paragraphs; ASCII only, where both regular-expression engines agree."""
-    return f"""v_page AS (SELECT doc_id, CONCAT('doc', CAST(doc_id % 20 AS VARCHAR(20)), '.txt') AS source_file, CAST(doc_id AS INT) AS page_num, text
-  FROM documents WHERE text IS NOT NULL AND NOT {d.rx_like("text", "[^\\x00-\\x7F]")})"""
+    """All documents as pages whose lines are paragraphs; a null text is empty."""
+    return """v_page AS (SELECT doc_id, CONCAT('doc', CAST(doc_id % 20 AS VARCHAR(20)), '.txt') AS source_file, CAST(doc_id AS INT) AS page_num, COALESCE(text, '') AS text
+  FROM documents)"""
