@@ -30,6 +30,14 @@ def left_days(d) -> str:
     return f"COALESCE({d.days(T, 'effective_due')}, 99)"
 
 
+def newest_first(d, day: str, where: str = "TRUE") -> str:
+    """All cases that pass, with their place by day, newest first, null last: the cases of later days, which are counted by
+    day, and the place within the day. So no task sorts all cases."""
+    return f"""WITH {V.case(d)}, r AS (SELECT id, {day}, COALESCE({day}, DATE '0001-01-01') AS k FROM v_case WHERE {where}),
+n AS (SELECT k, COUNT(*) AS n FROM r GROUP BY k), b AS (SELECT k, SUM(n) OVER (ORDER BY k DESC ROWS UNBOUNDED PRECEDING) - n AS later FROM n)
+SELECT r.id, r.{day}, {BIG("later + ROW_NUMBER() OVER (PARTITION BY r.k ORDER BY r.id)")} AS place FROM r JOIN b ON b.k = r.k"""
+
+
 # ---- sources ---------------------------------------------------------------------------------------------------------
 
 
@@ -465,7 +473,7 @@ SELECT p_partkey, ROW_NUMBER() OVER (ORDER BY CASE kind WHEN 'letter' THEN 0 WHE
 
 @query("srt08_newest_cases")
 def _(d):
-    return f"WITH {V.case(d)} SELECT id, received FROM v_case WHERE NOT archived ORDER BY received DESC, id LIMIT 100"
+    return newest_first(d, "received", "NOT archived")
 
 
 # ---- sets, search ----------------------------------------------------------------------------------------------------
@@ -726,7 +734,7 @@ SELECT category, n, case_id, seq FROM r WHERE n <= 5"""
 
 @query("srt01_cases_by_created")
 def _(d):
-    return f"WITH {V.case(d)} SELECT id, received FROM v_case ORDER BY received DESC, id LIMIT 200"
+    return newest_first(d, "received")
 
 
 @query("srt05_question_order")
@@ -736,7 +744,7 @@ def _(d):
 
 @query("srt06_turnaround_order")
 def _(d):
-    return f"WITH {V.case(d)} SELECT id, completed FROM v_case WHERE status = 'complete' ORDER BY completed DESC, id LIMIT 200"
+    return newest_first(d, "completed", "status = 'complete'")
 
 
 @query("srt09_main_record")
