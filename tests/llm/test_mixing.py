@@ -1,5 +1,7 @@
 from collections import defaultdict
 
+import numpy as np
+
 from vellum.llm import mixing
 
 
@@ -36,6 +38,20 @@ def test_targets_and_draws(spark, docs_of):
         assert abs(taken[s] - want[s]) <= max(13, 0.02 * want[s])
 
 
+def test_filled_until_nothing_fits(spark, docs_of):
+    rng = np.random.default_rng(5)
+    sizes = np.exp(rng.uniform(0, np.log(2000), size=(9, 150))).astype(int)
+    got = mixing.mix(docs_of([(1000 * s + i, "w " * int(n), f"s{s}") for s, row in enumerate(sizes) for i, n in enumerate(row)])).collect()
+    for s in range(len(sizes)):
+        rows = [r for r in got if r["doc_id"] // 1000 == s]
+        room = rows[0]["target"] - sum(r["taken"] for r in rows)
+        sure = int(rows[0]["target"] / rows[0]["source_size"])
+        left = [r["size"] for r in rows if r["copies"] == sure]
+        assert {r["copies"] for r in rows} <= {sure, sure + 1} and room >= -1e-6
+        if rows[0]["target"] > sure * rows[0]["source_size"]:
+            assert min(left) > room
+
+
 def test_empty(spark, docs_of):
     assert mixing.mix(docs_of([(1, "x")]).limit(0)).count() == 0
     assert mixing.mix(docs_of([(1, None), (2, "")])).filter("taken = 0 and target = 0").count() == 2

@@ -5,8 +5,8 @@ size, and what they can't take is shared again by weight until none is above (wa
 over the sources). A source whose target is r times its size takes every document floor(r) times for certain; the rest
 is sampled: with inclusion probability p = r - floor(r) and the document's own random number u, documents rank by
 (u / (1 - u)) / (p / (1 - p)), random odds over inclusion odds, and are taken in that order while their words fit. The
-sample's size is fixed in words. Because whole documents seldom fill it, two more passes in the same order give what is
-left to documents that still fit.
+sample's size is fixed in words. Because whole documents seldom fill it, more passes in the same order give what is
+left to documents that still fit, until none does; each takes one at least and shuts out the one it stopped at.
 
 Prefix sums run over buckets of the rank, first between buckets, then within each, so a source that holds most rows is
 spread over many tasks. u is a digest of the doc_id, so reruns agree. Defined cases: null texts have size 0 and are
@@ -25,7 +25,6 @@ from vellum.llm.common import stash
 WEIGHTS = (5, 2, 1)
 MOST = 3
 BUCKETS = 1024
-PASSES = 3
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -74,8 +73,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, c
     rows = rows.join(spread, ["k", "bucket"])
     rows = rows.withColumn("rank", F.when(F.col("p") > 0, rank)).withColumns({"picked": F.lit(0), "room": F.col("left_words")})
     inside = W.partitionBy("k", "bucket").orderBy(F.col("rank"), F.col("doc_id"), F.col("size")).rowsBetween(W.unboundedPreceding, 0)
-    for _ in range(PASSES):
-        open_ = (F.col("picked") == 0) & F.col("rank").isNotNull() & (F.col("size") <= F.col("room"))
+    open_ = (F.col("picked") == 0) & F.col("rank").isNotNull() & (F.col("size") <= F.col("room"))
+    while True:
         rows = rows.withColumn("ask", F.when(open_, F.col("size")).otherwise(F.lit(0)))
         sums = rows.groupBy("k", "bucket").agg(F.sum("ask").alias("asked"))
         up_to = W.partitionBy("k").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
@@ -87,5 +86,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, c
         got = got.groupBy("k").agg(F.sum("g").alias("got"))
         got = got.select("k", "got", F.explode(F.sequence(F.lit(0), F.lit(BUCKETS - 1))).alias("bucket"))
         rows = stash(rows.join(got, ["k", "bucket"]).withColumn("room", F.col("left_words") - F.col("got")).drop("got"), "drawn")
+        if rows.filter(open_ & (F.col("size") > 0)).isEmpty():
+            break
     copies = F.col("sure") + F.col("picked")
     return rows.select("doc_id", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"), *carry)
