@@ -214,7 +214,7 @@ def _(d):
 @query("jn02_staff_tokens")
 def _(d):
     return f"""WITH c AS (SELECT p_partkey, lower(p_name) AS name FROM part), t AS (SELECT p_partkey, w FROM c {d.unnest(d.split("name", "[ ]+"), "w")}),
-s AS (SELECT DISTINCT w AS token FROM (SELECT lower(p_type) AS n FROM part WHERE p_partkey % 50 = 0 UNION ALL SELECT lower(p_name) AS n FROM part WHERE p_partkey % 50 = 0) x {d.unnest(d.split("n", "[ ]+"), "w")})
+s AS (SELECT DISTINCT w AS token FROM (SELECT lower(s_name) AS n FROM supplier) x {d.unnest(d.split("n", "[ ]+"), "w")})
 SELECT p_partkey, name, EXISTS (SELECT 1 FROM t JOIN s ON t.w = s.token WHERE t.p_partkey = c.p_partkey AND w NOT IN ('dr', 'mr', 'mrs', 'ms', 'miss', 'prof')) AS is_staff FROM c"""
 
 
@@ -709,7 +709,7 @@ SELECT m.doc_id, sp.n FROM m JOIN sp ON sp.doc_id = m.doc_id AND sp.a < m.e AND
 
 @query("jn12_months_received_completed")
 def _(d):
-    return f"""WITH {V.case(d)}, r AS (SELECT DISTINCT {d.month("received")} AS m FROM v_case WHERE id % 3 = 0), c AS (SELECT DISTINCT {d.month("completed")} AS m FROM v_case WHERE status = 'complete' AND id % 5 = 0)
+    return f"""WITH {V.case(d)}, r AS (SELECT DISTINCT {d.month("received")} AS m FROM v_case), c AS (SELECT DISTINCT {d.month("completed")} AS m FROM v_case WHERE status = 'complete')
 SELECT COALESCE(r.m, c.m) AS month, r.m IS NOT NULL AS received, c.m IS NOT NULL AS completed FROM r FULL OUTER JOIN c ON r.m = c.m"""
 
 
