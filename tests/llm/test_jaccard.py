@@ -1,6 +1,7 @@
 import random
 import re
 
+import pyarrow as pa
 import pytest
 
 from vellum.llm import jaccard_join as jj
@@ -62,7 +63,7 @@ def corpus(seed=3):
     return rows
 
 
-@pytest.mark.parametrize("settings", [jj.Settings(), jj.Settings(n2=3, k2=1, spare=0.18)])
+@pytest.mark.parametrize("settings", [jj.Settings(), jj.Settings(n2=1, k2=0), jj.Settings(n2=2, k2=1, spare=0.1), jj.Settings(n2=5, k2=2)])
 def test_against_brute_force(spark, docs_of, settings):
     rows = [*corpus(), (5000, None), (5001, ""), (5002, " \n"), (None, "a b c d e f"), (5003, "a b c d e f"), (5004, "A B C D E F"), (7, "w1 w2 w3 w4 w5 w6")]
     got = sorted((str(r["doc_id"]), r["n_shingles"], r["component_id"]) for r in jj.groups(docs_of(rows), settings).collect())
@@ -71,12 +72,68 @@ def test_against_brute_force(spark, docs_of, settings):
 
 def test_small_blocks(spark, docs_of, monkeypatch):
     monkeypatch.setattr(jj, "BLOCK", 7)
-    monkeypatch.setattr(jj, "CELLS", 50)
+    monkeypatch.setattr(jj, "TOGETHER", 20)
+    monkeypatch.setattr(jj, "CHUNK", 50)
     rows = corpus(5)
     got = sorted((str(r["doc_id"]), r["n_shingles"], r["component_id"]) for r in jj.groups(docs_of(rows)).collect())
     assert got == brute(rows)
 
 
+def test_repeated_ids_are_one_node(spark, docs_of):
+    """Texts under one id link with different groups, some in one bucket, and tie these together."""
+    rows = corpus(7)
+    ids = [i for i, _ in rows]
+    rng = random.Random(1)
+    again = [(rng.choice(ids), t) for _, t in rng.sample(rows, 60)]
+    rows += [*again, (5, None), (rows[-1][0], rows[-1][1])]
+    got = sorted((str(r["doc_id"]), r["n_shingles"], r["component_id"]) for r in jj.groups(docs_of(rows)).collect())
+    want, sets = {i: i for i, _ in rows}, [(i, shingles(t)) for i, t in rows]
+
+    def find(x):
+        while want[x] != x:
+            x = want[x]
+        return x
+
+    for a, (i, x) in enumerate(sets):
+        for j, y in sets[a + 1 :]:
+            if x and y and 100 * len(x & y) >= 75 * len(x | y):
+                u, v = find(i), find(j)
+                want[max(u, v)] = min(u, v)
+    assert got == sorted((str(i), len(x), find(i)) for i, x in sets)
+
+
+def test_word_hashes():
+    """Equal words have equal hashes wherever they stand and however the bytes are cut; long words too."""
+    long = "x" * 9000
+    texts = ["", "Ab ab\tAB", None, f" {long} ab\n", "ab", f"{long}y {long}", "é É", "  "]
+    for chunk in (7, 100, 1 << 20):
+        jj.CHUNK, kept = chunk, jj.CHUNK
+        try:
+            h, first = jj.word_hashes(pa.array(texts))
+        finally:
+            jj.CHUNK = kept
+        words = [re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(AZ)) for t in texts]
+        assert first.tolist() == [sum(map(len, words[:i])) for i in range(len(words) + 1)]
+        flat = [w for ws in words for w in ws]
+        assert all((flat[i] == flat[j]) == (h[i] == h[j]) for i in range(len(flat)) for j in range(len(flat)))
+
+
+def test_very_long_and_tied_texts(spark, docs_of):
+    """A text of 60,000 words, a copy with a hundredth of its words changed, one blank-free text, and sets just at the threshold."""
+    long = [f"w{i * i % 9973}x{i}" for i in range(60_000)]
+    near = [w if i % 500 else "changed" for i, w in enumerate(long)]
+    at = [f"t{i}" for i in range(11)]  # seven shingles; of the other eight, six shared: 6 of 8 and 6 of 9
+    rows = [(3, " ".join(long)), (2, " ".join(near)), (8, "z" * 300_000), (9, "z" * 300_000), (20, " ".join(at)), (21, " ".join([*at[:10], "u"])), (22, " ".join(["v", *at[:10], "u"]))]
+    got = {r["doc_id"]: r["component_id"] for r in jj.groups(docs_of(rows)).collect()}
+    assert got == {r[0]: r[2] for r in [(int(i), n, c) for i, n, c in brute(rows)]}
+
+
+def test_keep_first_of_repeated_rows(spark, docs_of):
+    docs = docs_of([(1, "a b c d e f"), (1, "a b c d e f"), (1, "else"), (4, "A B C D E F"), (6, None), (6, None)])
+    assert sorted((r["doc_id"], r["text"]) for r in jj.keep_first(docs).collect() if r["text"]) == [(1, "a b c d e f"), (1, "else")]
+    assert jj.keep_first(docs).count() == 3
+
+
 def test_keep_first_and_empty(spark, docs_of):
     docs = docs_of([(4, "a b c d e f g"), (2, "A b c d e f g"), (9, "other"), (None, "a b c d e f g"), (5, None)])
     kept = jj.keep_first(docs)

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: Rows of one Arrow batch handed to Python; texts may be long, so batches are short.
 ARROW_ROWS = 512
+#: Rows of a counted table that may be broadcast whole.
+BROADCAST_ROWS = 100_000
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -18,9 +20,12 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir; where it is unset on a local master, as in tests, a temporary one."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not path:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="vellum-shared-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -29,21 +34,42 @@ def shared_dir(spark: SparkSession) -> str:
 def stash(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write df as a Parquet table in the shared folder and read it back.
 
-    The files outlive executors, so a lost one costs only its running tasks."""
+    The files outlive executors, so a lost one costs only its running tasks. They stay until drop() or clear()."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/vellum/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/vellum/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stashed_at = path
+    return out
 
 
-def join_with_hot_keys(left: DataFrame, right: DataFrame, key: str, weight: str, total: int, hot_share: int = 1000, broadcast_rows: int = 100_000) -> DataFrame:
+def _remove(spark: SparkSession, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def drop(*stashed: DataFrame) -> None:
+    """Remove the files of intermediates that no result still to be computed reads."""
+    for df in stashed:
+        _remove(df.sparkSession, df._stashed_at)
+
+
+def clear(spark: SparkSession) -> None:
+    """Remove all intermediates of this application, once its results have been written."""
+    _remove(spark, f"{shared_dir(spark)}/vellum/{spark.sparkContext.applicationId}")
+
+
+def join_with_hot_keys(left: DataFrame, right: DataFrame, key: str, weight: str, total: int, hot_share: int = 1000, broadcast_rows: int = BROADCAST_ROWS, stashed: DataFrame | None = None) -> DataFrame:
     """Left join to a table with unique keys, where a few keys may hold most rows of left.
 
     right carries in `weight` how many rows of left have its key. At most hot_share keys can hold total/hot_share rows
     or more each, so that many rows at most are broadcast; all other keys are shuffled. Rows of hot keys, and rows whose
     key is null, get a key of their own in the shuffle and so spread evenly. Null keys match nothing. Where right is
-    counted to have no more than broadcast_rows rows, all of it is broadcast and left isn't shuffled at all."""
-    right = stash(right, "keyed")
+    counted to have no more than broadcast_rows rows, all of it is broadcast and left isn't shuffled at all. right is
+    stashed unless it is a projection of the table given as stashed."""
+    if stashed is None:
+        right = stash(right, "keyed")
     if right.count() <= broadcast_rows:
         all_of_it = right.withColumnRenamed(key, "__bk")
         out = left.join(F.broadcast(all_of_it), left[key] == F.col("__bk"), "left")
@@ -61,31 +87,40 @@ def join_with_hot_keys(left: DataFrame, right: DataFrame, key: str, weight: str,
     return out.select(*left.columns, *picked)
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) for every node of an undirected edge list; the component is its smallest node.
 
     Each round hooks every node to the smallest label around it and then jumps pointers, so rounds grow with the
-    logarithm of a component's diameter. Aggregates are minima, which combine before the shuffle; the label join is
-    on a node's label, unique on one side, and adaptive execution splits it where one label is hot. Only a count
-    reaches the driver."""
+    logarithm of a component's diameter; labels only fall, so the rounds end. Aggregates are minima, which combine before
+    the shuffle. Nodes with many edges and labels of many nodes are joined as hot keys. Only counts reach the driver."""
     both = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).filter("u <> v")
     both = stash(both.unionByName(both.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "edges")
-    lab = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("c"))
+    n_edges = both.count()
+    lab = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("deg")).select("u", F.least("u", "m").alias("c"), "deg")
     lab = stash(lab, "labels")
-    for _ in range(max_rounds):
-        near = both.join(lab.select(F.col("u").alias("v"), F.col("c").alias("cv")), "v").groupBy("u").agg(F.min("cv").alias("m"))
-        hop = lab.join(near, "u", "left").select("u", "c", F.least("c", F.coalesce("m", "c")).alias("n"))
+    n_nodes = lab.count()
+    small = n_nodes <= BROADCAST_ROWS  # every table joined below has a row a node at most
+    side, keep = (F.broadcast, lambda df, name: df) if small else (lambda df: df, stash)
+    while n_edges:
+        labels = lab.select(F.col("u").alias("v"), F.col("c").alias("cv"), "deg")
+        around = both.join(F.broadcast(labels), "v") if small else join_with_hot_keys(both, labels, "v", "deg", n_edges, stashed=lab)
+        near = around.groupBy("u").agg(F.min("cv").alias("m"))
+        hop = keep(lab.join(side(near), "u", "left").select("u", "c", "deg", F.least("c", F.coalesce("m", "c")).alias("n")), "hops")
         # a root learns of a smaller label from any of its members
         root = hop.filter("n < c").groupBy(F.col("c").alias("u")).agg(F.min("n").alias("r"))
-        hop = hop.join(root, "u", "left").select("u", "c", F.least("n", F.coalesce("r", "n")).alias("n"))
-        up = hop.select(F.col("u").alias("n"), F.col("n").alias("nn"))
-        new = hop.join(up, "n", "left").select("u", F.col("c").alias("old"), F.least("n", F.coalesce("nn", "n")).alias("c"))
-        new = stash(new, "labels")
-        changed = new.filter("c <> old").limit(1).count()
-        lab = new.select("u", "c")
-        if not changed:
-            return lab.select(F.col("u").alias("node"), F.col("c").alias("component"))
-    raise RuntimeError("components did not settle")
+        told = keep(hop.join(side(root), "u", "left").select("u", "c", "deg", F.least("n", F.coalesce("r", "n")).alias("n")), "told")
+        up = told.select(F.col("u").alias("n"), F.col("n").alias("nn"))
+        if small:
+            new = told.join(F.broadcast(up), "n", "left")
+        else:
+            new = join_with_hot_keys(told, told.groupBy("n").agg(F.count("*").alias("w")).join(up, "n"), "n", "w", n_nodes)
+        new = stash(new.select("u", F.col("c").alias("old"), F.least("n", F.coalesce("nn", "n")).alias("c"), "deg"), "labels")
+        drop(*([lab] if small else [hop, told, lab]))
+        lab = new
+        if not lab.filter("c <> old").limit(1).count():
+            break
+    drop(both)
+    return lab.select(F.col("u").alias("node"), F.col("c").alias("component"))
 
 
 def sha256_utf8(text: Column) -> Column:
