@@ -64,10 +64,37 @@ def chains(n, length=9, dim=12, seed=3):
 
 def test_link_to_a_vector_of_another_task():
     a, b, c = ([float(np.cos(np.radians(k))), float(np.sin(np.radians(k)))] for k in (0, 15, 30))
-    task = lambda *rows: pd.DataFrame(rows, columns=["rep", "unit", "home"]).assign(copies=1)
-    found = pd.concat([cover_tree.joined(task((2, a, True), (5, b, True), (3, c, False)), 0.93), cover_tree.joined(task((3, c, True), (5, b, False)), 0.93)])
-    assert {(2, 5), (2, 3), (3, 5)} & set(map(tuple, np.sort(found[["rep", "other"]], axis=1))) >= {(2, 5), (3, 5)}
-    assert sorted(map(tuple, found[found["home"]][["rep", "n_links"]].to_numpy().tolist())) == [(2, 1), (3, 1), (5, 2)]
+    task = lambda *rows: pd.DataFrame(rows, columns=["k", "unit", "query"]).assign(copies=1, ref=True)
+    found = pd.concat([cover_tree.joined(task(("2", a, True), ("5", b, True), ("3", c, False)), 0.93), cover_tree.joined(task(("3", c, True), ("5", b, False)), 0.93)])
+    edges = {tuple(sorted(e)) for e in zip(found["k"], found["other"], strict=True) if e[0] != e[1]}
+    assert edges >= {("2", "5"), ("3", "5")} or edges >= {("2", "5"), ("2", "3")}
+    weights = found.groupby("k")["weight"].sum().to_dict()
+    assert weights == {"2": 2, "5": 3, "3": 2}
+
+
+@pytest.mark.parametrize("cell", [10_000, 15])
+def test_repeated_and_null_ids(spark, monkeypatch, cell):
+    """One row out for each row in: ids that repeat with other vectors, null ids, and ids that tie."""
+    monkeypatch.setattr(cover_tree, "CELL", cell)
+    rng, made = np.random.default_rng(4), []
+    for i, (_, e, label) in enumerate(chains(8)):
+        made.append((None if i % 5 == 0 else int(rng.integers(0, 12)), e, label))
+    made += [(5, [1.0, 0.0], 3), (5, [0.0, 1.0], 3), (None, [1.0, 0.0], 4), (None, [1.0, 0.01], 4), (None, [0.0, 1.0], 4), (None, None, 4)]
+    unit = [None if e is None else np.array(e) / np.linalg.norm(e) for _, e, _ in made]
+    n = len(made)
+    near = [[j for j in range(n) if j != i and unit[i] is not None and unit[j] is not None and made[i][2] == made[j][2] and len(unit[i]) == len(unit[j]) and unit[i] @ unit[j] >= 0.93] for i in range(n)]
+    want = []
+    for i in range(n):
+        seen, todo = {i}, [i]
+        while todo:
+            for j in near[todo.pop()]:
+                if j not in seen:
+                    seen.add(j)
+                    todo.append(j)
+        comp = min((made[j][0] for j in seen if made[j][0] is not None), default=None)
+        want.append((made[i][0], len(near[i]), comp, made[i][0] == comp))
+    got = cover_tree.near_duplicates(spark.createDataFrame(made, SCHEMA)).collect()
+    assert sorted(map(str, (tuple(r) for r in got))) == sorted(map(str, want))
 
 
 @pytest.mark.parametrize(("cell", "pivots"), [(12, 256), (20, 2)])

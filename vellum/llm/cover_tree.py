@@ -6,16 +6,18 @@ trees are walked together. A pair of nodes further apart than the threshold plus
 that even at its widest is within the threshold links all its points at once, as counts; only what remains is split
 further, and points are compared by their cosine in double precision at the leaves.
 
-Equal vectors are collapsed first. Vectors are compared within a label. Labels of more than `cell` distinct vectors are
-cut into cells around pivots, a hash sample of the label's vectors: a vector belongs to its nearest pivot's cell, and is
-also shown to every cell whose boundary with its own lies within the threshold, so a cell sees all partners of its own
-vectors. Cells of dense regions are split again, by queries. A task returns, per vector of its own, the number of links
-and one edge to the smallest id of its local component, and that edge alone for each linked vector of another task,
-never the pairs; components are then joined over all tasks.
+Equal vectors are collapsed first, under a key of their own. Vectors are compared within a label. Labels of more than
+`CELL` distinct vectors are cut into cells around pivots, a hash sample of the label's vectors: a vector belongs to its
+nearest pivot's cell, and is also shown to every cell whose boundary with its own lies within the threshold, so a cell
+sees all partners of its own vectors. The queries and the references of a dense cell are dealt into parts of about CELL,
+and each pair of parts is a task. A task returns, per query, the weight of its links and one edge to its local
+component, and that edge alone for each linked reference, never the pairs; weights are then added and components joined
+over all tasks.
 
 Defined cases: null, empty or zero vectors, and those with null or non-finite components, link with nothing; so do
 those whose label is null; vectors of different length are never compared; an empty table gives no rows; rows that
-repeat a vec_id are vectors of their own; a row without vec_id counts as a partner.
+repeat a vec_id are vectors of their own, each with a row; a row without vec_id counts as a partner, its component is
+the smallest vec_id it reaches or else null, and it is kept only in the latter case.
 """
 
 from __future__ import annotations
@@ -27,10 +29,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm.common import components, join_with_hot_keys, stash
+from vellum.llm.common import components, drop, join_with_hot_keys, stash
 
 THRESHOLD = 0.93
-CELL, MOST_PIVOTS, LEAF, SPLIT = 10_000, 256, 24, 1024
+CELL, MOST_PIVOTS, LEAF, SPLIT = 10_000, 1024, 24, 1024
 #: Pairs of points compared at a time.
 PAIRS = 100_000
 EPS = 1e-9
@@ -198,27 +200,19 @@ def _leaf_pairs(qs: list[Node], rs: list[Node], i: np.ndarray, j: np.ndarray, x:
 
 
 def joined(pdf: pd.DataFrame, threshold: float) -> pd.DataFrame:
-    """(rep, n_links, other, home): of each home vector the weight of its links and an id of its local component.
-
-    A vector shown from elsewhere that a home vector links has a row too, for its edge only: its own task need not see
-    the rest of this component, so without that edge the link could be in no component."""
-    x = np.stack(pdf["unit"].to_numpy()).astype(np.float64)
-    home, rep = np.flatnonzero(pdf["home"].to_numpy()), pdf["rep"].to_numpy()
-    order = np.argsort(rep, kind="stable")  # the smallest id of a component is then the one with the smallest index
-    x, rep = x[order], rep[order]
-    place = np.empty(len(order), dtype=np.int64)
-    place[order] = np.arange(len(order))
-    home = np.sort(place[home])
-    weight = pdf["copies"].to_numpy()[order]
-    links = Links(len(x), weight)
-    if len(home):
-        refs = CoverTree(x)
-        dual(refs if len(home) == len(x) else CoverTree(x, home), refs, links, threshold)
-    root, own = np.array([links.find(i) for i in range(len(x))], dtype=np.int64), np.zeros(len(x), dtype=bool)
-    own[home] = True
-    told = np.flatnonzero(own | (root != np.arange(len(x))))
-    n_links = np.where(own, links.count - weight, 0)
-    return pd.DataFrame({"rep": rep[told], "n_links": n_links[told], "other": rep[root[told]], "home": own[told]})
+    """(k, weight, other): of each query the weight of its links, itself included, and a vector of its local component.
+
+    A reference that a query links has a row too, for its edge only: its own task need not see the rest of this
+    component, so without that edge the link could be in no component."""
+    x, k = np.stack(pdf["unit"].to_numpy()).astype(np.float64), pdf["k"].to_numpy()
+    asks, known = pdf["query"].to_numpy(), pdf["ref"].to_numpy()
+    links = Links(len(x), pdf["copies"].to_numpy())
+    if asks.any() and known.any():
+        refs = CoverTree(x, np.flatnonzero(known))
+        dual(refs if (asks == known).all() else CoverTree(x, np.flatnonzero(asks)), refs, links, threshold)
+    root = np.array([links.find(i) for i in range(len(x))], dtype=np.int64)
+    told = np.flatnonzero(asks | (root != np.arange(len(x))))
+    return pd.DataFrame({"k": k[told], "weight": np.where(asks, links.count, 0)[told], "other": k[root[told]]})
 
 
 def distinct_vectors(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -232,16 +226,16 @@ def distinct_vectors(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
     unit = F.transform(F.col("embedding"), lambda v: v.cast("double") / F.col("norm"))
     real = rows.filter("k is not null").withColumn("unit", unit)
     reps = real.groupBy("k", F.col("label").cast("string").alias("label")).agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.first("unit").alias("unit"))
-    return rows.select("vec_id", "k"), stash(reps.withColumn("rep", F.coalesce("rep", F.lit(-1))), "vectors")
+    return rows.select("vec_id", "k"), stash(reps, "vectors")
 
 
 def cells_of(reps: DataFrame, threshold: float) -> DataFrame:
-    """reps with cell, part and home: where each vector is compared."""
+    """reps with cell, task, query and ref: where each vector is compared, and as what."""
     groups = reps.groupBy("label", F.size("unit").alias("dim")).agg(F.count("*").alias("n"), F.min("k").alias("least"))
     big = stash(groups.filter(F.col("n") > CELL), "large_labels")
     n_big = big.count()
     with_dim = reps.withColumn("dim", F.size("unit"))
-    flat = with_dim.withColumns({"cell": F.lit(0), "part": F.lit(0), "home": F.lit(True)})
+    flat = with_dim.withColumns({"cell": F.lit(0), "task": F.lit(0), "query": F.lit(True), "ref": F.lit(True)})
     if not n_big:
         return flat
     side = F.broadcast(big) if n_big <= 10_000 else big
@@ -273,24 +267,34 @@ def cells_of(reps: DataFrame, threshold: float) -> DataFrame:
     schema = "label string, dim int, k string, rep long, copies long, unit array<double>, cell int, home boolean"
     placed = rows.groupBy("label", "dim", "salt").cogroup(pivots.groupBy("label", "dim", "salt")).applyInPandas(assign, schema)
     placed = stash(placed, "cells")
-    # cells with more vectors than one task should query are split by query; every part sees the whole cell
-    parts = placed.groupBy("label", "dim", "cell").agg(F.ceil(F.sum(F.col("home").cast("int")) / CELL).cast("int").alias("parts"))
-    placed = placed.join(parts.withColumn("parts", F.greatest("parts", F.lit(1))), ["label", "dim", "cell"])
-    own = F.pmod(F.xxhash64("k", F.lit(5)), F.col("parts")).cast("int")
-    placed = placed.withColumn("own", own).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    placed = placed.withColumn("home", F.col("home") & (F.col("own") == F.col("part")))
+    # a task takes one part of a cell's own vectors and one part of all that the cell sees
+    sizes = placed.groupBy("label", "dim", "cell").agg(F.sum(F.col("home").cast("int")).alias("homes"), F.count("*").alias("seen"))
+    parts = lambda n: F.greatest(F.ceil(F.col(n) / CELL).cast("int"), F.lit(1))
+    placed = placed.join(sizes.select("label", "dim", "cell", parts("homes").alias("asking"), parts("seen").alias("known")), ["label", "dim", "cell"])
+    own = lambda n, seed: F.pmod(F.xxhash64("k", F.lit(seed)), F.col(n)).cast("int")
+    placed = placed.withColumns({"own_query": own("asking", 5), "own_ref": own("known", 11)})
+    as_query = F.transform(F.sequence(F.lit(0), F.col("known") - 1), lambda j: F.col("own_query") * F.col("known") + j)
+    as_ref = F.transform(F.sequence(F.lit(0), F.col("asking") - 1), lambda i: i * F.col("known") + F.col("own_ref"))
+    placed = placed.withColumn("task", F.explode(F.when(F.col("home"), F.array_union(as_query, as_ref)).otherwise(as_ref)))
+    placed = placed.withColumn("query", F.col("home") & (F.floor(F.col("task") / F.col("known")) == F.col("own_query")))
+    placed = placed.withColumn("ref", F.col("task") % F.col("known") == F.col("own_ref"))
     return small.select(*flat.columns).unionByName(placed.select(*flat.columns))
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row of vectors(vec_id, embedding, label)."""
     rows, reps = distinct_vectors(vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding", "label"))
-    placed = cells_of(reps, threshold).select("label", "dim", "cell", "part", "home", "rep", "copies", "unit")
-    found = placed.groupBy("label", "dim", "cell", "part").applyInPandas(lambda pdf: joined(pdf, threshold), "rep long, n_links long, other long, home boolean")
+    placed = cells_of(reps, threshold).select("label", "dim", "cell", "task", "query", "ref", "k", "copies", "unit")
+    found = placed.groupBy("label", "dim", "cell", "task").applyInPandas(lambda pdf: joined(pdf, threshold), "k string, weight long, other string")
     found = stash(found, "links")
-    comps = components(found.select(F.col("rep").alias("a"), F.col("other").alias("b")).filter("a <> b"))
-    info = reps.select("k", "rep", "copies").join(found.filter("home").select("rep", "n_links"), "rep").join(comps.withColumnRenamed("node", "rep"), "rep", "left")
-    info = info.select("k", "copies", (F.col("n_links") + F.col("copies") - 1).alias("links"), F.coalesce("component", "rep").alias("c"))
+    comps = components(found.select(F.col("k").alias("a"), F.col("other").alias("b")).filter("a <> b"))
+    # a vector links with itself in one task, so that the sum of the weights is its links and one
+    weights = found.groupBy("k").agg((F.sum("weight") - 1).alias("links"))
+    info = reps.select("k", "rep", "copies").join(weights, "k").join(comps.withColumnRenamed("node", "k"), "k", "left")
+    info = stash(info.select("k", "rep", "copies", "links", F.coalesce("component", "k").alias("c")), "vectors_linked")
+    least = info.groupBy("c").agg(F.min("rep").alias("least"), F.count("*").alias("n"))
+    info = join_with_hot_keys(info, least, "c", "n", info.count()).select("k", "copies", "links", "least")
     out = join_with_hot_keys(rows, info, "k", "copies", rows.count())
-    out = out.select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("c", "vec_id").alias("component_id"))
-    return out.withColumn("kept", F.col("vec_id") == F.col("component_id"))
+    drop(found, reps)
+    out = out.select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), F.when(F.col("k").isNull(), F.col("vec_id")).otherwise(F.col("least")).alias("component_id"))
+    return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
