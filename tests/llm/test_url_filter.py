@@ -1,3 +1,5 @@
+import hashlib
+
 from pyspark.sql import functions as F
 
 from vellum.llm import url_filter as uf
@@ -18,6 +20,7 @@ def fits(key, host, path):
     return host != "" and (host == h or host.endswith("." + h)) and path.startswith(p)
 
 
+LISTED = ("tionsh.example.net", "blog.tionble.example.com/en/9")
 URLS = [
     None, "", "nonsense", "http://EXAMPLE.org/es/x", "http://a.example.org/en/17?q", "http://example.org", "http://example.org/", "https://x.com/fr/1#a", "https://x.com/de/1",
     "http://notexample.org/es/", "http://org/", "http://tionsh.example.net?x=1", "http://a.tionsh.example.net/", "http://blog.tionble.example.com/en/99", "http://é.org/a\nb", "http://" + "a." * 500 + "org/x",
@@ -27,11 +30,11 @@ URLS = [
 def test_against_brute_force(spark):
     rows = [(i, u) for i, u in enumerate(URLS * 2)]
     df = spark.createDataFrame(rows, "page_id long, url string").selectExpr("*", "'h' AS extra")
-    got = {r["page_id"]: r for r in uf.judge(df).collect()}
+    got = {r["page_id"]: r for r in uf.judge(df, listed=LISTED).collect()}
     for i, u in rows:
         host, path = host_path(u)
         rules = sorted(((len(k), k, v) for v, k in uf.RULES if fits(k, host, path)), reverse=True)
-        listed = any(fits(k, host, path) for k in uf.LISTED)
+        listed = any(fits(k, host, path) for k in LISTED)
         want = (host, path, rules[0][1] if rules else None, rules[0][2] if rules else "block" if listed else "allow")
         assert (got[i]["host"], got[i]["path"], got[i]["rule"], got[i]["verdict"]) == want
     assert uf.judge(df.limit(0)).count() == 0
@@ -44,3 +47,22 @@ def test_cascade_is_exact(spark):
     assert len(cascade.levels) > 1
     assert {r["key"] for r in universe.filter(cascade.holds(F.col("key"))).collect()} == set(listed)
     assert universe.filter(uf.Cascade.build([], universe, 1).holds(F.col("key"))).count() == 0
+
+
+def test_a_list_of_a_hundred_thousand_keys(spark):
+    """A corpus of 320,000 hosts, of which the list takes the 100,000 with the smallest digests; verdicts by anti join."""
+    n, most = 320_000, 100_000
+    pages = spark.range(n).select(F.col("id").alias("page_id"), F.concat(F.lit("http://H"), F.col("id").cast("string"), F.when(F.col("id") % 3 == 0, ".net/de/x").otherwise(".net?q")).alias("url"))
+    listed = uf.listed_hosts(pages, below="8", most=most)
+    assert len(listed) == most
+    got = uf.judge(pages, listed=listed)
+    hosts = spark.createDataFrame([(h,) for h in listed], "host string")
+    blocked = got.filter("verdict = 'block'")
+    assert blocked.count() == most and blocked.join(hosts, "host", "left_anti").count() == 0
+
+
+def test_stand_in_list(spark):
+    df = spark.createDataFrame([(i, f"http://h{i}.org/a") for i in range(400)] + [(400, None), (401, "x")], "page_id long, url string")
+    hosts = sorted((f"h{i}.org" for i in range(400)), key=lambda h: hashlib.md5(h.encode()).hexdigest())
+    assert uf.listed_hosts(df) == [h for h in hosts if hashlib.md5(h.encode()).hexdigest() < "1"]
+    assert uf.listed_hosts(df, most=3) == hosts[:3] and uf.listed_hosts(df.limit(0)) == []

@@ -6,9 +6,10 @@ total sizes over their sum is its only feature. A logistic curve, fitted on labe
 see and weighted to the label counts of the whole table, turns it into a probability.
 
 The fit uses a bounded sample: `per_class` labelled documents a class, chosen by a hash of doc_id, and `pieces` pieces a
-class. Scoring covers every byte of every text. Defined cases: a null or empty text has difference 0; without two
-classes of labels every score is the share of label 1 (0.5 without any label); repeated rows score alike; null labels
-and null ids are not learnt from.
+class; the fit reads the documents once. Scoring covers every byte of every text. Defined cases: a null or empty text has
+difference 0; without two classes of labels every score is the share of label 1 (0.5 without any label); repeated rows
+score alike; null labels, null ids and documents that bear both labels are not learnt from; of rows that repeat a doc_id
+the smallest text is; a score of exactly 0.5 counts as good.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vellum.llm.common import stash
+
 
 @dataclass
 class Settings:
@@ -100,15 +103,17 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings | None = None) ->
     """docs(doc_id, text) and labels(doc_id, quality 0/1), the latter already cut to what may be learnt from."""
     s = settings or Settings()
     known = labels.select("doc_id", F.col("quality").cast("int").alias("q")).filter("doc_id is not null and q in (0, 1)")
+    known = known.groupBy("doc_id").agg(F.min("q").alias("q"), F.max("q").alias("other")).filter("q = other").select("doc_id", "q")
     n = {r["q"]: r["n"] for r in known.groupBy("q").agg(F.count("*").alias("n")).collect()}
     if len(n) < 2:
         share = 0.5 if not n else float(1 in n)
         return Model(s, bias=60.0 * (2 * share - 1))
     order = F.xxhash64("doc_id", F.lit(20))
-    some = [known.filter(F.col("q") == q).distinct().orderBy(order, "doc_id").limit(s.per_class) for q in (0, 1)]
+    some = [known.filter(F.col("q") == q).orderBy(order, "doc_id").limit(s.per_class) for q in (0, 1)]
     picked = some[0].unionByName(some[1]).withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit(21)), F.lit(2)))
-    # at most 2 * per_class rows: safe to broadcast
-    texts = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("q", "fold", F.coalesce("text", F.lit("")).alias("t"))
+    # at most 2 * per_class rows: safe to broadcast; one text for each, so that as many differences come back at most
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("t")).join(F.broadcast(picked), "doc_id")
+    texts = stash(texts.groupBy("doc_id", "q", "fold").agg(F.min("t").alias("t")), "labelled")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -2,16 +2,19 @@
 
 Size is counted in words. The sources' targets share the total size by weight; none goes above `most` times its source's
 size, and what they can't take is shared again by weight until none is above (water filling, solved in one sorted pass
-over the sources). A source whose target is r times its size takes every document floor(r) times for certain; the rest
-is sampled: with inclusion probability p = r - floor(r) and the document's own random number u, documents rank by
-(u / (1 - u)) / (p / (1 - p)), random odds over inclusion odds, and are taken in that order while their words fit. The
-sample's size is fixed in words. Because whole documents seldom fill it, more passes in the same order give what is
-left to documents that still fit, until none does; each takes one at least and shuts out the one it stopped at.
-
-Prefix sums run over buckets of the rank, first between buckets, then within each, so a source that holds most rows is
-spread over many tasks. u is a digest of the doc_id, so reruns agree. Defined cases: null texts have size 0 and are
-taken for nothing; the null source comes last by code point; rows that repeat a doc_id are drawn one by one in a fixed
-order; an empty table gives no rows.
+over one row a source). A source whose target is r times its size takes every document floor(r) times for certain. What
+is left, R words, is sampled with probabilities in proportion to size: p = min(1, c * size), with c such that the
+expected words are R; documents with p = 1 are certain. With its own random number u, a document ranks by
+(u / (1 - u)) / (p / (1 - p)), random odds over inclusion odds, and documents are taken in that order as long as each
+brings the sum nearer to R, the last one even if it oversteps R. The sample's size is fixed in words. Because whole
+documents seldom meet it, more passes in the same order take what still brings the sum nearer, until nothing does; each
+takes one document at least.
+
+c comes from one sorted pass over the distinct sizes of a source. Prefix sums run over buckets of the rank, first
+between buckets, then within each, so a source that holds most rows is spread over many tasks. u is a digest of the
+doc_id, so reruns agree. Defined cases: null texts have size 0 and are taken for nothing; the null source comes last by
+code point; rows that repeat a doc_id are drawn one by one in a fixed order, equal ranks by doc_id and size; a very long
+text is certain or never brings the sum nearer; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -20,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from vellum.llm.common import stash
+from vellum.llm.common import BROADCAST_ROWS, stash
 
 WEIGHTS = (5, 2, 1)
 MOST = 3
@@ -56,6 +59,20 @@ def random_unit(doc_id: str = "doc_id"):
     return (F.conv(F.substring(digest, 1, 12), 16, 10).cast("double") + 0.5) / F.lit(float(1 << 48))
 
 
+def slopes(rows: DataFrame, quota: DataFrame) -> DataFrame:
+    """(k, c): the factor that makes min(1, c * size) expect left_words words, by source.
+
+    If documents longer than t are certain, c = (left_words - their words) / the other documents' sum of squares; t is
+    the largest size at which that gives no more than 1."""
+    per = rows.filter("size > 0").groupBy("k", "size").agg(F.count("*").alias("n")).join(quota.select("k", "left_words"), "k")
+    longer = W.partitionBy("k").orderBy(F.col("size").desc()).rowsBetween(W.unboundedPreceding, -1)
+    others = W.partitionBy("k").orderBy(F.col("size")).rowsBetween(W.unboundedPreceding, 0)
+    words, squares = (F.col("size") * F.col("n")).cast("double"), F.col("size").cast("double") * F.col("size") * F.col("n")
+    per = per.withColumns({"above": F.coalesce(F.sum(words).over(longer), F.lit(0.0)), "squares": F.sum(squares).over(others)})
+    per = per.withColumn("c", (F.col("left_words") - F.col("above")) / F.col("squares"))
+    return per.filter((F.col("c") >= 0) & (F.col("c") * F.col("size") <= 1)).groupBy("k").agg(F.max_by("c", "size").alias("c"))
+
+
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, carry: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, size, source_size, target, copies, taken) for every row of docs(doc_id, text, source); carry adds columns."""
     thin = docs.select("doc_id", "source", size_of().alias("size"), *carry)
@@ -64,29 +81,35 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, c
     key = lambda c: F.coalesce(F.concat(F.lit("s"), F.col(c)), F.lit("n"))  # noqa: E731  the null source joins as a key of its own
     quota = stash(quota.select(key("source").alias("k"), "source_size", "target"), "targets")
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    quota = quota.withColumn("sure", F.floor(ratio).cast("long")).withColumn("p", ratio - F.floor(ratio))
+    quota = quota.withColumn("sure", F.floor(ratio).cast("long"))
     quota = quota.withColumn("left_words", F.col("target") - F.col("sure") * F.col("source_size"))
-    rank = (F.col("u") / (1 - F.col("u"))) / (F.col("p") / (1 - F.col("p")))
-    rows = thin.withColumn("bucket", F.floor(F.col("u") * BUCKETS).cast("int")).withColumn("k", key("source"))
-    # rows of one source spread over BUCKETS keys; what is joined has one row for each
-    spread = quota.select("k", "source_size", "target", "sure", "p", "left_words", F.explode(F.sequence(F.lit(0), F.lit(BUCKETS - 1))).alias("bucket"))
-    rows = rows.join(spread, ["k", "bucket"])
-    rows = rows.withColumn("rank", F.when(F.col("p") > 0, rank)).withColumns({"picked": F.lit(0), "room": F.col("left_words")})
+    rows = thin.withColumn("k", key("source"))
+    quota = quota.join(slopes(rows, quota), "k", "left").withColumn("mean", F.col("left_words") / F.nullif(F.col("source_size"), F.lit(0)))
+    # one row a source: broadcast only if counted to be few
+    quota = stash(quota, "quotas")
+    rows = rows.join(F.broadcast(quota) if quota.count() <= BROADCAST_ROWS else quota, "k")
+    p = F.least(F.lit(1.0), F.col("c") * F.col("size"))
+    odds = lambda x: x / (1 - x)
+    rank = F.when(p >= 1, F.lit(0.0)).when(p > 0, odds(F.col("u")) / odds(p))
+    # where all probabilities are equal, this is u again: an even spread
+    even = F.col("rank") * odds(F.col("mean"))
+    rows = rows.withColumn("rank", rank).withColumn("bucket", F.least(F.floor(F.coalesce(even / (1 + even), F.col("u")) * BUCKETS), F.lit(BUCKETS - 1)).cast("int"))
+    rows = rows.drop("c", "mean").withColumns({"picked": F.lit(0), "room": F.col("left_words")})
     inside = W.partitionBy("k", "bucket").orderBy(F.col("rank"), F.col("doc_id"), F.col("size")).rowsBetween(W.unboundedPreceding, 0)
-    open_ = (F.col("picked") == 0) & F.col("rank").isNotNull() & (F.col("size") <= F.col("room"))
+    open_ = (F.col("picked") == 0) & F.col("rank").isNotNull() & (F.col("size") / 2 < F.col("room"))
     while True:
         rows = rows.withColumn("ask", F.when(open_, F.col("size")).otherwise(F.lit(0)))
         sums = rows.groupBy("k", "bucket").agg(F.sum("ask").alias("asked"))
         up_to = W.partitionBy("k").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
         sums = sums.select("k", "bucket", F.coalesce(F.sum("asked").over(up_to), F.lit(0)).alias("earlier"))
         rows = rows.join(sums, ["k", "bucket"])
-        fits = open_ & (F.col("earlier") + F.sum("ask").over(inside) <= F.col("room"))
+        fits = open_ & (F.col("earlier") + F.sum("ask").over(inside) - F.col("size") / 2 <= F.col("room"))
         rows = rows.withColumn("picked", F.when(fits, 1).otherwise(F.col("picked"))).drop("ask", "earlier")
         got = rows.groupBy("k", "bucket").agg(F.sum(F.when(F.col("picked") == 1, F.col("size")).otherwise(0)).alias("g"))
         got = got.groupBy("k").agg(F.sum("g").alias("got"))
         got = got.select("k", "got", F.explode(F.sequence(F.lit(0), F.lit(BUCKETS - 1))).alias("bucket"))
         rows = stash(rows.join(got, ["k", "bucket"]).withColumn("room", F.col("left_words") - F.col("got")).drop("got"), "drawn")
-        if rows.filter(open_ & (F.col("size") > 0)).isEmpty():
+        if rows.filter(open_).isEmpty():
             break
     copies = F.col("sure") + F.col("picked")
     return rows.select("doc_id", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"), *carry)

@@ -25,19 +25,26 @@ v AS (SELECT *, sum(w) OVER () AS all_w,
 x AS (SELECT *, cap / w < (total - cap_before) / (all_w - w_before) AS is_full FROM v),
 y AS (SELECT *, coalesce(sum(cap) FILTER (is_full) OVER (), 0) AS cap_full, coalesce(sum(w) FILTER (is_full) OVER (), 0) AS w_full FROM x),
 q AS (SELECT source, source_size, CASE WHEN is_full THEN cap ELSE least(cap, (total - cap_full) * w / nullif(all_w - w_full, 0)) END AS target FROM y),
-r AS (SELECT *, CAST(floor(CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END) AS BIGINT) AS sure,
-  CASE WHEN source_size > 0 THEN target / source_size - floor(target / source_size) ELSE 0 END AS p FROM q),
-a0 AS (SELECT d.doc_id, d.size, r.source, source_size, target, sure, target - sure * source_size AS room0,
-  CASE WHEN p > 0 THEN (u / (1 - u)) / (p / (1 - p)) END AS rank FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source),
-a1 AS (SELECT *, rank IS NOT NULL AND size <= room0 AND sum(CASE WHEN rank IS NOT NULL AND size <= room0 THEN size ELSE 0 END)
-  OVER (PARTITION BY source ORDER BY rank NULLS FIRST, doc_id NULLS FIRST, size ROWS UNBOUNDED PRECEDING) <= room0 AS t1 FROM a0),
-b1 AS (SELECT *, room0 - sum(CASE WHEN t1 THEN size ELSE 0 END) OVER (PARTITION BY source) AS room1 FROM a1),
-a2 AS (SELECT *, rank IS NOT NULL AND NOT t1 AND size <= room1 AND sum(CASE WHEN rank IS NOT NULL AND NOT t1 AND size <= room1 THEN size ELSE 0 END)
-  OVER (PARTITION BY source ORDER BY rank NULLS FIRST, doc_id NULLS FIRST, size ROWS UNBOUNDED PRECEDING) <= room1 AS t2 FROM b1),
-b2 AS (SELECT *, room1 - sum(CASE WHEN t2 THEN size ELSE 0 END) OVER (PARTITION BY source) AS room2 FROM a2),
-a3 AS (SELECT *, rank IS NOT NULL AND NOT t1 AND NOT t2 AND size <= room2 AND sum(CASE WHEN rank IS NOT NULL AND NOT t1 AND NOT t2 AND size <= room2 THEN size ELSE 0 END)
-  OVER (PARTITION BY source ORDER BY rank NULLS FIRST, doc_id NULLS FIRST, size ROWS UNBOUNDED PRECEDING) <= room2 AS t3 FROM b2)
-SELECT doc_id, size, source_size, target, CAST((sure + CASE WHEN t1 OR t2 OR t3 THEN 1 ELSE 0 END) * size AS BIGINT) AS taken FROM a3
+r AS (SELECT *, CAST(floor(CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END) AS BIGINT) AS sure FROM q),
+r2 AS (SELECT *, target - sure * source_size AS room0 FROM r),
+e AS (SELECT source, size, count(*) AS n FROM d WHERE size > 0 GROUP BY ALL),
+g AS (SELECT e.source, e.size, (room0 - coalesce(sum(CAST(size * n AS DOUBLE)) OVER (PARTITION BY e.source ORDER BY size DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+  / sum(CAST(size AS DOUBLE) * size * n) OVER (PARTITION BY e.source ORDER BY size ROWS UNBOUNDED PRECEDING) AS c FROM e JOIN r2 ON e.source IS NOT DISTINCT FROM r2.source),
+h AS (SELECT source, max_by(c, size) AS c FROM g WHERE c >= 0 AND c * size <= 1 GROUP BY 1),
+i AS (SELECT d.doc_id, d.size, d.u, r2.source, source_size, target, sure, room0, least(1.0::DOUBLE, h.c * d.size) AS p
+  FROM d JOIN r2 ON d.source IS NOT DISTINCT FROM r2.source LEFT JOIN h ON d.source IS NOT DISTINCT FROM h.source),
+a0 AS (SELECT *, CASE WHEN p >= 1 THEN 0.0::DOUBLE WHEN p > 0 THEN (u / (1 - u)) / (p / (1 - p)) END AS rank, false AS t0 FROM i)"""
+
+#: Passes of the check; further ones would take nothing from the supplied tables.
+OP6_PASSES = 8
+for _n in range(1, OP6_PASSES + 1):
+    _ask = f"CASE WHEN NOT t{_n - 1} AND rank IS NOT NULL AND size / 2.0::DOUBLE < room THEN size ELSE 0 END"
+    OP6 += f""",
+b{_n} AS (SELECT *, room0 - sum(CASE WHEN t{_n - 1} THEN size ELSE 0 END) OVER (PARTITION BY source) AS room FROM a{_n - 1}),
+a{_n} AS (SELECT * EXCLUDE (room, t{_n - 1}), t{_n - 1} OR ({_ask} > 0 AND sum({_ask}) OVER (PARTITION BY source ORDER BY rank NULLS FIRST, doc_id NULLS FIRST, size
+  ROWS UNBOUNDED PRECEDING) - size / 2.0::DOUBLE <= room) AS t{_n} FROM b{_n})"""
+OP6 += f"""
+SELECT doc_id, size, source_size, target, CAST((sure + CASE WHEN t{OP6_PASSES} THEN 1 ELSE 0 END) * size AS BIGINT) AS taken FROM a{OP6_PASSES}
 """
 
 OP8 = f"""
@@ -52,14 +59,14 @@ FROM m GROUP BY r, doc_id
 """
 
 
-def op7(rules, listed) -> str:
+def op7(rules, share: str, most: int) -> str:
     cut = lambda k: (k.partition("/")[0], "/" + k.partition("/")[2] if "/" in k else "")
-    rows = [(v, k, *cut(k), 1) for v, k in rules] + [("block", k, *cut(k), 2) for k in listed]
-    values = ", ".join(f"('{v}', '{k}', '{h}', '{p}', {t})" for v, k, h, p, t in rows)
+    values = ", ".join(f"('{v}', '{k}', '{h}', '{p}', 1)" for v, k, h, p in ((v, k, *cut(k)) for v, k in rules))
     return rf"""
-WITH rules(verdict, key, h, p, tier) AS (VALUES {values}),
-u AS (SELECT page_id, translate(coalesce(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'), ''), {AZ}) AS host,
+WITH u AS (SELECT page_id, translate(coalesce(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'), ''), {AZ}) AS host,
   coalesce(regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's'), '') AS path, row_number() OVER () AS n FROM pages),
+listed AS (SELECT host FROM (SELECT DISTINCT host FROM u WHERE host <> '') WHERE substr(md5(host), 1, {len(share)}) < '{share}' ORDER BY md5(host) LIMIT {most}),
+rules(verdict, key, h, p, tier) AS (VALUES {values} UNION ALL SELECT 'block', host, host, '', 2 FROM listed),
 m AS (SELECT u.*, r.verdict, r.key, r.tier, row_number() OVER (PARTITION BY u.n ORDER BY r.tier, length(r.key) DESC, length(r.h) DESC) AS i
   FROM u LEFT JOIN rules r ON u.host <> '' AND (u.host = r.h OR ends_with(u.host, '.' || r.h)) AND starts_with(u.path, r.p))
 SELECT page_id, host, path, CASE WHEN tier = 1 THEN key END AS rule, coalesce(verdict, 'allow') AS verdict FROM m WHERE i = 1

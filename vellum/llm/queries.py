@@ -80,6 +80,6 @@ ORACLES: dict[str, str] = {
     "op4_trigram_secrets": oracles.op4(secret_scan.BASE + secret_scan.ADDED, len(secret_scan.BASE)),
     "op5_warc_round_trip": oracles.OP5,
     "op6_pareto_mixing": oracles.OP6,
-    "op7_url_cascade": oracles.op7(url_filter.RULES, url_filter.LISTED),
+    "op7_url_cascade": oracles.op7(url_filter.RULES, url_filter.LISTED_BELOW, url_filter.LISTED_MOST),
     "op8_line_dedup": oracles.OP8,
 }

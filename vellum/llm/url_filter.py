@@ -9,7 +9,8 @@ Level 1 encodes the listed keys. The universe's false positives there are encode
 level 2 by level 3, and so on until a level has no false positives. A key of the universe is then listed exactly when the
 first level that it fails is an even one (or it passes all of an odd number): membership is exact and costs no join.
 
-The listed keys are a parameter of at most MAX_KEYS strings. Level 1 gets as many bits as make the expected false
+The listed keys are a parameter of at most MAX_KEYS strings; a longer list is refused, as its filters would no longer be
+small beside a task: split it and judge once for each part. Level 1 gets as many bits as make the expected false
 positives no more than the keys, and is enlarged until the counted ones are at most FALSE_PER_KEY times the keys, before
 any of them come to the driver: filters and what builds them stay in proportion to the list, whatever the corpus's size.
 
@@ -41,8 +42,9 @@ RULES = (
     ("block", "com/de/"),
 )
 
-#: Hosts that the production filter blocks where no rule fits; a stand-in for a bought list.
-LISTED = ("tionsh.example.net", "m.tiontion.example.com", "ththan.example.net", "ththon.example.com", "therin.example.net", "blog.tionble.example.com/en/9")
+#: The production list of blocked hosts, a stand-in for a bought one: of the corpus's hosts those whose MD5 begins below
+#: LISTED_BELOW, one in sixteen, and at most LISTED_MOST of them, the smallest digests first.
+LISTED_BELOW, LISTED_MOST = "1", 100_000
 
 
 def host_of(url: str) -> Column:
@@ -53,6 +55,13 @@ def path_of(url: str) -> Column:
     return F.coalesce(F.regexp_extract(F.col(url), r"(?s)^.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
+def listed_hosts(pages: DataFrame, url: str = "url", below: str = LISTED_BELOW, most: int = LISTED_MOST) -> list[str]:
+    """The stand-in list; its size is bounded by `most`."""
+    hosts = pages.select(host_of(url).alias("host")).filter("host <> ''").distinct().withColumn("digest", F.md5("host"))
+    hosts = hosts.filter(F.substring("digest", 1, len(below)) < below).orderBy("digest").limit(most)
+    return [r["host"] for r in hosts.select("host").collect()]
+
+
 def split_key(key: str) -> tuple[str, str]:
     host, slash, path = key.partition("/")
     return host, slash + path
@@ -98,20 +107,17 @@ class Level:
         return all(self.words[at // 32] >> (at % 32) & 1 for at in self._spots(h))
 
     def test(self, hashes: list[Column]) -> Column:
-        table = F.expr(f"cast(split('{','.join(map(str, self.words))}', ',') as array<bigint>)")  # folded to a literal
+        table = F.lit(b"".join(w.to_bytes(4, "little") for w in self.words))  # one binary literal
         a, b = (F.pmod(h, F.lit(self.bits).cast("long")) for h in hashes)
         found = None
         for i in range(HASHES):
             at = F.pmod(a + b * i, F.lit(self.bits).cast("long"))
-            bit = F.get(table, F.shiftright(at, 5).cast("int")).bitwiseAND(F.get(_powers(), (at % 32).cast("int"))) != 0
+            byte = F.ascii(F.decode(F.substring(table, (F.shiftright(at, 3) + 1).cast("int"), F.lit(1)), "ISO-8859-1"))
+            bit = F.call_function("shiftright", byte, (at % 8).cast("int")).bitwiseAND(F.lit(1)) != 0
             found = bit if found is None else found & bit
         return found
 
 
-def _powers() -> Column:
-    return F.expr("cast(split('" + ",".join(str(1 << i) for i in range(32)) + "', ',') as array<bigint>)")
-
-
 @dataclass
 class Cascade:
     levels: list[Level]
@@ -130,13 +136,14 @@ class Cascade:
         share = min(0.5, len(keys) / max(1, size))
         while True:
             first = Level.of(sorted(keys), share)
-            passing = universe.filter(first.test(_hashes(F.col("key"))) & ~F.col("key").isin(listed)).select("key").distinct()
-            bound = FALSE_PER_KEY * len(keys) + 1000
-            got = passing.select(*[h.alias(f"h{i}") for i, h in enumerate(_hashes(F.col("key")))]).limit(bound + 1).collect()
+            passing = universe.filter(first.test(_hashes(F.col("key")))).select("key").distinct()
+            bound = (FALSE_PER_KEY + 1) * len(listed) + 1000  # listed keys of the universe pass too
+            got = passing.select("key", *[h.alias(f"h{i}") for i, h in enumerate(_hashes(F.col("key")))]).limit(bound + 1).collect()
             if len(got) <= bound:  # all of them, then
                 break
             share /= 4
-        inside, outside = keys, {(r["h0"], r["h1"]) for r in got}
+        own = set(listed)
+        inside, outside = keys, {(r["h0"], r["h1"]) for r in got if r["key"] not in own}
         if inside & outside:
             raise ValueError("two keys share both 64-bit hashes")
         levels = [first]
@@ -162,10 +169,12 @@ def _longest(found: Column) -> Column:
     return F.array_max(ranked)["k"]
 
 
-def judge(pages: DataFrame, url: str = "url", rules: Sequence[tuple[str, str]] = RULES, listed: Sequence[str] = LISTED) -> DataFrame:
+def judge(pages: DataFrame, url: str = "url", rules: Sequence[tuple[str, str]] = RULES, listed: Sequence[str] | None = None) -> DataFrame:
     """pages' own columns with host, path, rule, listed_as and verdict.
 
-    A fitting rule decides, the longest first; where none fits, a URL on the list is blocked and any other allowed."""
+    A fitting rule decides, the longest first; where none fits, a URL on the list is blocked and any other allowed. The
+    list is that of listed_hosts() unless given."""
+    listed = listed_hosts(pages, url) if listed is None else listed
     keys = [k for _, k in rules]
     rows = pages.withColumn("host", host_of(url)).withColumn("path", path_of(url))
     asks = [candidates("host", "path", some) for some in (keys, list(listed))]
