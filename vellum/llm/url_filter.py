@@ -30,6 +30,8 @@ from pyspark.sql import functions as F
 MAX_KEYS = 1_000_000
 FALSE_PER_KEY = 4
 HASHES = 3
+#: Share of other keys that pass a level after the first.
+LATER_SHARE = 1 / 16
 SEEDS = (101, 202)
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -90,9 +92,11 @@ class Level:
     words: list[int]
 
     @classmethod
-    def of(cls, hashes: Sequence[tuple[int, int]], share: float) -> Level:
-        """A filter for these key hashes that about this share of other keys passes."""
-        bits = max(64, math.ceil(-HASHES * max(1, len(hashes)) / math.log(1 - share ** (1 / HASHES))))
+    def of(cls, hashes: Sequence[tuple[int, int]], share: float, number: int = 0) -> Level:
+        """A filter for these key hashes that about this share of other keys passes.
+
+        Levels of different numbers differ in size, so that two keys don't meet in all spots of each."""
+        bits = (max(64, math.ceil(-HASHES * max(1, len(hashes)) / math.log(1 - share ** (1 / HASHES)))) | 1) + 2 * number
         level = cls(bits, [0] * (bits // 32 + 1))
         for h in hashes:
             for at in level._spots(h):
@@ -148,7 +152,7 @@ class Cascade:
             raise ValueError("two keys share both 64-bit hashes")
         levels = [first]
         while outside:
-            levels.append(Level.of(sorted(outside), 0.5))
+            levels.append(Level.of(sorted(outside), LATER_SHARE, len(levels)))
             inside, outside = outside, {h for h in inside if levels[-1].has(h)}
         return cls(levels)
 
