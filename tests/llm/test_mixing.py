@@ -61,16 +61,20 @@ def test_against_a_plain_draw(spark, docs_of):
             if p > 0:
                 order.append((0.0 if p >= 1 else (u / (1 - u)) / (p / (1 - p)), i, n))
         taken, left = [], sorted(order)
-        while any(n / 2 < room - sum(x[2] for x in taken) for _, _, n in left):
+        while any(n <= room - sum(x[2] for x in taken) for _, _, n in left):
             now, before, rest = room - sum(x[2] for x in taken), 0, []
             for x in left:
-                if x[2] / 2 < now:
+                if x[2] <= now:
                     before += x[2]
-                    if before - x[2] / 2 <= now:
+                    if before <= now:
                         taken.append(x)
                         continue
                 rest.append(x)
             left = rest
+        last = min([(n, r, i) for r, i, n in left if n / 2 < room - sum(x[2] for x in taken)], default=None)
+        if last:
+            left.remove((last[1], last[2], last[0]))
+            taken.append((last[1], last[2], last[0]))
         want = sorted([(i, n, sure + 1) for _, i, n in taken] + [(i, n, sure) for _, i, n in left] + [(i, n, sure) for i, n, _ in mine if c * n <= 0])
         assert mine == want
         off = abs(sum(n * k for _, n, k in mine) - target)

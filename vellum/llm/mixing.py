@@ -5,16 +5,16 @@ size, and what they can't take is shared again by weight until none is above (wa
 over one row a source). A source whose target is r times its size takes every document floor(r) times for certain. What
 is left, R words, is sampled with probabilities in proportion to size: p = min(1, c * size), with c such that the
 expected words are R; documents with p = 1 are certain. With its own random number u, a document ranks by
-(u / (1 - u)) / (p / (1 - p)), random odds over inclusion odds, and documents are taken in that order as long as each
-brings the sum nearer to R, the last one even if it oversteps R. The sample's size is fixed in words. Because whole
-documents seldom meet it, more passes in the same order take what still brings the sum nearer, until nothing does; each
-takes one document at least.
+(u / (1 - u)) / (p / (1 - p)), random odds over inclusion odds, and documents are taken in that order while their words
+fit. The sample's size is fixed in words. Because whole documents seldom meet it, more passes in the same order give what
+is left to documents that still fit, until none does; each takes one document at least. At last the shortest one that is
+left is taken too if that brings the sum nearer to R than it is.
 
 c comes from one sorted pass over the distinct sizes of a source. Prefix sums run over buckets of the rank, first
 between buckets, then within each, so a source that holds most rows is spread over many tasks. u is a digest of the
 doc_id, so reruns agree. Defined cases: null texts have size 0 and are taken for nothing; the null source comes last by
 code point; rows that repeat a doc_id are drawn one by one in a fixed order, equal ranks by doc_id and size; a very long
-text is certain or never brings the sum nearer; an empty table gives no rows.
+text is certain or waits for room like any other; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -96,14 +96,15 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, c
     rows = rows.withColumn("rank", rank).withColumn("bucket", F.least(F.floor(F.coalesce(even / (1 + even), F.col("u")) * BUCKETS), F.lit(BUCKETS - 1)).cast("int"))
     rows = rows.drop("c", "mean").withColumns({"picked": F.lit(0), "room": F.col("left_words")})
     inside = W.partitionBy("k", "bucket").orderBy(F.col("rank"), F.col("doc_id"), F.col("size")).rowsBetween(W.unboundedPreceding, 0)
-    open_ = (F.col("picked") == 0) & F.col("rank").isNotNull() & (F.col("size") / 2 < F.col("room"))
+    waits = (F.col("picked") == 0) & F.col("rank").isNotNull()
+    open_ = waits & (F.col("size") <= F.col("room"))
     while True:
         rows = rows.withColumn("ask", F.when(open_, F.col("size")).otherwise(F.lit(0)))
         sums = rows.groupBy("k", "bucket").agg(F.sum("ask").alias("asked"))
         up_to = W.partitionBy("k").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
         sums = sums.select("k", "bucket", F.coalesce(F.sum("asked").over(up_to), F.lit(0)).alias("earlier"))
         rows = rows.join(sums, ["k", "bucket"])
-        fits = open_ & (F.col("earlier") + F.sum("ask").over(inside) - F.col("size") / 2 <= F.col("room"))
+        fits = open_ & (F.col("earlier") + F.sum("ask").over(inside) <= F.col("room"))
         rows = rows.withColumn("picked", F.when(fits, 1).otherwise(F.col("picked"))).drop("ask", "earlier")
         got = rows.groupBy("k", "bucket").agg(F.sum(F.when(F.col("picked") == 1, F.col("size")).otherwise(0)).alias("g"))
         got = got.groupBy("k").agg(F.sum("g").alias("got"))
@@ -111,5 +112,10 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, c
         rows = stash(rows.join(got, ["k", "bucket"]).withColumn("room", F.col("left_words") - F.col("got")).drop("got"), "drawn")
         if rows.filter(open_).isEmpty():
             break
+    nearer = rows.filter(waits & (F.col("size") / 2 < F.col("room"))).groupBy("k").agg(F.min(F.struct("size", "rank", "doc_id")).alias("last"))
+    rows = rows.join(F.broadcast(nearer) if quota.count() <= BROADCAST_ROWS else nearer, "k", "left")
+    is_last = waits & F.struct("size", "rank", "doc_id").eqNullSafe(F.col("last"))
+    first = W.partitionBy("k", "bucket").orderBy(F.when(is_last, 0).otherwise(1), F.col("rank"), F.col("doc_id"), F.col("size"))
+    rows = rows.withColumn("picked", F.when(is_last & (F.row_number().over(first) == 1), 1).otherwise(F.col("picked")))
     copies = F.col("sure") + F.col("picked")
     return rows.select("doc_id", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"), *carry)

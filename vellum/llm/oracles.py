@@ -38,13 +38,16 @@ a0 AS (SELECT *, CASE WHEN p >= 1 THEN 0.0::DOUBLE WHEN p > 0 THEN (u / (1 - u))
 #: Passes of the check; further ones would take nothing from the supplied tables.
 OP6_PASSES = 8
 for _n in range(1, OP6_PASSES + 1):
-    _ask = f"CASE WHEN NOT t{_n - 1} AND rank IS NOT NULL AND size / 2.0::DOUBLE < room THEN size ELSE 0 END"
+    _ask = f"CASE WHEN NOT t{_n - 1} AND rank IS NOT NULL AND size <= room THEN size ELSE 0 END"
     OP6 += f""",
 b{_n} AS (SELECT *, room0 - sum(CASE WHEN t{_n - 1} THEN size ELSE 0 END) OVER (PARTITION BY source) AS room FROM a{_n - 1}),
 a{_n} AS (SELECT * EXCLUDE (room, t{_n - 1}), t{_n - 1} OR ({_ask} > 0 AND sum({_ask}) OVER (PARTITION BY source ORDER BY rank NULLS FIRST, doc_id NULLS FIRST, size
-  ROWS UNBOUNDED PRECEDING) - size / 2.0::DOUBLE <= room) AS t{_n} FROM b{_n})"""
-OP6 += f"""
-SELECT doc_id, size, source_size, target, CAST((sure + CASE WHEN t{OP6_PASSES} THEN 1 ELSE 0 END) * size AS BIGINT) AS taken FROM a{OP6_PASSES}
+  ROWS UNBOUNDED PRECEDING) <= room) AS t{_n} FROM b{_n})"""
+OP6 += f""",
+y1 AS (SELECT *, room0 - sum(CASE WHEN t{OP6_PASSES} THEN size ELSE 0 END) OVER (PARTITION BY source) AS room FROM a{OP6_PASSES}),
+y2 AS (SELECT *, NOT t{OP6_PASSES} AND rank IS NOT NULL AND size / 2.0::DOUBLE < room AS nearer FROM y1),
+y3 AS (SELECT *, nearer AND row_number() OVER (PARTITION BY source ORDER BY nearer DESC, size, rank, doc_id NULLS FIRST) = 1 AS last FROM y2)
+SELECT doc_id, size, source_size, target, CAST((sure + CASE WHEN t{OP6_PASSES} OR last THEN 1 ELSE 0 END) * size AS BIGINT) AS taken FROM y3
 """
 
 OP8 = f"""
