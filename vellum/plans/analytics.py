@@ -26,8 +26,8 @@ def query(name: str):
 
 
 def left_days(d) -> str:
-    """Days to the deadline, paused days added; 99 without a date."""
-    return f"COALESCE({d.days(T, 'effective_due')}, 99)"
+    """Days to the deadline, paused days and those of a running pause added; 99 without a date."""
+    return f"COALESCE({d.days(T, 'effective_due')} + CASE WHEN clock_paused THEN greatest(0, {d.days('received', T)}) ELSE 0 END, 99)"
 
 
 def newest_first(d, day: str, where: str = "TRUE") -> str:
@@ -171,7 +171,7 @@ def _(d):
 def _(d):
     return """SELECT conv_id, turn, CONCAT('From: ', role, chr(10), 'To: desk', chr(10), CASE WHEN turn % 2 = 0 THEN CONCAT('Cc: copy', chr(10)) ELSE '' END,
   'Date: ', CAST(turn AS VARCHAR(20)), chr(10), 'Subject: ', substr(text, 1, 20), chr(10), chr(10), text,
-  CASE WHEN conv_id % 3 = 0 THEN CONCAT(chr(10), chr(10), 'Attachments: a.pdf') ELSE '' END) AS layout FROM conversations"""
+  CASE WHEN conv_id % 3 = 0 THEN CONCAT(chr(10), chr(10), 'Attachments:', chr(10), '  - a.pdf') ELSE '' END) AS layout FROM conversations"""
 
 
 @query("fn19_tag_strip")
@@ -627,12 +627,6 @@ s AS (SELECT username, t, SUM(CASE WHEN before IS NULL OR t - before >= 1800 THE
 SELECT username, {BIG("session")} AS session, {BIG("COUNT(*)")} AS events, MIN(t) AS first_t, MAX(t) AS last_t FROM s GROUP BY username, session"""
 
 
-@query("str03_presence")
-def _(d):
-    return f"""WITH {V.audit(d)}, m AS (SELECT MAX({d.seconds("ts")}) AS now FROM v_audit), h AS (SELECT target, username, MAX({d.seconds("ts")}) AS seen FROM v_audit GROUP BY 1, 2)
-SELECT target, {d.array_sorted_text("username")} AS viewers FROM h CROSS JOIN m WHERE now - seen < 90 * 60 AND username <> 'user7' GROUP BY target"""
-
-
 @query("str06_due_check")
 def _(d):
     return f"""WITH {V.audit(d)}, r AS (SELECT {d.seconds("ts")} AS t, {d.seconds("ts")} - LAG({d.seconds("ts")}) OVER (ORDER BY ts, event_id) AS gap FROM v_audit WHERE action = 'error' AND user_id = 5)
@@ -692,7 +686,7 @@ def _(d):
 
 @query("cls09_unscreened_pages")
 def _(d):
-    return f"WITH {V.candidate(d)} SELECT DISTINCT source_file, page_num FROM v_candidate WHERE page_num NOT IN (SELECT page_num FROM v_candidate WHERE supplier % 9 = 0)"
+    return f"WITH {V.candidate(d)} SELECT DISTINCT source_file, page_num FROM v_candidate c WHERE NOT EXISTS (SELECT 1 FROM v_candidate s WHERE s.page_num = c.page_num AND s.supplier % 9 = 0)"
 
 
 @query("cls10_enabled_categories")

@@ -99,7 +99,8 @@ def detect(pages: DataFrame, subject: classify.Subject, settings: Settings | Non
     found = found.withColumn("staff_hit", staff_hit & ~F.col("subject_hit"))
     excluded = F.col("subject_hit") | F.col("staff_hit")
     why = (
-        F.when(F.col("subject_hit"), F.lit("Matched data subject"))
+        F.when(F.col("subject_hit") & name, F.lit("Matched data subject"))
+        .when(F.col("subject_hit"), F.concat(F.lit("Matched data subject ("), F.col("category"), F.lit(")")))
         .when(F.col("staff_hit") & F.col("label_hit"), F.lit("Name in staff-labelled field (Practitioner/Author)"))
         .when(F.col("staff_hit") & F.col("here_hit"), F.lit("Name matched practitioner on this page"))
         .when(F.col("staff_hit"), F.lit("Matched staff list"))

@@ -8,11 +8,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vellum.functions import lexicons as L
+from vellum.operators import cases as C
 from vellum.operators import classify, dates, names, pii, redact, search
 from vellum.plans import analytics, detect
 from vellum.plans import views as V
 from vellum.plans.dialect import Duck
 from vellum.plans.dialect import Spark as SparkSql
+from vellum.streaming import audit
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 SUBJECT = classify.Subject("Emma Turner", "Emma", "Turner", "943 476 5919", "", "12 High Street, Guildford", "07700 900150", "", ("Em Turner",))
@@ -39,6 +41,44 @@ def planted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(f"WITH {V.planted(SparkSql())} SELECT * FROM v_planted")
 
 
+def of_cases(query: Callable[..., DataFrame], *views: str) -> Callable[[SparkSession, str], DataFrame]:
+    """A query that calls a case function on the bound views: v_case with its pauses, v_candidate."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        register(spark, sf_dir)
+        bound = []
+        for v in views:
+            made = {"v_case": V.case, "v_candidate": V.candidate}[v](SparkSql())
+            bound.append(spark.sql(f"WITH {made} SELECT *{', CASE WHEN clock_paused THEN received END AS paused_at' if v == 'v_case' else ''} FROM {v}"))
+        return query(*bound)
+
+    return run
+
+
+def presence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    register(spark, sf_dir)
+    events = spark.sql(f"WITH {V.audit(SparkSql())} SELECT event_id, ts, target, username FROM v_audit")
+    return audit.presence(events).select("event_id", F.concat_ws(",", "others").alias("others"))
+
+
+TODAY = lambda: F.expr(V.TODAY)
+CASE_QUERIES = {
+    "fn16_days_remaining": of_cases(lambda c: C.with_clock(c, TODAY()).select("id", "days_remaining"), "v_case"),
+    "fn15_live_paused_days": of_cases(lambda c: C.with_clock(c, TODAY()).select("id", F.col("live_paused_days").cast("long").alias("live")), "v_case"),
+    "agg01_case_summary": of_cases(lambda c, f: C.case_summary(c, f, TODAY()), "v_case", "v_candidate"),
+    "agg02_dashboard_cards": of_cases(lambda c: C.dashboard(c, TODAY()), "v_case"),
+    "agg03_urgency_strip": of_cases(lambda c: C.urgency(c, TODAY()), "v_case"),
+    "agg04_completion_split": of_cases(C.completion_split, "v_candidate"),
+    "agg05_turnaround_rows": of_cases(lambda c, f: C.turnaround(c, f, TODAY()), "v_case", "v_candidate"),
+    "agg06_turnaround_totals": of_cases(lambda c: C.turnaround_totals(c, TODAY()), "v_case"),
+    "agg07_monthly": of_cases(C.monthly, "v_case"),
+    "agg08_certificate_categories": of_cases(C.certificate_categories, "v_candidate"),
+    "agg09_certificate_exemptions": of_cases(C.certificate_exemptions, "v_candidate"),
+    "agg11_group_by_name": of_cases(C.by_name, "v_candidate"),
+    "agg12_review_progress": of_cases(C.review_progress, "v_candidate"),
+}
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents with their whole texts; a null text is empty."""
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
@@ -264,6 +304,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     **{f"doc_{n}": q for n, q in detections(documents, "documents").items()},
     "doc_det_k1_risk_flags": doc_det_k1_risk_flags,
     **{n: by_sql(n) for n in analytics.Q},
+    # functions over cases and findings, which the statements of the same names check
+    **CASE_QUERIES,
+    "str03_presence": presence,
 }
 
 _DIGITS = " + ".join(f"CAST(substr({_number_text(None)}, {i + 1}, 1) AS INT) * {10 - i}" for i in range(9))
@@ -301,4 +344,7 @@ SELECT email, 'auto_redact' AS status, count(*) AS n_docs, min(doc_id) AS first_
     "cls03_staff": f"WITH {V.planted(Duck())} SELECT doc_id, 'Mr ' || forename || ' ' || surname AS entity, (forename IN ('Peter', 'Sarah') OR surname IN ('Wright', 'Hughes')) AS staff FROM v_planted",
     **_name_checks(),
     **{n: q(Duck()) for n, q in analytics.Q.items()},
+    "str03_presence": f"""WITH {V.audit(Duck())} SELECT e.event_id, coalesce(string_agg(DISTINCT o.username, ',' ORDER BY o.username), '') AS others
+FROM v_audit e LEFT JOIN v_audit o ON o.target = e.target AND o.username <> e.username AND epoch_us(e.ts) - epoch_us(o.ts) BETWEEN 0 AND 90000000
+WHERE e.target IS NOT NULL GROUP BY e.event_id""",
 }

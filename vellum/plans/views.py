@@ -11,11 +11,11 @@ FORENAMES = ["Emma", "James", "Sarah", "Peter", "Laura", "Simon", "Helen", "Mark
 SURNAMES = ["Walker", "Hughes", "Patel", "Turner", "Evans", "Watson", "Harris", "Green", "Lewis", "Wright"]
 NUMBERS = ["943 476 5919", "943 476 5918", "401 023 2137", "987-654-4321", "9434765919", "123 456 7881", "450 557 7104", "111 111 1111"]
 LINES = [
-    "ACTIVE PROBLEMS reviewed and updated.",
-    "Blood Pressure 128/82 recorded at clinic. Referred by safeguarding lead after domestic abuse.",
-    "Diagnosis of Parkinson Disease confirmed by neurology. Tested for HIV and chlamydia.",
-    "MEDICATION, Aspirin 75mg od continued. Child at risk, neglect noted.",
-    "Colles Fracture noted on previous imaging, PrEP discussed; vulnerable adult.",
+    "PROBLEM LIST checked at this visit.",
+    "Pulse 72 and regular. Seen by safeguarding lead after domestic abuse.",
+    "Likely Parkinson Disease, scan awaited. Screened for HIV and chlamydia.",
+    "MEDICATION, Aspirin each morning. Child at risk, neglect suspected.",
+    "Healed Colles Fracture on film, PrEP offered; vulnerable adult.",
 ]
 
 
@@ -52,16 +52,16 @@ def planted_text(d) -> str:
     f, s = d.pick(FORENAMES, "doc_id % 10"), d.pick(SURNAMES, "(doc_id + 3) % 10")
     n, line = d.pick(NUMBERS, f"doc_id % {len(NUMBERS)}"), d.pick(LINES, f"doc_id % {len(LINES)}")
     templates = [
-        f"CONCAT('Discussed with daughter ', {f}, ' ', {s}, ' who attended with patient.')",
-        f"CONCAT('Letter received from Dr ', {s}, ' at the hospital.')",
-        f"CONCAT('Seen with wife Mrs ', {s}, ' today.')",
-        f"CONCAT('Re: ', upper({s}), ', ', {f}, ' - safeguarding review')",
-        f"CONCAT('Next of kin: ', upper({f}), ' ', upper({s}))",
-        f"CONCAT({f}, ' ', {s}, ' (Husband) reports symptoms worsening.')",
-        f"CONCAT('Dear Mr ', {s}, ', thank you for your letter.')",
-        f"CONCAT('Neighbour ', {f}, ' ', {s}, ' raised concerns about the patient.')",
-        f"CONCAT('Contacted carer ', {f}, ' regarding medication.')",
-        f"CONCAT('cc: ', {s}, ', ', {f}, ' (social worker)')",
+        f"CONCAT('Talked it over with daughter ', {f}, ' ', {s}, ' on the ward.')",
+        f"CONCAT('Reply awaited from Dr ', {s}, ' of the fracture team.')",
+        f"CONCAT('Came with wife Mrs ', {s}, ' this morning.')",
+        f"CONCAT('Re: ', upper({s}), ', ', {f}, ' - safeguarding meeting')",
+        f"CONCAT('Emergency contact: ', upper({f}), ' ', upper({s}))",
+        f"CONCAT({f}, ' ', {s}, ' (Husband) says the pain is worse.')",
+        f"CONCAT('Dear Mr ', {s}, ', many thanks for writing.')",
+        f"CONCAT('Neighbour ', {f}, ' ', {s}, ' phoned the surgery.')",
+        f"CONCAT('Rang carer ', {f}, ' about the tablets.')",
+        f"CONCAT('cc: ', {s}, ', ', {f}, ' (case worker)')",
     ]
     cases = " ".join(f"WHEN {i} THEN {t}" for i, t in enumerate(templates))
     day, month = "CAST(1 + doc_id % 31 AS VARCHAR(20))", d.pick(["January", "Feb", "march", "June", "Sept"], "doc_id % 5")

@@ -100,42 +100,49 @@ def read_docx(data: bytes) -> str:
 
 def mail_text(sender: str, to: str, cc: str, date: str, subject: str, body: str, attachments: list[str]) -> str:
     lines = [f"From: {sender}", f"To: {to}", *([f"Cc: {cc}"] if cc else []), f"Date: {date}", f"Subject: {subject}", "", body]
-    return "\n".join([*lines, "", "Attachments:", *[f"- {a}" for a in attachments]] if attachments else lines)
+    return "\n".join([*lines, "", "Attachments:", *[f"  - {a}" for a in attachments]] if attachments else lines)
 
 
 def read_mail(name: str, data: bytes) -> Iterator[tuple[str, str, str | None, str | None]]:
     """The message, then each attachment named after it."""
     m = message_from_bytes(data, policy=policy.default)
-    part = m.get_body(("plain",))
-    body = part.get_content() if part else re.sub(r"<[^>]+>", "", p.get_content()) if (p := m.get_body(("html",))) else ""
-    held = [(a.get_filename() or "attachment", a.get_payload(decode=True) or b"") for a in m.iter_attachments()]
-    yield name, "eml", mail_text(*(str(m.get(h, "")) for h in ("from", "to", "cc", "date", "subject")), body, [a for a, _ in held]), None
-    base, total = name.rsplit(".", 1)[0], 0
-    for file, content in held:
-        total += len(content)
-        if total > MAIL_BYTES:
-            return
-        if kind_of(file) in ALLOWED_TYPES:
+    body, listed, kept = "", [], []
+    for part in m.walk():
+        kind, attached, file = part.get_content_type(), part.get_content_disposition() == "attachment", part.get_filename()
+        if kind in ("text/plain", "text/html") and not attached and not body:
+            body = part.get_content() if kind == "text/plain" else re.sub(r"<[^>]+>", "", part.get_content())
+        elif attached or file:
+            file, content = file or "attachment", part.get_payload(decode=True) or b""
+            if len(content) > MAIL_BYTES:
+                listed.append(f"{file} (too large, not ingested)")
+                continue
+            listed.append(file)
+            if kind_of(file) in set(ALLOWED_TYPES) - {"zip", "eml", "msg"}:
+                kept.append((file, content))
+    yield name, "eml", mail_text(*(str(m.get(h, "")) for h in ("from", "to", "cc", "date", "subject")), body or "(no body)", listed), None
+    base = name.rsplit(".", 1)[0]
+    for file, content in kept:
+        try:
             yield from convert(f"{base}__att__{file}", content)
+        except Exception as e:  # noqa: BLE001  one bad attachment must not stop the others
+            yield f"{base}__att__{file}", kind_of(file), None, f"failed: {e}"
 
 
 def read_zip(data: bytes) -> Iterator[tuple[str, str, str | None, str | None]]:
     """Entries of allowed types within the limits; one that can't be read is skipped, of a message only the first row counts."""
     total = 0
     with zipfile.ZipFile(io.BytesIO(data)) as z:
-        files = [e for e in z.infolist() if not e.is_dir()]
+        files = [e for e in z.infolist() if not e.is_dir() and kind_of(e.filename.rsplit("/", 1)[-1]) in ALLOWED_TYPES]
         if len(files) > ZIP_ENTRIES:
             raise ValueError("too many entries")
         for e in files:
             total += e.file_size
             if e.file_size > ZIP_ENTRY_BYTES or total > ZIP_BYTES:
                 raise ValueError("archive too large")
-            name = e.filename.rsplit("/", 1)[-1]
-            if kind_of(name) in ALLOWED_TYPES:
-                try:
-                    yield next(iter(convert(name, z.read(e))))
-                except Exception:  # noqa: BLE001, S112
-                    continue
+            try:
+                yield next(iter(convert(e.filename.rsplit("/", 1)[-1], z.read(e))))
+            except Exception:  # noqa: BLE001, S112
+                continue
 
 
 def convert(name: str, data: bytes) -> Iterator[tuple[str, str, str | None, str | None]]:

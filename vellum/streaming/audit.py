@@ -8,13 +8,14 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from vellum.sources.stores import AUDIT
 
-# Fixed values of the throttle: failures, seconds.
-FAILURES, WINDOW = 5, 300
+# Failures and seconds of the throttle, seconds that a viewer counts as present.
+FAILURES, WINDOW, SEEN = 5, 300, 90
 
 
 def read_stream(spark: SparkSession, path: str, schema: str = AUDIT) -> DataFrame:
@@ -36,10 +37,23 @@ def idle_sessions(events: DataFrame, minutes: int = 30, late: str = "10 minutes"
     return out.select("username", F.col("w.start").alias("began"), F.col("w.end").alias("ends"), "events")
 
 
-def presence(events: DataFrame, seconds: int = 90, late: str = "10 minutes") -> DataFrame:
-    """Users seen on a target in each window of so many seconds."""
-    out = events.withWatermark("ts", late).groupBy(F.window("ts", f"{seconds} seconds").alias("w"), "target").agg(F.array_sort(F.collect_set("username")).alias("viewers"))
-    return out.select(F.col("w.start").alias("began"), "target", "viewers")
+def presence(events: DataFrame, seconds: int = SEEN) -> DataFrame:
+    """Each heartbeat with the others whose last one on the same target is at most so many seconds old; for tables."""
+    here = W.partitionBy("target").orderBy(F.unix_micros(F.col("ts").cast("timestamp"))).rangeBetween(-seconds * 1_000_000, W.currentRow)
+    others = F.array_sort(F.array_remove(F.collect_set("username").over(here), F.col("username")))
+    return events.filter("target is not null").withColumn("others", others)
+
+
+def last_seen(events: DataFrame) -> DataFrame:
+    """(target, username, seen): the last heartbeat of each viewer, for streams in update or complete mode; one row of state a viewer."""
+    return events.groupBy("target", "username").agg(F.max("ts").alias("seen"))
+
+
+def present(seen: DataFrame, now: str, asker: str, seconds: int = SEEN) -> DataFrame:
+    """The viewers of each target but the asker, at a moment, from what last_seen() tells."""
+    age = F.unix_micros(F.lit(now).cast("timestamp")) - F.unix_micros(F.col("seen").cast("timestamp"))
+    near = seen.filter((age <= seconds * 1_000_000) & (F.col("username") != asker))
+    return near.groupBy("target").agg(F.array_sort(F.collect_set("username")).alias("viewers"))
 
 
 def throttle_step(failures: list[float], now: float, ok: bool) -> tuple[list[float], int]:
