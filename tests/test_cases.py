@@ -73,7 +73,7 @@ def test_mail_limits(monkeypatch):
     m.make_mixed()
     m.add_attachment(b"12345678901", maintype="text", subtype="plain", filename="big.txt")
     m.add_attachment(b"small", maintype="text", subtype="plain", filename="n.txt")
-    m.add_attachment(b"x", maintype="message", subtype="x", filename="z.eml")
+    m.add_attachment(b"x", maintype="application", subtype="x", filename="z.eml")
     found = list(readers.read_mail("f.eml", bytes(m)))
     assert [f[0] for f in found] == ["f.eml", "f__att__n.txt"] and found[1][2] == "small"
     assert found[0][2].split("\n")[-6:] == ["(no body)", "", "Attachments:", "  - big.txt (too large, not ingested)", "  - n.txt", "  - z.eml"]
