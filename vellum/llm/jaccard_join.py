@@ -46,11 +46,11 @@ from vellum.llm.common import components, drop, join_with_hot_keys, stash
 U = np.uint64
 TINY = 2
 #: Signatures of one packed array at a receiver, and those that a task gathers before it sends.
-RANGE_SIGNATURES, HELD_SIGNATURES = 400_000, 3_000_000
+RANGE_SIGNATURES, HELD_SIGNATURES = 400_000, 1_000_000
 #: Members of one block, and of the small groups that a task takes together.
 BLOCK, TOGETHER = 1000, 2000
-#: Words' digests that a task remembers, and bytes of text hashed at a time.
-SEEN, CHUNK = 200_000, 1 << 20
+#: Words' digests that a task remembers, bytes of text hashed at a time, and sets whose signatures are made together.
+SEEN, CHUNK, SETS = 200_000, 1 << 18, 64
 GOLDEN = U(0x9E3779B97F4A7C15)
 
 
@@ -271,14 +271,14 @@ def packed_signatures(docs: DataFrame, ranges: int, s: Settings) -> DataFrame:
                     seen.add(key)
                     ids.append(doc)
                     sets.append(x)
-            sig, which = signatures(sets, bands)
-            if len(sig):
+            for at in range(0, len(sets), SETS):
+                sig, which = signatures(sets[at : at + SETS], bands)
                 held_sig.append(sig)
-                held_id.append(np.array(ids, dtype=np.int64)[which])
+                held_id.append(np.array(ids[at : at + SETS], dtype=np.int64)[which])
                 held += len(sig)
-            if held >= HELD_SIGNATURES:
-                yield flush()
-                held_sig, held_id, held = [], [], 0
+                if held >= HELD_SIGNATURES:
+                    yield flush()
+                    held_sig, held_id, held = [], [], 0
         if held:
             yield flush()
 

@@ -170,6 +170,13 @@ def pack(docs: DataFrame, tokenizer_path: str, longest: int = LONGEST, with_ids:
         context = TaskContext.get()
         task, count, encoder = (context.partitionId() if context else 0), 0, word_tokens(tokenizer_path)
         gc.disable()  # nothing here is cyclic, and the collector would walk the caches time and again
+        try:
+            yield from packed(batches, task, count, encoder)
+        finally:
+            gc.freeze()  # what is cached by now stays out of later collections in this worker
+            gc.enable()
+
+    def packed(batches: Iterator[pa.RecordBatch], task: int, count: int, encoder: WordTokens) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out: list[list] = [[] for _ in range(8 + with_ids)]
             for doc, ids_of in zip(b["doc_id"].to_pylist(), encoder.encode_all(b["text"]), strict=True):
