@@ -1,15 +1,35 @@
-"""Regular-expression matches with offsets, as pure column expressions.
+"""Regular-expression matches with offsets.
 
-Spark has no function that finds all matches with their places. Here a text is cut at its matches with two marks, and a
-fold over the pieces keeps the running offset: odd pieces are matches. Offsets are code points, ends exclusive."""
+Spark has no function that finds all matches with their places. `scan` hands whole texts in Arrow batches to a Python
+search: one pass for any number of patterns, linear in the matches. `find_all` and `find_inner` are column expressions for
+single patterns with few matches: a text is cut at its matches with two marks, and a fold over the pieces keeps the running
+offset, odd pieces being matches. Offsets are code points, ends exclusive."""
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable
+
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 OPEN, CLOSE = "\u0001", "\u0002"
 MATCH = "array<struct<s:int,e:int,text:string>>"
+ARROW = {"int": pa.int32(), "double": pa.float64(), "string": pa.string()}
+
+
+def ddl(fields: dict[str, str]) -> str:
+    return "array<struct<" + ",".join(f"{n}:{t}" for n, t in fields.items()) + ">>"
+
+
+def scan(source: Column, find: Callable[..., Iterable[tuple]], fields: dict[str, str]) -> Column:
+    """What a Python search finds in each value, tuples as array<struct<fields>>; nulls give an empty array."""
+    kind = pa.list_(pa.struct([pa.field(n, ARROW[t]) for n, t in fields.items()]))
+
+    def run(values: pa.Array) -> pa.Array:
+        return pa.array([list(find(v.as_py())) if v.is_valid else [] for v in values], type=kind)
+
+    return F.arrow_udf(run, returnType=ddl(fields))(source)
 
 
 def clean(text: Column) -> Column:

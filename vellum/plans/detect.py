@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import re
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -10,9 +11,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from vellum.functions import lexicons as L
-from vellum.functions.matching import normalize, snippet, strip_punctuation
+from vellum.functions.matching import normalize, scan, snippet
 from vellum.operators import classify, names, pii
 
+FINDING = {"stage": "int", **pii.FIELDS}
+PUNCTUATION = re.compile(r"""^[\s.,;:'"-]+|[\s.,;:'"-]+$""")
 SPAN = "struct<text:string,x0:double,y0:double,x1:double,y1:double,s:int,e:int>"
 
 
@@ -62,6 +65,17 @@ def needs_ocr(n_images: Column, text: Column) -> Column:
     return (n_images > 0) & (F.char_length(F.translate(text, " \n\t", "")) < 30)
 
 
+def findings(text: str, lexicon: L.NameLexicon, custom: Sequence[tuple[str, bool]]) -> Iterator[tuple]:
+    """Names without punctuation at their ends, then patterns, then custom phrases of one page."""
+    for _, s, e, name, confidence, reason in names.find_names(text, lexicon):
+        if bare := PUNCTUATION.sub("", name):
+            yield 0, 0, "person_name", s, e, bare, confidence, reason
+    for stage, found in ((1, pii.find_patterns(text)), (2, pii.find_custom(text, custom))):
+        for f in found:
+            if f[4]:
+                yield stage, *f
+
+
 def detect(pages: DataFrame, subject: classify.Subject, settings: Settings | None = None) -> DataFrame:
     """One row per finding of pages(doc_id, source_file, page_num, page_text[, spans][, ocr]).
 
@@ -72,22 +86,11 @@ def detect(pages: DataFrame, subject: classify.Subject, settings: Settings | Non
     rows = pages.withColumn("ocr", ocr).withColumn("spans", F.col("spans") if has_spans else F.array().cast(f"array<{SPAN}>"))
     text = F.col("page_text")
     rows = rows.withColumn("staff_here", classify.page_staff(text))
-    base = "struct<stage:int,ord:int,category:string,s:int,e:int,text:string,confidence:double,reason:string>"
-    as_name = lambda m: F.struct(
-        F.lit(0).alias("stage"), F.lit(0).alias("ord"), F.lit("person_name").alias("category"), m["s"].alias("s"), m["e"].alias("e"),
-        strip_punctuation(m["text"]).alias("text"), m["confidence"].alias("confidence"), m["reason"].alias("reason"),
-    ).cast(base)
-    staged = lambda n: lambda m: F.struct(F.lit(n).alias("stage"), *[m[c].alias(c) for c in ("ord", "category", "s", "e", "text", "confidence", "reason")]).cast(base)
-    every = F.concat(
-        F.transform(names.detect_names(text, st.lexicon), as_name),
-        F.transform(pii.detect_patterns(text), staged(1)),
-        F.transform(pii.custom_words(text, st.custom), staged(2)),
-    )
+    every = scan(text, lambda t: findings(t, st.lexicon, st.custom), FINDING)
     keys = ["doc_id", "source_file", "page_num"]
     found = rows.select(*keys, "page_text", "spans", "staff_here", "ocr", F.explode(every).alias("m")).select(
         *keys, "page_text", "spans", "staff_here", "ocr", "m.*"
     )
-    found = found.filter(F.col("text") != "")
     name, custom = F.col("stage") == 0, F.col("stage") == 2
     variants = classify.name_variants(F.col("text"))
     subject_hit = F.when(custom, F.lit(False)).when(name, F.exists(variants, lambda v: classify.is_subject(v, subject))).otherwise(classify.is_subject(F.col("text"), subject))
@@ -114,11 +117,13 @@ def detect(pages: DataFrame, subject: classify.Subject, settings: Settings | Non
     for c, pick in (("x0", F.array_min), ("y0", F.array_min), ("x1", F.array_max), ("y1", F.array_max)):
         found = found.withColumn(c, F.when(excluded, F.lit(0.0)).otherwise(box(F.col("spans"), F.col("s"), F.col("e"), c, pick)))
     found = found.filter(F.col("category").isin(list(st.enabled)) | F.col("status").startswith("excluded"))
+    # from here on no page text is needed: what is shuffled holds the finding and its surroundings only
+    found = found.withColumn("context", snippet(F.col("page_text"), F.col("s"), F.col("e"))).drop("page_text", "spans", "staff_here")
     first = W.partitionBy(*keys, "category", normalize(F.col("text"))).orderBy("stage", "ord", "s")
     found = found.withColumn("__n", F.row_number().over(first)).filter("__n = 1")
     return found.select(
         *keys, "stage", "ord", "s", "e", "text", "category", "status", "confidence", "x0", "y0", "x1", "y1", "reason",
-        snippet(F.col("page_text"), F.col("s"), F.col("e")).alias("context"), pii.risk_flags(F.col("text"), st.risk).alias("risk_flags"),
+        "context", pii.risk_flags(F.col("text"), st.risk).alias("risk_flags"),
     )
 
 
