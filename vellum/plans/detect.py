@@ -16,6 +16,7 @@ from vellum.operators import classify, names, pii
 
 FINDING = {"stage": "int", **pii.FIELDS}
 PUNCTUATION = re.compile(r"""^[\s.,;:'"-]+|[\s.,;:'"-]+$""")
+DETECTED = {"person_name", *pii.PLAIN, "safeguarding", "sexual_health", "custom_word"}
 SPAN = "struct<text:string,x0:double,y0:double,x1:double,y1:double,s:int,e:int>"
 
 
@@ -91,10 +92,31 @@ def detect(pages: DataFrame, subject: classify.Subject, settings: Settings | Non
     found = rows.select(*keys, "page_text", "spans", "staff_here", "ocr", F.explode(every).alias("m")).select(
         *keys, "page_text", "spans", "staff_here", "ocr", "m.*"
     )
+    for c, pick in (("x0", F.array_min), ("y0", F.array_min), ("x1", F.array_max), ("y1", F.array_max)):
+        found = found.withColumn(c, box(F.col("spans"), F.col("s"), F.col("e"), c, pick) if has_spans else F.lit(0.0))
+    # from here on no page text is needed: what is shuffled holds the finding and its surroundings only
+    back = F.greatest(F.col("s") - 90, F.lit(0))
+    found = found.withColumns({"before": F.substring(text, back + 1, F.col("s") - back), "context": snippet(text, F.col("s"), F.col("e"))})
+    found = found.drop("page_text", "spans")
+    first = W.partitionBy(*keys, "category", normalize(F.col("text"))).orderBy("stage", "ord", "s")
+    count_once = lambda df: df.withColumn("__n", F.row_number().over(first)).filter("__n = 1").drop("__n")
+    if DETECTED <= set(st.enabled):  # nothing is dropped by its status, so that each finding is judged once
+        found = classified(count_once(found), subject, st)
+    else:
+        found = classified(found, subject, st)
+        found = count_once(found.filter(F.col("category").isin(list(st.enabled)) | F.col("status").startswith("excluded")))
+    return found.select(
+        *keys, "stage", "ord", "s", "e", "text", "category", "status", "confidence", "x0", "y0", "x1", "y1", "reason",
+        "context", pii.risk_flags(F.col("text"), st.risk).alias("risk_flags"),
+    )
+
+
+def classified(found: DataFrame, subject: classify.Subject, st: Settings) -> DataFrame:
+    """Findings with status, reason, confidence and boxes as the subject, staff, thresholds and scanned pages decide."""
     name, custom = F.col("stage") == 0, F.col("stage") == 2
     variants = classify.name_variants(F.col("text"))
     subject_hit = F.when(custom, F.lit(False)).when(name, F.exists(variants, lambda v: classify.is_subject(v, subject))).otherwise(classify.is_subject(F.col("text"), subject))
-    label = classify.in_staff_label(F.col("page_text"), F.col("s"))
+    label = classify.in_staff_label(F.col("before"), F.char_length("before"))
     here = F.array_contains("staff_here", normalize(F.col("text"))) | F.array_contains("staff_here", classify.without_title(F.col("text")))
     listed = F.exists(variants, lambda v: classify.is_staff(v, st.staff))
     found = found.withColumns({"subject_hit": subject_hit, "label_hit": name & label, "here_hit": name & here})
@@ -114,17 +136,7 @@ def detect(pages: DataFrame, subject: classify.Subject, settings: Settings | Non
     # the cap for scanned pages comes after the decision and leaves it
     found = found.withColumns({"status": status, "reason": F.when(F.col("ocr"), F.concat(F.lit("OCR: "), why)).otherwise(why)})
     found = found.withColumn("confidence", F.when(F.col("ocr"), F.least(sure, F.lit(0.85))).otherwise(sure))
-    for c, pick in (("x0", F.array_min), ("y0", F.array_min), ("x1", F.array_max), ("y1", F.array_max)):
-        found = found.withColumn(c, F.when(excluded, F.lit(0.0)).otherwise(box(F.col("spans"), F.col("s"), F.col("e"), c, pick)))
-    found = found.filter(F.col("category").isin(list(st.enabled)) | F.col("status").startswith("excluded"))
-    # from here on no page text is needed: what is shuffled holds the finding and its surroundings only
-    found = found.withColumn("context", snippet(F.col("page_text"), F.col("s"), F.col("e"))).drop("page_text", "spans", "staff_here")
-    first = W.partitionBy(*keys, "category", normalize(F.col("text"))).orderBy("stage", "ord", "s")
-    found = found.withColumn("__n", F.row_number().over(first)).filter("__n = 1")
-    return found.select(
-        *keys, "stage", "ord", "s", "e", "text", "category", "status", "confidence", "x0", "y0", "x1", "y1", "reason",
-        "context", pii.risk_flags(F.col("text"), st.risk).alias("risk_flags"),
-    )
+    return found.withColumns({c: F.when(excluded, F.lit(0.0)).otherwise(F.col(c)) for c in ("x0", "y0", "x1", "y1")})
 
 
 def unscreened(pages: DataFrame) -> DataFrame:
