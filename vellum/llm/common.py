@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: Rows of one Arrow batch handed to Python; texts may be long, so batches are short.
@@ -31,13 +32,13 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
-def stash(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write df as a Parquet table in the shared folder and read it back.
+def stash(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """Cut the lineage: write df as a Parquet table in the shared folder, partitioned by a column if named, and read it back.
 
     The files outlive executors, so a lost one costs only its running tasks. They stay until drop() or clear()."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/vellum/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, partitionBy=by)
     out = spark.read.schema(df.schema).parquet(path)
     out._stashed_at = path
     return out
@@ -125,3 +126,22 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
 def sha256_utf8(text: Column) -> Column:
     return F.sha2(F.encode(text, "UTF-8"), 256)
+
+
+def in_order(df: DataFrame, order: list[Column], within: str | None = None, name: str = "place") -> tuple[DataFrame, DataFrame]:
+    """(df with each row's place, from 0, in `order` among the rows with an equal `within`; a row per `within`: its rows as "n").
+
+    order must begin with `within`. Rows are sorted by range, so that equal ones may lie in several tasks, and numbered
+    there; places only need the tasks' counts: a row for each task and each value of `within`."""
+    ranged = stash(df.orderBy(*order).withColumn("__at", F.monotonically_increasing_id()), "ordered")
+    ranged = ranged.withColumns({"__part": F.shiftright("__at", 33), "__low": F.col("__at").bitwiseAND((1 << 33) - 1)})
+    whole = F.lit(0) if within is None else F.col(within)
+    runs = ranged.groupBy(whole.alias("__in"), "__part").agg(F.count("*").alias("__n"), F.min("__low").alias("__first"))
+    runs = stash(runs, "runs")
+    before = W.partitionBy("__in").orderBy("__part").rowsBetween(W.unboundedPreceding, -1)
+    starts = runs.withColumn("__start", F.coalesce(F.sum("__n").over(before), F.lit(0)) - F.col("__first"))
+    starts = starts.select(F.col("__in"), F.col("__part").alias("__p"), "__start")
+    side = F.broadcast(starts) if runs.count() <= BROADCAST_ROWS else starts
+    out = ranged.join(side, (F.col("__part") == F.col("__p")) & whole.eqNullSafe(F.col("__in")))
+    out = out.withColumn(name, F.col("__start") + F.col("__low")).drop("__at", "__part", "__low", "__in", "__p", "__start")
+    return out, runs.groupBy(F.col("__in").alias(within or "__in")).agg(F.sum("__n").alias("n"))

@@ -98,3 +98,74 @@ SELECT doc_id, count(*) FILTER (rule = 0) AS n_assign, count(*) FILTER (rule = 1
   coalesce(string_agg(span, ',' ORDER BY s, rule), '') AS spans
 FROM x GROUP BY r, doc_id
 """
+
+
+def crc32(text: str) -> str:
+    """CRC-32 of a string's UTF-8 bytes by its definition: eight shifts a byte."""
+    hex_digits = f"hex(encode({text}))"
+    octets = f"list_transform(range(strlen({text})), lambda i: CAST('0x' || substr({hex_digits}, CAST(2 * i + 1 AS BIGINT), 2) AS BIGINT))"
+    shifted = "xor(x >> 1, (x & 1) * 3988292384)"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {octets}), lambda c, b: list_reduce(list_prepend(xor(c, b), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda x, y: {shifted})), 4294967295::BIGINT)"
+
+
+def op11(buckets: int, percent: int, least_words: int, seed: int) -> str:
+    """The table of a byte's eight shifts comes from the same definition; each distinct n-gram is hashed once."""
+    words = rf"regexp_extract_all(translate(coalesce(text, ''), {AZ}), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+    step = "xor(x >> 1, (x & 1) * 3988292384)"
+    tab = f"list_transform(range(256), lambda v: list_reduce(list_prepend(CAST(v AS BIGINT), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda x, y: {step}))"
+    grams = " UNION ALL ".join(
+        f"SELECT r, array_to_string(ws[i:i + {k - 1}], ' ') AS f FROM (SELECT r, ws, unnest(range(1, len(ws) + 2 - {k})) AS i FROM @)" for k in (1, 2, 3)
+    )
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {words} AS ws FROM documents),
+g AS (SELECT {words} AS ws, 0 AS r FROM benchmark),
+fd AS ({grams.replace('@', 'd')}),
+fg AS ({grams.replace('@', 'g')}),
+tab AS MATERIALIZED (SELECT {tab} AS t),
+u AS (SELECT f, hex(encode(f)) AS h, strlen(f) AS n FROM (SELECT f FROM fd UNION SELECT f FROM fg)),
+o AS (SELECT f, list_transform(range(n), lambda i: CAST('0x' || substr(h, CAST(2 * i + 1 AS BIGINT), 2) AS BIGINT)) AS b FROM u),
+c AS (SELECT f, xor(list_reduce(list_prepend(4294967295::BIGINT, b), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295::BIGINT) % {buckets} AS bucket FROM o, tab),
+s AS (SELECT bucket, count(*) AS s FROM fd JOIN c USING (f) GROUP BY 1),
+t AS (SELECT bucket, count(*) AS t FROM fg JOIN c USING (f) GROUP BY 1),
+a AS (SELECT (SELECT coalesce(sum(s), 0) FROM s)::DOUBLE AS all_s, (SELECT coalesce(sum(t), 0) FROM t)::DOUBLE AS all_t),
+gain AS (SELECT s.bucket, CAST(floor(1000 * ln((coalesce(t, 0) + 1.0::DOUBLE) * (all_s + {buckets}) / ((s + 1.0::DOUBLE) * (all_t + {buckets})))) AS BIGINT) AS gain
+  FROM s LEFT JOIN t USING (bucket), a),
+w AS (SELECT r, count(*) AS n_features, CAST(sum(gain) AS BIGINT) AS weight FROM fd JOIN c USING (f) JOIN gain USING (bucket) GROUP BY 1),
+x AS (SELECT d.r, doc_id, len(ws) >= {least_words} AS fit, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+  CAST('0x' || substr(sha256('{seed}:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) AS h FROM d LEFT JOIN w USING (r)),
+y AS (SELECT *, weight + CAST(floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296.0::DOUBLE))) AS BIGINT) AS score FROM x),
+z AS (SELECT *, row_number() OVER (PARTITION BY fit ORDER BY score DESC, doc_id NULLS LAST) AS i, count(*) FILTER (fit) OVER () AS n FROM y)
+SELECT doc_id, n_features, weight, score, CASE WHEN fit AND i <= {percent} * n // 100 THEN i END AS rank, len_ws AS n_words
+FROM z JOIN (SELECT r, len(ws) AS len_ws FROM d) USING (r)
+"""
+
+
+def op12() -> str:
+    """Every level of a tree from the one below; siblings by coordinate; digests folded along them."""
+    coded = lambda n: ", ".join(f"coalesce(CAST(strlen(CAST({c} AS VARCHAR)) AS VARCHAR) || ':' || CAST({c} AS VARCHAR), '-')" for c in ("doc_id", "source", "lang", n, "text"))
+
+    def grown(name: str, tree: str, at: str) -> str:
+        return f"""{name} AS (SELECT 0 AS level, {tree} AS tree, CAST(i AS BIGINT) AS i, leaf AS d, CAST(n AS BIGINT) AS n FROM {at}
+  UNION ALL SELECT level + 1, tree, i // 2, sha256(string_agg(d, '' ORDER BY i)), (any_value(n) + 1) // 2 FROM {name} WHERE n > 1 GROUP BY level, tree, i // 2)"""
+
+    def sides(name: str, of: str, tree: str) -> str:
+        return f"""(SELECT l.r, n.level, s.d, CASE WHEN s.d IS NULL THEN '' WHEN n.i % 2 = 1 THEN 'L' ELSE 'R' END AS side FROM {of} l
+  JOIN {name} n ON n.tree IS NOT DISTINCT FROM {tree} AND n.n > 1 AND n.i = l.i >> n.level
+  LEFT JOIN {name} s ON s.tree IS NOT DISTINCT FROM n.tree AND s.level = n.level AND s.i = xor(n.i, 1))"""
+
+    return f"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, lang, sha256(concat({coded("n_chars")})) AS leaf,
+  CASE WHEN {crc32("CAST(doc_id AS VARCHAR)")} % 7 = 0 THEN sha256(concat({coded("n_chars + 1")})) END AS bad FROM documents),
+l AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY lang) AS n FROM d),
+{grown("t", "lang", "l")},
+q AS (SELECT row_number() OVER (ORDER BY tree NULLS FIRST) AS r, tree AS lang, d AS leaf, row_number() OVER (ORDER BY tree NULLS FIRST) - 1 AS i, count(*) OVER () AS n FROM t WHERE n = 1),
+{grown("u", "0", "q")},
+ls AS {sides("t", "l", "l.lang")},
+us AS {sides("u", "q", "0")},
+steps AS (SELECT * FROM ls UNION ALL SELECT l.r, 1000 + us.level, us.d, us.side FROM l JOIN q ON q.lang IS NOT DISTINCT FROM l.lang JOIN us ON us.r = q.r),
+p AS (SELECT r, string_agg(d, '' ORDER BY level) AS joined, list(side || coalesce(d, '') ORDER BY level) AS path FROM steps GROUP BY 1),
+o AS (SELECT l.doc_id, l.leaf, q.leaf AS subroot, (SELECT d FROM u WHERE n = 1) AS root, sha256(coalesce(joined, '')) AS proof_sha256,
+  list_reduce(list_prepend(coalesce(bad, l.leaf), coalesce(path, []::VARCHAR[])), lambda d, s: CASE WHEN s[1] = 'L' THEN sha256(s[2:] || d) ELSE sha256(d || s[2:]) END) AS folded_root
+  FROM l JOIN q ON q.lang IS NOT DISTINCT FROM l.lang LEFT JOIN p ON p.r = l.r)
+SELECT *, folded_root = root AS verified FROM o
+"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm import compression_classifier, cover_tree, fingerprint, jaccard_join, line_dedup, mixing, oracles, packing, secret_scan, url_filter, warc
+from vellum.llm import compression_classifier, cover_tree, fingerprint, importance, jaccard_join, line_dedup, merkle, mixing, oracles, packing, secret_scan, url_filter, warc
 from vellum.llm.common import load, sha256_utf8
 
 
@@ -63,6 +63,15 @@ def op10_partenum_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.groups(load(spark, sf_dir, "documents"))
 
 
+def op11_suffix_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents")
+    return merkle.verify(docs, merkle.chosen(F.col("doc_id")), {"n_chars": F.col("n_chars") + 1})
+
+
 QUERIES = {
     "op1_weighted_fingerprints": op1_weighted_fingerprints,
     "op2_compression_quality": op2_compression_quality,
@@ -74,6 +83,8 @@ QUERIES = {
     "op8_line_dedup": op8_line_dedup,
     "op9_binary_packing": op9_binary_packing,
     "op10_partenum_jaccard": op10_partenum_jaccard,
+    "op11_suffix_resampling": op11_suffix_resampling,
+    "op12_merkle_manifest": op12_merkle_manifest,
 }
 
 ORACLES: dict[str, str] = {
@@ -82,4 +93,6 @@ ORACLES: dict[str, str] = {
     "op6_pareto_mixing": oracles.OP6,
     "op7_url_cascade": oracles.op7(url_filter.RULES, url_filter.LISTED_BELOW, url_filter.LISTED_MOST),
     "op8_line_dedup": oracles.OP8,
+    "op11_suffix_resampling": oracles.op11(importance.BUCKETS, 5, importance.LEAST_WORDS, 42),
+    "op12_merkle_manifest": oracles.op12(),
 }
