@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm import compression_classifier, cover_tree, fingerprint, importance, jaccard_join, line_dedup, merkle, mixing, oracles, packing, secret_scan, url_filter, warc
+from vellum.llm import compression_classifier, cover_tree, fingerprint, gated_lm, importance, jaccard_join, line_dedup, merkle, mixing, oracles, packing, secret_scan, url_filter, warc
 from vellum.llm.common import load, sha256_utf8
 
 
@@ -72,6 +72,10 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.verify(docs, merkle.chosen(F.col("doc_id")), {"n_chars": F.col("n_chars") + 1})
 
 
+def op13_gated_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gated_lm.score(load(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_weighted_fingerprints": op1_weighted_fingerprints,
     "op2_compression_quality": op2_compression_quality,
@@ -85,6 +89,7 @@ QUERIES = {
     "op10_partenum_jaccard": op10_partenum_jaccard,
     "op11_suffix_resampling": op11_suffix_resampling,
     "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_gated_lm_scores": op13_gated_lm_scores,
 }
 
 ORACLES: dict[str, str] = {
