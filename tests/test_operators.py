@@ -143,10 +143,14 @@ def test_streams(spark, tmp_path):
     (src / "a.json").write_text("\n".join(json.dumps(x) for x in lines))
     events = audit.read_stream(spark, str(src))
     attempts = events.select("ts", "ip", "username", (F.col("action") == "login").alias("ok"))
-    for name, df, mode in (("throttled", audit.throttle(attempts), "append"), ("tailed", audit.tail(events, "login_failed", "BO", "t"), "append"), ("seen", audit.presence(events), "complete"), ("idle", audit.idle_sessions(events), "complete")):
+    for name, df, mode in (("throttled", audit.throttle(attempts), "append"), ("tailed", audit.tail(events, "login_failed", "BO", "t"), "append"), ("seen", audit.last_seen(events), "update"), ("idle", audit.idle_sessions(events), "complete")):
         q = df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", str(tmp_path / name)).start()
         q.processAllAvailable()
         q.stop()
     assert [r["wait"] > 0 for r in spark.table("throttled").orderBy("ts").collect()] == [False] * 5 + [True] * 2
     assert spark.table("tailed").count() == 7 and spark.table("idle").count() == 2
-    assert spark.table("seen").first()["viewers"] == ["Bob", "bob"]
+    assert spark.table("seen").count() == 2
+    near = audit.present(spark.table("seen"), "2024-01-05T10:01:30Z", "carol").first()
+    assert near["viewers"] == ["Bob", "bob"] and near["target"] == "t"
+    assert audit.present(spark.table("seen"), "2024-01-05T10:01:36Z", "Bob").first()["viewers"] == ["bob"]
+    assert audit.present(spark.table("seen"), "2024-01-05T10:01:37Z", "carol").count() == 0

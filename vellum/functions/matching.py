@@ -1,9 +1,9 @@
 """Regular-expression matches with offsets.
 
 Spark has no function that finds all matches with their places. `scan` hands whole texts in Arrow batches to a Python
-search: one pass for any number of patterns, linear in the matches. `find_all` and `find_inner` are column expressions for
-single patterns with few matches: a text is cut at its matches with two marks, and a fold over the pieces keeps the running
-offset, odd pieces being matches. Offsets are code points, ends exclusive."""
+search: one pass for any number of patterns, linear in the matches. `find_all` is a column expression for single patterns
+with few matches: a text is cut at its matches with two marks, and a fold over the pieces keeps the running offset, odd
+pieces being matches. Offsets are code points, ends exclusive."""
 
 from __future__ import annotations
 
@@ -55,11 +55,6 @@ def find_all(text: Column, pattern: str) -> Column:
     return _cut(text, pattern, f"{OPEN}$0{CLOSE}")
 
 
-def find_inner(text: Column, before: str, inner: str, after: str) -> Column:
-    """All matches of before + inner + after, the span being that of inner. `after` may look ahead but not be captured."""
-    return _cut(text, f"({before})({inner})({after})", f"$1{OPEN}$2{CLOSE}$3")
-
-
 def group(text: Column, pattern: str, n: int) -> Column:
     return F.regexp_extract(text, "(?U)" + pattern, n)
 

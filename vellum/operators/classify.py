@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import re
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
+from itertools import dropwhile
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from vellum.functions import lexicons as L
-from vellum.functions.matching import find_inner, normalize, strip_punctuation, words
+from vellum.functions.matching import normalize, scan, strip_punctuation, words
 
 #: Words that don't count in addresses.
 STOPWORDS = "the a an and of in at on to".split()
@@ -103,17 +105,19 @@ def without_title(name: Column) -> Column:
     return F.array_join(F.when(lead, F.slice(w, F.lit(2), F.greatest(F.size(w) - 1, F.lit(0)))).otherwise(w), " ")
 
 
-def page_staff(text: Column) -> Column:
-    """Names in staff-labelled fields of a page, with and without their titles."""
-    raw = F.transform(find_inner(text, *L.STAFF_FIELD), lambda m: normalize(m["text"]))
+STAFF_FIELD = re.compile("{}({}){}".format(*L.STAFF_FIELD))
+
 
-    def bare(name: Column) -> Column:
-        w = words(name)
-        title = lambda x: F.rtrim(x, F.lit(".")).isin(L.TITLES)
-        drop = F.when(F.forall(w, title), F.size(w)).otherwise(F.size(F.filter(w, lambda x, i: F.forall(F.slice(w, F.lit(1), i + 1), title))))
-        return F.array_join(F.slice(w, drop + 1, F.greatest(F.size(w) - drop, F.lit(0))), " ")
+def staff_named(text: str) -> Iterator[tuple[str]]:
+    """Names in staff-labelled fields, with and without their titles, each once."""
+    raw = [m[1].strip().lower() for m in STAFF_FIELD.finditer(text)]
+    bare = (" ".join(dropwhile(lambda w: w.rstrip(".") in L.TITLES, name.split())) for name in raw)
+    yield from ((n,) for n in dict.fromkeys([*raw, *bare]) if n)
 
-    return F.array_distinct(F.filter(F.array_union(raw, F.transform(raw, bare)), lambda n: n != ""))
+
+def page_staff(text: Column) -> Column:
+    """Names in staff-labelled fields of a page, with and without their titles."""
+    return F.transform(scan(text, staff_named, {"name": "string"}), lambda m: m["name"])
 
 
 def in_staff_label(text: Column, s: Column, back: int = 90) -> Column:

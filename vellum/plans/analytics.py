@@ -227,26 +227,6 @@ WHERE NOT EXISTS (SELECT 1 FROM old o WHERE o.source_file = n.source_file AND o.
   AND round(o.y0, 1) = round(n.y0, 1) AND lower(o.text) = lower(n.text))"""
 
 
-@query("jn07_redetect_memory")
-def _(d):
-    return f"""WITH {V.candidate(d)},
-m AS (SELECT case_id, lower(trim(text)) AS k, category, {d.last_by("status", "seq")} AS status FROM v_candidate WHERE status IN ('approved', 'rejected') GROUP BY 1, 2, 3)
-SELECT c.case_id, c.seq, COALESCE(m.status, CASE WHEN c.confidence >= 0.8 THEN 'auto_redact' ELSE 'flagged' END) AS status FROM v_candidate c
-LEFT JOIN m ON m.case_id = c.case_id AND m.k = lower(trim(c.text)) AND m.category = c.category"""
-
-
-@query("jn08_batch_by_id")
-def _(d):
-    return f"""WITH {V.candidate(d)} SELECT case_id, seq, CASE WHEN seq IN (1, 3) AND case_id % 2 = 0 THEN 'approved' ELSE status END AS status FROM v_candidate"""
-
-
-@query("jn09_batch_by_text")
-def _(d):
-    return f"""WITH {V.candidate(d)}, k AS (SELECT DISTINCT case_id, lower(trim(text)) AS t FROM v_candidate WHERE seq = 1)
-SELECT c.case_id, c.seq, CASE WHEN k.t IS NOT NULL THEN 'rejected' ELSE c.status END AS status FROM v_candidate c
-LEFT JOIN k ON k.case_id = c.case_id AND k.t = lower(trim(c.text))"""
-
-
 @query("jn10_failed_split")
 def _(d):
     return f"""WITH {V.candidate(d)}, f AS (SELECT case_id, seq FROM v_candidate WHERE supplier % 7 = 0)
@@ -367,13 +347,6 @@ def _(d):
   {BIG("COUNT(CASE WHEN status = 'flagged' THEN 1 END)")} AS flagged FROM v_candidate GROUP BY case_id"""
 
 
-@query("agg13_name_suggestions")
-def _(d):
-    known = ", ".join("'" + x.replace("'", "''") + "'" for x in ("smith", "green", "brown"))
-    return f"""WITH {V.candidate(d)}, t AS (SELECT text, case_id, lower(w) AS w FROM (SELECT * FROM v_candidate WHERE status = 'approved' AND category = 'person_name') c {d.unnest(d.rx_all("text", "[A-Za-z'-]{3,}"), "w")})
-SELECT w AS name, {BIG("COUNT(*)")} AS n, MAX(case_id) AS last_seen, {BIG("LEAST(COUNT(DISTINCT text), 3)")} AS examples FROM t WHERE w NOT IN ({known}) AND length(w) >= 3 GROUP BY w"""
-
-
 @query("agg14_known_actions")
 def _(d):
     return f"WITH {V.audit(d)} SELECT DISTINCT action FROM (SELECT action FROM v_audit ORDER BY ts DESC, event_id DESC LIMIT 5000) x"
@@ -458,12 +431,6 @@ def _(d):
   ROW_NUMBER() OVER (PARTITION BY case_id ORDER BY confidence DESC, seq) AS by_confidence, ROW_NUMBER() OVER (PARTITION BY case_id ORDER BY {rank}, page_num, seq) AS by_status FROM v_candidate"""
 
 
-@query("srt04_suggestions")
-def _(d):
-    return f"""WITH {V.candidate(d)}, t AS (SELECT lower(w) AS w FROM (SELECT * FROM v_candidate WHERE status = 'approved' AND category = 'person_name') c {d.unnest(d.split("text", "[ ]+"), "w")}),
-g AS (SELECT w, {BIG("COUNT(*)")} AS n FROM t WHERE w NOT IN ('ivory', 'navy') GROUP BY w HAVING COUNT(*) >= 2) SELECT w, n, ROW_NUMBER() OVER (ORDER BY n DESC, w) AS place FROM g"""
-
-
 @query("srt07_bundle_order")
 def _(d):
     f = d.pick(["letter", "certificate", "redacted"], "p_partkey % 3")
@@ -654,9 +621,9 @@ SELECT doc_id, COALESCE({d.try_date(d.rx("name", "^([0-9]{4}-[0-9]{2}-[0-9]{2})[
 
 @query("fn20_newer_version")
 def _(d):
-    v = d.pick(["v2.6.1", "2.10.0", "V2.6", "3.0-beta", "2.6.1"], "p_partkey % 5")
-    n = lambda i: f"COALESCE(TRY_CAST({d.rx('v', f'^[vV]?(?:[0-9]+[.-]){{{i}}}([0-9]+)', 1)} AS INT), 0)"
-    return f"""WITH p AS (SELECT p_partkey, {v} AS v FROM part) SELECT p_partkey, v, ({n(0)} * 1000000 + {n(1)} * 1000 + {n(2)} > 2006001) AS newer FROM p"""
+    v = d.pick(["v2.6.1", "2.10.0", "V2.6", "3.0-beta", "2.6.1", "2.5.20010", "1.1000000.0"], "p_partkey % 7")
+    n = lambda i: f"COALESCE(TRY_CAST({d.rx('v', f'^[vV]?(?:[0-9]+[.-]){{{i}}}([0-9]+)', 1)} AS BIGINT), 0)"
+    return f"""WITH p AS (SELECT p_partkey, {v} AS v FROM part) SELECT p_partkey, v, {d.numbers([n(0), n(1), n(2)])} > {d.numbers(["2", "6", "1"])} AS newer FROM p"""
 
 
 @query("fn27_config_merge")
@@ -780,21 +747,11 @@ def _(d):
 SELECT conv_id, n, CONCAT('A', CAST(n AS VARCHAR(20)), ': ', text, ' (doc', CAST(conv_id AS VARCHAR(20)), ' p.', CAST(turn + 1 AS VARCHAR(20)), ')') AS line FROM a WHERE n <= 3"""
 
 
-@query("wf01_update_candidate")
-def _(d):
-    return f"WITH {V.candidate(d)} SELECT case_id, seq, CASE WHEN seq = 2 THEN 'rejected' ELSE status END AS status, CASE WHEN seq = 2 THEN 'serious_harm' ELSE exemption END AS exemption FROM v_candidate"
-
-
 @query("wf05_allocate")
 def _(d):
     return f"WITH {V.case(d)} SELECT id, CASE WHEN id % 4 = 0 THEN NULL ELSE reviewer END AS allocated_to, CASE WHEN id % 4 = 0 THEN 'new' ELSE 'in_review' END AS workflow FROM v_case"
 
 
-@query("wf13_accept_dismiss")
-def _(d):
-    return "SELECT lower(p_name) AS name FROM part WHERE p_size > 25 UNION SELECT lower(s_name) FROM supplier EXCEPT SELECT lower(p_name) FROM part WHERE p_partkey % 5 = 0"
-
-
 @query("wf15_custom_templates")
 def _(d):
     return "SELECT p_partkey AS id, CASE WHEN p_partkey = 7 THEN 'renamed' ELSE p_name END AS name FROM part WHERE p_partkey <> 9"

@@ -55,6 +55,9 @@ class Spark:
     def string_list(self, values: list[str]) -> str:
         return "array(" + ", ".join(f"'{v}'" for v in values) + ")"
 
+    def numbers(self, values: list[str]) -> str:
+        return "array(" + ", ".join(f"CAST({v} AS BIGINT)" for v in values) + ")"
+
     def shared(self, a: str, b: str) -> str:
         return f"size(array_intersect({a}, {b}))"
 
@@ -111,6 +114,9 @@ class Duck(Spark):
     def string_list(self, values: list[str]) -> str:
         return "[" + ", ".join(f"'{v}'" for v in values) + "]"
 
+    def numbers(self, values: list[str]) -> str:
+        return "[" + ", ".join(f"CAST({v} AS BIGINT)" for v in values) + "]"
+
     def shared(self, a: str, b: str) -> str:
         return f"len(list_intersect({a}, {b}))"
 

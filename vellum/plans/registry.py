@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from vellum.functions import lexicons as L
 from vellum.operators import cases as C
 from vellum.operators import classify, dates, names, pii, redact, search
-from vellum.plans import analytics, detect
+from vellum.plans import analytics, casework, detect
 from vellum.plans import views as V
 from vellum.plans.dialect import Duck
 from vellum.plans.dialect import Spark as SparkSql
@@ -36,9 +36,9 @@ def by_sql(name: str) -> Callable[[SparkSession, str], DataFrame]:
     return run
 
 
-def planted(spark: SparkSession, sf_dir: str) -> DataFrame:
+def planted(spark: SparkSession, sf_dir: str, *names: list[str]) -> DataFrame:
     register(spark, sf_dir)
-    return spark.sql(f"WITH {V.planted(SparkSql())} SELECT * FROM v_planted")
+    return spark.sql(f"WITH {V.planted(SparkSql(), *names)} SELECT * FROM v_planted")
 
 
 def of_cases(query: Callable[..., DataFrame], *views: str) -> Callable[[SparkSession, str], DataFrame]:
@@ -99,8 +99,11 @@ def cls12_detection(rows: DataFrame, source_file: str) -> DataFrame:
 
 
 def name_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Recall of the planted names and precision of what is found; a name counts when all its planted parts are in a finding."""
-    rows = planted(spark, sf_dir).withColumn("found", names.detect_names(F.col("text")))
+    """Recall of planted names and precision of what is found; a name counts when all its planted parts are in a finding.
+
+    Every listed forename and surname is planted, those included that are words of other meanings too."""
+    every = [[n.title() for n in sorted(x)] for x in (L.DEFAULT_LEXICON.forenames, L.DEFAULT_LEXICON.surnames)]
+    rows = planted(spark, sf_dir, *every).withColumn("found", names.detect_names(F.col("text")))
     fore, sur = F.lower("forename"), F.lower("surname")
     whole = F.when(F.col("layout").isin(1, 2, 6), F.array(sur)).when(F.col("layout") == 8, F.array(fore)).otherwise(F.array(fore, sur))
     hit = F.exists("found", lambda m: F.forall(F.col("want"), lambda w: F.contains(F.lower(m["text"]), w)))
@@ -307,6 +310,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     # functions over cases and findings, which the statements of the same names check
     **CASE_QUERIES,
     "str03_presence": presence,
+    **casework.QUERIES,
 }
 
 _DIGITS = " + ".join(f"CAST(substr({_number_text(None)}, {i + 1}, 1) AS INT) * {10 - i}" for i in range(9))
@@ -344,6 +348,7 @@ SELECT email, 'auto_redact' AS status, count(*) AS n_docs, min(doc_id) AS first_
     "cls03_staff": f"WITH {V.planted(Duck())} SELECT doc_id, 'Mr ' || forename || ' ' || surname AS entity, (forename IN ('Peter', 'Sarah') OR surname IN ('Wright', 'Hughes')) AS staff FROM v_planted",
     **_name_checks(),
     **{n: q(Duck()) for n, q in analytics.Q.items()},
+    **casework.ORACLES,
     "str03_presence": f"""WITH {V.audit(Duck())} SELECT e.event_id, coalesce(string_agg(DISTINCT o.username, ',' ORDER BY o.username), '') AS others
 FROM v_audit e LEFT JOIN v_audit o ON o.target = e.target AND o.username <> e.username AND epoch_us(e.ts) - epoch_us(o.ts) BETWEEN 0 AND 90000000
 WHERE e.target IS NOT NULL GROUP BY e.event_id""",

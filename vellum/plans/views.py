@@ -10,13 +10,9 @@ TODAY = "DATE '2001-08-15'"
 FORENAMES = ["Emma", "James", "Sarah", "Peter", "Laura", "Simon", "Helen", "Mark", "Diane", "Paul"]
 SURNAMES = ["Walker", "Hughes", "Patel", "Turner", "Evans", "Watson", "Harris", "Green", "Lewis", "Wright"]
 NUMBERS = ["943 476 5919", "943 476 5918", "401 023 2137", "987-654-4321", "9434765919", "123 456 7881", "450 557 7104", "111 111 1111"]
-LINES = [
-    "PROBLEM LIST checked at this visit.",
-    "Pulse 72 and regular. Seen by safeguarding lead after domestic abuse.",
-    "Likely Parkinson Disease, scan awaited. Screened for HIV and chlamydia.",
-    "MEDICATION, Aspirin each morning. Child at risk, neglect suspected.",
-    "Healed Colles Fracture on film, PrEP offered; vulnerable adult.",
-]
+#: Sensitive terms, two in a note; what follows a surname in the name of a disease.
+TERMS = ["safeguarding", "HIV", "domestic violence", "chlamydia", "neglect", "PrEP", "vulnerable adult", "syphilis", "child at risk", "MARAC", "domestic abuse"]
+FOLLOWERS = [w.capitalize() for w in L.EPONYM_FOLLOWERS[:7]]
 
 
 def case(d) -> str:
@@ -48,32 +44,29 @@ def audit(d) -> str:
   {d.rx("props", '"k": ?([0-9]+)', 1)} AS target, CONCAT('10.0.0.', CAST(user_id % 3 AS VARCHAR(20))) AS ip, user_id FROM events)"""
 
 
-def planted_text(d) -> str:
-    f, s = d.pick(FORENAMES, "doc_id % 10"), d.pick(SURNAMES, "(doc_id + 3) % 10")
-    n, line = d.pick(NUMBERS, f"doc_id % {len(NUMBERS)}"), d.pick(LINES, f"doc_id % {len(LINES)}")
-    templates = [
-        f"CONCAT('Talked it over with daughter ', {f}, ' ', {s}, ' on the ward.')",
-        f"CONCAT('Reply awaited from Dr ', {s}, ' of the fracture team.')",
-        f"CONCAT('Came with wife Mrs ', {s}, ' this morning.')",
-        f"CONCAT('Re: ', upper({s}), ', ', {f}, ' - safeguarding meeting')",
-        f"CONCAT('Emergency contact: ', upper({f}), ' ', upper({s}))",
-        f"CONCAT({f}, ' ', {s}, ' (Husband) says the pain is worse.')",
-        f"CONCAT('Dear Mr ', {s}, ', many thanks for writing.')",
-        f"CONCAT('Neighbour ', {f}, ' ', {s}, ' phoned the surgery.')",
-        f"CONCAT('Rang carer ', {f}, ' about the tablets.')",
-        f"CONCAT('cc: ', {s}, ', ', {f}, ' (case worker)')",
-    ]
-    cases = " ".join(f"WHEN {i} THEN {t}" for i, t in enumerate(templates))
+def planted_text(d, f: str, s: str) -> str:
+    """A note of labelled fields about the forename f and surname s: one of ten layouts of names, then terms, numbers, places, dates."""
+    layouts = [
+        f"'daughter ', {f}, ' ', {s}", f"'Dr ', {s}", f"'Mrs ', {s}", f"upper({s}), ', ', {f}", f"upper({f}), ' ', upper({s})",
+        f"{f}, ' ', {s}, ' (Husband)'", f"'Dear Mr ', {s}, ','", f"{f}, ' ', {s}", f"'carer ', {f}", f"{s}, ', ', {f}",
+    ]
+    cases = " ".join(f"WHEN {i} THEN CONCAT('[', CAST(doc_id AS VARCHAR(20)), '] ', {parts}, ';')" for i, parts in enumerate(layouts))
     day, month = "CAST(1 + doc_id % 31 AS VARCHAR(20))", d.pick(["January", "Feb", "march", "June", "Sept"], "doc_id % 5")
     dated = f"CASE doc_id % 3 WHEN 0 THEN CONCAT('Date: ', {day}, ' ', {month}, ' 2024') WHEN 1 THEN CONCAT({day}, '/', CAST(1 + doc_id % 14 AS VARCHAR(20)), '/2023') ELSE '' END"
-    return f"""CONCAT(CASE doc_id % 10 {cases} END, chr(10), 'Number quoted: ', {n}, chr(10), 'Postcode GU', CAST(doc_id % 9 AS VARCHAR(20)), ' 5SU on file, phone 07700 900',
-  CAST(100 + doc_id % 900 AS VARCHAR(20)), chr(10), 'From: ', lower({f}), CASE doc_id % 4 WHEN 0 THEN '@nhs.net' WHEN 1 THEN '@dept.nhs.uk' ELSE '@example.com' END, chr(10),
-  {line}, chr(10), {dated})"""
-
-
-def planted(d) -> str:
-    return f"""v_planted AS (SELECT doc_id, {planted_text(d)} AS text, {d.pick(FORENAMES, "doc_id % 10")} AS forename,
-  {d.pick(SURNAMES, "(doc_id + 3) % 10")} AS surname, CAST(doc_id % 10 AS INT) AS layout FROM documents)"""
+    number, follower = d.pick(NUMBERS, f"doc_id % {len(NUMBERS)}"), d.pick(FOLLOWERS, f"doc_id % {len(FOLLOWERS)}")
+    one, two = d.pick(TERMS, f"doc_id % {len(TERMS)}"), d.pick(TERMS, f"(doc_id * 3 + 1) % {len(TERMS)}")
+    fields = [
+        f"'Number: ', {number}", "'Postcode: GU', CAST(doc_id % 9 AS VARCHAR(20)), ' 5SU, on file'", "'phone: 07700 900', CAST(100 + doc_id % 900 AS VARCHAR(20))",
+        f"'mail: ', lower({f}), CASE doc_id % 4 WHEN 0 THEN '@nhs.net' WHEN 1 THEN '@dept.nhs.uk' ELSE '@example.com' END",
+        f"'terms: ', {one}, ', ', {two}", f"'finding: ', {d.pick(SURNAMES, 'doc_id % 10')}, ' ', {follower}", dated,
+    ]
+    return f"CONCAT(CASE doc_id % 10 {cases} END, " + ", ".join(f"chr(10), {x}" for x in fields) + ")"
+
+
+def planted(d, forenames: list[str] = FORENAMES, surnames: list[str] = SURNAMES) -> str:
+    f, s = d.pick(forenames, f"doc_id % {len(forenames)}"), d.pick(surnames, f"(doc_id * 7 + 3) % {len(surnames)}" if surnames is not SURNAMES else "(doc_id + 3) % 10")
+    return f"""v_planted AS (SELECT doc_id, {planted_text(d, "f", "s")} AS text, f AS forename, s AS surname, CAST(doc_id % 10 AS INT) AS layout
+  FROM (SELECT doc_id, {f} AS f, {s} AS s FROM documents) x)"""
 
 
 def page(d) -> str:

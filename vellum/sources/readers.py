@@ -8,6 +8,7 @@ from __future__ import annotations
 import html
 import io
 import re
+import unicodedata
 import zipfile
 from collections.abc import Iterator
 from email import message_from_bytes, policy
@@ -103,6 +104,12 @@ def mail_text(sender: str, to: str, cc: str, date: str, subject: str, body: str,
     return "\n".join([*lines, "", "Attachments:", *[f"  - {a}" for a in attachments]] if attachments else lines)
 
 
+def safe_name(file: str) -> str:
+    """A file name without folders, made of ASCII letters, digits, `_`, `-` and `.`, and no dots or underscores at its ends."""
+    plain = unicodedata.normalize("NFKD", file).encode("ascii", "ignore").decode().replace("\\", " ").replace("/", " ")
+    return re.sub(r"[^\w.-]", "", "_".join(plain.split()), flags=re.ASCII).strip("._")
+
+
 def read_mail(name: str, data: bytes) -> Iterator[tuple[str, str, str | None, str | None]]:
     """The message, then each attachment named after it."""
     m = message_from_bytes(data, policy=policy.default)
@@ -122,10 +129,11 @@ def read_mail(name: str, data: bytes) -> Iterator[tuple[str, str, str | None, st
     yield name, "eml", mail_text(*(str(m.get(h, "")) for h in ("from", "to", "cc", "date", "subject")), body or "(no body)", listed), None
     base = name.rsplit(".", 1)[0]
     for file, content in kept:
+        called = safe_name(f"{base}__att__{file}")
         try:
-            yield from convert(f"{base}__att__{file}", content)
+            yield from convert(called, content)
         except Exception as e:  # noqa: BLE001  one bad attachment must not stop the others
-            yield f"{base}__att__{file}", kind_of(file), None, f"failed: {e}"
+            yield called, kind_of(file), None, f"failed: {e}"
 
 
 def read_zip(data: bytes) -> Iterator[tuple[str, str, str | None, str | None]]:
