@@ -27,7 +27,14 @@ def scan(source: Column, find: Callable[..., Iterable[tuple]], fields: dict[str,
     kind = pa.list_(pa.struct([pa.field(n, ARROW[t]) for n, t in fields.items()]))
 
     def run(values: pa.Array) -> pa.Array:
-        return pa.array([list(find(v.as_py())) if v.is_valid else [] for v in values], type=kind)
+        rows, ends = [], [0]
+        for v in values:
+            if v.is_valid:
+                rows.extend(find(v.as_py()))
+            ends.append(len(rows))
+        columns = zip(*rows, strict=True) if rows else [[]] * len(fields)
+        found = pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(columns, kind.value_type, strict=True)], fields=list(kind.value_type))
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), found)
 
     return F.arrow_udf(run, returnType=ddl(fields))(source)
 

@@ -227,13 +227,6 @@ WHERE NOT EXISTS (SELECT 1 FROM old o WHERE o.source_file = n.source_file AND o.
   AND round(o.y0, 1) = round(n.y0, 1) AND lower(o.text) = lower(n.text))"""
 
 
-@query("jn10_failed_split")
-def _(d):
-    return f"""WITH {V.candidate(d)}, f AS (SELECT case_id, seq FROM v_candidate WHERE supplier % 7 = 0)
-SELECT c.case_id, c.seq, CASE WHEN EXISTS (SELECT 1 FROM f WHERE f.case_id = c.case_id AND f.seq = c.seq) THEN 'failed' ELSE 'applied' END AS outcome
-FROM v_candidate c WHERE c.status IN ('auto_redact', 'approved')"""
-
-
 @query("jn11_answers_questions")
 def _(d):
     return """SELECT c.conv_id, c.turn, q.text AS question FROM conversations c LEFT JOIN conversations q ON q.conv_id = c.conv_id AND q.turn = c.turn - 1 AND q.role = 'user' WHERE c.role = 'assistant'"""
@@ -502,32 +495,6 @@ ORDER BY ts DESC, event_id DESC LIMIT 500"""
 # ---- redaction, sinks, workflow --------------------------------------------------------------------------------------
 
 
-@query("red01_apply_status")
-def _(d):
-    return f"""WITH {V.candidate(d)}, n AS (SELECT source_file, MAX(page_num) - 1 AS page_count FROM v_candidate GROUP BY 1)
-SELECT c.case_id, c.seq, CASE WHEN c.page_num >= page_count THEN 'failed' WHEN c.x0 > 0 AND c.y0 > 0 THEN 'box' WHEN trim(c.text) <> '' AND instr(c.text, 'e') > 0 THEN 'search' ELSE 'failed' END AS outcome
-FROM v_candidate c JOIN n ON n.source_file = c.source_file WHERE c.status IN ('auto_redact', 'approved')"""
-
-
-@query("red03_failure_triage")
-def _(d):
-    return f"""WITH {V.candidate(d)} SELECT case_id, seq, CASE WHEN failed THEN 'rejected' ELSE status END AS status, failed AS needs_refinalise
-FROM (SELECT *, status = 'approved' AND supplier % 7 = 0 AS failed FROM v_candidate) x"""
-
-
-@query("red04_disclosure_gate")
-def _(d):
-    return f"""WITH {V.case(d)}, {V.candidate(d)}, f AS (SELECT case_id, COUNT(*) AS n FROM v_candidate WHERE status = 'approved' AND supplier % 7 = 0 GROUP BY 1)
-SELECT id, (COALESCE(n, 0) = 0 OR id % 13 = 0) AS may_disclose FROM v_case LEFT JOIN f ON case_id = id"""
-
-
-@query("snk01_redaction_log")
-def _(d):
-    section = "CASE WHEN status IN ('auto_redact', 'approved') AND supplier % 7 <> 0 THEN 'applied' WHEN status IN ('auto_redact', 'approved') THEN 'failed' WHEN status = 'rejected' THEN 'rejected' WHEN status = 'flagged' THEN 'unreviewed' END"
-    return f"""WITH {V.candidate(d)}, s AS (SELECT *, {section} AS section FROM v_candidate), n AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY case_id, section ORDER BY seq) AS n FROM s WHERE section IS NOT NULL)
-SELECT case_id, section, n, CONCAT(CAST(n AS VARCHAR(20)), '. [', category, '] ', text, ' - ', source_file, ' p.', CAST(page_num + 1 AS VARCHAR(20)), CASE status WHEN 'auto_redact' THEN ' (auto)' WHEN 'approved' THEN ' (reviewer)' ELSE '' END) AS line FROM n"""
-
-
 @query("snk05_turnaround_csv")
 def _(d):
     return f"""WITH {V.case(d)} SELECT CONCAT_WS(',', CAST(id AS VARCHAR(20)), CAST(received AS VARCHAR(20)), CAST(completed AS VARCHAR(20)), CASE WHEN completed <= effective_due THEN 'yes' ELSE 'no' END) AS line FROM v_case WHERE status = 'complete'"""
@@ -752,11 +719,6 @@ def _(d):
     return f"WITH {V.case(d)} SELECT id, CASE WHEN id % 4 = 0 THEN NULL ELSE reviewer END AS allocated_to, CASE WHEN id % 4 = 0 THEN 'new' ELSE 'in_review' END AS workflow FROM v_case"
 
 
-@query("wf15_custom_templates")
-def _(d):
-    return "SELECT p_partkey AS id, CASE WHEN p_partkey = 7 THEN 'renamed' ELSE p_name END AS name FROM part WHERE p_partkey <> 9"
-
-
 @query("wf17_save_answers")
 def _(d):
     return "SELECT conv_id, turn, CASE WHEN role = 'assistant' AND turn = 1 THEN 'edited' ELSE text END AS text FROM conversations"

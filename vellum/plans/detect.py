@@ -11,10 +11,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from vellum.functions import lexicons as L
-from vellum.functions.matching import normalize, scan, snippet
-from vellum.operators import classify, names, pii
+from vellum.functions.matching import normalize, scan
+from vellum.operators import classify, names, pii, places
 
-FINDING = {"stage": "int", **pii.FIELDS}
+FINDING = {"stage": "int", **pii.FIELDS, "before": "string", "context": "string"}
+#: Characters before a finding that may hold a label, and those around it that are shown.
+BEFORE, AROUND = 90, 70
 PUNCTUATION = re.compile(r"""^[\s.,;:'"-]+|[\s.,;:'"-]+$""")
 DETECTED = {"person_name", *pii.PLAIN, "safeguarding", "sexual_health", "custom_word"}
 SPAN = "struct<text:string,x0:double,y0:double,x1:double,y1:double,s:int,e:int>"
@@ -57,24 +59,24 @@ def page_texts(spans: DataFrame) -> DataFrame:
     return pages.select("doc_id", "source_file", "page_num", F.array_join("__b.parts", "").alias("page_text"), F.col("__b.spans").alias("spans"))
 
 
-def box(spans: Column, s: Column, e: Column, which: str, pick) -> Column:
-    hit = F.filter(spans, lambda x: (x["s"] < e) & (x["e"] > s))
-    return F.coalesce(pick(F.transform(hit, lambda x: x[which])), F.lit(0.0))
-
-
 def needs_ocr(n_images: Column, text: Column) -> Column:
     return (n_images > 0) & (F.char_length(F.translate(text, " \n\t", "")) < 30)
 
 
 def findings(text: str, lexicon: L.NameLexicon, custom: Sequence[tuple[str, bool]]) -> Iterator[tuple]:
-    """Names without punctuation at their ends, then patterns, then custom phrases of one page."""
+    """Names without punctuation at their ends, then patterns, then custom phrases of one page, each with its surroundings."""
+
+    def around(s: int, e: int) -> tuple[str, str]:
+        a, b = max(0, s - AROUND), min(len(text), e + AROUND)
+        return text[max(0, s - BEFORE) : s], "…" * (a > 0) + " ".join(text[a:b].split()) + "…" * (b < len(text))
+
     for _, s, e, name, confidence, reason in names.find_names(text, lexicon):
         if bare := PUNCTUATION.sub("", name):
-            yield 0, 0, "person_name", s, e, bare, confidence, reason
+            yield 0, 0, "person_name", s, e, bare, confidence, reason, *around(s, e)
     for stage, found in ((1, pii.find_patterns(text)), (2, pii.find_custom(text, custom))):
         for f in found:
             if f[4]:
-                yield stage, *f
+                yield stage, *f, *around(f[2], f[3])
 
 
 def detect(pages: DataFrame, subject: classify.Subject, settings: Settings | None = None) -> DataFrame:
@@ -89,15 +91,13 @@ def detect(pages: DataFrame, subject: classify.Subject, settings: Settings | Non
     rows = rows.withColumn("staff_here", classify.page_staff(text))
     every = scan(text, lambda t: findings(t, st.lexicon, st.custom), FINDING)
     keys = ["doc_id", "source_file", "page_num"]
-    found = rows.select(*keys, "page_text", "spans", "staff_here", "ocr", F.explode(every).alias("m")).select(
-        *keys, "page_text", "spans", "staff_here", "ocr", "m.*"
-    )
-    for c, pick in (("x0", F.array_min), ("y0", F.array_min), ("x1", F.array_max), ("y1", F.array_max)):
-        found = found.withColumn(c, box(F.col("spans"), F.col("s"), F.col("e"), c, pick) if has_spans else F.lit(0.0))
     # from here on no page text is needed: what is shuffled holds the finding and its surroundings only
-    back = F.greatest(F.col("s") - 90, F.lit(0))
-    found = found.withColumns({"before": F.substring(text, back + 1, F.col("s") - back), "context": snippet(text, F.col("s"), F.col("e"))})
-    found = found.drop("page_text", "spans")
+    found = rows.select(*keys, "staff_here", "ocr", F.explode(every).alias("m")).select(*keys, "staff_here", "ocr", "m.*")
+    if has_spans:
+        laid = rows.select(*keys, F.explode("spans").alias("p")).select(*keys, "p.*")
+        found = places.boxes(found, laid, keys)
+    else:
+        found = found.withColumns({c: F.lit(0.0) for c in places.BOX})
     first = W.partitionBy(*keys, "category", normalize(F.col("text"))).orderBy("stage", "ord", "s")
     count_once = lambda df: df.withColumn("__n", F.row_number().over(first)).filter("__n = 1").drop("__n")
     if DETECTED <= set(st.enabled):  # nothing is dropped by its status, so that each finding is judged once
