@@ -62,13 +62,13 @@ FROM m GROUP BY r, doc_id
 """
 
 
-def op7(rules, share: str, most: int) -> str:
+def op7(rules, share: str) -> str:
     cut = lambda k: (k.partition("/")[0], "/" + k.partition("/")[2] if "/" in k else "")
     values = ", ".join(f"('{v}', '{k}', '{h}', '{p}', 1)" for v, k, h, p in ((v, k, *cut(k)) for v, k in rules))
     return rf"""
 WITH u AS (SELECT page_id, translate(coalesce(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'), ''), {AZ}) AS host,
   coalesce(regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's'), '') AS path, row_number() OVER () AS n FROM pages),
-listed AS (SELECT host FROM (SELECT DISTINCT host FROM u WHERE host <> '') WHERE substr(md5(host), 1, {len(share)}) < '{share}' ORDER BY md5(host) LIMIT {most}),
+listed AS (SELECT host FROM (SELECT DISTINCT host FROM u WHERE host <> '') WHERE substr(md5(host), 1, {len(share)}) < '{share}'),
 rules(verdict, key, h, p, tier) AS (VALUES {values} UNION ALL SELECT 'block', host, host, '', 2 FROM listed),
 m AS (SELECT u.*, r.verdict, r.key, r.tier, row_number() OVER (PARTITION BY u.n ORDER BY r.tier, length(r.key) DESC, length(r.h) DESC) AS i
   FROM u LEFT JOIN rules r ON u.host <> '' AND (u.host = r.h OR ends_with(u.host, '.' || r.h)) AND starts_with(u.path, r.p))

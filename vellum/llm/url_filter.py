@@ -9,8 +9,8 @@ Level 1 encodes the listed keys. The universe's false positives there are encode
 level 2 by level 3, and so on until a level has no false positives. A key of the universe is then listed exactly when the
 first level that it fails is an even one (or it passes all of an odd number): membership is exact and costs no join.
 
-The listed keys are a parameter of at most MAX_KEYS strings; a longer list is refused, as its filters would no longer be
-small beside a task: split it and judge once for each part. Level 1 gets as many bits as make the expected false
+A list of any length is dealt by hash into parts of about MAX_KEYS, a cascade each, so that no more keys than that, and
+their filters, are held at once; the parts are judged one after the other. Level 1 gets as many bits as make the expected false
 positives no more than the keys, and is enlarged until the counted ones are at most FALSE_PER_KEY times the keys, before
 any of them come to the driver: filters and what builds them stay in proportion to the list, whatever the corpus's size.
 
@@ -27,7 +27,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MAX_KEYS = 1_000_000
+from vellum.llm.common import drop, stash
+
+#: Keys of one cascade, about: what the driver holds of a list at a time.
+MAX_KEYS = 250_000
 FALSE_PER_KEY = 4
 HASHES = 3
 #: Share of other keys that pass a level after the first.
@@ -45,8 +48,8 @@ RULES = (
 )
 
 #: The production list of blocked hosts, a stand-in for a bought one: of the corpus's hosts those whose MD5 begins below
-#: LISTED_BELOW, one in sixteen, and at most LISTED_MOST of them, the smallest digests first.
-LISTED_BELOW, LISTED_MOST = "1", 100_000
+#: LISTED_BELOW, one in sixteen.
+LISTED_BELOW = "1"
 
 
 def host_of(url: str) -> Column:
@@ -57,11 +60,10 @@ def path_of(url: str) -> Column:
     return F.coalesce(F.regexp_extract(F.col(url), r"(?s)^.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
-def listed_hosts(pages: DataFrame, url: str = "url", below: str = LISTED_BELOW, most: int = LISTED_MOST) -> list[str]:
-    """The stand-in list; its size is bounded by `most`."""
-    hosts = pages.select(host_of(url).alias("host")).filter("host <> ''").distinct().withColumn("digest", F.md5("host"))
-    hosts = hosts.filter(F.substring("digest", 1, len(below)) < below).orderBy("digest").limit(most)
-    return [r["host"] for r in hosts.select("host").collect()]
+def listed_hosts(pages: DataFrame, url: str = "url", below: str = LISTED_BELOW) -> DataFrame:
+    """The stand-in list, as a table(key)."""
+    hosts = pages.select(host_of(url).alias("key")).filter("key <> ''").distinct()
+    return hosts.filter(F.substring(F.md5("key"), 1, len(below)) < below)
 
 
 def split_key(key: str) -> tuple[str, str]:
@@ -69,17 +71,35 @@ def split_key(key: str) -> tuple[str, str]:
     return host, slash + path
 
 
-def candidates(host: str, path: str, keys: Sequence[str]) -> Column:
+@dataclass(frozen=True)
+class Shape:
+    """How many labels the hosts of a list's keys have at most, and the lengths of their paths."""
+
+    labels: int
+    lengths: tuple[int, ...]
+
+    @classmethod
+    def of(cls, keys: Sequence[str]) -> Shape:
+        return cls(max((split_key(k)[0].count(".") + 1 for k in keys), default=1), tuple(sorted({len(split_key(k)[1]) for k in keys}, reverse=True)))
+
+    @classmethod
+    def of_table(cls, keys: DataFrame) -> Shape:
+        host = F.substring_index("key", "/", 1)
+        labels = F.char_length(host) - F.char_length(F.replace(host, F.lit("."), F.lit(""))) + 1
+        lengths = F.collect_set(F.char_length("key") - F.char_length(host))  # as many as there are lengths of paths
+        r = keys.agg(F.max(labels).alias("labels"), lengths.alias("lengths")).first()
+        return cls(r["labels"] or 1, tuple(sorted(r["lengths"], reverse=True)))
+
+
+def candidates(host: str, path: str, shape: Shape) -> Column:
     """Array of the keys that could list this URL: its host's suffixes by the listed path lengths, longest first."""
-    labels = max((split_key(k)[0].count(".") + 1 for k in keys), default=1)
-    lengths = sorted({len(split_key(k)[1]) for k in keys}, reverse=True)
     # an empty host has no candidates
-    tails = [F.substring_index(F.col(host), ".", -n) for n in range(labels, 0, -1)]
+    tails = [F.substring_index(F.col(host), ".", -n) for n in range(shape.labels, 0, -1)]
     out = []
-    for n in lengths:
+    for n in shape.lengths:
         fits = F.char_length(F.col(path)) >= n
         out += [F.when(fits & (F.col(host) != ""), F.concat(t, F.substring(F.col(path), 1, n))) for t in tails]
-    return F.array_distinct(F.filter(F.array(*out), lambda x: x.isNotNull()))
+    return F.array_distinct(F.filter(F.array(*out), lambda x: x.isNotNull())) if out else F.array().cast("array<string>")
 
 
 def _hashes(key: Column) -> list[Column]:
@@ -130,8 +150,6 @@ class Cascade:
     def build(cls, listed: Sequence[str], universe: DataFrame, size: int) -> Cascade:
         """universe(key) holds every key that will be asked for, repeats allowed; size is at least its number of keys."""
         listed = sorted(set(listed))
-        if len(listed) > MAX_KEYS:
-            raise ValueError(f"the list has more than {MAX_KEYS} keys")
         if not listed:
             return cls([])
         spark = universe.sparkSession
@@ -173,24 +191,49 @@ def _longest(found: Column) -> Column:
     return F.array_max(ranked)["k"]
 
 
-def judge(pages: DataFrame, url: str = "url", rules: Sequence[tuple[str, str]] = RULES, listed: Sequence[str] | None = None) -> DataFrame:
+def _part(key: Column, parts: int) -> Column:
+    return F.pmod(F.xxhash64(key, F.lit(303)), F.lit(parts))
+
+
+def _held(asks: Column, cascade: Cascade, parts: int, part: int) -> Column:
+    """The keys of an array that this part of a list holds."""
+    return F.filter(asks, lambda k: (_part(k, parts) == part) & cascade.holds(k))
+
+
+def judge(pages: DataFrame, url: str = "url", rules: Sequence[tuple[str, str]] = RULES, listed: Sequence[str] | DataFrame | None = None, most_keys: int = MAX_KEYS) -> DataFrame:
     """pages' own columns with host, path, rule, listed_as and verdict.
 
     A fitting rule decides, the longest first; where none fits, a URL on the list is blocked and any other allowed. The
-    list is that of listed_hosts() unless given."""
+    list, keys or a table(key), is that of listed_hosts() unless given."""
+    spark = pages.sparkSession
     listed = listed_hosts(pages, url) if listed is None else listed
-    keys = [k for _, k in rules]
+    if not isinstance(listed, DataFrame):
+        listed = spark.createDataFrame([(k,) for k in listed], "key string")
+    listed = stash(listed.select("key").distinct(), "listed")
+    shapes = [Shape.of([k for _, k in rules]), Shape.of_table(listed)]
     rows = pages.withColumn("host", host_of(url)).withColumn("path", path_of(url))
-    asks = [candidates("host", "path", some) for some in (keys, list(listed))]
+    asks = [candidates("host", "path", shape) for shape in shapes]
     total = pages.count()
-    sizes = [total * (max((split_key(k)[0].count(".") + 1 for k in some), default=1)) * max(1, len({len(split_key(k)[1]) for k in some})) for some in (keys, list(listed))]
+    sizes = [total * shape.labels * max(1, len(shape.lengths)) for shape in shapes]
     universe = [rows.select(F.explode(a).alias("key")) for a in asks]
     allow = Cascade.build([k for v, k in rules if v == "allow"], universe[0], sizes[0])
     block = Cascade.build([k for v, k in rules if v == "block"], universe[0], sizes[0])
-    more = Cascade.build(list(listed), universe[1], sizes[1])
     fits = F.filter(F.col("__asks"), lambda k: allow.holds(k) | block.holds(k))
-    rows = rows.withColumn("__asks", asks[0]).withColumn("rule", _longest(fits))
-    rows = rows.withColumn("listed_as", _longest(F.filter(asks[1], more.holds)))
+    rows = rows.withColumn("__asks", asks[0]).withColumn("rule", _longest(fits)).drop("__asks").withColumn("listed_as", F.lit(None).cast("string"))
+    parts = max(1, -(-listed.count() // most_keys))
+    judged = None
+    for part in range(parts):
+        mine = _part(F.col("key"), parts) == part
+        keys = [r["key"] for r in listed.filter(mine).collect()]
+        more = Cascade.build(keys, universe[1].filter(mine), sizes[1])
+        found = _held(asks[1], more, parts, part)
+        rows = rows.withColumn("listed_as", _longest(F.array_compact(F.array_append(found, F.col("listed_as")))))
+        if parts > 1:  # a plan holds one part's filters
+            rows = stash(rows, "judged")
+            if judged is not None:
+                drop(judged)
+            judged = rows
+    drop(listed)
     by_rule = F.when(block.holds(F.col("rule")), F.lit("block")).otherwise(F.lit("allow"))
     verdict = F.when(F.col("rule").isNotNull(), by_rule).when(F.col("listed_as").isNotNull(), F.lit("block")).otherwise(F.lit("allow"))
-    return rows.withColumn("verdict", verdict).drop("__asks")
+    return rows.withColumn("verdict", verdict)
