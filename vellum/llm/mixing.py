@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from vellum.llm.common import BROADCAST_ROWS, stash
+from vellum.llm.common import BROADCAST_ROWS, drop, stash
 
 WEIGHTS = (5, 2, 1)
 MOST = 3
@@ -79,7 +79,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, c
     thin = stash(thin.withColumn("u", random_unit()), "sizes")
     quota = targets(thin, weights, most)
     key = lambda c: F.coalesce(F.concat(F.lit("s"), F.col(c)), F.lit("n"))  # noqa: E731  the null source joins as a key of its own
-    quota = stash(quota.select(key("source").alias("k"), "source_size", "target"), "targets")
+    quota = given = stash(quota.select(key("source").alias("k"), "source_size", "target"), "targets")
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     quota = quota.withColumn("sure", F.floor(ratio).cast("long"))
     quota = quota.withColumn("left_words", F.col("target") - F.col("sure") * F.col("source_size"))
@@ -98,6 +98,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, c
     inside = W.partitionBy("k", "bucket").orderBy(F.col("rank"), F.col("doc_id"), F.col("size")).rowsBetween(W.unboundedPreceding, 0)
     waits = (F.col("picked") == 0) & F.col("rank").isNotNull()
     open_ = waits & (F.col("size") <= F.col("room"))
+    few, made = quota.count() <= BROADCAST_ROWS, [thin, given, quota]  # what the first pass still reads
     while True:
         rows = rows.withColumn("ask", F.when(open_, F.col("size")).otherwise(F.lit(0)))
         sums = rows.groupBy("k", "bucket").agg(F.sum("ask").alias("asked"))
@@ -110,10 +111,12 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, c
         got = got.groupBy("k").agg(F.sum("g").alias("got"))
         got = got.select("k", "got", F.explode(F.sequence(F.lit(0), F.lit(BUCKETS - 1))).alias("bucket"))
         rows = stash(rows.join(got, ["k", "bucket"]).withColumn("room", F.col("left_words") - F.col("got")).drop("got"), "drawn")
+        drop(*made)
+        made = [rows]
         if rows.filter(open_).isEmpty():
             break
     nearer = rows.filter(waits & (F.col("size") / 2 < F.col("room"))).groupBy("k").agg(F.min(F.struct("size", "rank", "doc_id")).alias("last"))
-    rows = rows.join(F.broadcast(nearer) if quota.count() <= BROADCAST_ROWS else nearer, "k", "left")
+    rows = rows.join(F.broadcast(nearer) if few else nearer, "k", "left")
     is_last = waits & F.struct("size", "rank", "doc_id").eqNullSafe(F.col("last"))
     first = W.partitionBy("k", "bucket").orderBy(F.when(is_last, 0).otherwise(1), F.col("rank"), F.col("doc_id"), F.col("size"))
     rows = rows.withColumn("picked", F.when(is_last & (F.row_number().over(first) == 1), 1).otherwise(F.col("picked")))
