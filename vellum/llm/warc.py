@@ -251,7 +251,7 @@ def round_trip(pages: DataFrame, path: str | None = None) -> DataFrame:
     if path is None:
         import uuid
 
-        path = f"{shared_dir(spark)}/vellum/warc-{uuid.uuid4().hex}"
+        path = f"{shared_dir(spark)}/vellum/{spark.sparkContext.applicationId}/warc-{uuid.uuid4().hex}"
     write(pages, path)
     full = read(spark, path).filter("record_type = 'response'")
     thin = read(spark, path, payload=False).filter("record_type = 'revisit'")
