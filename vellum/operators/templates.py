@@ -45,7 +45,7 @@ def catalogue(builtin: DataFrame, custom: DataFrame) -> DataFrame:
     both = builtin.unionByName(custom.join(builtin.select("id"), "id", "left_anti").select(*builtin.columns))
     placed = F.transform(F.coalesce("questions", F.array().cast(f"array<{QUESTION}>")), lambda q, i: F.struct(F.coalesce(q["order"], F.lit(0)).alias("o"), i.alias("i"), q.alias("q")))
     ordered = F.transform(F.array_sort(placed), lambda x: x["q"])
-    return both.withColumns({"questions": ordered, "n_questions": F.size("questions").cast("long")})
+    return both.withColumns({"questions": ordered, "n_questions": F.size(ordered).cast("long")})
 
 
 def save(custom: DataFrame, template: DataFrame) -> DataFrame:

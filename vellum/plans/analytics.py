@@ -396,7 +396,7 @@ def _(d):
 
 @query("win08_login_failures")
 def _(d):
-    return f"""WITH {V.audit(d)}, e AS (SELECT event_id, user_id % 3 AS who, CAST(epoch_us AS BIGINT) AS t FROM (SELECT event_id, user_id, action, MICROS AS epoch_us FROM v_audit_us) x WHERE action = 'error')
+    return f"""WITH {V.audit(d)}, e AS (SELECT event_id, CONCAT(ip, ' ', lower(username)) AS who, CAST(epoch_us AS BIGINT) AS t FROM (SELECT event_id, ip, username, action, MICROS AS epoch_us FROM v_audit_us) x WHERE action = 'error')
 SELECT event_id, {BIG("COUNT(*) OVER (PARTITION BY who ORDER BY t RANGE BETWEEN 299999999 PRECEDING AND CURRENT ROW)")} AS failures FROM e""".replace(
         "MICROS", "us"
     ).replace("v_audit_us", f"(SELECT a.*, {d.micros('ts')} AS us FROM v_audit a) y")
@@ -500,11 +500,6 @@ def _(d):
     return f"""WITH {V.case(d)} SELECT CONCAT_WS(',', CAST(id AS VARCHAR(20)), CAST(received AS VARCHAR(20)), CAST(completed AS VARCHAR(20)), CASE WHEN completed <= effective_due THEN 'yes' ELSE 'no' END) AS line FROM v_case WHERE status = 'complete'"""
 
 
-@query("snk06_upsert_latest")
-def _(d):
-    return f"""WITH {V.case(d)}, r AS (SELECT subject, id, status, ROW_NUMBER() OVER (PARTITION BY subject ORDER BY received DESC, id DESC) AS n FROM v_case) SELECT subject, id, status FROM r WHERE n = 1"""
-
-
 @query("wf03_pause_resume")
 def _(d):
     return f"""WITH {V.case(d)} SELECT id, {BIG("paused_days + CASE WHEN clock_paused THEN greatest(0, " + d.days("received", T) + ") ELSE 0 END")} AS total_paused, FALSE AS clock_paused FROM v_case"""
@@ -561,12 +556,6 @@ s AS (SELECT username, t, SUM(CASE WHEN before IS NULL OR t - before >= 1800 THE
 SELECT username, {BIG("session")} AS session, {BIG("COUNT(*)")} AS events, MIN(t) AS first_t, MAX(t) AS last_t FROM s GROUP BY username, session"""
 
 
-@query("str06_due_check")
-def _(d):
-    return f"""WITH {V.audit(d)}, r AS (SELECT {d.seconds("ts")} AS t, {d.seconds("ts")} - LAG({d.seconds("ts")}) OVER (ORDER BY ts, event_id) AS gap FROM v_audit WHERE action = 'error' AND user_id = 5)
-SELECT t, (gap IS NULL OR gap >= 86400) AS due FROM r"""
-
-
 # ---- more of the same families ---------------------------------------------------------------------------------------
 
 
@@ -738,8 +727,3 @@ def _(d):
 @query("src25_planted_corpus")
 def _(d):
     return f"WITH {V.planted(d)} SELECT doc_id, text, forename, surname FROM v_planted"
-
-
-@query("str04_audit_tail")
-def _(d):
-    return f"WITH {V.audit(d)} SELECT event_id, ts, username FROM v_audit WHERE action = 'error' AND username = 'user5'"

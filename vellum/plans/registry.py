@@ -10,11 +10,10 @@ from pyspark.sql import functions as F
 from vellum.functions import lexicons as L
 from vellum.operators import cases as C
 from vellum.operators import classify, dates, names, pii, redact, search
-from vellum.plans import analytics, casework, detect, disclosures, searches  # noqa: F401  these add their queries to casework's
+from vellum.plans import analytics, casework, detect, disclosures, events, searches  # noqa: F401  these add their queries to casework's
 from vellum.plans import views as V
 from vellum.plans.dialect import Duck
 from vellum.plans.dialect import Spark as SparkSql
-from vellum.streaming import audit
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 SUBJECT = classify.Subject("Emma Turner", "Emma", "Turner", "943 476 5919", "", "12 High Street, Guildford", "07700 900150", "", ("Em Turner",))
@@ -55,12 +54,6 @@ def of_cases(query: Callable[..., DataFrame], *views: str) -> Callable[[SparkSes
     return run
 
 
-def presence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    register(spark, sf_dir)
-    events = spark.sql(f"WITH {V.audit(SparkSql())} SELECT event_id, ts, target, username FROM v_audit")
-    return audit.presence(events).select("event_id", F.concat_ws(",", "others").alias("others"))
-
-
 TODAY = lambda: F.expr(V.TODAY)
 CASE_QUERIES = {
     "fn16_days_remaining": of_cases(lambda c: C.with_clock(c, TODAY()).select("id", "days_remaining"), "v_case"),
@@ -201,23 +194,6 @@ def src03_text_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detect.page_texts(spans).select("doc_id", F.size("spans").alias("lines"), F.char_length("page_text").alias("chars"))
 
 
-def str01_login_throttle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Attempts with the seconds that each has to wait, the keyed fold of the stream run over a table."""
-    from vellum.streaming.audit import throttle_step
-
-    events = spark.read.parquet(f"{sf_dir}/events.parquet").filter("event_type in ('error', 'click')")
-    events = events.select("event_id", F.col("ts").cast("timestamp").alias("ts"), (F.col("user_id") % 20).alias("who"), (F.col("event_type") == "click").alias("ok"))
-
-    def run(pdf):
-        pdf, failures, waits = pdf.sort_values(["ts", "event_id"]), [], []
-        for ts, ok in zip(pdf["ts"], pdf["ok"], strict=True):
-            failures, wait = throttle_step(failures, ts.timestamp() / 50, bool(ok))
-            waits.append(wait)
-        return pdf.assign(wait=waits)[["event_id", "who", "wait"]]
-
-    return events.groupBy("who").applyInPandas(run, "event_id long, who long, wait long")
-
-
 def _number_text(d) -> str:
     return "regexp_replace(m, '[^0-9]', '', 'g')"
 
@@ -243,7 +219,8 @@ def _word_ok(w: str) -> str:
     return f"({bare} NOT IN {_list(L.NOT_NAMES)} AND length({bare}) >= 2 AND NOT regexp_matches({bare}, '^[0-9]+$'))"
 
 
-def _name_checks() -> dict[str, str]:
+def _name_layouts() -> dict[str, tuple[str, int, str, str]]:
+    """By query: pattern, group of the name (0: the whole match), the condition on a match m and how it is shown."""
     lex, d = L.DEFAULT_LEXICON, Duck()
     g = lambda p, n: f"regexp_extract(m, {d.re(p)}, {n})"
     both = lambda p: f"{_word_ok(g(p, 1))} AND {_word_ok(g(p, 2))}"
@@ -253,17 +230,44 @@ def _name_checks() -> dict[str, str]:
     extra = g(L.TITLE_NAME, 3)
     inner = lambda parts: f"{parts[0]}({parts[1]}){parts[2]}"
     return {
-        "det_n1_surname_comma": _all(L.SURNAME_COMMA, both(L.SURNAME_COMMA)),
-        "det_n2_titlecase_comma": _all(L.TITLECASE_COMMA, f"lower({g(L.TITLECASE_COMMA, 1)}) IN {_list(lex.surnames)} AND {both(L.TITLECASE_COMMA)}"),
-        "det_n3_titled": _all(L.TITLE_NAME, _word_ok(g(L.TITLE_NAME, 2)), 0, f"{g(L.TITLE_NAME, 1)} || ' ' || {g(L.TITLE_NAME, 2)} || CASE WHEN {extra} <> '' THEN ' ' || {extra} ELSE '' END"),
-        "det_n4_salutation": _all(inner(L.DEAR), first, 1),
-        "det_n5_relation": _all(inner(L.RELATION), first, 1),
-        "det_n6_bracket": _all(inner(L.BRACKET), first, 1),
-        "det_n7_full_name": _all(L.FULL_NAME, pair(L.FULL_NAME)),
-        "det_n8_all_caps": _all(L.ALL_CAPS, pair(L.ALL_CAPS)),
+        "det_n1_surname_comma": (L.SURNAME_COMMA, 0, both(L.SURNAME_COMMA), "m"),
+        "det_n2_titlecase_comma": (L.TITLECASE_COMMA, 0, f"lower({g(L.TITLECASE_COMMA, 1)}) IN {_list(lex.surnames)} AND {both(L.TITLECASE_COMMA)}", "m"),
+        "det_n3_titled": (L.TITLE_NAME, 0, _word_ok(g(L.TITLE_NAME, 2)), f"{g(L.TITLE_NAME, 1)} || ' ' || {g(L.TITLE_NAME, 2)} || CASE WHEN {extra} <> '' THEN ' ' || {extra} ELSE '' END"),
+        "det_n4_salutation": (inner(L.DEAR), 1, first, "m"),
+        "det_n5_relation": (inner(L.RELATION), 1, first, "m"),
+        "det_n6_bracket": (inner(L.BRACKET), 1, first, "m"),
+        "det_n7_full_name": (L.FULL_NAME, 0, pair(L.FULL_NAME), "m"),
+        "det_n8_all_caps": (L.ALL_CAPS, 0, pair(L.ALL_CAPS), "m"),
     }
 
 
+def _name_checks() -> dict[str, str]:
+    return {n: _all(pattern, keep, group, show) for n, (pattern, group, keep, show) in _name_layouts().items()}
+
+
+def _suppressed_check() -> str:
+    """Check SQL: all layouts' matches with their places, then, by recursion over a note's matches in order of priority, those that
+    overlap none kept before. Places are the running lengths of the pieces that a note is cut into at the matches."""
+    parts = []
+    for i, (pattern, group, keep, show) in enumerate(_name_layouts().values()):
+        if group:  # before, name and after, each marked off
+            before, inside, behind = (L.DEAR, L.RELATION, L.BRACKET)[i - 3]
+            pattern, new = f"({before})({inside})({behind})", "'\\1' || chr(1) || '\\2' || chr(2) || '\\3'"
+        else:
+            new = "chr(1) || '\\0' || chr(2)"
+        cut = f"string_split(regexp_replace(text, {Duck().re(pattern)}, {new}, 'g'), chr(1))"
+        parts.append(f"""SELECT doc_id, {i} AS prio, s, s + length(m) AS e, {show} AS shown FROM (
+  SELECT doc_id, pos, string_split(seg, chr(2))[1] AS m, coalesce(sum(length(replace(seg, chr(2), ''))) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s
+  FROM (SELECT doc_id, unnest(segs) AS seg, unnest(range(len(segs))) AS pos FROM (SELECT doc_id, {cut} AS segs FROM v_planted) a) b) c WHERE pos > 0 AND {keep}""")
+    return f"""WITH RECURSIVE {V.planted(Duck())}, l AS ({" UNION ALL ".join(parts)}),
+o AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY prio, s) AS i FROM l),
+k AS (SELECT doc_id, CAST(0 AS BIGINT) AS i, []::STRUCT(s BIGINT, e BIGINT, shown VARCHAR)[] AS kept FROM v_planted
+  UNION ALL SELECT k.doc_id, o.i, CASE WHEN len(list_filter(kept, lambda x: o.s < x.e AND o.e > x.s)) > 0 THEN kept
+    ELSE list_append(kept, {{'s': CAST(o.s AS BIGINT), 'e': CAST(o.e AS BIGINT), 'shown': o.shown}}) END FROM k JOIN o ON o.doc_id = k.doc_id AND o.i = k.i + 1),
+z AS (SELECT doc_id, list_sort(arg_max(kept, i)) AS kept FROM k GROUP BY doc_id)
+SELECT doc_id, CAST(len(kept) AS BIGINT) AS n, array_to_string(list_transform(kept, lambda x: x.shown), '|') AS found FROM z"""
+
+
 def detections(rows: Callable[[SparkSession, str], DataFrame], source_file: str) -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """The detection, dating and redaction queries over (doc_id, text) rows."""
     over = lambda found: lambda spark, sf_dir: rows(spark, sf_dir).select("doc_id", *_texts(found(F.col("text"))))
@@ -299,7 +303,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "fn23_wrap": fn23_wrap,
     "snk04_bundle_parts": snk04_bundle_parts,
     "src03_text_pages": src03_text_pages,
-    "str01_login_throttle": str01_login_throttle,
     "txt01_keyword_scan": txt01_keyword_scan,
     "txt02_best_evidence": txt02_best_evidence,
     # over planted notes, which check SQL covers, and over the real texts, where the engines' regular expressions differ
@@ -309,7 +312,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     **{n: by_sql(n) for n in analytics.Q},
     # functions over cases and findings, which the statements of the same names check
     **CASE_QUERIES,
-    "str03_presence": presence,
     **casework.QUERIES,
 }
 
@@ -347,9 +349,7 @@ SELECT email, 'auto_redact' AS status, count(*) AS n_docs, min(doc_id) AS first_
     "cls02_address": "SELECT doc_id, CAST(10 + doc_id % 4 AS VARCHAR) || ' High Street Guildford' AS entity, doc_id % 4 = 2 AS home FROM documents",
     "cls03_staff": f"WITH {V.planted(Duck())} SELECT doc_id, 'Mr ' || forename || ' ' || surname AS entity, (forename IN ('Peter', 'Sarah') OR surname IN ('Wright', 'Hughes')) AS staff FROM v_planted",
     **_name_checks(),
+    "det_n9_suppressed_names": _suppressed_check(),
     **{n: q(Duck()) for n, q in analytics.Q.items()},
     **casework.ORACLES,
-    "str03_presence": f"""WITH {V.audit(Duck())} SELECT e.event_id, coalesce(string_agg(DISTINCT o.username, ',' ORDER BY o.username), '') AS others
-FROM v_audit e LEFT JOIN v_audit o ON o.target = e.target AND o.username <> e.username AND epoch_us(e.ts) - epoch_us(o.ts) BETWEEN 0 AND 90000000
-WHERE e.target IS NOT NULL GROUP BY e.event_id""",
 }

@@ -7,6 +7,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -38,10 +39,17 @@ def idle_sessions(events: DataFrame, minutes: int = 30, late: str = "10 minutes"
 
 
 def presence(events: DataFrame, seconds: int = SEEN) -> DataFrame:
-    """Each heartbeat with the others whose last one on the same target is at most so many seconds old; for tables."""
-    here = W.partitionBy("target").orderBy(F.unix_micros(F.col("ts").cast("timestamp"))).rangeBetween(-seconds * 1_000_000, W.currentRow)
+    """Each heartbeat with the others whose last one on the same target is at most so many seconds old; for tables.
+
+    A target's time is cut into stretches of that length, and a heartbeat also goes, as one to look back on, to the stretch
+    after its own: so a busy target is spread over its stretches, and no frame reaches beyond two."""
+    span = seconds * 1_000_000
+    rows = events.filter("target is not null").withColumn("__us", F.unix_micros(F.col("ts").cast("timestamp")))
+    own = F.floor(F.col("__us") / span)
+    rows = rows.withColumn("__at", F.explode(F.array(F.struct(own.alias("k"), F.lit(True).alias("own")), F.struct((own + 1).alias("k"), F.lit(False).alias("own")))))
+    here = W.partitionBy("target", "__at.k").orderBy("__us").rangeBetween(-span, W.currentRow)
     others = F.array_sort(F.array_remove(F.collect_set("username").over(here), F.col("username")))
-    return events.filter("target is not null").withColumn("others", others)
+    return rows.withColumn("others", others).filter("__at.own").drop("__at", "__us")
 
 
 def last_seen(events: DataFrame) -> DataFrame:
@@ -86,3 +94,24 @@ def throttle(attempts: DataFrame, late: str = "10 minutes") -> DataFrame:
 
     keyed = attempts.withColumn("username", F.lower("username")).withWatermark("ts", late).groupBy("ip", "username")
     return keyed.applyInPandasWithState(run, "ip string, username string, ts timestamp, wait long", "failures array<double>", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def throttled(attempts: DataFrame) -> DataFrame:
+    """(event_id, ip, username, wait) of every attempt(ts, event_id, ip, username, ok) of a table, as throttle() tells of a stream.
+
+    An address and name's attempts stream through one task in order; of them it holds the failures that still count."""
+    rows = attempts.select("event_id", "ip", F.lower("username").alias("username"), "ok", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("t"))
+    rows = rows.repartition("ip", "username").sortWithinPartitions("ip", "username", "t", "event_id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        who, failures = None, []
+        for batch in batches:
+            waits = []
+            for ip, name, t, ok in zip(*(batch[c].to_pylist() for c in ("ip", "username", "t", "ok")), strict=True):
+                if (ip, name) != who:
+                    who, failures = (ip, name), []
+                failures, wait = throttle_step(failures, t, bool(ok))
+                waits.append(wait)
+            yield pa.RecordBatch.from_arrays([batch["event_id"], batch["ip"], batch["username"], pa.array(waits, pa.int64())], ["event_id", "ip", "username", "wait"])
+
+    return rows.mapInArrow(run, "event_id long, ip string, username string, wait long")
