@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vellum.plans import views as V
-from vellum.plans.casework import CASE, D, bound, query
+from vellum.plans.casework import CASE, QUERIES, D, bound, query
 from vellum.plans.dialect import Spark as SparkSql
+from vellum.sources import folders
 from vellum.sources.shared import new_folder
 from vellum.streaming import audit, upserts, visits
 
@@ -73,3 +74,11 @@ def snk06_upsert_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     for batch_id in (0, 1, 0):
         store.merge(halves[batch_id], batch_id)
     return store.read(spark).drop("stamp")
+
+
+def agg18_folder_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files and bytes of the tables' own folder, rolled up; the check engine's views can't tell them."""
+    return folders.folder_sizes(folders.file_sizes(spark, sf_dir))
+
+
+QUERIES["agg18_folder_sizes"] = agg18_folder_sizes
