@@ -32,10 +32,12 @@ def with_clock(cases: DataFrame, today: Column) -> DataFrame:
 def case_summary(cases: DataFrame, findings: DataFrame, today: Column) -> DataFrame:
     """Per case the findings by state, the files that have any, and the days left."""
     by = lambda s: _count(F.col("status") == s).alias({"auto_redact": "auto"}.get(s, s))
-    counts = findings.groupBy("case_id").agg(
-        F.count("*").alias("total"), by("auto_redact"), by("flagged"), by("approved"), _count(F.col("status").isin(*REVIEWED)).alias("reviewed"),
-        F.size(F.collect_set("source_file")).cast("long").alias("files"),
-    )
+    # a row a case and file first, so that files are counted without holding their names
+    each = findings.groupBy("case_id", "source_file").agg(
+        F.count("*").alias("total"), by("auto_redact"), by("flagged"), by("approved"), _count(F.col("status").isin(*REVIEWED)).alias("reviewed")
+    )
+    sums = [F.sum(c).alias(c) for c in each.columns if c not in ("case_id", "source_file")]
+    counts = each.groupBy("case_id").agg(*sums, F.count("source_file").alias("files"))
     names = [c for c in counts.columns if c != "case_id"]
     rows = with_clock(cases, today).select("id", "days_remaining").join(counts, F.col("id") == F.col("case_id"), "left")
     return rows.select("id", *[F.coalesce(c, F.lit(0)).alias(c) for c in names], "days_remaining")
@@ -110,8 +112,21 @@ def certificate_exemptions(findings: DataFrame) -> DataFrame:
 
 def by_name(findings: DataFrame) -> DataFrame:
     """Findings of equal text, case and outer blanks apart, by category: how many, in how many files, and in which states."""
-    counts = [_count(F.col("status") == s).alias(f"n_{s}") for s in L.STATUSES]
-    return findings.groupBy("category", F.lower(F.trim("text")).alias("name")).agg(F.count("*").alias("n"), F.count_distinct("source_file").alias("files"), *counts)
+    each = findings.groupBy("category", F.lower(F.trim("text")).alias("name"), "source_file")
+    counts = each.agg(F.count("*").alias("n"), *[_count(F.col("status") == s).alias(f"n_{s}") for s in L.STATUSES])
+    sums = [F.sum(c).alias(c) for c in ("n", *[f"n_{s}" for s in L.STATUSES])]
+    return counts.groupBy("category", "name").agg(*sums, F.count("source_file").alias("files"))
+
+
+def occurrences(findings: DataFrame, most: int = 30) -> DataFrame:
+    """The first findings of each name in by_name(), by case, file, page and seq, as places from 1; more: how many follow."""
+    rows = findings.withColumn("name", F.lower(F.trim("text")))
+    order = W.partitionBy("category", "name").orderBy("case_id", "source_file", "page_num", "seq")
+    first = rows.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= most)
+    total = rows.groupBy(F.col("category").alias("__c"), F.col("name").alias("__n")).agg(F.count("*").alias("__all"))
+    same = F.col("category").eqNullSafe(F.col("__c")) & F.col("name").eqNullSafe(F.col("__n"))
+    out = first.join(total, same).withColumn("more", F.greatest(F.col("__all") - most, F.lit(0)))
+    return out.select("category", "name", "place", "case_id", "source_file", "page_num", "seq", "status", "more")
 
 
 def review_progress(findings: DataFrame) -> DataFrame:

@@ -189,3 +189,44 @@ def certificate(findings: DataFrame) -> DataFrame:
     item = F.row_number().over(W.partitionBy("case_id", "section").orderBy(F.col("n").desc(), "what"))
     many = F.when(F.col("n") == 1, " redaction").otherwise(" redactions")
     return _lines(sums.withColumn("item", item), F.col("section"), F.col("item"), [F.concat("what", F.lit(": "), F.col("n").cast("string"), many)])
+
+
+#: Sources that an answer shows.
+SOURCES = 3
+PATIENT = (("Name", "full_name"), ("Date of Birth", "date_of_birth"), ("NHS Number", "nhs_number"), ("Address", "address"), ("GP", "gp_name"), ("Practice", "gp_practice"))
+
+
+def report(reports: DataFrame, answers: DataFrame, evidence: DataFrame, generated: Column) -> DataFrame:
+    """The lines of every report: section 0 its heading, 1 the patient, 2 questions and answers, 3 a rule at the end.
+
+    reports(case_id, template_name[, full_name, date_of_birth, ...]), answers(case_id, seq, question_id, question_text, answer), evidence(case_id,
+    question_id, place, source_file, page_num, text): an answer names the first SOURCES places whose text isn't empty."""
+    zero = F.lit(0)
+    head = [F.lit("MEDICAL REPORT"), F.concat(F.lit("Report Type: "), F.coalesce("template_name", F.lit("General"))), F.concat(F.lit("Generated: "), F.date_format(generated, "dd MMMM yyyy")), F.concat(F.lit("Report ID: "), F.col("case_id").cast("string"))]
+    out = _lines(reports, 0, zero, head)
+    have = lambda c: F.nullif(_text(c), F.lit("")) if c in reports.columns else F.lit(None).cast("string")
+    out = out.unionByName(_lines(reports, 1, zero, [F.lit("PATIENT DETAILS"), *[F.concat(F.lit(f"{label}: "), have(c)) for label, c in PATIENT]]))
+    out = out.unionByName(_lines(reports, 2, zero, [F.lit("REPORT FINDINGS")]))
+    good = evidence.filter(F.coalesce("text", F.lit("")) != "").withColumn("__i", F.row_number().over(W.partitionBy("case_id", "question_id").orderBy("place")))
+    ref = F.concat(F.col("source_file"), F.lit(" p."), (F.col("page_num") + 1).cast("string"))
+    refs = good.filter(F.col("__i") <= SOURCES).groupBy("case_id", "question_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("__i", ref.alias("r")))), lambda x: x["r"]), "; ").alias("__refs"))
+    rows = answers.withColumn("item", F.row_number().over(W.partitionBy("case_id").orderBy("seq"))).join(refs, ["case_id", "question_id"], "left")
+    said = F.trim(_text("answer"))
+    lines = [
+        F.concat(F.lit("Q"), F.col("item").cast("string"), F.lit(". "), _text("question_text")),
+        F.concat(F.lit("A: "), F.when(said == "", "[No answer provided]").otherwise(said)), F.concat(F.lit("Sources: "), F.col("__refs")),
+    ]
+    return out.unionByName(_lines(rows, 2, F.col("item"), lines)).unionByName(_lines(reports, 3, zero, [F.lit("─" * 60)]))
+
+
+def save_answers(answers: DataFrame, updates: DataFrame) -> DataFrame:
+    """answers(case_id, question_id, ..., answer, reviewed) with the last of updates(case_id, question_id, at, answer, reviewed).
+
+    An update without an answer or a mark clears it; one for a question that isn't asked changes nothing."""
+    last = updates.groupBy("case_id", "question_id").agg(F.max_by(F.struct("answer", "reviewed"), "at").alias("__u"))
+    out = answers.join(last, ["case_id", "question_id"], "left")
+    hit = F.col("__u").isNotNull()
+    return out.withColumns({
+        "answer": F.when(hit, F.coalesce(F.col("__u")["answer"], F.lit(""))).otherwise(F.col("answer")),
+        "reviewed": F.when(hit, F.coalesce(F.col("__u")["reviewed"], F.lit(False))).otherwise(F.col("reviewed")),
+    }).select(*answers.columns)

@@ -211,13 +211,6 @@ def _(d):
 # ---- joins -----------------------------------------------------------------------------------------------------------
 
 
-@query("jn02_staff_tokens")
-def _(d):
-    return f"""WITH c AS (SELECT p_partkey, lower(p_name) AS name FROM part), t AS (SELECT p_partkey, w FROM c {d.unnest(d.split("name", "[ ]+"), "w")}),
-s AS (SELECT DISTINCT w AS token FROM (SELECT lower(s_name) AS n FROM supplier) x {d.unnest(d.split("n", "[ ]+"), "w")})
-SELECT p_partkey, name, EXISTS (SELECT 1 FROM t JOIN s ON t.w = s.token WHERE t.p_partkey = c.p_partkey AND w NOT IN ('dr', 'mr', 'mrs', 'ms', 'miss', 'prof')) AS is_staff FROM c"""
-
-
 @query("jn06_reparse_new")
 def _(d):
     return f"""WITH {V.candidate(d)},
@@ -407,11 +400,6 @@ def _(d):
     return f"WITH {V.audit(d)} SELECT event_id, ts, action, username FROM v_audit WHERE action = 'error' ORDER BY ts DESC, event_id DESC LIMIT 50"
 
 
-@query("win10_rolling_backups")
-def _(d):
-    return f"""WITH {V.case(d)}, b AS (SELECT subject, id, ROW_NUMBER() OVER (PARTITION BY subject ORDER BY received DESC, id DESC) AS n FROM v_case) SELECT subject, id FROM b WHERE n > 7"""
-
-
 @query("srt02_document_order")
 def _(d):
     return f"""WITH {V.case(d)} SELECT subject, id, ROW_NUMBER() OVER (PARTITION BY subject ORDER BY COALESCE(CAST(completed AS VARCHAR(20)), '9999-99-99'), id) AS place FROM v_case"""
@@ -526,21 +514,11 @@ def _(d):
 SELECT case_id, seq, CASE WHEN confidence >= 0.8 THEN 'auto_redact' ELSE 'flagged' END AS status FROM v_candidate WHERE category <> 'custom_word' UNION ALL SELECT case_id, seq, status FROM manual"""
 
 
-@query("wf11_retention_expired")
-def _(d):
-    return f"WITH {V.case(d)} SELECT id, {BIG(d.days('completed', T))} AS age FROM v_case WHERE status = 'complete' AND {d.days('completed', T)} >= 180"
-
-
 @query("wf12_archive_switch")
 def _(d):
     return f"WITH {V.case(d)} SELECT id, NOT archived AS archived FROM v_case WHERE status = 'complete'"
 
 
-@query("wf14_unique_words")
-def _(d):
-    return f"SELECT lower(p_name) AS k, {d.first_by('p_name', 'p_partkey')} AS phrase FROM part GROUP BY 1"
-
-
 @query("wf16_demo_exists")
 def _(d):
     return "SELECT count(*) > 0 AS present FROM part WHERE instr(upper(p_name), 'BLUE') > 0"
@@ -597,11 +575,6 @@ def _(d):
     return f"WITH {V.planted(d)} SELECT doc_id, CONCAT({parts}) AS flags FROM v_planted"
 
 
-@query("cls06_status_decision")
-def _(d):
-    return f"""WITH {V.candidate(d)} SELECT case_id, seq, CASE WHEN supplier % 11 = 0 THEN 'excluded_subject' WHEN supplier % 7 = 0 THEN 'excluded_staff' WHEN confidence >= 0.8 THEN 'auto_redact' ELSE 'flagged' END AS status FROM v_candidate"""
-
-
 @query("cls08_scanned_cap")
 def _(d):
     return f"WITH {V.candidate(d)} SELECT case_id, seq, CASE WHEN supplier % 2 = 0 THEN least(confidence, 0.85) ELSE confidence END AS confidence FROM v_candidate"
@@ -664,11 +637,6 @@ def _(d):
     return newest_first(d, "completed", "status = 'complete'")
 
 
-@query("srt09_main_record")
-def _(d):
-    return f"WITH {V.candidate(d)} SELECT case_id, {d.first_by('source_file', 'seq')} AS main_file FROM v_candidate GROUP BY case_id"
-
-
 @query("set02_manual_rows_stay")
 def _(d):
     return f"WITH {V.candidate(d)} SELECT case_id, seq FROM v_candidate WHERE category <> 'address' UNION ALL SELECT case_id, seq FROM v_candidate WHERE category = 'address' AND status = 'approved'"
@@ -697,22 +665,11 @@ def _(d):
 SELECT case_id, CONCAT('  ', category, ': ', CAST(n AS VARCHAR(20)), CASE WHEN n = 1 THEN ' redaction' ELSE ' redactions' END) AS line FROM g"""
 
 
-@query("snk03_report_lines")
-def _(d):
-    return """WITH a AS (SELECT conv_id, turn, text, ROW_NUMBER() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations WHERE role = 'assistant')
-SELECT conv_id, n, CONCAT('A', CAST(n AS VARCHAR(20)), ': ', text, ' (doc', CAST(conv_id AS VARCHAR(20)), ' p.', CAST(turn + 1 AS VARCHAR(20)), ')') AS line FROM a WHERE n <= 3"""
-
-
 @query("wf05_allocate")
 def _(d):
     return f"WITH {V.case(d)} SELECT id, CASE WHEN id % 4 = 0 THEN NULL ELSE reviewer END AS allocated_to, CASE WHEN id % 4 = 0 THEN 'new' ELSE 'in_review' END AS workflow FROM v_case"
 
 
-@query("wf17_save_answers")
-def _(d):
-    return "SELECT conv_id, turn, CASE WHEN role = 'assistant' AND turn = 1 THEN 'edited' ELSE text END AS text FROM conversations"
-
-
 @query("src19_case_store")
 def _(d):
     get = (lambda k: d.rx("doc", f'"{k}":"?([^",}}]*)', 1))

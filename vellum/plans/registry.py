@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from vellum.functions import lexicons as L
 from vellum.operators import cases as C
 from vellum.operators import classify, dates, names, pii, redact, search
-from vellum.plans import analytics, casework, detect, disclosures, events, searches  # noqa: F401  these add their queries to casework's
+from vellum.plans import analytics, casework, detect, disclosures, events, records, searches  # noqa: F401  these add their queries to casework's
 from vellum.plans import views as V
 from vellum.plans.dialect import Duck
 from vellum.plans.dialect import Spark as SparkSql

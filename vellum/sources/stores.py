@@ -62,6 +62,33 @@ def config(saved: dict[str, object]) -> dict[str, str]:
     return CONFIG | {k: str(v).strip() for k, v in saved.items() if k in CONFIG}
 
 
+def _list_file(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    return spark.read.schema(schema).option("multiLine", True).option("mode", "DROPMALFORMED").json(path)
+
+
+def read_staff(spark: SparkSession, path: str) -> DataFrame:
+    """(name, role) of a staff list; entries without a name are left out."""
+    return _list_file(spark, path, "name string, role string").filter(F.trim("name") != "").withColumn("role", F.coalesce("role", F.lit("")))
+
+
+def read_custom_words(spark: SparkSession, path: str) -> DataFrame:
+    """(phrase, case_sensitive) of the phrases that are always redacted."""
+    return _list_file(spark, path, "phrase string, case_sensitive boolean").filter("phrase <> ''").withColumn("case_sensitive", F.coalesce("case_sensitive", F.lit(False)))
+
+
+def read_risk_words(spark: SparkSession, path: str) -> DataFrame:
+    """(category, phrase) of an object that lists phrases by category."""
+    whole = spark.read.text(path, wholetext=True).select(F.from_json("value", "map<string, array<string>>").alias("m"))
+    rows = whole.select(F.explode("m").alias("category", "phrases")).select("category", F.explode("phrases").alias("phrase"))
+    return rows.filter("phrase <> ''")
+
+
+def read_surnames(spark: SparkSession, path: str) -> DataFrame:
+    """(name) of a list of further surnames, in lower case, each once."""
+    whole = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", "array<string>")).alias("name"))
+    return whole.select(F.lower(F.trim("name")).alias("name")).filter("name <> ''").distinct()
+
+
 def importable(ids: DataFrame, existing: DataFrame, force: bool = False) -> DataFrame:
     """ids(id) with outcome: imported, invalid or conflict."""
     here = existing.select(F.col("id").alias("__have")).distinct()
