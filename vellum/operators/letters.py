@@ -58,12 +58,24 @@ def log_counts(cases: DataFrame, findings: DataFrame, unscreened: DataFrame) ->
     return out.select("case_id", *[F.coalesce(c, F.lit(0)).alias(c) for _, c in COUNTED])
 
 
-def _lines(rows: DataFrame, section: int | Column, item: Column, lines: Sequence[Column]) -> DataFrame:
-    """The lines that aren't null, one row each."""
-    made = F.array_compact(F.array(*lines))
+def _block(section: int | Column, item: Column, lines: Sequence[Column] | Column, when: Column | None = None) -> Column:
+    """The lines that aren't null as array<struct<section, item, line_no, line>>; none where `when` doesn't hold."""
     section = F.lit(section) if isinstance(section, int) else section
-    exploded = rows.select("case_id", section.cast("int").alias("section"), item.cast("long").alias("item"), F.posexplode(made).alias("line_no", "line"))
-    return exploded.select(*LINE)
+    made = lines if isinstance(lines, Column) else F.array_compact(F.array(*lines))
+    rows = F.transform(made, lambda x, i: F.struct(section.cast("int").alias("section"), item.cast("long").alias("item"), i.alias("line_no"), x.alias("line")))
+    return rows if when is None else F.when(when, rows).otherwise(F.slice(rows, 1, 0))
+
+
+def _lines(rows: DataFrame, *blocks: Column) -> DataFrame:
+    """All lines of the blocks of each row, made in one pass."""
+    return rows.select("case_id", F.inline(F.flatten(F.array(*blocks)))).select(*LINE)
+
+
+def _items(rows: DataFrame, section: int | Column, lines: Sequence[Column]) -> DataFrame:
+    """The lines that aren't null of items, rows with item."""
+    section = F.lit(section) if isinstance(section, int) else section
+    made = rows.select("case_id", section.cast("int").alias("section"), F.col("item").cast("long").alias("item"), F.posexplode(F.array_compact(F.array(*lines))).alias("line_no", "line"))
+    return made.select(*LINE)
 
 
 def _text(c: str) -> Column:
@@ -80,11 +92,11 @@ def redaction_log(cases: DataFrame, findings: DataFrame, unscreened: DataFrame,
     zero = F.lit(0)
     head = [F.lit("SUBJECT ACCESS REQUEST - REDACTION LOG"), F.concat(F.lit("SAR Reference: "), F.col("case_id").cast("string")), F.lit(f"Generated: {generated}"), F.lit(""), F.lit("SUMMARY"), F.lit("-" * 50)]
     head += [F.concat(F.lit(f"{label}: "), F.col(c).cast("string")) for label, c in COUNTED]
-    out = _lines(counts, SUMMARY, zero, head)
-    out = out.unionByName(_lines(counts, APPLIED, zero, [F.lit(x) for x in ("", RULE, TITLES[APPLIED], RULE)]))
-    for section, column in ((FAILED, "failed"), (REJECTED, "rejected"), (UNREVIEWED, "unreviewed"), (UNSCREENED, "unscreened")):
+    blocks = [_block(SUMMARY, zero, head)]
+    for section, column in ((APPLIED, None), (FAILED, "failed"), (REJECTED, "rejected"), (UNREVIEWED, "unreviewed"), (UNSCREENED, "unscreened")):
         more = ["", *WARNINGS[section]] if section in WARNINGS else []
-        out = out.unionByName(_lines(counts.filter(F.col(column) > 0), section, zero, [F.lit(x) for x in ("", RULE, TITLES[section], RULE, *more)]))
+        blocks.append(_block(section, zero, [F.lit(x) for x in ("", RULE, TITLES[section], RULE, *more)], F.col(column) > 0 if column else None))
+    out = _lines(counts, *blocks)
 
     rows = findings.withColumn("section", section_of(F.col("status"), F.col("failed"))).filter("section IS NOT NULL")
     item = F.row_number().over(W.partitionBy("case_id", "section").orderBy("seq"))
@@ -104,11 +116,12 @@ def redaction_log(cases: DataFrame, findings: DataFrame, unscreened: DataFrame,
         only(here.isin(FAILED, REJECTED), label("Reason for detection", _text("reason"))), only(here == APPLIED, label("Method", method)),
         only((here == APPLIED) & (code != ""), label("Exemption", exemption)), only((here == APPLIED) & (F.size(flags) > 0), label("Risk flags", shown)),
     ]
-    out = out.unionByName(_lines(rows, here, F.col("item"), lines))
+    out = out.unionByName(_items(rows, here, lines))
 
     nth = F.row_number().over(W.partitionBy("case_id").orderBy("source_file", "page_num"))
     images = unscreened.join(cases.select("id"), F.col("case_id") == F.col("id"), "left_semi").withColumn("item", nth)
-    return out.unionByName(_lines(images, UNSCREENED, F.col("item"), [F.lit(""), F.concat(F.col("item").cast("string"), F.lit(". File: "), _text("source_file")), label("Page", page)]))
+    shown = [F.lit(""), F.concat(F.col("item").cast("string"), F.lit(". File: "), _text("source_file")), label("Page", page)]
+    return out.unionByName(_items(images, UNSCREENED, shown))
 
 
 # ---- letters ---------------------------------------------------------------------------------------------------------
@@ -151,13 +164,13 @@ def letter(cases: DataFrame, practice: Practice, today: Column, paragraphs: Sequ
     long_date = lambda d: F.date_format(d, "dd MMMM yyyy")
     have = lambda c: F.nullif(F.trim(_text(c)), F.lit(""))
     zero = F.lit(0)
-    out = _lines(rows, 0, zero, [F.lit(practice.name), *own_lines(practice.address), long_date(today)])
+    blocks = [_block(0, zero, [F.lit(practice.name), *own_lines(practice.address), long_date(today)])]
     home = F.filter(F.transform(F.split(_text("address"), "\n"), lambda x: F.trim(x)), lambda x: x != "")
     addressed = F.concat(F.array(F.lit("PRIVATE & CONFIDENTIAL"), F.col("__name")), home)
-    out = out.unionByName(rows.select("case_id", F.lit(1).alias("section"), zero.cast("long").alias("item"), F.posexplode(addressed).alias("line_no", "line")))
+    blocks.append(_block(1, zero, addressed))
     reference = F.concat_ws(" · ", F.concat(F.lit("Subject Access Request — "), F.col("__name")), F.concat(F.lit("DOB "), have("birth")), F.concat(F.lit("NHS No. "), have("number")))
     dear = F.when(F.col("__name") == "", "Sir/Madam").otherwise(F.col("__name"))
-    out = out.unionByName(_lines(rows, 2, zero, [F.concat(F.lit("Dear "), dear, F.lit(",")), F.concat(F.lit("Re: "), reference)]))
+    blocks.append(_block(2, zero, [F.concat(F.lit("Dear "), dear, F.lit(",")), F.concat(F.lit("Re: "), reference)]))
     contact = (practice.officer or practice.name) + (f" at {practice.email}" if practice.email else "")
     slots = {
         "{name}": F.col("__name"), "{received}": F.coalesce(long_date(F.col("received")), F.lit("")), "{due}": F.coalesce(long_date(F.col("due")), F.lit("")), "{practice}": F.lit(practice.name),
@@ -170,9 +183,9 @@ def letter(cases: DataFrame, practice: Practice, today: Column, paragraphs: Sequ
             if slot in text:
                 said = F.replace(said, F.lit(slot), value)
         body.append(said if when == "always" else F.when(F.coalesce(F.col("n_redacted"), zero) > 0, said))
-    out = out.unionByName(_lines(rows, 3, zero, body))
+    blocks.append(_block(3, zero, body))
     signed = [given(practice.officer), F.when(given(practice.officer).isNotNull(), F.lit(practice.role)), F.lit(practice.name), given(practice.footer)]
-    return out.unionByName(_lines(rows, 4, zero, [F.lit("Yours sincerely,"), *signed]))
+    return _lines(rows, *blocks, _block(4, zero, [F.lit("Yours sincerely,"), *signed]))
 
 
 def certificate(findings: DataFrame) -> DataFrame:
@@ -188,7 +201,7 @@ def certificate(findings: DataFrame) -> DataFrame:
     sums = sums.withColumns({"section": section, "what": F.coalesce(k, e, F.lit("Total"))})
     item = F.row_number().over(W.partitionBy("case_id", "section").orderBy(F.col("n").desc(), "what"))
     many = F.when(F.col("n") == 1, " redaction").otherwise(" redactions")
-    return _lines(sums.withColumn("item", item), F.col("section"), F.col("item"), [F.concat("what", F.lit(": "), F.col("n").cast("string"), many)])
+    return _lines(sums.withColumn("item", item), _block(F.col("section"), F.col("item"), [F.concat("what", F.lit(": "), F.col("n").cast("string"), many)]))
 
 
 #: Sources that an answer shows.
@@ -203,10 +216,9 @@ def report(reports: DataFrame, answers: DataFrame, evidence: DataFrame, generate
     question_id, place, source_file, page_num, text): an answer names the first SOURCES places whose text isn't empty."""
     zero = F.lit(0)
     head = [F.lit("MEDICAL REPORT"), F.concat(F.lit("Report Type: "), F.coalesce("template_name", F.lit("General"))), F.concat(F.lit("Generated: "), F.date_format(generated, "dd MMMM yyyy")), F.concat(F.lit("Report ID: "), F.col("case_id").cast("string"))]
-    out = _lines(reports, 0, zero, head)
     have = lambda c: F.nullif(_text(c), F.lit("")) if c in reports.columns else F.lit(None).cast("string")
-    out = out.unionByName(_lines(reports, 1, zero, [F.lit("PATIENT DETAILS"), *[F.concat(F.lit(f"{label}: "), have(c)) for label, c in PATIENT]]))
-    out = out.unionByName(_lines(reports, 2, zero, [F.lit("REPORT FINDINGS")]))
+    patient = [F.lit("PATIENT DETAILS"), *[F.concat(F.lit(f"{label}: "), have(c)) for label, c in PATIENT]]
+    out = _lines(reports, _block(0, zero, head), _block(1, zero, patient), _block(2, zero, [F.lit("REPORT FINDINGS")]), _block(3, zero, [F.lit("─" * 60)]))
     good = evidence.filter(F.coalesce("text", F.lit("")) != "").withColumn("__i", F.row_number().over(W.partitionBy("case_id", "question_id").orderBy("place")))
     ref = F.concat(F.col("source_file"), F.lit(" p."), (F.col("page_num") + 1).cast("string"))
     refs = good.filter(F.col("__i") <= SOURCES).groupBy("case_id", "question_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("__i", ref.alias("r")))), lambda x: x["r"]), "; ").alias("__refs"))
@@ -216,7 +228,7 @@ def report(reports: DataFrame, answers: DataFrame, evidence: DataFrame, generate
         F.concat(F.lit("Q"), F.col("item").cast("string"), F.lit(". "), _text("question_text")),
         F.concat(F.lit("A: "), F.when(said == "", "[No answer provided]").otherwise(said)), F.concat(F.lit("Sources: "), F.col("__refs")),
     ]
-    return out.unionByName(_lines(rows, 2, F.col("item"), lines)).unionByName(_lines(reports, 3, zero, [F.lit("─" * 60)]))
+    return out.unionByName(_items(rows, 2, lines))
 
 
 def save_answers(answers: DataFrame, updates: DataFrame) -> DataFrame:

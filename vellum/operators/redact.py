@@ -23,22 +23,26 @@ def blank_out(text: Column, spans: Column, mark: str = MARK) -> Column:
     return F.concat(F.array_join(folded["out"], ""), F.substring(text, folded["at"] + 1, F.char_length(text)))
 
 
-def apply_redactions(pages: DataFrame, candidates: DataFrame) -> DataFrame:
-    """candidates with outcome: box, search or failed; pages([case_id, ]source_file, page_num, text).
+def outcomes(pages: DataFrame, candidates: DataFrame) -> DataFrame:
+    """candidates with outcome: box, search or failed, null where none is asked for; pages([case_id, ]source_file, page_num, text).
 
     Only approved and automatic ones are placed. All four coordinates must be positive and the box not empty; else the
     text is searched on its page; a page that is gone, a blank text and a text that isn't found fail."""
-    asked = candidates.filter(F.col("status").isin("auto_redact", "approved"))
     keys = [c for c in ("case_id", "source_file", "page_num") if c in pages.columns]
     page = pages.select(*[F.col(c).alias(f"__{c}") for c in keys], F.lit(True).alias("__here"), F.col("text").alias("__t"))
     same = F.lit(True)
     for c in keys:
         same = same & (F.col(c) == F.col(f"__{c}"))
-    rows = asked.join(page, same, "left")
+    rows = candidates.join(page, same, "left")
     box = (F.col("x0") > 0) & (F.col("y0") > 0) & (F.col("x1") > F.col("x0")) & (F.col("y1") > F.col("y0"))
     found = (F.trim("text") != "") & F.contains(F.lower("__t"), F.lower("text"))
     outcome = F.when(F.col("__here").isNull(), "failed").when(box, "box").when(found, "search").otherwise("failed")
-    return rows.withColumn("outcome", outcome).drop("__here", "__t", *[f"__{c}" for c in keys])
+    return rows.withColumn("outcome", F.when(F.col("status").isin("auto_redact", "approved"), outcome)).drop("__here", "__t", *[f"__{c}" for c in keys])
+
+
+def apply_redactions(pages: DataFrame, candidates: DataFrame) -> DataFrame:
+    """The candidates that are to be redacted, with their outcome."""
+    return outcomes(pages, candidates.filter(F.col("status").isin("auto_redact", "approved")))
 
 
 def split_parts(files: Column, most_bytes: int, most_parts: int = 5) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vellum.functions import lexicons as L
-from vellum.operators import letters, pii, workflow
+from vellum.operators import letters, pii, redact, workflow
 from vellum.plans import detect
 from vellum.plans import views as V
 from vellum.plans.casework import CANDIDATE, CASE, bound, candidates, query
@@ -142,9 +142,10 @@ LOGGED = f"{CASE}, {PLACED}, f AS (SELECT *, {_section} AS s FROM w), u AS ({UNS
 
 def logged(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(cases, findings as the log takes them, unscreened pages)."""
-    cases, c, placed, pages = finalised(spark, sf_dir)
-    failed = placed.filter("outcome = 'failed'").select("case_id", "id", F.lit(True).alias("failed"))
-    findings = c.join(failed, ["case_id", "id"], "left").withColumns({"failed": F.coalesce("failed", F.lit(False)), "risk_flags": pii.risk_flags(F.col("text"), RISK)})
+    cases = bound(spark, sf_dir, V.case, select="* FROM v_case")
+    c, pages = placed_on(spark, sf_dir)
+    failed = F.coalesce(F.col("outcome") == "failed", F.lit(False))
+    findings = redact.outcomes(pages, c).withColumns({"failed": failed, "risk_flags": pii.risk_flags(F.col("text"), RISK)})
     images = pages.filter(detect.needs_ocr(F.col("n_images"), F.col("text"))).select("case_id", "source_file", "page_num")
     return cases, findings, images
 
