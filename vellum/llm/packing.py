@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 LONGEST = 2048
 END_ID = 1
-CACHED_WORDS = 500_000
+CACHED_WORDS = 300_000
 #: ASCII punctuation that may follow a word and never joins it: no apostrophe, which starts contractions.
 TAIL = "!\"#$%&()*+,-./:;=?@[]^_`{}~"
 SCHEMA = (
@@ -118,7 +118,8 @@ class WordTokens:
             run = w.rstrip(TAIL)
             if run.isalpha():
                 cut.append(w)
-                runs.append(run.lower() if run.isascii() else run)
+                low = run.lower() if run.isascii() else run
+                runs.append(run if low == run else low)  # one string for both caches
             else:
                 rest.append(w)
         self._one_by_one(rest, words)
