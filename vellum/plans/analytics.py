@@ -167,13 +167,6 @@ def _(d):
     return f"WITH {V.case(d)} SELECT id, {d.show_date('received')} AS shown FROM v_case"
 
 
-@query("fn18_email_layout")
-def _(d):
-    return """SELECT conv_id, turn, CONCAT('From: ', role, chr(10), 'To: desk', chr(10), CASE WHEN turn % 2 = 0 THEN CONCAT('Cc: copy', chr(10)) ELSE '' END,
-  'Date: ', CAST(turn AS VARCHAR(20)), chr(10), 'Subject: ', substr(text, 1, 20), chr(10), chr(10), text,
-  CASE WHEN conv_id % 3 = 0 THEN CONCAT(chr(10), chr(10), 'Attachments:', chr(10), '  - a.pdf') ELSE '' END) AS layout FROM conversations"""
-
-
 @query("fn19_tag_strip")
 def _(d):
     return f"SELECT page_id, {d.rx_replace('html', '<[^>]+>', '')} AS text FROM pages"
@@ -670,17 +663,6 @@ def _(d):
     return f"WITH {V.case(d)} SELECT id, CASE WHEN id % 4 = 0 THEN NULL ELSE reviewer END AS allocated_to, CASE WHEN id % 4 = 0 THEN 'new' ELSE 'in_review' END AS workflow FROM v_case"
 
 
-@query("src19_case_store")
-def _(d):
-    get = (lambda k: d.rx("doc", f'"{k}":"?([^",}}]*)', 1))
-    return f"""WITH s AS (SELECT o_orderkey, CONCAT('{{"id":"', CAST(o_orderkey AS VARCHAR(20)), '","status":"', o_orderstatus, '"}}') AS doc FROM orders) SELECT {get("id")} AS id, {get("status")} AS status FROM s"""
-
-
-@query("src20_audit_scan")
-def _(d):
-    return f"WITH {V.audit(d)} SELECT event_id, action, username, target FROM v_audit WHERE {d.rx_like('target', '^[0-9]+$')}"
-
-
 @query("src25_planted_corpus")
 def _(d):
     return f"WITH {V.planted(d)} SELECT doc_id, text, forename, surname FROM v_planted"

@@ -9,7 +9,7 @@ from vellum.operators import cases as C
 from vellum.operators import classify, letters, record
 from vellum.plans import views as V
 from vellum.plans.casework import CANDIDATE, CASE, bound, candidates, query
-from vellum.sources import backups, stores
+from vellum.sources import backups, readers, stores
 from vellum.sources.shared import new_folder
 
 FILES = """f AS (SELECT case_id, min(seq) AS seq, source_file, CAST(max(page_num) + 1 AS BIGINT) AS pages, CASE WHEN min(seq) % 3 <> 0 THEN CAST(DATE '2001-01-01' + CAST(max(supplier) % 50 AS INT) AS VARCHAR(20)) END AS dated
@@ -167,3 +167,49 @@ SELECT c AS case_id, section, CAST(item AS BIGINT) AS item, unnest(range(len(ls)
 def snk03_report_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = letters.report(*saved(spark, sf_dir), F.lit(ON).cast("date"))
     return out.withColumn("line_no", F.col("line_no").cast("long"))
+
+
+# ---- what is read ----------------------------------------------------------------------------------------------------
+
+SENT = "Mon, 01 Jan 2024 10:00:00 +0000"
+
+
+@query("fn18_email_layout", f"""SELECT conv_id, turn, 'From: ' || role || chr(10) || 'To: desk' || chr(10) || CASE WHEN turn % 2 = 0 THEN 'Cc: copy' || chr(10) ELSE '' END || 'Date: {SENT}' || chr(10) || 'Subject: S' || turn || chr(10) || chr(10)
+  || CASE WHEN text = '' THEN '(no body)' ELSE coalesce(text, '(no body)') END AS layout FROM conversations""")
+def fn18_email_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every turn as a message, read back as text."""
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    cc = F.when(F.col("turn") % 2 == 0, "Cc: copy\n").otherwise("")
+    head = F.concat(F.lit("From: "), "role", F.lit("\nTo: desk\n"), cc, F.lit(f"Date: {SENT}\nSubject: S"), F.col("turn").cast("string"))
+    kind = "\nMIME-Version: 1.0\nContent-Type: text/plain; charset=utf-8\nContent-Transfer-Encoding: 8bit\n\n"
+    path = F.concat(F.col("conv_id").cast("string"), F.lit("/"), F.col("turn").cast("string"), F.lit(".eml"))
+    read = readers.read_contents(turns.select(path.alias("path"), F.encode(F.concat(head, F.lit(kind), F.coalesce("text", F.lit(""))), "UTF-8").alias("content")))
+    number = lambda i: F.regexp_extract("path", r"^(\d+)/(\d+)", i).cast("long")
+    return read.select(number(1).alias("conv_id"), number(2).alias("turn"), F.col("text").alias("layout"))
+
+
+@query("src19_case_store", """SELECT CAST(o_orderkey AS VARCHAR) AS id, o_orderstatus AS status, CASE WHEN o_orderkey % 3 = 0 THEN '2001-02-03' ELSE strftime(CAST(o_orderdate AS DATE) + 30, '%Y-%m-%d') END AS due_date,
+  o_orderkey % 5 = 0 AS archived, 'f' || o_orderkey || '.pdf' AS file FROM orders""")
+def src19_case_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cases read from their documents: absent fields have defaults, a due date is computed, folders are cut off."""
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    day, number = F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss"), F.col("o_orderkey").cast("string")
+    doc = F.to_json(F.struct(
+        number.alias("id"), F.col("o_orderstatus").alias("status"), day.alias("created_at"), F.when(F.col("o_orderkey") % 3 == 0, "2001-02-03").alias("due_date"),
+        F.when(F.col("o_orderkey") % 5 == 0, True).alias("archived"), F.array(F.concat(F.when(F.col("o_orderkey") % 2 == 0, "C:\\x\\f").otherwise("/old/place/f"), number, F.lit(".pdf"))).alias("pdf_files"),
+    ))
+    read = stores.read_cases(o.select(number.alias("id"), doc.alias("doc")))
+    return read.select("id", "status", "due_date", "archived", F.get("pdf_files", F.lit(0)).alias("file"))
+
+
+@query("src20_audit_scan", """SELECT event_id, event_type AS action, 'user' || user_id AS username, date_trunc('month', ts) AS month FROM events""")
+def src20_audit_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All events, written as JSON lines by month, then read; lines that aren't JSON were put among them."""
+    path = new_folder(spark, "audit")
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    stamp = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+    rows = e.select(stamp.alias("ts"), F.col("event_type").alias("action"), F.col("user_id").cast("string").alias("user_id"), F.concat(F.lit("user"), F.col("user_id").cast("string")).alias("username"), F.lit("t").alias("target"), F.col("event_id").cast("string").alias("detail"), F.lit("").alias("ip"))
+    stores.append_audit(rows, path)
+    e.filter("event_id % 100 = 0").select(F.lit("{no json").alias("value"), F.lit("200101").alias("yyyymm")).write.mode("append").partitionBy("yyyymm").text(path)
+    read = stores.read_audit(spark, path)
+    return read.select(F.col("detail").cast("long").alias("event_id"), "action", "username", F.date_trunc("month", F.col("ts").cast("timestamp")).alias("month"))

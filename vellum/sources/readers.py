@@ -169,8 +169,10 @@ def convert(name: str, data: bytes) -> Iterator[tuple[str, str, str | None, str
         yield name, kind, None, f"no {kind} library installed"
 
 
-def read_documents(spark: SparkSession, path: str) -> DataFrame:
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
+def read_contents(files: DataFrame) -> DataFrame:
+    """SCHEMA rows of files(path, content): what each file, its attachments and its entries say, or why they can't be read.
+
+    Files of types that aren't allowed give no row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -185,7 +187,12 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*rows, strict=True)], ["path", "name", "kind", "text", "note"])
 
-    return files.mapInArrow(run, SCHEMA)
+    return files.select("path", "content").mapInArrow(run, SCHEMA)
+
+
+def read_documents(spark: SparkSession, path: str) -> DataFrame:
+    """The same of all files under a path."""
+    return read_contents(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path))
 
 
 def unique_names(files: DataFrame, name: str = "name", order: str = "path") -> DataFrame:
