@@ -1,9 +1,12 @@
 """Queries over the real texts on a small documents table: several languages, long and null texts."""
 
 import datetime
+import re
 
 import pytest
+from pyspark.sql import functions as F
 
+from vellum.functions import lexicons as L
 from vellum.plans import registry
 
 LONG = "Lorem ipsum dolor. " * 300
@@ -61,3 +64,32 @@ def test_detection_and_redaction(spark, sf):
 def test_planted_and_real_queries_pair_up():
     planted = {n for n in registry.QUERIES if n.startswith("det_")} | {"cls12_detection", "fn12_document_date", "red01_redacted_text"}
     assert {f"doc_{n}" for n in planted} == {n for n in registry.QUERIES if n.startswith("doc_")}
+
+
+def plain_layouts(text):
+    """Every layout's names by plain regular expressions and list look-ups."""
+    known = L.DEFAULT_LEXICON.forenames | L.DEFAULT_LEXICON.surnames
+    ok = lambda w: len(b := w.lower().rstrip(".,;:")) >= 2 and b not in L.NOT_NAMES and not b.isdigit()
+    pair = lambda m: m[2].lower() not in L.EPONYM_FOLLOWERS and {m[1].lower(), m[2].lower()} & known and ok(m[1]) and ok(m[2])
+    whole = {
+        "det_n1_surname_comma": (L.SURNAME_COMMA, lambda m: ok(m[1]) and ok(m[2])), "det_n2_titlecase_comma": (L.TITLECASE_COMMA, lambda m: m[1].lower() in L.DEFAULT_LEXICON.surnames and ok(m[1]) and ok(m[2])),
+        "det_n7_full_name": (L.FULL_NAME, pair), "det_n8_all_caps": (L.ALL_CAPS, pair),
+    }
+    out = {n: [m[0] for m in re.finditer(p, text) if keep(m)] for n, (p, keep) in whole.items()}
+    out["det_n3_titled"] = [" ".join(x for x in m.groups() if x) for m in re.finditer(L.TITLE_NAME, text) if ok(m[2])]
+    for n, parts, every in (("det_n4_salutation", L.DEAR, False), ("det_n5_relation", L.RELATION, False), ("det_n6_bracket", L.BRACKET, True)):
+        found = [m[1] for m in re.finditer("{}({}){}".format(*parts), text)]
+        out[n] = [x for x in found if all(map(ok, x.split() if every else x.split()[:1]))]
+    return out
+
+
+def test_layouts_over_whole_texts_as_by_plain_search(spark):
+    """Real texts hold few names, so notes with many are put behind them."""
+    notes = "\nSMITH, John Dear Mrs Éva Jones, Mr. A. Brown sister Anna Lee (Carer) Anna Lee (Carer) Khan, Ali PATEL SMITH éSmith, John John Smith-Ward Parkinson Disease Green Disease"
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", F.concat(F.coalesce("text", F.lit("")), F.lit(notes)).alias("text")).collect()
+    df = spark.createDataFrame([(r["doc_id"], r["text"]) for r in docs], "doc_id long, text string")
+    for name, query in registry.detections(lambda spark, sf_dir: df, "documents").items():
+        if name in plain_layouts(""):
+            got = {r["doc_id"]: r["found"] for r in query(spark, "").collect()}
+            assert got == {r["doc_id"]: "|".join(plain_layouts(r["text"])[name]) for r in docs}, name
+            assert any(got.values())

@@ -573,16 +573,6 @@ def _(d):
     return f"WITH {V.candidate(d)} SELECT case_id, seq, CASE WHEN supplier % 2 = 0 THEN least(confidence, 0.85) ELSE confidence END AS confidence FROM v_candidate"
 
 
-@query("cls09_unscreened_pages")
-def _(d):
-    return f"WITH {V.candidate(d)} SELECT DISTINCT source_file, page_num FROM v_candidate c WHERE NOT EXISTS (SELECT 1 FROM v_candidate s WHERE s.page_num = c.page_num AND s.supplier % 9 = 0)"
-
-
-@query("cls10_enabled_categories")
-def _(d):
-    return f"WITH {V.candidate(d)} SELECT case_id, seq FROM v_candidate WHERE category IN ('person_name', 'email') OR status IN ('excluded_subject', 'excluded_staff')"
-
-
 @query("jn01_offsets_to_spans")
 def _(d):
     return f"""WITH {V.planted(d)}, w AS (SELECT doc_id, surname, text, instr(text, surname) AS s FROM v_planted), m AS (SELECT doc_id, s, s + length(surname) AS e FROM w WHERE s > 0),

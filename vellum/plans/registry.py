@@ -151,6 +151,19 @@ def red01_redacted_text(rows: DataFrame) -> DataFrame:
     )).alias("redacted"))
 
 
+def cls09_unscreened_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as pages, every other with an image: those with hardly any text."""
+    docs = documents(spark, sf_dir)
+    pages = docs.select(F.lit("documents").alias("source_file"), F.col("doc_id").alias("page_num"), (F.col("doc_id") % 2).alias("n_images"), F.substring("text", 1, 1 + F.col("doc_id").cast("int") % 60).alias("page_text"))
+    return detect.unscreened(pages)
+
+
+def cls10_enabled_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is found where only two categories are asked for, and nobody is excluded."""
+    found = detect.detect(pages_of(planted(spark, sf_dir), "planted.txt"), classify.Subject(), detect.Settings(enabled=("email", "phone_number")))
+    return found.select("doc_id", "category", "text", "status")
+
+
 QUESTIONS = (
     search.Question("q1", "Any secrets?", ("secret", "token"), ("password",)),
     search.Question("q2", "Common words", ("the", "and", "that", "with"), ("http",)),
@@ -300,6 +313,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "cls03_staff": staff_rows,
     "cls04_page_staff": cls04_page_staff,
     "cls05_label_context": cls05_label_context,
+    "cls09_unscreened_pages": cls09_unscreened_pages,
+    "cls10_enabled_categories": cls10_enabled_categories,
     "fn23_wrap": fn23_wrap,
     "snk04_bundle_parts": snk04_bundle_parts,
     "src03_text_pages": src03_text_pages,
@@ -348,6 +363,11 @@ SELECT email, 'auto_redact' AS status, count(*) AS n_docs, min(doc_id) AS first_
     "cls01_subject": f"WITH {V.planted(Duck())} SELECT doc_id, forename || ' ' || surname AS entity, (forename = 'Emma' AND surname = 'Turner') AS subject FROM v_planted",
     "cls02_address": "SELECT doc_id, CAST(10 + doc_id % 4 AS VARCHAR) || ' High Street Guildford' AS entity, doc_id % 4 = 2 AS home FROM documents",
     "cls03_staff": f"WITH {V.planted(Duck())} SELECT doc_id, 'Mr ' || forename || ' ' || surname AS entity, (forename IN ('Peter', 'Sarah') OR surname IN ('Wright', 'Hughes')) AS staff FROM v_planted",
+    "cls09_unscreened_pages": """SELECT 'documents' AS source_file, doc_id AS page_num FROM (SELECT doc_id, substr(coalesce(text, ''), 1, CAST(1 + doc_id % 60 AS INT)) AS t FROM documents) x
+WHERE doc_id % 2 > 0 AND length(replace(replace(replace(t, ' ', ''), chr(10), ''), chr(9), '')) < 30""",
+    "cls10_enabled_categories": rf"""WITH {V.planted(Duck())}, f AS (SELECT doc_id, 'email' AS category, unnest(regexp_extract_all(text, {Duck().re(L.EMAIL)})) AS text FROM v_planted
+UNION ALL SELECT doc_id, 'phone_number', unnest(regexp_extract_all(text, {Duck().re(L.PHONE)})) FROM v_planted)
+SELECT DISTINCT doc_id, category, text, 'auto_redact' AS status FROM f WHERE category <> 'email' OR NOT regexp_matches(lower(text), '[@.]nhs\.(net|uk)$')""",
     **_name_checks(),
     "det_n9_suppressed_names": _suppressed_check(),
     **{n: q(Duck()) for n, q in analytics.Q.items()},
