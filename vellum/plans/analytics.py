@@ -408,8 +408,8 @@ def _(d):
 @query("srt07_bundle_order")
 def _(d):
     f = d.pick(["letter", "certificate", "redacted"], "p_partkey % 3")
-    return f"""WITH p AS (SELECT p_partkey, {f} AS kind, p_name FROM part)
-SELECT p_partkey, ROW_NUMBER() OVER (ORDER BY CASE kind WHEN 'letter' THEN 0 WHEN 'certificate' THEN 1 ELSE 2 END, p_name, p_partkey) AS place FROM p"""
+    return f"""WITH p AS (SELECT p_partkey, p_size AS bundle, {f} AS kind, p_name FROM part)
+SELECT bundle, p_partkey, ROW_NUMBER() OVER (PARTITION BY bundle ORDER BY CASE kind WHEN 'letter' THEN 0 WHEN 'certificate' THEN 1 ELSE 2 END, p_name, p_partkey) AS place FROM p"""
 
 
 @query("srt08_newest_cases")
