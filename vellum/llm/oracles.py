@@ -169,3 +169,30 @@ o AS (SELECT l.doc_id, l.leaf, q.leaf AS subroot, (SELECT d FROM u WHERE n = 1)
   FROM l JOIN q ON q.lang IS NOT DISTINCT FROM l.lang LEFT JOIN p ON p.r = l.r)
 SELECT *, folded_root = root AS verified FROM o
 """
+
+
+OP10 = rf"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), {AZ}), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT r, doc_id, CASE WHEN len(ws) = 0 THEN []::VARCHAR[] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+  ELSE list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))) END AS f FROM d),
+t AS (SELECT md5(array_to_string(list_sort(f), '|')) AS k, min(r) AS r, any_value(f) AS f FROM s WHERE len(f) > 0 GROUP BY 1),
+e AS (SELECT r, len(f) AS n, unnest(f) AS x FROM t),
+p AS (SELECT a.r AS a, b.r AS b, count(*) AS shared, any_value(a.n) AS na, any_value(b.n) AS nb FROM e a JOIN e b ON a.x = b.x AND a.r < b.r GROUP BY 1, 2),
+l AS (SELECT a, b FROM p WHERE 100 * shared >= 75 * (na + nb - shared)),
+g AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+m AS (SELECT s.r, t.r AS same, s.doc_id FROM s JOIN t ON md5(array_to_string(list_sort(s.f), '|')) = t.k AND len(s.f) > 0),
+w AS (SELECT r AS a, r AS b FROM t UNION SELECT w.a, g.b FROM w JOIN g ON g.a = w.b),
+c AS (SELECT w.a, min(m.doc_id) AS component_id FROM w JOIN m ON m.same = w.b GROUP BY 1)
+SELECT s.doc_id, CAST(len(s.f) AS BIGINT) AS n_shingles, coalesce(c.component_id, s.doc_id) AS component_id FROM s LEFT JOIN m ON m.r = s.r LEFT JOIN c ON c.a = m.same
+"""
+
+OP3 = """
+WITH RECURSIVE v AS (SELECT row_number() OVER () AS r, vec_id, label, CAST(embedding AS DOUBLE[]) AS x FROM embeddings),
+g AS (SELECT r, vec_id, label, x, sqrt(list_inner_product(x, x)) AS norm FROM v
+  WHERE label IS NOT NULL AND x IS NOT NULL AND len(list_filter(x, lambda y: y IS NULL OR NOT isfinite(y))) = 0 AND list_inner_product(x, x) > 0),
+l AS (SELECT a.r AS a, b.r AS b FROM g a JOIN g b ON a.label = b.label AND a.r <> b.r AND len(a.x) = len(b.x) WHERE list_inner_product(a.x, b.x) / (a.norm * b.norm) >= 0.93::DOUBLE),
+n AS (SELECT a, CAST(count(*) AS BIGINT) AS n_links FROM l GROUP BY 1),
+w AS (SELECT r AS a, r AS b FROM v UNION SELECT w.a, l.b FROM w JOIN l ON l.a = w.b),
+c AS (SELECT w.a, min(v.vec_id) AS component_id FROM w JOIN v ON v.r = w.b GROUP BY 1)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component_id AS kept FROM v JOIN c ON c.a = v.r LEFT JOIN n ON n.a = v.r
+"""

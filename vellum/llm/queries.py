@@ -93,11 +93,13 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
+    "op3_cover_tree_dedup": oracles.OP3,
     "op4_trigram_secrets": oracles.op4(secret_scan.BASE + secret_scan.ADDED, len(secret_scan.BASE)),
     "op5_warc_round_trip": oracles.OP5,
     "op6_pareto_mixing": oracles.OP6,
     "op7_url_cascade": oracles.op7(url_filter.RULES, url_filter.LISTED_BELOW),
     "op8_line_dedup": oracles.OP8,
+    "op10_partenum_jaccard": oracles.OP10,
     "op11_suffix_resampling": oracles.op11(importance.BUCKETS, 5, importance.LEAST_WORDS, 42),
     "op12_merkle_manifest": oracles.op12(),
 }
