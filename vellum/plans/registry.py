@@ -258,6 +258,18 @@ def _name_checks() -> dict[str, str]:
     return {n: _all(pattern, keep, group, show) for n, (pattern, group, keep, show) in _name_layouts().items()}
 
 
+def _evidence_check() -> str:
+    """Check SQL of the best paragraphs: a paragraph a line, scored for each question."""
+    scored = []
+    for q in QUESTIONS:
+        hit = lambda words: " + ".join(f"CAST(contains(low, '{w}') AS INT)" for w in words)
+        scored.append(f"SELECT '{q.id}' AS question_id, doc_id, i, p, least(1.0::DOUBLE, ({hit(q.keywords)}) / {len(q.keywords)}.0::DOUBLE + 0.3::DOUBLE * ({hit(q.hints)})) AS confidence FROM x")
+    return f"""WITH x AS (SELECT doc_id, i, p, lower(p) AS low FROM (SELECT doc_id, trim(unnest(ls), ' ' || chr(9) || chr(13) || chr(11) || chr(12)) AS p, unnest(range(len(ls))) AS i FROM (
+  SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents) a) b WHERE length(p) >= 10),
+s AS ({" UNION ALL ".join(scored)}), r AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY confidence DESC, doc_id, i) AS place FROM s WHERE confidence > 0)
+SELECT question_id, CAST(place AS INT) AS place, confidence, 'doc' || doc_id AS source_file, 0 AS page_num, CASE WHEN length(p) > 500 THEN substr(p, 1, 500) || '...' ELSE p END AS text FROM r WHERE place <= 5"""
+
+
 def _suppressed_check() -> str:
     """Check SQL: all layouts' matches with their places, then, by recursion over a note's matches in order of priority, those that
     overlap none kept before. Places are the running lengths of the pieces that a note is cut into at the matches."""
@@ -363,6 +375,14 @@ SELECT email, 'auto_redact' AS status, count(*) AS n_docs, min(doc_id) AS first_
     "cls01_subject": f"WITH {V.planted(Duck())} SELECT doc_id, forename || ' ' || surname AS entity, (forename = 'Emma' AND surname = 'Turner') AS subject FROM v_planted",
     "cls02_address": "SELECT doc_id, CAST(10 + doc_id % 4 AS VARCHAR) || ' High Street Guildford' AS entity, doc_id % 4 = 2 AS home FROM documents",
     "cls03_staff": f"WITH {V.planted(Duck())} SELECT doc_id, 'Mr ' || forename || ' ' || surname AS entity, (forename IN ('Peter', 'Sarah') OR surname IN ('Wright', 'Hughes')) AS staff FROM v_planted",
+    "txt01_keyword_scan": searches.scan_check(" UNION ALL ".join(f"SELECT '{q.id}' AS item, {i} AS i, '{k}' AS kw" for q in QUESTIONS for i, k in enumerate(q.keywords))).replace(
+        "@ AS", "string_agg(kw || '@' || source_file, ',' ORDER BY i, n) FILTER (place <= 10) AS", 1
+    ),
+    "txt02_best_evidence": _evidence_check(),
+    "src03_text_pages": """SELECT CAST(doc_id AS VARCHAR) AS doc_id, CAST(count(*) AS INT) AS lines, CAST(sum(length(line)) + count(*) - 1 AS INT) AS chars FROM (
+  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents) x WHERE trim(line, ' ') <> '' GROUP BY doc_id""",
+    "fn23_wrap": r"""SELECT conv_id, turn, coalesce(CASE WHEN len(ws) > 0 THEN list_reduce(ws, lambda a, w: a || CASE WHEN length(regexp_extract(a, '[^\n]*$')) + 1 + length(w) <= 60 THEN ' ' ELSE chr(10) END || w) END, '') AS wrapped
+FROM (SELECT conv_id, turn, list_filter(string_split_regex(coalesce(text, ''), '\s+'), lambda x: x <> '') AS ws, text FROM conversations) x""",
     "cls09_unscreened_pages": """SELECT 'documents' AS source_file, doc_id AS page_num FROM (SELECT doc_id, substr(coalesce(text, ''), 1, CAST(1 + doc_id % 60 AS INT)) AS t FROM documents) x
 WHERE doc_id % 2 > 0 AND length(replace(replace(replace(t, ' ', ''), chr(10), ''), chr(9), '')) < 30""",
     "cls10_enabled_categories": rf"""WITH {V.planted(Duck())}, f AS (SELECT doc_id, 'email' AS category, unnest(regexp_extract_all(text, {Duck().re(L.EMAIL)})) AS text FROM v_planted

@@ -25,19 +25,23 @@ def asked(spark: SparkSession, sf_dir: str) -> list[search.Question]:
     return [search.Question(i, text, tuple(" ".join(ws[p : p + 2]) for p in PAIRS if len(ws) >= p + 2)) for i, text, ws in words]
 
 
-@query("txt01_catalogue_scan", f"""WITH q AS (SELECT item_id, string_split(coalesce(text, ''), ' ') AS ws FROM benchmark),
-k AS (SELECT item_id, i, {_pair} AS kw FROM (SELECT item_id, ws, unnest([{", ".join(map(str, PAIRS))}]) AS i FROM q) x WHERE len(ws) >= i + 2),
+def scan_check(questions: str) -> str:
+    """Check SQL of a keyword scan: questions gives (item, i, kw), a keyword's number in its question and the keyword."""
+    return f"""WITH k AS ({questions}),
 p AS (SELECT doc_id, text, lower(text) AS low FROM documents WHERE trim(text, ' ' || chr(9) || chr(10) || chr(13)) <> ''),
-c AS (SELECT item_id, i, kw, doc_id, text, string_split(low, lower(kw)) AS parts FROM k JOIN p ON contains(low, lower(kw))),
-h AS (SELECT * EXCLUDE (parts), CAST(list_sum(list_transform(parts[1:j], lambda x: length(x))) + (j - 1) * length(kw) AS BIGINT) AS s, row_number() OVER (PARTITION BY item_id, i ORDER BY doc_id, j) AS n
+c AS (SELECT item, i, kw, doc_id, text, string_split(low, lower(kw)) AS parts FROM k JOIN p ON contains(low, lower(kw))),
+h AS (SELECT * EXCLUDE (parts), CAST(list_sum(list_transform(parts[1:j], lambda x: length(x))) + (j - 1) * length(kw) AS BIGINT) AS s, row_number() OVER (PARTITION BY item, i ORDER BY doc_id, j) AS n
   FROM (SELECT *, unnest(range(1, least(len(parts), 4))) AS j FROM c) y),
 f AS (SELECT *, s + length(kw) AS e FROM h WHERE n <= 3),
-b AS (SELECT item_id, i, coalesce(sum(count(*)) OVER (PARTITION BY item_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS had FROM f GROUP BY 1, 2),
+b AS (SELECT item, i, coalesce(sum(count(*)) OVER (PARTITION BY item ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS had FROM f GROUP BY 1, 2),
 m AS (SELECT f.*, 'doc' || doc_id AS source_file, CASE WHEN s > 120 THEN '…' ELSE '' END || trim(replace(substr(text, greatest(s - 120, 0) + 1, least(e + 120, length(text)) - greatest(s - 120, 0)), chr(10), ' '), ' ' || chr(9) || chr(13))
-  || CASE WHEN e + 120 < length(text) THEN '…' ELSE '' END AS context, row_number() OVER (PARTITION BY item_id ORDER BY i, n) AS place
-  FROM f JOIN b USING (item_id, i) WHERE had < 10)
-SELECT CAST(item_id AS VARCHAR) AS question_id, string_agg(DISTINCT kw, ',' ORDER BY kw) AS keywords, CAST(count(*) AS BIGINT) AS match_count,
-  string_agg(kw || '@' || source_file || ':' || context, '|' ORDER BY i, n) FILTER (place <= 10) AS matches FROM m GROUP BY item_id""")
+  || CASE WHEN e + 120 < length(text) THEN '…' ELSE '' END AS context, row_number() OVER (PARTITION BY item ORDER BY i, n) AS place
+  FROM f JOIN b USING (item, i) WHERE had < 10)
+SELECT item AS question_id, string_agg(DISTINCT kw, ',' ORDER BY kw) AS keywords, CAST(count(*) AS BIGINT) AS match_count, @ AS matches FROM m GROUP BY item"""
+
+
+@query("txt01_catalogue_scan", scan_check(f"""SELECT CAST(item_id AS VARCHAR) AS item, i, {_pair} AS kw FROM (SELECT item_id, ws, unnest([{", ".join(map(str, PAIRS))}]) AS i FROM (
+  SELECT item_id, string_split(coalesce(text, ''), ' ') AS ws FROM benchmark) q) x WHERE len(ws) >= i + 2""").replace("@ AS", "string_agg(kw || '@' || source_file || ':' || context, '|' ORDER BY i, n) FILTER (place <= 10) AS", 1))
 def txt01_catalogue_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All questions' keywords over all documents, each read once."""
     docs = _read(spark, sf_dir, "documents")
