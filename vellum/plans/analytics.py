@@ -305,14 +305,6 @@ def _(d):
 FROM v_candidate WHERE status IN ('auto_redact', 'approved') GROUP BY 1, 2"""
 
 
-@query("agg10_log_summary")
-def _(d):
-    n = lambda p: BIG(f"COUNT(CASE WHEN {p} THEN 1 END)")
-    ok = "status IN ('auto_redact', 'approved')"
-    return f"""WITH {V.candidate(d)} SELECT case_id, {BIG("COUNT(*)")} AS total, {n(ok + " AND supplier % 7 <> 0")} AS applied, {n(ok + " AND supplier % 7 = 0")} AS failed,
-  {n("status = 'excluded_subject'")} AS excluded_subject, {n("status = 'excluded_staff'")} AS excluded_staff, {n("status = 'rejected'")} AS rejected, {n("status = 'flagged'")} AS unreviewed FROM v_candidate GROUP BY case_id"""
-
-
 @query("agg11_group_by_name")
 def _(d):
     n = lambda s: BIG(f"COUNT(CASE WHEN status = '{s}' THEN 1 END)") + f" AS n_{s}"
@@ -481,26 +473,6 @@ def _(d):
     return f"""WITH {V.case(d)} SELECT CONCAT_WS(',', CAST(id AS VARCHAR(20)), CAST(received AS VARCHAR(20)), CAST(completed AS VARCHAR(20)), CASE WHEN completed <= effective_due THEN 'yes' ELSE 'no' END) AS line FROM v_case WHERE status = 'complete'"""
 
 
-@query("wf03_pause_resume")
-def _(d):
-    return f"""WITH {V.case(d)} SELECT id, {BIG("paused_days + CASE WHEN clock_paused THEN greatest(0, " + d.days("received", T) + ") ELSE 0 END")} AS total_paused, FALSE AS clock_paused FROM v_case"""
-
-
-@query("wf04_signoff_allowed")
-def _(d):
-    return f"WITH {V.case(d)} SELECT id, (workflow = 'ready_for_signoff' AND reviewer <> CONCAT('rev', CAST(id % 10 AS VARCHAR(20)))) AS may_sign FROM v_case"
-
-
-@query("wf06_transition_allowed")
-def _(d):
-    return f"WITH {V.case(d)} SELECT id, (reviewer = 'rev3' AND workflow = 'in_review') AS may_move FROM v_case"
-
-
-@query("wf07_finalise")
-def _(d):
-    return f"WITH {V.case(d)} SELECT id, 'complete' AS status, COALESCE(completed, {T}) AS completed_at FROM v_case WHERE NOT archived"
-
-
 @query("wf08_redetect_keeps_manual")
 def _(d):
     return f"""WITH {V.candidate(d)}, manual AS (SELECT case_id, seq, status FROM v_candidate WHERE category = 'custom_word')
@@ -648,11 +620,6 @@ def _(d):
 SELECT case_id, CONCAT('  ', category, ': ', CAST(n AS VARCHAR(20)), CASE WHEN n = 1 THEN ' redaction' ELSE ' redactions' END) AS line FROM g"""
 
 
-@query("wf05_allocate")
-def _(d):
-    return f"WITH {V.case(d)} SELECT id, CASE WHEN id % 4 = 0 THEN NULL ELSE reviewer END AS allocated_to, CASE WHEN id % 4 = 0 THEN 'new' ELSE 'in_review' END AS workflow FROM v_case"
-
-
 @query("src25_planted_corpus")
 def _(d):
     return f"WITH {V.planted(d)} SELECT doc_id, text, forename, surname FROM v_planted"

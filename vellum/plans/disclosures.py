@@ -127,6 +127,55 @@ def wf06_requests_judged(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("case_id", "n", "verdict", *[F.col(f"after_{c}").alias(c) for c in ("status", "workflow", "signoff_by", "paused_days")])
 
 
+def _asked_once(spark: SparkSession, sf_dir: str, action: str, role: str, user: str, value: str, settings: workflow.Settings) -> tuple[DataFrame, DataFrame]:
+    """(cases, the judged request): today, one request a case; user and value are expressions over the case."""
+    cases = bound(spark, sf_dir, V.case, select="*, reviewer AS allocated_to, CAST(completed AS STRING) AS completed_at FROM v_case").withColumns({"signoff_by": F.lit(None).cast("string"), "n_failures": F.lit(0), "needs_refinalise": F.lit(True)})
+    cases = cases.withColumn("paused_at", F.when(F.col("clock_paused"), F.col("received").cast("string")))
+    requests = cases.selectExpr("id AS case_id", f"CAST({V.TODAY} AS STRING) AS at", "0 AS seq", f"{user} AS user_id", f"'{role}' AS role", f"'{action}' AS action", f"{value} AS value", "false AS override")
+    return cases, workflow.judged(cases, requests, settings)
+
+
+@query("wf03_pause_resume", f"WITH {CASE} SELECT id, CAST(paused_days + CASE WHEN clock_paused THEN greatest(0, date_diff('day', received, {V.TODAY})) ELSE 0 END AS BIGINT) AS total_paused, FALSE AS clock_paused FROM v_case")
+def wf03_pause_resume(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every clock is resumed; those that run are left alone."""
+    done = workflow.after(*_asked_once(spark, sf_dir, "resume", "admin", "'a'", "''", workflow.Settings()))
+    return done.select("id", F.col("paused_days").cast("long").alias("total_paused"), "clock_paused")
+
+
+@query("wf03_pause_log", f"WITH {CASE} SELECT id AS case_id, CAST(received AS VARCHAR) AS paused_at, CAST({V.TODAY} AS VARCHAR) AS resumed_at, 'back' AS reason, CAST(greatest(0, date_diff('day', received, {V.TODAY})) AS BIGINT) AS days FROM v_case WHERE clock_paused")
+def wf03_pause_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = workflow.pause_log(_asked_once(spark, sf_dir, "resume", "admin", "'a'", "'back'", workflow.Settings())[1])
+    return log.select("case_id", "paused_at", "resumed_at", "reason", F.col("days").cast("long").alias("days"))
+
+
+@query("wf04_signoff_allowed", f"WITH {CASE} SELECT id, reviewer <> CONCAT('rev', CAST(id % 10 AS VARCHAR)) AS may_sign FROM v_case")
+def wf04_signoff_allowed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A second check by anyone but the reviewer."""
+    done = _asked_once(spark, sf_dir, "signoff", "gp", "CONCAT('rev', CAST(id % 10 AS STRING))", "''", workflow.Settings(second_signoff=True))[1]
+    return done.select(F.col("case_id").alias("id"), (F.col("verdict") == "ok").alias("may_sign"))
+
+
+@query("wf05_allocate", f"WITH {CASE} SELECT id, CASE WHEN id % 4 = 0 THEN NULL ELSE reviewer END AS allocated_to, CASE WHEN id % 4 = 0 THEN 'new' ELSE 'in_review' END AS workflow FROM v_case")
+def wf05_allocate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every fourth case is given to no one."""
+    done = workflow.after(*_asked_once(spark, sf_dir, "allocate", "admin", "'a'", "CASE WHEN id % 4 = 0 THEN '' ELSE reviewer END", workflow.Settings(users=frozenset(USERS))))
+    return done.select("id", "allocated_to", "workflow")
+
+
+@query("wf06_transition_allowed", f"WITH {CASE} SELECT id, reviewer = 'rev3' AS may_move FROM v_case")
+def wf06_transition_allowed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One reviewer hands in all cases, of which only their own are let through."""
+    done = _asked_once(spark, sf_dir, "workflow", "gp", "'rev3'", "'ready_for_signoff'", workflow.Settings())[1]
+    return done.select(F.col("case_id").alias("id"), (F.col("verdict") == "ok").alias("may_move"))
+
+
+@query("wf07_finalise", f"WITH {CASE} SELECT id, 'complete' AS status, 'complete' AS workflow, CAST(COALESCE(completed, {V.TODAY}) AS VARCHAR) AS completed_at, FALSE AS needs_refinalise FROM v_case")
+def wf07_finalise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All cases are finalised; the first completion counts."""
+    done = workflow.after(*_asked_once(spark, sf_dir, "finalise", "admin", "'a'", "''", workflow.Settings()))
+    return done.select("id", "status", "workflow", "completed_at", "needs_refinalise")
+
+
 # ---- documents -------------------------------------------------------------------------------------------------------
 
 WHEN = "01/09/2001 12:00:00"
@@ -150,8 +199,8 @@ def logged(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Data
     return cases, findings, images
 
 
-@query("agg10_log_counts", f"WITH {LOGGED} SELECT * FROM n")
-def agg10_log_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+@query("agg10_log_summary", f"WITH {LOGGED} SELECT * FROM n")
+def agg10_log_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return letters.log_counts(*logged(spark, sf_dir))
 
 
