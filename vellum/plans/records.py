@@ -60,12 +60,13 @@ def srt09_main_record(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("jn02_staff_tokens", """WITH c AS (SELECT p_partkey, lower(p_name) AS name FROM part), t AS (SELECT p_partkey, unnest(string_split(name, ' ')) AS w FROM c),
-s AS (SELECT DISTINCT w FROM (SELECT unnest(string_split(lower(p_name), ' ')) AS w FROM part WHERE p_partkey <= 9) x)
-SELECT p_partkey, name, EXISTS (SELECT 1 FROM t JOIN s ON t.w = s.w WHERE t.p_partkey = c.p_partkey) AS is_staff FROM c""")
+s AS (SELECT DISTINCT w FROM (SELECT unnest(string_split(lower(n), ' ')) AS w FROM (SELECT s_name AS n FROM supplier UNION ALL SELECT p_name FROM part WHERE p_partkey BETWEEN 10 AND 18) y) x)
+SELECT p_partkey, name, EXISTS (SELECT 1 FROM t JOIN s ON t.w = s.w WHERE t.p_partkey = c.p_partkey AND t.w NOT IN ('dr', 'mr', 'mrs', 'ms', 'miss', 'prof', 'professor', 'nurse', 'sister')) AS is_staff FROM c""")
 def jn02_staff_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All parts' names against those of the first ones as a staff list."""
+    """All parts' names against a staff list: the suppliers and some parts, with a title."""
     parts = spark.read.parquet(f"{sf_dir}/part.parquet")
-    staff = parts.filter("p_partkey <= 9").select(F.concat(F.lit("Dr "), F.initcap("p_name")).alias("name"))
+    staff = parts.filter("p_partkey BETWEEN 10 AND 18").select(F.concat(F.lit("Dr "), F.initcap("p_name")).alias("name"))
+    staff = staff.unionByName(spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_name").alias("name")))
     hit = record.staff_named(parts.select("p_partkey", F.col("p_name").alias("name")), staff, ["p_partkey"])
     rows = parts.select("p_partkey", F.lower("p_name").alias("name"))
     return rows.join(hit.select("p_partkey", F.lit(True).alias("is_staff")), "p_partkey", "left").withColumn("is_staff", F.coalesce("is_staff", F.lit(False)))
