@@ -93,3 +93,20 @@ def test_folder_of_documents(spark, tmp_path):
         (tmp_path / n).write_text(text)
     store = spark.createDataFrame([("here", case("here"))], "id string, doc string")
     assert {r["id"]: r["doc"] for r in P.migrate_folder(spark, str(tmp_path), store).collect()} == {"a": case("a"), "here": case("here", n=2)}
+
+
+def test_many_archives_share_folders_and_tasks(spark, tmp_path):
+    cases = spark.range(1, 301).select(F.concat(F.lit("c"), F.col("id").cast("string")).alias("id")).withColumn("doc", F.to_json(F.struct("id")))
+    files = cases.select("id", F.lit("x.txt").alias("name"), F.encode("id", "UTF-8").alias("data"))
+    flat, dealt = str(tmp_path / "flat"), str(tmp_path / "dealt")
+    P.write_packages(cases, files, flat)
+    assert P.read_packages(spark, flat).rdd.getNumPartitions() == 2
+    P.write_packages(cases, files.unionByName(files.withColumn("id", F.concat(F.lit("no"), "id"))), dealt, folders=8)
+    assert sorted(os.listdir(dealt)) == ["_pending", *[f"in-{i}" for i in range(8)]]
+    assert P.read_packages(spark, dealt).rdd.getNumPartitions() == 2
+    rows = P.read_packages(spark, dealt).collect()
+    assert {(r["id"], bytes(r["data"]).decode()) for r in rows if r["name"]} == {(f"c{i}", f"c{i}") for i in range(1, 301)} and len(rows) == 600
+    P.write_packages(cases.filter("id = 'c7'").withColumn("doc", F.lit(case("c7", n=2))), files, dealt, folders=8)
+    assert {r["id"]: r["doc"] for r in P.read_packages(spark, dealt, False).collect()} == {f"c{i}": case("c7", n=2) if i == 7 else f'{{"id":"c{i}"}}' for i in range(1, 301)}
+    P.write_packages(cases.filter("id = 'c7'"), files, dealt, overwrite=True, folders=8)
+    assert [r["id"] for r in P.read_packages(spark, dealt, False).collect()] == ["c7"]

@@ -2,9 +2,11 @@
 
 Written by a Python data source in two phases: tasks stream the members of their cases into archives under a folder of
 the attempt, and only the commit of the whole job moves them to their names, so that a failed task or job leaves none and
-a repeated task none twice. Rows are dealt by case and sorted, a row a member, so no case is ever held as a whole. Read by
-a data source that looks for the manifest and the document before anything else, a partition an archive; without `members`
-no file is unpacked.
+a repeated task none twice. Rows are dealt by case and sorted, a row a member, so no case is ever held as a whole. Many
+archives lie in `folders`, by a checksum of their ids: a folder is written by one task, moved by the commit as a whole where
+it is new, and listed by the task that reads it, so that neither knows of single archives on the driver. Read by a data source
+that looks for the manifest and the document before anything else; a partition takes some folders, or some archives of the
+given folder itself. Without `members` no file is unpacked.
 
 Members' names lose their folders when read, and ids must be plain words, so that nothing leads out of a target folder.
 Defined cases: an archive that isn't one, lacks a member, or has an unreadable document or a bad id gives one row that says
@@ -20,15 +22,17 @@ import json
 import re
 import uuid
 import zipfile
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import groupby
+from itertools import chain, groupby
 
+import pyarrow as pa
 from pyarrow import fs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
 # The format's version, members and suffix, and the ids that it allows.
 FORMAT_VERSION, MANIFEST, DOCUMENT, FILES, SUFFIX = 1, "manifest.json", "sar.json", "pdfs/", ".sarpack"
@@ -37,6 +41,8 @@ GOOD_ID = re.compile(r"[A-Za-z0-9][A-Za-z0-9_-]{0,63}")
 MEMBER = "id string, ord int, name string, data binary"
 READ = "path string, outcome string, id string, doc string, name string, data binary"
 PENDING = "_pending"
+#: Names of folders; how many of them, or of single archives, a partition reads; archives up to this size are read at once.
+FOLDER, FOLDERS_A_TASK, ARCHIVES_A_TASK, SMALL = re.compile(r"in-[0-9]+"), 4, 256, 1 << 23
 
 
 def _files(path: str) -> tuple[fs.FileSystem, str]:
@@ -52,9 +58,14 @@ def base_name(name: str) -> str:
 
 @dataclass
 class Written(WriterCommitMessage):
-    """Archives of one task: where they are, and their names."""
+    """Where the archives of one task are."""
 
-    pending: list[tuple[str, str]]
+    pending: str
+
+
+def folder_of(case_id: str, folders: int) -> str:
+    """The folder of a case's archive, with a slash; nothing where all lie side by side."""
+    return f"in-{zlib.crc32(case_id.encode()) % folders}/" if folders else ""
 
 
 def _manifest(doc: dict) -> dict:
@@ -65,34 +76,41 @@ def _manifest(doc: dict) -> dict:
     }
 
 
-class PackageWriter(DataSourceWriter):
-    def __init__(self, path: str, overwrite: bool):
-        self.path, self.overwrite, self.job = path, overwrite, uuid.uuid4().hex
+class PackageWriter(DataSourceArrowWriter):
+    def __init__(self, path: str, overwrite: bool, folders: int):
+        self.path, self.overwrite, self.folders, self.job = path, overwrite, folders, uuid.uuid4().hex
 
-    def write(self, rows: Iterator[Row]) -> Written:
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         where, root = _files(self.path)
-        task, pending = TaskContext.get(), []
-        folder = f"{root}/{PENDING}/{self.job}/{task.partitionId()}-{task.taskAttemptId()}"
-        where.create_dir(folder)
-        for case_id, members in groupby(rows, key=lambda r: r["id"]):
+        task, made = TaskContext.get(), set()
+        pending = f"{root}/{PENDING}/{self.job}/{task.partitionId()}-{task.taskAttemptId()}"
+        where.create_dir(pending)
+        members = (m for batch in iterator for m in zip(*(batch.column(c) for c in ("id", "ord", "name", "data")), strict=True))
+        rows = ((case_id.as_py(), ord_.as_py(), name.as_py(), data) for case_id, ord_, name, data in members)
+        for case_id, of_case in groupby(rows, key=lambda r: r[0]):
+            first = next(of_case)
+            if first[1]:  # files of a case that isn't there
+                continue
             if not GOOD_ID.fullmatch(case_id or ""):
                 raise ValueError(f"not an id: {case_id!r}")
-            at = f"{folder}/{case_id}{SUFFIX}"
-            with where.open_output_stream(at) as out, zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as archive:
-                self._fill(archive, members)
-            pending.append((at, f"{root}/{case_id}{SUFFIX}"))
+            folder = folder_of(case_id, self.folders)
+            if folder and folder not in made:
+                where.create_dir(f"{pending}/{folder}")
+                made.add(folder)
+            with where.open_output_stream(f"{pending}/{folder}{case_id}{SUFFIX}") as out, zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as archive:
+                self._fill(archive, chain([first], of_case))
         return Written(pending)
 
     @staticmethod
-    def _fill(archive: zipfile.ZipFile, members: Iterator[Row]) -> None:
+    def _fill(archive: zipfile.ZipFile, members: Iterator[tuple]) -> None:
         used: set[str] = set()
-        for r in members:
-            data = bytes(r["data"] or b"")
-            if r["ord"] == 0:
+        for _, ord_, name, data in members:
+            data = data.as_py() or b""
+            if ord_ == 0:
                 archive.writestr(MANIFEST, json.dumps(_manifest(json.loads(data))))
                 archive.writestr(DOCUMENT, data)
                 continue
-            stem, dot, kind = base_name(r["name"] or "file").rpartition(".")
+            stem, dot, kind = base_name(name or "file").rpartition(".")
             stem, tail = (stem, dot + kind) if dot else (kind, "")
             name, n = stem + tail, 1
             while name in used:
@@ -103,16 +121,38 @@ class PackageWriter(DataSourceWriter):
 
     def commit(self, messages: list[WriterCommitMessage | None]) -> None:
         where, root = _files(self.path)
-        done = [p for m in messages if m for p in m.pending]
+        done = [m.pending for m in messages if m]
         if self.overwrite:
-            new = {name for _, name in done}
-            for old in where.get_file_info(fs.FileSelector(root, allow_not_found=True)):
-                if old.path.endswith(SUFFIX) and old.path not in new:
-                    where.delete_file(old.path)
-        for at, name in done:
-            where.move(at, name)
+            self._clear(where, root, done)
+        for pending in done:
+            for made in where.get_file_info(fs.FileSelector(pending)):
+                self._move(where, made, f"{root}/{made.base_name}")
         self._forget(where, root)
 
+    def _move(self, where: fs.FileSystem, made: fs.FileInfo, to: str) -> None:
+        """An archive, or a folder of them: as a whole where there is none, else one by one."""
+        if made.type == fs.FileType.Directory and where.get_file_info(to).type != fs.FileType.NotFound:
+            for one in where.get_file_info(fs.FileSelector(made.path)):
+                where.move(one.path, f"{to}/{one.base_name}")
+        else:
+            where.move(made.path, to)
+
+    @staticmethod
+    def _clear(where: fs.FileSystem, root: str, done: list[str]) -> None:
+        """Archives that the new ones don't replace go, those in folders too."""
+
+        def under(at: str) -> Iterator[str]:
+            for f in where.get_file_info(fs.FileSelector(at, allow_not_found=True)):
+                if f.type == fs.FileType.Directory and FOLDER.fullmatch(f.base_name):
+                    yield from (x.path for x in where.get_file_info(fs.FileSelector(f.path)) if x.path.endswith(SUFFIX))
+                elif f.path.endswith(SUFFIX):
+                    yield f.path
+
+        new = {path[len(pending):] for pending in done for path in under(pending)}
+        for old in under(root):
+            if old[len(root):] not in new:
+                where.delete_file(old)
+
     def abort(self, messages: list[WriterCommitMessage | None]) -> None:
         self._forget(*_files(self.path))
 
@@ -126,24 +166,37 @@ class PackageWriter(DataSourceWriter):
 
 
 @dataclass
-class Archive(InputPartition):
-    path: str
+class Some(InputPartition):
+    """Archives, or folders of them."""
+
+    paths: list[str]
+    are_folders: bool
+
+
+def _archives(where: fs.FileSystem, folder: str) -> list[fs.FileInfo]:
+    return [f for f in where.get_file_info(fs.FileSelector(folder, allow_not_found=True)) if f.type == fs.FileType.File and f.path.endswith(SUFFIX)]
 
 
 class PackageReader(DataSourceReader):
     def __init__(self, path: str, members: bool):
         self.path, self.members = path, members
 
-    def partitions(self) -> list[Archive]:
+    def partitions(self) -> list[Some]:
         where, root = _files(self.path)
-        return [Archive(f.path) for f in where.get_file_info(fs.FileSelector(root, allow_not_found=True)) if f.type == fs.FileType.File and f.path.endswith(SUFFIX)]
-
-    def read(self, part: Archive | None) -> Iterator[tuple]:
-        if part is None or not getattr(part, "path", None):  # an empty folder
+        found = where.get_file_info(fs.FileSelector(root, allow_not_found=True))
+        folders = [f.path for f in found if f.type == fs.FileType.Directory and FOLDER.fullmatch(f.base_name)]
+        single = [f.path for f in found if f.type == fs.FileType.File and f.path.endswith(SUFFIX)]
+        cut = lambda paths, n, are: [Some(paths[i : i + n], are) for i in range(0, len(paths), n)]
+        return cut(folders, FOLDERS_A_TASK, True) + cut(single, ARCHIVES_A_TASK, False)
+
+    def read(self, part: Some | None) -> Iterator[tuple]:
+        if part is None or not getattr(part, "paths", None):  # an empty folder
             return
         where, _ = _files(self.path)
-        with where.open_input_file(part.path) as f:
-            yield from self.rows(part.path, f)
+        found = chain.from_iterable(_archives(where, p) for p in part.paths) if part.are_folders else where.get_file_info(part.paths)
+        for info in found:
+            with where.open_input_file(info.path) as f:
+                yield from self.rows(info.path, io.BytesIO(f.read()) if info.size <= SMALL else f)
 
     def rows(self, path: str, f) -> Iterator[tuple]:
         try:
@@ -184,22 +237,25 @@ class PackageSource(DataSource):
         return PackageReader(self.options["path"], self.options.get("members", "true") == "true")
 
     def writer(self, schema, overwrite: bool) -> PackageWriter:
-        return PackageWriter(self.options["path"], overwrite)
+        return PackageWriter(self.options["path"], overwrite, int(self.options.get("folders", "0")))
 
 
 # ---- for DataFrames --------------------------------------------------------------------------------------------------
 
 
-def write_packages(cases: DataFrame, files: DataFrame, path: str, overwrite: bool = False) -> None:
+def write_packages(cases: DataFrame, files: DataFrame, path: str, overwrite: bool = False, folders: int = 0) -> None:
     """An archive for each of cases(id, doc) with its files(id, name, data), in the order of their names.
 
-    Files of other cases are left out. overwrite: archives of other cases in the folder go once all new ones are there."""
+    Files of other cases are left out. overwrite: archives of other cases in the folder go once all new ones are there.
+    folders: so many folders share the archives, which many archives need; always the same number for one path."""
     spark = cases.sparkSession
     spark.dataSource.register(PackageSource)
     docs = cases.select("id", F.lit(0).alias("ord"), F.lit(DOCUMENT).alias("name"), F.encode("doc", "UTF-8").alias("data"))
-    kept = files.select("id", F.lit(1).alias("ord"), "name", "data").join(cases.select("id"), "id", "left_semi")
-    rows = docs.unionByName(kept).repartition("id").sortWithinPartitions("id", "ord", "name")
-    rows.write.format("case_package").mode("overwrite" if overwrite else "append").save(path)
+    rows = docs.unionByName(files.select("id", F.lit(1).alias("ord"), "name", "data"))
+    # the writer leaves out files that no document goes before
+    dealt = rows.repartition(F.crc32(F.encode("id", "UTF-8")) % folders) if folders else rows.repartition("id")
+    sorted_ = dealt.sortWithinPartitions("id", "ord", "name")
+    sorted_.write.format("case_package").option("folders", str(folders)).mode("overwrite" if overwrite else "append").save(path)
 
 
 def read_packages(spark: SparkSession, path: str, members: bool = True) -> DataFrame:
