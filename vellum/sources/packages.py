@@ -31,6 +31,7 @@ import pyarrow as pa
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
@@ -268,18 +269,16 @@ def incoming(packages: DataFrame, store: DataFrame, force: bool = False) -> Data
     """What becomes of each read archive in a store(id, doc): imported, conflict (not forced, the id is there), or its fault.
 
     A conflict shows when both were changed last; of several archives with one id, that with the smallest path counts."""
-    cases = packages.filter("name IS NULL")
     get = lambda doc, path: F.get_json_object(doc, path)
-    first = cases.filter("outcome = 'ok'").groupBy("id").agg(F.min_by(F.struct("path", "doc"), "path").alias("c")).select("id", "c.*")
+    ok = F.col("outcome") == "ok"
+    nth = F.row_number().over(W.partitionBy(F.when(ok, F.col("id")).otherwise(F.col("path")), ok).orderBy("path"))
+    cases = packages.filter("name IS NULL").select("path", "outcome", "id", "doc").withColumn("first", ok & (nth == 1))
     have = store.select(F.col("id").alias("__id"), get("doc", "$.last_modified").alias("existing_modified"), F.lit(True).alias("__have"))
-    known = first.join(have, F.col("id") == F.col("__id"), "left")
+    known = cases.join(have, (F.col("id") == F.col("__id")) & F.col("first"), "left")
     conflict = F.coalesce("__have", F.lit(False)) & F.lit(not force)
-    good = known.select("path", F.when(conflict, "conflict").otherwise("imported").alias("outcome"), "id", "doc", "existing_modified", get("doc", "$.last_modified").alias("import_modified"), get("doc", "$.subject.full_name").alias("subject_name"))
-    none = F.lit(None).cast("string")
-    bad = cases.filter("outcome <> 'ok'").select("path", "outcome", "id", "doc", *[none.alias(c) for c in ("existing_modified", "import_modified", "subject_name")])
-    again = cases.filter("outcome = 'ok'").join(first.select("path"), "path", "left_anti")
-    again = again.select("path", F.lit("another has its id").alias("outcome"), "id", "doc", *[none.alias(c) for c in ("existing_modified", "import_modified", "subject_name")])
-    return good.unionByName(bad).unionByName(again)
+    outcome = F.when(~ok, F.col("outcome")).when(~F.col("first"), "another has its id").when(conflict, "conflict").otherwise("imported")
+    shown = lambda path: F.when(F.col("first"), get("doc", path))
+    return known.select("path", outcome.alias("outcome"), "id", "doc", "existing_modified", shown("$.last_modified").alias("import_modified"), shown("$.subject.full_name").alias("subject_name"))
 
 
 def import_packages(packages: DataFrame, store: DataFrame, force: bool = False) -> DataFrame:
