@@ -49,25 +49,35 @@ def split_parts(files: Column, most_bytes: int, most_parts: int = 5) -> Column:
     """Part number, from 0, of each file of array<struct<file, size>> in order: greedy, never more than most_parts.
 
     The cap grows by a quarter until the parts fit; a file above the cap has a part to itself."""
+    bind = lambda x, f: F.transform(F.array(x), f)[0]  # noqa: E731  x is worked out once, not wherever f names it
     total = F.aggregate(files, F.lit(0).cast("long"), lambda a, x: a + x["size"])
+    none = F.struct(F.lit(-1).alias("part"), F.lit(0).cast("long").alias("size"))
 
-    def greedy(cap: Column) -> Column:
-        start = F.struct(F.lit(0).alias("part"), F.lit(0).cast("long").alias("size"), F.array().cast("array<int>").alias("out"))
+    def after(a: Column, x: Column, cap: Column) -> Column:
+        """The part that takes a file, and the part's size with it."""
+        new = (a["part"] < 0) | ((a["size"] > 0) & (a["size"] + x["size"] > cap))
+        return F.struct((a["part"] + new.cast("int")).alias("part"), (F.when(new, F.lit(0)).otherwise(a["size"]) + x["size"]).cast("long").alias("size"))
+
+    def n_parts(cap: Column) -> Column:
+        return F.aggregate(files, none, lambda a, x: after(a, x, cap))["part"] + 1
+
+    def larger(a: Column) -> Column:
+        fits = a["fits"] | (n_parts(a["cap"]) <= most_parts)
+        return bind(fits, lambda f: F.struct(F.when(f, a["cap"]).otherwise(F.floor(a["cap"] * 1.25).cast("long")).alias("cap"), f.alias("fits")))
 
-        def step(a: Column, x: Column) -> Column:
-            new = (F.size(a["out"]) > 0) & (a["size"] > 0) & (a["size"] + x["size"] > cap)
-            part = F.when(new, a["part"] + 1).otherwise(a["part"])
-            size = F.when(new, x["size"]).otherwise(a["size"] + x["size"]).cast("long")
-            return F.struct(part.alias("part"), size.alias("size"), F.array_append(a["out"], part).alias("out"))
+    def fitting(first: Column) -> Column:
+        return F.aggregate(F.sequence(F.lit(0), F.lit(24)), F.struct(first.alias("cap"), F.lit(False).alias("fits")), lambda a, _: larger(a))["cap"]
 
+    def greedy(cap: Column) -> Column:
+        start = F.struct(none.alias("at"), F.array().cast("array<int>").alias("out"))
+        step = lambda a, x: bind(after(a["at"], x, cap), lambda at: F.struct(at.alias("at"), F.array_append(a["out"], at["part"]).alias("out")))
         return F.aggregate(files, start, step)["out"]
 
-    first = F.greatest(F.lit(most_bytes).cast("long"), F.ceil(total / most_parts)).cast("long")
-    tries = F.sequence(F.lit(0), F.lit(24))
-    cap = F.aggregate(
-        tries, first, lambda a, _: F.when(F.coalesce(F.array_max(greedy(a)), F.lit(0)) + 1 > most_parts, F.floor(a * 1.25).cast("long")).otherwise(a)
-    )
-    return F.when(total <= most_bytes, F.transform(files, lambda _: F.lit(0))).otherwise(greedy(cap))
+    def dealt(total: Column) -> Column:
+        first = F.greatest(F.lit(most_bytes).cast("long"), F.ceil(total / most_parts)).cast("long")
+        return F.when(total <= most_bytes, F.transform(files, lambda _: F.lit(0))).otherwise(bind(fitting(first), greedy))
+
+    return bind(total, dealt)
 
 
 def wrap(text: Column, width: int) -> Column:
