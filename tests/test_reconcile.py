@@ -1,7 +1,9 @@
 """Two versions of a case's findings, decisions in batches, names learned from decisions."""
 
 import datetime as dt
+import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from vellum.operators import learning, reconcile
@@ -141,3 +143,13 @@ def test_examples_are_cut_before_the_shuffle(spark):
     df = spark.createDataFrame([("Abcd", "person_name", "approved", day(1))], "text string, category string, status string, at timestamp")
     plan = learning.learn(df, {"x"})._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan
+
+
+@pytest.mark.parametrize("name", ["wf08_redetect", "set02_valid_findings", "wf09_reparse"])
+def test_findings_are_dealt_by_case_once(spark, name):
+    """Both versions come of one shuffle by case; other shuffles only look up texts."""
+    from vellum.plans import casework
+
+    plan = casework.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    dealt = re.findall(r"Exchange hashpartitioning\((.*?), \d+\)", plan)
+    assert [keys.split("#")[0] for keys in dealt if "_partkey#" not in keys] == ["case_id"] and not any(", " in keys for keys in dealt)
