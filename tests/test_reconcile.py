@@ -145,9 +145,9 @@ def test_examples_are_cut_before_the_shuffle(spark):
     assert "WindowGroupLimit" in plan
 
 
-@pytest.mark.parametrize("name", ["wf08_redetect", "set02_valid_findings", "wf09_reparse"])
+@pytest.mark.parametrize("name", ["wf08_redetect", "set02_valid_findings", "wf09_reparse", "red03_failure_triage"])
 def test_findings_are_dealt_by_case_once(spark, name):
-    """Both versions come of one shuffle by case; other shuffles only look up texts."""
+    """What a query tells of findings comes of one shuffle by case; other shuffles only look up texts."""
     from vellum.plans import casework
 
     plan = casework.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()

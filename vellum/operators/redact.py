@@ -34,10 +34,15 @@ def outcomes(pages: DataFrame, candidates: DataFrame) -> DataFrame:
     for c in keys:
         same = same & (F.col(c) == F.col(f"__{c}"))
     rows = candidates.join(page, same, "left")
+    return rows.withColumn("outcome", outcome_on(F.col("__here"), F.col("__t"))).drop("__here", "__t", *[f"__{c}" for c in keys])
+
+
+def outcome_on(here: Column, page_text: Column) -> Column:
+    """The outcome of a candidate beside its page's text; here is null where the page is gone."""
     box = (F.col("x0") > 0) & (F.col("y0") > 0) & (F.col("x1") > F.col("x0")) & (F.col("y1") > F.col("y0"))
-    found = (F.trim("text") != "") & F.contains(F.lower("__t"), F.lower("text"))
-    outcome = F.when(F.col("__here").isNull(), "failed").when(box, "box").when(found, "search").otherwise("failed")
-    return rows.withColumn("outcome", F.when(F.col("status").isin("auto_redact", "approved"), outcome)).drop("__here", "__t", *[f"__{c}" for c in keys])
+    found = (F.trim("text") != "") & F.contains(F.lower(page_text), F.lower("text"))
+    outcome = F.when(here.isNull(), "failed").when(box, "box").when(found, "search").otherwise("failed")
+    return F.when(F.col("status").isin("auto_redact", "approved"), outcome)
 
 
 def apply_redactions(pages: DataFrame, candidates: DataFrame) -> DataFrame:
