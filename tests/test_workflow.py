@@ -133,3 +133,11 @@ def test_certificate(spark):
     assert [(r["section"], r["item"], r["line"]) for r in got.orderBy("section", "item").collect()] == [
         (0, 1, "Total: 3 redactions"), (1, 1, "email: 2 redactions"), (1, 2, ": 1 redaction"), (2, 1, "Other (see notes): 1 redaction"), (2, 2, "Third-party data (s.16(4)): 1 redaction"), (2, 3, "own: 1 redaction"),
     ]
+
+
+def test_log_deals_findings_by_case_twice(spark):
+    """Once to number them, once beside the cases; before, each section and count made the findings anew."""
+    from vellum.plans import disclosures
+
+    plan = disclosures.snk01_redaction_log(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(case_id#") == 2

@@ -88,19 +88,31 @@ def redaction_log(cases: DataFrame, findings: DataFrame, unscreened: DataFrame,
     findings(case_id, seq, status, failed, category, text, source_file, page_num, confidence, reason, exemption, risk_flags):
     failed says whether an approved one couldn't be placed; risk_flags are array<struct<phrase, category>>.
     unscreened(case_id, source_file, page_num)."""
-    counts = log_counts(cases, findings, unscreened)
-    zero = F.lit(0)
+    asked = findings.withColumn("kind", F.lit(1)).unionByName(unscreened.withColumn("kind", F.lit(2)), allowMissingColumns=True)
+    return log_of(cases, asked, generated)
+
+
+def log_of(cases: DataFrame, asked: DataFrame, generated: str) -> DataFrame:
+    """redaction_log() of findings (kind 1) and unscreened pages (kind 2) in one table: all rows are dealt by case once."""
+    rows = asked.unionByName(cases.select(F.col("id").alias("case_id"), F.lit(0).alias("kind")), allowMissingColumns=True).repartition("case_id")
+    kind, status = F.col("kind"), F.col("status")
+    rows = rows.withColumn("section", F.when(kind == 1, section_of(status, F.col("failed"))).when(kind == 2, UNSCREENED))
+    n = lambda c: F.count(F.when(c, 1)).over(W.partitionBy("case_id"))
+    counts = {
+        "total": kind == 1, "applied": F.col("section") == APPLIED, "failed": F.col("section") == FAILED, "excluded_subject": (kind == 1) & (status == "excluded_subject"),
+        "excluded_staff": (kind == 1) & (status == "excluded_staff"), "rejected": F.col("section") == REJECTED, "unreviewed": F.col("section") == UNREVIEWED, "unscreened": kind == 2,
+    }
+    rows = rows.withColumns({"n_cases": n(kind == 0), **{f"n_{c}": n(test) for c, test in counts.items()}})
+    rows = rows.filter((kind == 0) | F.col("section").isNotNull() & ((kind == 1) | (F.col("n_cases") > 0)))
+    nth = F.row_number().over(W.partitionBy("case_id", "kind", "section").orderBy(F.when(kind == 1, F.col("seq")), "source_file", "page_num"))
+    rows, zero = rows.withColumn("item", nth), F.lit(0)
     head = [F.lit("SUBJECT ACCESS REQUEST - REDACTION LOG"), F.concat(F.lit("SAR Reference: "), F.col("case_id").cast("string")), F.lit(f"Generated: {generated}"), F.lit(""), F.lit("SUMMARY"), F.lit("-" * 50)]
-    head += [F.concat(F.lit(f"{label}: "), F.col(c).cast("string")) for label, c in COUNTED]
+    head += [F.concat(F.lit(f"{label}: "), F.col(f"n_{c}").cast("string")) for label, c in COUNTED]
     blocks = [_block(SUMMARY, zero, head)]
     for section, column in ((APPLIED, None), (FAILED, "failed"), (REJECTED, "rejected"), (UNREVIEWED, "unreviewed"), (UNSCREENED, "unscreened")):
         more = ["", *WARNINGS[section]] if section in WARNINGS else []
-        blocks.append(_block(section, zero, [F.lit(x) for x in ("", RULE, TITLES[section], RULE, *more)], F.col(column) > 0 if column else None))
-    out = _lines(counts, *blocks)
+        blocks.append(_block(section, zero, [F.lit(x) for x in ("", RULE, TITLES[section], RULE, *more)], F.col(f"n_{column}") > 0 if column else None))
 
-    rows = findings.withColumn("section", section_of(F.col("status"), F.col("failed"))).filter("section IS NOT NULL")
-    item = F.row_number().over(W.partitionBy("case_id", "section").orderBy("seq"))
-    rows = rows.withColumn("item", item)
     here = F.col("section")
     label = lambda text, value: F.concat(F.lit(f"   {text}: "), value)
     page = (F.col("page_num") + 1).cast("string")
@@ -116,12 +128,10 @@ def redaction_log(cases: DataFrame, findings: DataFrame, unscreened: DataFrame,
         only(here.isin(FAILED, REJECTED), label("Reason for detection", _text("reason"))), only(here == APPLIED, label("Method", method)),
         only((here == APPLIED) & (code != ""), label("Exemption", exemption)), only((here == APPLIED) & (F.size(flags) > 0), label("Risk flags", shown)),
     ]
-    out = out.unionByName(_items(rows, here, lines))
-
-    nth = F.row_number().over(W.partitionBy("case_id").orderBy("source_file", "page_num"))
-    images = unscreened.join(cases.select("id"), F.col("case_id") == F.col("id"), "left_semi").withColumn("item", nth)
-    shown = [F.lit(""), F.concat(F.col("item").cast("string"), F.lit(". File: "), _text("source_file")), label("Page", page)]
-    return out.unionByName(_items(images, UNSCREENED, shown))
+    image = [F.lit(""), F.concat(F.col("item").cast("string"), F.lit(". File: "), _text("source_file")), label("Page", page)]
+    item = F.col("item")
+    made = F.when(kind == 0, F.flatten(F.array(*blocks))).when(kind == 1, _block(here, item, lines)).otherwise(_block(UNSCREENED, item, image))
+    return _lines(rows, made)
 
 
 # ---- letters ---------------------------------------------------------------------------------------------------------
