@@ -153,3 +153,42 @@ def test_findings_are_dealt_by_case_once(spark, name):
     plan = casework.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     dealt = re.findall(r"Exchange hashpartitioning\((.*?), \d+\)", plan)
     assert [keys.split("#")[0] for keys in dealt if "_partkey#" not in keys] == ["case_id"] and not any(", " in keys for keys in dealt)
+
+
+def test_valid_findings_are_counted_as_detecting_anew_leaves_them(spark):
+    before = [
+        *BEFORE,
+        (1, "i", 5, "f", 4, 1.0, 1.0, "Box", "manual", "approved"),
+        (1, "j", 6, "f", 4, 1.0, 1.0, "box", "manual", "approved"),
+        (3, "k", 1, None, None, None, None, None, "manual", "approved"),
+        (3, "l", 2, "f", 1, 1.0, 1.0, "x", None, "flagged"),
+    ]
+    after = [
+        (1, 1, "f", 0, 10.0, 5.0, "ANN LEE", "person_name", "flagged"),
+        (1, 2, "f", 4, 1.04, 1.0, "BOX", "manual", "flagged"),  # one of the two that were there
+        (2, 1, "f", 9, 1.0, 1.0, "new", "manual", "flagged"),
+        (2, 2, "f", 9, 1.0, 1.0, "new", "manual", "flagged"),
+        (3, 1, None, None, None, None, None, "manual", "flagged"),
+        (3, 2, "f", 1, 1.0, 1.0, "x", None, "flagged"),
+        (3, 3, "f", 1, 1.0, 1.0, "y", None, "flagged"),
+    ]
+    both = reconcile.stacked(old(spark, before), new(spark, after))
+    want = reconcile.redetect_stacked(both).filter("change <> 'gone'").groupBy("case_id", "category").agg(F.count("*").alias("n"))
+    got = {(r["case_id"], r["category"]): r["n"] for r in reconcile.count_valid(both).collect()}
+    assert got == {(r["case_id"], r["category"]): r["n"] for r in want.collect()}
+    assert got[(1, "manual")] == 3 and got[(2, "manual")] == 2 and got[(3, None)] == 2
+
+
+def shuffled(spark, name):
+    """The rows that a query deals by case, as the plan names their columns, and the whole plan."""
+    from vellum.plans import casework
+
+    plan = casework.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    rows = re.search(r"Exchange hashpartitioning\(case_id.*?Project \[(.*?)\]\n", plan, re.S).group(1)
+    return rows, plan
+
+
+def test_counting_valid_findings_deals_no_numbers_and_few_columns(spark):
+    rows, plan = shuffled(spark, "set02_valid_findings")
+    assert "Window" not in plan and "l_shipdate" not in plan and "l_extendedprice" not in plan
+    assert "p_name#" not in re.sub(r"CASE WHEN.*? END AS \w+#\d+L?", "", rows)  # a text is dealt with a manual finding only

@@ -88,6 +88,18 @@ def redetect_stacked(both: DataFrame, recalled: bool = False) -> DataFrame:
     return out.withColumns({"id": F.when(is_new, made).otherwise(F.col("id")), "change": change}).drop("is_new", "__n", "__was", "__now", "__id")
 
 
+def count_valid(both: DataFrame) -> DataFrame:
+    """(case_id, category, n): how many findings of each case and category redetect() leaves valid, of both versions in one table.
+
+    All new ones are valid, and of manual ones as many at each place as the version with more of them has there. So only
+    manual findings need their place: others are dealt by case without it, and old ones that aren't manual not at all."""
+    is_new, manual = F.col("is_new"), F.col("category").eqNullSafe(F.lit(MANUAL))
+    place = {f"__{i}": F.when(manual, key) for i, key in enumerate(_place()[1:])}
+    dealt = both.filter(is_new | manual).select("case_id", "category", "is_new", *[key.alias(name) for name, key in place.items()]).repartition("case_id")
+    at = dealt.groupBy("case_id", "category", *place).agg(F.count_if(is_new).alias("__new"), F.count_if(~is_new).alias("__old"))
+    return at.groupBy("case_id", "category").agg(F.sum(F.greatest("__new", "__old")).alias("n"))
+
+
 def reparse(old: DataFrame, new: DataFrame) -> DataFrame:
     """The old findings as they are, and with `change` added the new ones at places that had none, one of each place.
 
