@@ -1,6 +1,8 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
+import pytest
 from tokenizers import Tokenizer
 
 from vellum.llm import packing
@@ -39,3 +41,16 @@ def test_supplied_texts(spark):
 def test_empty(spark, docs_of):
     assert packing.pack(docs_of([(1, "x")]).limit(0), tokenizer_path()).count() == 0
     assert packing.pieces(0) == [] and packing.pieces(4097) == [(0, 2048), (2048, 2048), (4096, 1)]
+
+
+@pytest.mark.parametrize("at_once", [1, 2, 9000, 500_000])
+def test_texts_gathered_together(monkeypatch, at_once):
+    """Wherever the words gathered together are cut, every text keeps its own ids."""
+    monkeypatch.setattr(packing, "WORDS_AT_ONCE", at_once)
+    texts = [None, "", *TEXTS, "", "a b", None, " ", "c"]
+    t = Tokenizer.from_file(tokenizer_path())
+    want = [np.array(t.encode(x or "", add_special_tokens=False).ids, dtype="<u4").tobytes() for x in texts]
+    encoder = packing.WordTokens(tokenizer_path())
+    sliced = pa.array(["x y", *texts]).slice(1)
+    assert list(encoder.encode_all(sliced)) == want and list(encoder.encode_all(pa.array([None, ""]))) == [b"", b""]
+    assert list(encoder.encode_all(pa.array([], pa.string()))) == []

@@ -28,6 +28,8 @@ from pyspark.sql import functions as F
 LONGEST = 2048
 END_ID = 1
 CACHED_WORDS = 300_000
+#: Words whose ids are gathered together; a longer text is taken alone.
+WORDS_AT_ONCE = 500_000
 #: ASCII punctuation that may follow a word and never joins it: no apostrophe, which starts contractions.
 TAIL = "!\"#$%&()*+,-./:;=?@[]^_`{}~"
 SCHEMA = (
@@ -143,10 +145,21 @@ class WordTokens:
         used = coded.dictionary.to_pylist()
         self._learn(self.words.missing(set(used)))
         known = list(map(self.words.young.__getitem__, used))
-        word, first = coded.indices.to_numpy().tolist(), lists.offsets.to_numpy()
-        edges = (first - first[0]).tolist()
-        for a, b in zip(edges, edges[1:], strict=False):
-            yield b"".join([known[i] for i in word[a:b]])
+        ids, size = np.frombuffer(b"".join(known), dtype="<u4"), np.fromiter(map(len, known), np.int64, len(known)) // 4
+        begin = np.cumsum(size) - size
+        word, first = coded.indices.to_numpy(), lists.offsets.to_numpy()
+        edges = (first - first[0]).astype(np.int64)
+        a, n = 0, len(edges) - 1
+        while a < n:  # some texts at once, the ids of all their words gathered together
+            b = max(a + 1, int(np.searchsorted(edges, edges[a] + WORDS_AT_ONCE, "right")) - 1)
+            w = word[edges[a] : edges[b]]
+            ends = np.concatenate([[0], np.cumsum(size[w])])
+            at = np.repeat(begin[w] - ends[:-1], size[w])
+            at += np.arange(len(at))
+            data, cuts = ids[at].tobytes(), (4 * ends[edges[a : b + 1] - edges[a]]).tolist()
+            for start, end in zip(cuts, cuts[1:], strict=False):
+                yield data[start:end]
+            a = b
         self.words.age()
         self.runs.age()
 
