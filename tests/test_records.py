@@ -93,3 +93,17 @@ def test_first_findings_of_a_name(spark):
     rows = [(c, "f", p, p, "email", f" {t} ", "approved") for c in (1, 2) for p, t in enumerate(["Al", "al", "AL", "bo"])]
     got = cases.occurrences(spark.createDataFrame(rows, "case_id long, source_file string, page_num int, seq int, category string, text string, status string"), 4).collect()
     assert sorted((r["name"], r["place"], r["case_id"], r["page_num"], r["more"]) for r in got) == [("al", 1, 1, 0, 2), ("al", 2, 1, 1, 2), ("al", 3, 1, 2, 2), ("al", 4, 2, 0, 2), ("bo", 1, 1, 3, 0), ("bo", 2, 2, 3, 0)]
+
+
+def test_mails_with_subjects_and_attachments(spark, tmp_path):
+    """Whatever a text holds, it is read back as subject and body, and attachments are listed."""
+    from vellum.plans import records
+
+    texts = [None, "", "a  b", " lead and trail ", "nl\nin\n", "tab\tx\r\ny\r", "éÜ日本 =?utf-8?B?YQ==?= x", "\n\nFrom: x\n--b\n", "😀" * 30]
+    rows = [(conv, turn, "user", text) for conv in (3, 4) for turn, text in enumerate(texts)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    got = {(r["conv_id"], r["turn"]): r["layout"] for r in records.fn18_email_layout(spark, str(tmp_path)).collect()}
+    assert len(got) == len(rows)
+    for conv, turn, _, text in rows:
+        cc, attached = "" if turn % 2 else "Cc: copy\n", "\n\nAttachments:\n  - a.pdf" if conv == 3 else ""
+        assert got[conv, turn] == f"From: user\nTo: desk\n{cc}Date: Mon, 01 Jan 2024 10:{turn:02}:00 +0000\nSubject: {(text or '')[:20]}\n\n{text or '(no body)'}{attached}"

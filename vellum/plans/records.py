@@ -172,19 +172,27 @@ def snk03_report_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---- what is read ----------------------------------------------------------------------------------------------------
 
-SENT = "Mon, 01 Jan 2024 10:00:00 +0000"
-
-
-@query("fn18_email_layout", f"""SELECT conv_id, turn, 'From: ' || role || chr(10) || 'To: desk' || chr(10) || CASE WHEN turn % 2 = 0 THEN 'Cc: copy' || chr(10) ELSE '' END || 'Date: {SENT}' || chr(10) || 'Subject: S' || turn || chr(10) || chr(10)
-  || CASE WHEN text = '' THEN '(no body)' ELSE coalesce(text, '(no body)') END AS layout FROM conversations""")
+@query("fn18_email_layout", """SELECT conv_id, turn, 'From: ' || role || chr(10) || 'To: desk' || chr(10) || CASE WHEN turn % 2 = 0 THEN 'Cc: copy' || chr(10) ELSE '' END
+  || 'Date: Mon, 01 Jan 2024 10:' || lpad(CAST(turn % 60 AS VARCHAR), 2, '0') || ':00 +0000' || chr(10) || 'Subject: ' || substr(coalesce(text, ''), 1, 20) || chr(10) || chr(10)
+  || CASE WHEN text = '' THEN '(no body)' ELSE coalesce(text, '(no body)') END
+  || CASE WHEN conv_id % 3 = 0 THEN chr(10) || chr(10) || 'Attachments:' || chr(10) || '  - a.pdf' ELSE '' END AS layout FROM conversations""")
 def fn18_email_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every turn as a message, read back as text."""
+    """Every turn as a message, read back as text: a text's beginning is the subject, every third conversation has attachments."""
     turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
-    cc = F.when(F.col("turn") % 2 == 0, "Cc: copy\n").otherwise("")
-    head = F.concat(F.lit("From: "), "role", F.lit("\nTo: desk\n"), cc, F.lit(f"Date: {SENT}\nSubject: S"), F.col("turn").cast("string"))
-    kind = "\nMIME-Version: 1.0\nContent-Type: text/plain; charset=utf-8\nContent-Transfer-Encoding: 8bit\n\n"
+    text, lf = F.coalesce("text", F.lit("")), F.lit("\n")
+    coded = lambda c: F.regexp_replace(F.base64(F.encode(c, "UTF-8")), r"\s", "")
+    subject = F.when(text != "", F.concat(F.lit("=?utf-8?B?"), coded(F.substring(text, 1, 20)), F.lit("?="))).otherwise("")
+    cc, at = F.when(F.col("turn") % 2 == 0, "Cc: copy\n").otherwise(""), F.lpad((F.col("turn") % 60).cast("string"), 2, "0")
+    head = F.concat(F.lit("From: "), "role", F.lit("\nTo: desk\n"), cc, F.lit("Date: Mon, 01 Jan 2024 10:"), at, F.lit(":00 +0000\nSubject: "), subject, F.lit("\nMIME-Version: 1.0\n"))
+    plain = "Content-Type: text/plain; charset=utf-8\nContent-Transfer-Encoding: "
+    edge = F.sha2(text, 256)  # no text holds its own digest
+    parts = F.concat(
+        F.lit("Content-Type: multipart/mixed; boundary="), edge, F.lit("\n\n--"), edge, lf, F.lit(f"{plain}base64\n\n"), coded(text), F.lit("\n--"), edge,
+        F.lit("\nContent-Type: application/pdf\nContent-Disposition: attachment; filename=a.pdf\nContent-Transfer-Encoding: base64\n\nJVBERg==\n--"), edge, F.lit("--\n"),
+    )
+    mail = F.concat(head, F.when(F.col("conv_id") % 3 == 0, parts).otherwise(F.concat(F.lit(f"{plain}8bit\n\n"), text)))
     path = F.concat(F.col("conv_id").cast("string"), F.lit("/"), F.col("turn").cast("string"), F.lit(".eml"))
-    read = readers.read_contents(turns.select(path.alias("path"), F.encode(F.concat(head, F.lit(kind), F.coalesce("text", F.lit(""))), "UTF-8").alias("content")))
+    read = readers.read_contents(turns.select(path.alias("path"), F.encode(mail, "UTF-8").alias("content"))).filter("kind = 'eml'")
     number = lambda i: F.regexp_extract("path", r"^(\d+)/(\d+)", i).cast("long")
     return read.select(number(1).alias("conv_id"), number(2).alias("turn"), F.col("text").alias("layout"))
 
