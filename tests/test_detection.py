@@ -118,3 +118,12 @@ def test_context_marks_cuts(spark):
     t = "a" * 100 + " Dr Smith " + "b" * 100
     got = one(spark, [(t,)], "t string").select(M.snippet(F.col("t"), F.lit(101), F.lit(109)).alias("c")).first()["c"]
     assert got.startswith("…") and got.endswith("…") and "Dr Smith" in got
+
+
+def test_relations_of_four_layouts_are_found(spark):
+    """Of ten layouts of planted notes four tell a relation: daughter, wife, neighbour, carer."""
+    from vellum.plans import registry
+
+    sf_dir = "/root/testdata/sf0.001"
+    found = {r["doc_id"] % 10: r["n"] for r in registry.QUERIES["det_n5_relation"](spark, sf_dir).filter("n > 0").collect()}
+    assert found == {0: 1, 2: 1, 7: 1, 8: 1}

@@ -40,6 +40,12 @@ def planted(spark: SparkSession, sf_dir: str, *names: list[str]) -> DataFrame:
     return spark.sql(f"WITH {V.planted(SparkSql(), *names)} SELECT * FROM v_planted")
 
 
+def related(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Planted notes that name more relations."""
+    register(spark, sf_dir)
+    return spark.sql(f"WITH {V.planted(SparkSql(), related=True)} SELECT * FROM v_planted")
+
+
 def of_cases(query: Callable[..., DataFrame], *views: str) -> Callable[[SparkSession, str], DataFrame]:
     """A query that calls a case function on the bound views: v_case with its pauses, v_candidate."""
 
@@ -211,10 +217,10 @@ def _number_text(d) -> str:
     return "regexp_replace(m, '[^0-9]', '', 'g')"
 
 
-def _all(pattern: str, keep: str = "true", group: int = 0, show: str = "m") -> str:
+def _all(pattern: str, keep: str = "true", group: int = 0, show: str = "m", related: bool = False) -> str:
     """Check SQL: all matches that pass keep, joined."""
     got = f"list_filter(regexp_extract_all(text, {Duck().re(pattern)}, {group}), lambda m: {keep})"
-    return f"WITH {V.planted(Duck())}, f AS (SELECT doc_id, {got} AS l FROM v_planted) SELECT doc_id, CAST(len(l) AS BIGINT) AS n, array_to_string(list_transform(l, lambda m: {show}), '|') AS found FROM f"
+    return f"WITH {V.planted(Duck(), related=related)}, f AS (SELECT doc_id, {got} AS l FROM v_planted) SELECT doc_id, CAST(len(l) AS BIGINT) AS n, array_to_string(list_transform(l, lambda m: {show}), '|') AS found FROM f"
 
 
 def _terms(terms) -> str:
@@ -254,8 +260,12 @@ def _name_layouts() -> dict[str, tuple[str, int, str, str]]:
     }
 
 
+#: Queries over notes that name more relations.
+RELATED = ("det_n5_relation",)
+
+
 def _name_checks() -> dict[str, str]:
-    return {n: _all(pattern, keep, group, show) for n, (pattern, group, keep, show) in _name_layouts().items()}
+    return {n: _all(pattern, keep, group, show, n in RELATED) for n, (pattern, group, keep, show) in _name_layouts().items()}
 
 
 def _evidence_check() -> str:
@@ -334,6 +344,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "txt02_best_evidence": txt02_best_evidence,
     # over planted notes, which check SQL covers, and over the real texts, where the engines' regular expressions differ
     **detections(planted, "planted.txt"),
+    **{n: q for n, q in detections(related, "planted.txt").items() if n in RELATED},
     **{f"doc_{n}": q for n, q in detections(documents, "documents").items()},
     "doc_det_k1_risk_flags": doc_det_k1_risk_flags,
     **{n: by_sql(n) for n in analytics.Q},
